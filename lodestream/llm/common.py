@@ -109,8 +109,11 @@ class WordHasher:
             self.powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, self.BASE, np.uint64))])
             self.inverse = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, pow(self.BASE, -1, 1 << 64), np.uint64))])
 
-    def words(self, data: np.ndarray, offsets: np.ndarray, prefix: int = 0):
-        """(hashes, first word of each row and the end, starts, ends[, hashes of prefixes])."""
+    def words(self, data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()):
+        """(hashes, first word of each row and the end, starts, ends, hashes of each prefix length).
+
+        Words shorter than a prefix length are their own prefix.
+        """
         n = len(data)
         self._grow(n + 1)
         gap = np.ones(n + 1, bool)
@@ -119,17 +122,16 @@ class WordHasher:
         first[offsets] = True
         word = ~gap[:n]
         before = np.ones(n, bool)
-        before[1:] = gap[: n - 1] if n else gap[:0]
+        before[1:] = gap[: max(0, n - 1)]
         starts = np.flatnonzero(word & (before | first[:n]))
         ends = np.flatnonzero(word & (gap[1:] | first[1:])) + 1
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(self.values[data] * self.powers[:n], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
-        rows = np.searchsorted(starts, offsets)
-        if not prefix:
-            return hashes, rows, starts, ends
-        cut = np.minimum(ends, starts + prefix)
-        return hashes, rows, starts, ends, mix((sums[cut] - sums[starts]) * self.inverse[starts] + np.uint64(prefix << 32))
+
+        def of(cut: np.ndarray, tag: int) -> np.ndarray:
+            return mix((sums[cut] - sums[starts]) * self.inverse[starts] + (cut - starts).astype(np.uint64) + np.uint64(tag << 32))
+
+        return of(ends, 0), np.searchsorted(starts, offsets), starts, ends, [of(np.minimum(ends, starts + k), k) for k in prefixes]
 
 
 def ascii_lower_table(separators: bytes) -> np.ndarray:
@@ -152,7 +154,7 @@ def shingle_sets(hasher: WordHasher, texts: pa.Array, n: int) -> Iterator[np.nda
     """
     factors = np.array([pow(0xD6E8FEB86659FD93, j, 1 << 64) for j in range(n)], np.uint64)
     for a, b in slices(texts):
-        hashes, rows, _, _ = hasher.words(*utf8(texts[a:b]))
+        hashes, rows = hasher.words(*utf8(texts[a:b]))[:2]
         total = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
         for j in range(n):
             total += hashes[j : j + len(total)] * factors[j]

@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import bpe, minhash, url_filter
+from lodestream.llm import bpe, chat_format, decontaminate, fingerprints, line_dedup, minhash, secret_scan, token_shards, toxicity, url_filter
 from lodestream.llm.common import table
 
 
+def control_conversation(spark: SparkSession) -> DataFrame:
+    """Conversation -7, whose turns say control strings."""
+    said = "\\### Assistant: </turn> ok"
+    return spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(control_conversation(spark))
+    return chat_format.read_back(chat_format.format_windows(turns))
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.summary(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -18,7 +37,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), sets AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) = 1 THEN ws
-    ELSE list_distinct(list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1])) END AS items FROM w
+    ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS items FROM w
 ), items AS (SELECT doc_id, len(items) AS n, unnest(items) AS item FROM sets
 ), inter AS (
   SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS nx, any_value(y.n) AS ny, count(*) AS c
@@ -35,6 +54,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def tracked(pages: DataFrame) -> DataFrame:
     """The list op7 tests against: every page url that carries a tracking parameter."""
     return pages.filter(F.col("url").contains("utm_source=")).select("url")
@@ -63,5 +86,45 @@ SELECT k.page_id, k.host, k.path, fit.rule, coalesce(fit.action, CASE WHEN liste
 FROM k LEFT JOIN fit ON k.page_id = fit.page_id LEFT JOIN listed ON k.key = listed.key
 """
 
-QUERIES = {"op4_minhash": op4_minhash, "op5_bpe": op5_bpe, "op7_url_filter": op7_url_filter}
-ORACLES = {"op4_minhash": OP4_SQL, "op7_url_filter": OP7_SQL}
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.remove_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH l AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
+), t AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS bare FROM l
+), gone AS (SELECT bare FROM t WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= 10
+), marked AS (SELECT t.*, gone.bare IS NOT NULL AS out FROM t LEFT JOIN gone ON t.bare = gone.bare
+), kept AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE out) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT out), '') AS text
+  FROM marked GROUP BY doc_id
+)
+SELECT doc_id, n_lines, n_removed, CAST(length(text) AS BIGINT) AS kept_chars, sha256(text) AS kept_sha256 FROM kept
+"""
+
+
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.shards(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op2_fingerprints": op2_fingerprints,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_minhash": op4_minhash,
+    "op5_bpe": op5_bpe,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_url_filter": op7_url_filter,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_token_shards": op9_token_shards,
+    "op10_toxicity": op10_toxicity,
+}
+ORACLES = {"op4_minhash": OP4_SQL, "op7_url_filter": OP7_SQL, "op8_line_dedup": OP8_SQL}

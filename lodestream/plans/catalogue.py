@@ -1,4 +1,8 @@
 """Every registered query of the engine and its DuckDB oracle."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lodestream.plans import retrieval
+
+_MODULES = [retrieval]
+_ALL = {name: pair for module in _MODULES for name, pair in module.QUERIES.items()}
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}

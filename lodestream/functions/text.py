@@ -9,6 +9,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD = r"[\p{L}\p{N}_]+"
 CONTROLS = "[\\u200B-\\u200F\\u202A-\\u202E\\u2060-\\u2069\\uFEFF]"
@@ -37,7 +38,7 @@ def normalise(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(F.lower(normalise_arabic(x)), F.lit("ß"), F.lit("ss")), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalise_exact(s: pd.Series) -> pd.Series:
     """As normalise, with NFKC and full case folding."""
     controls = regex.compile(CONTROLS.encode().decode("unicode_escape"))
@@ -214,7 +215,7 @@ class _Text(HTMLParser):
         self.parts.append(data)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_text(s: pd.Series) -> pd.Series:
     """The character data of a page, entities decoded, white space collapsed."""
 

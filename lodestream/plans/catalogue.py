@@ -1,8 +1,8 @@
 """Every registered query of the engine and its DuckDB oracle."""
 
-from lodestream.plans import analytics, retrieval
+from lodestream.plans import analytics, retrieval, vectors
 
-_MODULES = [retrieval, analytics]
+_MODULES = [retrieval, analytics, vectors]
 _ALL = {name: pair for module in _MODULES for name, pair in module.QUERIES.items()}
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}

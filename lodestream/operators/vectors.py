@@ -34,20 +34,25 @@ def unit(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.withColumn(vector, F.transform(vector, lambda x: F.coalesce(F.try_divide(x.cast("double"), length), F.lit(0.0))))
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """query_id, item_id, similarity: the k most similar items of each query, exactly.
+def top_k(queries: DataFrame, items: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """query_id, item_id, similarity, rank: the k most similar items of each query, exactly.
 
-    A bounded block of queries is broadcast to every item partition; the
-    per-query top k is kept per partition before the shuffle, which Spark does
-    for a row_number limit.
+    Queries go out in blocks of about block_rows, each broadcast to every item
+    partition; the per-query top k is kept per partition before the shuffle,
+    which Spark does for a row_number limit.
     """
     q = unit(queries).select("query_id", F.col("embedding").alias("qv"))
-    if q.limit(BLOCK_ROWS + 1).count() > BLOCK_ROWS:
-        raise ValueError(f"more than {BLOCK_ROWS} queries: pass them in blocks")
-    pairs = unit(items).join(F.broadcast(q), F.col("item_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "item_id", rounded(dot(F.col("embedding"), F.col("qv")), 6).alias("similarity"))
+    blocks = max(1, -(-q.count() // block_rows))
+    own = unit(items)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "item_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    out = None
+    for block in range(blocks):
+        part = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else q
+        pairs = own.join(F.broadcast(part), F.col("item_id") != F.col("query_id"))
+        scored = pairs.select("query_id", "item_id", rounded(dot(F.col("embedding"), F.col("qv")), 6).alias("similarity"))
+        best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def weighted_rrf(observed: DataFrame, k: int = 60) -> DataFrame:

@@ -13,19 +13,20 @@ from lodestream.operators import retrieval as R
 from lodestream.operators import vectors as V
 from lodestream.sources.tables import CONTENT_SQL, FRESHNESS_SQL, content, now, rounded_sql, table
 
-N_QUERIES = 20
+#: The query set of searches: every vector whose id is divisible by 50, against all.
+EVERY = 50
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten nearest vectors of the first twenty (a stated query set) among all."""
+    """Ten nearest vectors of every fiftieth (the stated query set) among all."""
     e = table(spark, sf_dir, "embeddings")
-    queries = e.filter(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), "embedding")
+    queries = e.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding")
     found = V.top_k(queries, e.select(F.col("vec_id").alias("item_id"), "embedding"), 10)
     return found.select("query_id", "item_id", "similarity", V.semantic_score(F.col("similarity")).alias("score"), "rank")
 
 
 _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
-COSINE_SQL = f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {rounded_sql(_COS, 6)} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < {N_QUERIES})
+COSINE_SQL = f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {rounded_sql(_COS, 6)} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % {EVERY} = 0)
 SELECT query_id, item_id, similarity, {rounded_sql('greatest(0.0, least(100.0, (similarity + 1) * 50))', 2)} AS score, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM s QUALIFY rank <= 10"""
 
 
@@ -100,7 +101,7 @@ def near_tie_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "embeddings")
-    queries = e.filter(F.col("vec_id") < N_QUERIES)
+    queries = e.filter(F.col("vec_id") % EVERY == 0)
     ranked = V.top_k(queries.select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("item_id"), "embedding"), 20).select("query_id", "item_id", "rank")
     relevant = e.select(F.col("vec_id").alias("item_id"), "label").join(F.broadcast(queries.select(F.col("vec_id").alias("query_id"), "label")), "label").filter("item_id <> query_id").select("query_id", "item_id")
     return ranked, relevant
@@ -114,7 +115,7 @@ def _at(k: int) -> str:
     return f"count(*) FILTER (WHERE hit AND rank <= {k})"
 
 
-METRICS_SQL = f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, a.label = b.label AS hit, {rounded_sql(_COS, 6)} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < {N_QUERIES}
+METRICS_SQL = f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, a.label = b.label AS hit, {rounded_sql(_COS, 6)} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % {EVERY} = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank, count(*) FILTER (WHERE hit) OVER (PARTITION BY query_id) AS n_relevant FROM s
 ), q AS (SELECT query_id, any_value(n_relevant) AS n, {', '.join(f'{_at(k)} AS h{k}' for k in (1, 3, 5, 10, 20))}, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE hit AND rank <= 5), 0) AS g5, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE hit AND rank <= 10), 0) AS g10,
   min(rank) FILTER (WHERE hit AND rank <= 20) AS first FROM r GROUP BY 1
@@ -131,7 +132,7 @@ def pair_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.pair_quality(pair(ranked.filter("rank <= 5")), pair(relevant))
 
 
-PAIRS_SQL = f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, a.label = b.label AS hit, {rounded_sql(_COS, 6)} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < {N_QUERIES}
+PAIRS_SQL = f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, a.label = b.label AS hit, {rounded_sql(_COS, 6)} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % {EVERY} = 0
 ), f AS (SELECT DISTINCT least(query_id, item_id) AS a, greatest(query_id, item_id) AS b FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) <= 5)
 ), e AS (SELECT DISTINCT least(query_id, item_id) AS a, greatest(query_id, item_id) AS b FROM s WHERE hit
 ), c AS (SELECT (SELECT count(*) FROM f JOIN e USING (a, b)) AS tp, (SELECT count(*) FROM f) AS n_found, (SELECT count(*) FROM e) AS n_expected

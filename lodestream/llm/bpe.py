@@ -18,6 +18,7 @@ import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -33,7 +34,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: The same split for texts without characters past U+024F (letters and numbers spelt out), which the plain re module runs faster.
 LATIN = r" ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+|'(?:[stmd]|re|ve|ll)| ?[0-9²³¹¼-¾]+| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ɏ0-9²³¹¼-¾]+|\s+(?!\S)|\s+"
 NOT_LATIN = re.compile("[^\x00-\x1b\x20-ɏ]")
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000  # about 200 bytes each
 SHORT = 1024  # bytes of a word that is still scanned
 NONE = 1 << 60
 
@@ -197,6 +198,12 @@ class Codec:
         return v.pool[where].tobytes()
 
 
+@lru_cache(maxsize=1)
+def codec_of(path: str) -> Codec:
+    """The codec of a Python worker: the vocabulary is read once and its words are kept between tasks."""
+    return Codec(path)
+
+
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (all but the text), and ids binary (little-endian unsigned 32-bit), for each row.
 
@@ -208,7 +215,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", keep: l
     rows = docs.select(*names, null_to_empty(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for batch in batches:
             texts = batch.column(len(names))
             for a, b in slices(texts, 1 << 21):
@@ -225,7 +232,7 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids") -> DataFr
     names = [c for c in rows.columns if c != "text_bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for batch in batches:
             at = batch.schema.get_field_index(ids)
             for a in range(0, batch.num_rows, 512):
@@ -245,7 +252,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for batch in batches:
             texts, n, ids_sha, text_sha = batch.column(1), [], [], []
             for a, b in slices(texts, 1 << 21):

@@ -1,4 +1,4 @@
-"""Shared helpers: table access, shared scratch tables and vectorised word hashing.
+"""Shared helpers: text columns, slices and vectorised word hashing.
 
 The hashing works on slices of a few hundred kilobytes of UTF-8, so a task's
 memory is bounded by one Arrow batch plus one slice, whatever the corpus size.
@@ -6,47 +6,20 @@ memory is bounded by one Arrow batch plus one slice, whatever the corpus size.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestream.sources.scratch import materialise  # noqa: F401
+from lodestream.sources.tables import table  # noqa: F401
+
 SLICE_BYTES = 1 << 18
 _MASK = (1 << 64) - 1
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set here only where the session names none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else None
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there.
-
-    Unlike a cache it survives lost executors, and unlike a plain re-use it is
-    computed once.  Parquet keeps it columnar and compressed.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def null_to_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 

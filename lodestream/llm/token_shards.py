@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestream.llm.bpe import Codec, default_vocabulary
+from lodestream.llm.bpe import codec_of, default_vocabulary
 from lodestream.llm.common import materialise, mix, null_to_empty, slices
 
 SEQ_LEN, PER_SHARD, KEY, ROUNDS = 512, 1024, 20240229, 6
@@ -57,7 +57,7 @@ def sequences(docs: DataFrame, seq_len: int = SEQ_LEN, path: str | None = None)
     names = ["task", "place", "doc_id", "seq_no", "n_tokens", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, task, place = Codec(path), TaskContext.get().partitionId(), 0
+        codec, task, place = codec_of(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for a, b in slices(batch.column(1), 1 << 21):
                 docs_, numbers, pieces = [], [], []

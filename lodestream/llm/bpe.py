@@ -212,7 +212,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", keep: l
     """
     path = path or default_vocabulary()
     names = keep if keep is not None else [c for c in docs.columns if c not in (text, "ids")]
-    rows = docs.select(*names, null_to_empty(text).alias("_text"))
+    rows = docs.select(*names, null_to_empty(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path)

@@ -17,7 +17,6 @@ from lodestream.sources.scratch import materialise  # noqa: F401
 from lodestream.sources.tables import table  # noqa: F401
 
 SLICE_BYTES = 1 << 18
-_MASK = (1 << 64) - 1
 
 
 def null_to_empty(col: str = "text"):

@@ -121,7 +121,8 @@ def overlaps(docs: DataFrame, tests: DataFrame, min_overlap: int = MIN_OVERLAP,
 
     An overlap is min_overlap words or more (all words of a shorter test text)
     with at least percent of them equal, place by place; begin and end count
-    words of the document.  The longest is given, the first of equal ones.
+    words of the document.  It is the longest such stretch of any diagonal, the
+    first of equal ones, without unequal words at its ends.
     Test texts under five words have no seeds and match nothing; nor do null
     and empty texts.  Rows that repeat are reported once per row; a null doc_id
     keeps its row.  Other columns are ignored.
@@ -153,6 +154,10 @@ def overlaps(docs: DataFrame, tests: DataFrame, min_overlap: int = MIN_OVERLAP,
                         lo, hi = max(0, -shift), min(len(test), len(text) - shift)
                         equal = test[lo:hi] == text[lo + shift : hi + shift]
                         b, e = longest(equal, percent)
+                        while e > b and not equal[e - 1]:
+                            e -= 1
+                        while b < e and not equal[b]:
+                            b += 1
                         if e - b >= min(min_overlap, len(test)) and (best is None or e - b > best[2]):
                             best = (doc, item, e - b, int(equal[b:e].sum()), len(test), lo + shift + b, lo + shift + e)
                     if best:

@@ -54,12 +54,16 @@ def remove_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """
     found = boilerplate(docs, min_sites)
     small = found.count() <= BROADCAST_ROWS
-    key = [F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text")]
-    lines = _lines(docs, *key).select("_id", "_text", "at", *_hashes(F.col("line")))
-    hits = lines.join(F.broadcast(found) if small else found, ["h1", "h2"], "left_semi").groupBy("_id", "_text").agg(F.collect_set("at").alias("_gone"))
-    keyed = docs.drop("n_lines", "n_removed").withColumn("_text", F.xxhash64("text"))
-    both = keyed.alias("d").join(hits.alias("h"), (F.col("d._text") == F.col("h._text")) & F.col("d.doc_id").eqNullSafe(F.col("h._id")), "left")
-    lines_of = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines_of, lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    out = both.select("d.*", "h._gone").withColumn("n_lines", F.coalesce(F.size(lines_of), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    return out.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("n_lines"))).withColumn("text", F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("text"))).withColumn("n_removed", F.greatest("n_removed", F.lit(0))).drop("_gone", "_text")
+    key = [F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash")]
+    lines = _lines(docs, *key).select("id", "text_hash", "at", *_hashes(F.col("line")))
+    hits = lines.join(F.broadcast(found) if small else found, ["h1", "h2"], "left_semi").groupBy("id", "text_hash").agg(F.collect_set("at").alias("gone"))
+    # own columns travel in a struct, so no name of theirs can clash
+    keyed = docs.select(F.struct(*docs.columns).alias("own"), F.xxhash64("text").alias("own_hash"))
+    both = keyed.join(hits, (F.col("own_hash") == F.col("text_hash")) & F.col("own.doc_id").eqNullSafe(F.col("id")), "left")
+    lines_of = F.split("own.text", "\n")
+    kept = F.array_join(F.filter(lines_of, lambda _, i: ~F.array_contains("gone", i)), "\n")
+    text = F.when(F.col("gone").isNotNull(), kept).otherwise(F.col("own.text"))
+    others = [text.alias(c) if c == "text" else F.col(f"own.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    n_lines = F.when(F.col("own.text").isNull(), 0).otherwise(F.size(lines_of)).cast("long")
+    n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    return both.select(*others, n_lines.alias("n_lines"), n_removed.alias("n_removed"))

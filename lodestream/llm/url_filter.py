@@ -93,10 +93,12 @@ def judge(pages: DataFrame, urls: DataFrame, rules=RULES, default: str = "allow"
     without :// have an empty host and path, fit no rule and are never listed.
     Rows that repeat are judged alike; other columns stay.
     """
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    made = ("host", "path", "rule", "verdict")
+    # own columns travel in a struct, so no name of theirs can clash; made ones are replaced
+    rows = pages.select(F.struct(*pages.columns).alias("own"), F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"), canonical(F.col("url")).alias("key"))
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
-    keyed = pages.drop("host", "path", "rule", "verdict").withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit("")))
-    keyed = keyed.withColumn("rule", rule).withColumn("_action", action).withColumn("_key", canonical(F.col("url")))
-    hits = listed(pages, urls).select(F.col("key").alias("_key"), F.lit(True).alias("_listed"))
-    verdict = F.coalesce("_action", F.when(F.col("_listed"), F.lit("block")), F.lit(default))
-    return keyed.join(hits, "_key", "left").withColumn("verdict", verdict).drop("_key", "_listed", "_action")
+    rows = rows.withColumns({"rule": rule, "action": action})
+    hits = listed(pages, urls).select("key", F.lit(True).alias("listed"))
+    verdict = F.coalesce("action", F.when(F.col("listed"), F.lit("block")), F.lit(default))
+    joined = rows.join(hits, "key", "left").withColumn("verdict", verdict)
+    return joined.select(*(F.col(f"own.`{c}`").alias(c) for c in pages.columns if c not in made), *made)

@@ -83,7 +83,7 @@ class Model:
 
 
 def _examples(rows: DataFrame, identity: dict[str, list[str]]) -> pa.Table:
-    """label, features, and the features of the text after its swap, of the training rows."""
+    """label, features, and the features that go and come when the identity terms are swapped, of the training rows."""
     swap, pairs = _swaps(identity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,10 +101,12 @@ def _examples(rows: DataFrame, identity: dict[str, list[str]]) -> pa.Table:
                     text, changed = f"{text}\n{a}", f"{text}\n{b}"
                 plain.append(text)
                 other.append(changed)
-            columns = [pa.array([s.tobytes() for s in features.sets(pa.array(x, pa.string()))], pa.binary()) for x in (texts, plain, other)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["label", "x", "from", "to"])
+            own, before, after = (features.sets(pa.array(x, pa.string())) for x in (texts, plain, other))
+            gone, come = [np.setdiff1d(b, a) for b, a in zip(before, after)], [np.setdiff1d(a, b) for b, a in zip(before, after)]
+            columns = [pa.array([s.astype(np.int32).tobytes() for s in x], pa.binary()) for x in (own, gone, come)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["label", "x", "gone", "come"])
 
-    return rows.select(F.col("toxic").cast("int").alias("label"), null_to_empty().alias("text")).mapInArrow(run, "label int, x binary, `from` binary, `to` binary").toArrow()
+    return rows.select(F.col("toxic").cast("int").alias("label"), null_to_empty().alias("text")).mapInArrow(run, "label int, x binary, gone binary, come binary").toArrow()
 
 
 def _design(rows: list[np.ndarray], kept: np.ndarray):
@@ -128,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, identity
     y = np.array(found["label"].to_pylist(), np.float64)
     if not len(y):
         return Model(0.0, np.zeros(0, np.int32), np.zeros(0))
-    x, before, after = ([np.frombuffer(b, np.int32) for b in found[c].to_pylist()] for c in ("x", "from", "to"))
+    x, before, after = ([np.frombuffer(b, np.int32) for b in found[c].to_pylist()] for c in ("x", "gone", "come"))
     size = 1 << BITS
     total = np.bincount(np.concatenate(x), minlength=size).astype(float)
     toxic = np.bincount(np.concatenate([r for r, t in zip(x, y) if t] or [np.zeros(0, np.int32)]), minlength=size).astype(float)

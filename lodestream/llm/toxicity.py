@@ -28,7 +28,6 @@ PREFIXES = (4, 6)
 MAX_TRAIN = 12_000  # labelled rows the model is fitted on, by hash of doc_id
 MAX_FEATURES = 4096
 THRESHOLD = 0.3
-SPEED = 20.0
 #: Kinds of identity terms; a term is swapped for the next of its kind.
 IDENTITY = {
     "religion": ["muslim", "christian", "jewish", "hindu", "buddhist", "atheist"],
@@ -118,7 +117,7 @@ def _design(rows: list[np.ndarray], kept: np.ndarray):
     return row[ok], at[ok]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, identity: dict[str, list[str]] = IDENTITY, l1: float = 2e-4, swap_weight: float = 1.0, rounds: int = 300) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, identity: dict[str, list[str]] = IDENTITY, l1: float = 2e-4, swap_weight: float = 1.0, rounds: int = 400) -> Model:
     """Fits the model on at most max_train labelled rows outside the held-out fold.
 
     Null labels and null ids are no examples; without any example the score is
@@ -130,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, identity
     y = np.array(found["label"].to_pylist(), np.float64)
     if not len(y):
         return Model(0.0, np.zeros(0, np.int32), np.zeros(0))
-    x, before, after = ([np.frombuffer(b, np.int32) for b in found[c].to_pylist()] for c in ("x", "gone", "come"))
+    x, gone, come = ([np.frombuffer(b, np.int32) for b in found[c].to_pylist()] for c in ("x", "gone", "come"))
     size = 1 << BITS
     total = np.bincount(np.concatenate(x), minlength=size).astype(float)
     toxic = np.bincount(np.concatenate([r for r, t in zip(x, y) if t] or [np.zeros(0, np.int32)]), minlength=size).astype(float)
@@ -142,17 +141,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, identity
 
     n, d = len(y), len(kept)
     row, col = _design(x, kept)
-    (r1, c1), (r2, c2) = _design(before, kept), _design(after, kept)
-    per_row = np.bincount(row, minlength=n).max(initial=1)
-    change = np.bincount(r1, minlength=n).max(initial=0) + np.bincount(r2, minlength=n).max(initial=0)
-    # a bound on the curvature of one row; the mean over rows is far flatter, so the step is SPEED times as long
-    step = SPEED / (0.25 * (per_row + 1) + 2 * swap_weight * min(change, 2 * (1 + len(PREFIXES))))
+    (r1, c1), (r2, c2) = _design(gone, kept), _design(come, kept)
+    # the largest curvature of the loss, by power iteration, gives the step
+    u = np.ones(d + 1)
+    for _ in range(30):
+        u /= np.linalg.norm(u) or 1.0
+        z = np.bincount(row, u[col], n) + u[d]
+        moved = np.bincount(r1, u[c1], n) - np.bincount(r2, u[c2], n)
+        bend = 0.25 * np.bincount(col, z[row], d) + 2 * swap_weight * (np.bincount(c1, moved[r1], d) - np.bincount(c2, moved[r2], d))
+        u = np.append(bend, 0.25 * z.sum()) / n
+    step = 1 / (1.1 * np.linalg.norm(u) + 1e-9)
     w = v = np.zeros(d)
     bias = bias_v = float(np.log((rate + 1e-3) / (1 - rate + 1e-3)))
     t = 1.0
     for _ in range(rounds):
         z = bias_v + np.bincount(row, v[col], n)
-        error = 1 / (1 + np.exp(-z)) - y
+        error = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - y
         moved = np.bincount(r1, v[c1], n) - np.bincount(r2, v[c2], n)
         slope = np.bincount(col, error[row], d) + 2 * swap_weight * (np.bincount(c1, moved[r1], d) - np.bincount(c2, moved[r2], d))
         new = v - step * slope / n

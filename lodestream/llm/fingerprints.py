@@ -35,7 +35,7 @@ _GEAR[255] = 0  # no byte of UTF-8: it stands between texts, so that no hash rea
 _BETWEEN = b"\xff" * 32
 _STRICT = np.uint32(0xFFFFFFFF << (32 - MEAN.bit_length()) & 0xFFFFFFFF)  # one bit more than the mean asks for
 _LOOSE = np.uint32(0xFFFFFFFF << (32 - MEAN.bit_length() + 2) & 0xFFFFFFFF)  # one bit less
-BUCKET_BITS = 10  # documents of 1024 neighbouring ids are sorted together
+BUCKET_BITS = 8  # documents of 256 neighbouring ids are sorted together
 BROADCAST_ROWS = 1_000_000  # of 16 bytes
 
 
@@ -135,7 +135,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     A bucket's last row is a ghost: a copy of the first row of the next bucket
     (after the last, of the first), so that every row's successor stands below
     it.  Texts are shuffled once; what finds the ghosts are ids alone, one row
-    for 1024 ids, in windows of 1024 buckets and one over groups of 2^20 ids.
+    for 256 ids, in windows of 256 buckets and one over groups of 2^16 ids.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), null_to_empty().alias("text"))
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("b", F.shiftright("key", BUCKET_BITS))

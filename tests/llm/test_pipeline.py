@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from lodestream.llm import bpe
-from test_operators import brute_components, prose
+from test_training_data import brute_components, prose
 
 
 @pytest.fixture(scope="module")

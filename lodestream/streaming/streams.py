@@ -60,8 +60,13 @@ def fold(state: tuple | None, rows: list[tuple]) -> tuple:
     return n, phase, last, total, ended
 
 
-def event_state(events: DataFrame, job: str = "job_id") -> DataFrame:
-    """Streaming state per job, from rows (job, sequence, event, amount); state of ended jobs times out."""
+def event_state(events: DataFrame, job: str = "job_id", forget_after_ms: int | None = None) -> DataFrame:
+    """Streaming state per job, from rows (job, sequence, event, amount).
+
+    With forget_after_ms the state of ended jobs goes that long after they
+    ended.  Streams with such a timer always have another batch to run, so it is
+    for continuous triggers: a query with availableNow would not end.
+    """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -71,12 +76,13 @@ def event_state(events: DataFrame, job: str = "job_id") -> DataFrame:
         for pdf in batches:
             now = fold(now, list(zip(pdf["sequence"], pdf["event"], pdf["amount"])))
         state.update(now)
-        if now[4]:
-            state.setTimeoutDuration(60_000)
+        if now[4] and forget_after_ms:
+            state.setTimeoutDuration(forget_after_ms)
         yield pd.DataFrame([(key[0], *now)], columns=[job, "n_events", "phase", "last_sequence", "total", "ended"])
 
     kind = dict(events.dtypes)[job]
-    return events.groupBy(job).applyInPandasWithState(update, f"{job} {kind}, {STATE}", STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timer = GroupStateTimeout.ProcessingTimeTimeout if forget_after_ms else GroupStateTimeout.NoTimeout
+    return events.groupBy(job).applyInPandasWithState(update, f"{job} {kind}, {STATE}", STATE, "update", timer)
 
 
 def event_state_batch(events: DataFrame, job: str = "job_id") -> DataFrame:

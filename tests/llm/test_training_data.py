@@ -225,6 +225,29 @@ def test_bpe_equals_the_library_and_round_trips(spark, docs):
     assert bpe.round_trip(empty(spark)).count() == 0
 
 
+def test_short_random_keys_are_found_at_one_percent_of_a_stratum(spark):
+    r = random.Random(8)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    upper = lower.upper()
+    alphabets = {"base64": upper + lower + "0123456789+/", "base64url": upper + lower + "0123456789-_", "base32": upper + "234567", "hex": "0123456789ABCDEF", "letters": lower}
+    words = [*WORDS, "the", "and", "ing", "tion", "station", "house", "water", "strasse", "tiempo", "jour", "wieder", "general", "index", "value"]
+    ordinary = {
+        "base64": lambda: r.choice(words).capitalize() + r.choice(["/", "", ""]), "base64url": lambda: r.choice(words) + r.choice("-_"), "base32": lambda: r.choice(words).upper(),
+        "hex": lambda: r.choice(["0000", "FF", "2024", "DEAD", "100", "FACE"]), "letters": lambda: r.choice(words),
+    }
+    rows = []
+    for encoding, alphabet in alphabets.items():
+        for n in (28, 40):
+            rows += [(encoding, n, True, "".join(r.choice(alphabet) for _ in range(n))) for _ in range(10)]
+            rows += [(encoding, n, False, "".join(ordinary[encoding]() for _ in range(n))[:n]) for _ in range(990)]
+    frame = spark.createDataFrame([(k, f"x {row[3]} y") for k, row in enumerate(rows)], "doc_id long, text string")
+    found = [rows[x.doc_id] for x in secret_scan.summary(secret_scan.scan(frame)).filter("n_random > 0").collect()]
+    for encoding in alphabets:
+        recall = {n: sum(x[:3] == (encoding, n, True) for x in found) for n in (28, 40)}
+        assert recall[28] >= 5 and recall[40] >= 8, (encoding, recall)
+    assert sum(not x[2] for x in found) <= 1
+
+
 def test_bpe_word_table_stays_bounded_and_heap_agrees_with_scan():
     codec = bpe.Codec(bpe.default_vocabulary(), limit=10)
     a = codec.encode_many([prose(k, 50) for k in range(5)])

@@ -14,7 +14,7 @@ The second look reads the texts of hit documents only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,10 @@ from pyspark.sql import functions as F
 from lodestream.llm.common import WordHasher, ascii_lower_table, materialise, mix, null_to_empty, slices, stream, utf8
 
 #: 1: the word counts, 0: it is ignored.
+#: At the defaults below every overlap holds one of them, wherever its substitutions are.
 MASKS = ("11111", "110111", "111011", "1101101")
+#: Test texts under MIN_OVERLAP words have these as well: five words in a row with one substituted hold one of them.
+SHORT_MASKS = ("1111", "10111", "11011", "11101")
 MIN_OVERLAP = 13  # words; of a shorter test text all of it
 PERCENT = 80  # equal words in the overlap
 FILTER_BITS = 26  # 8 MB as bits
@@ -45,9 +48,9 @@ class _Seeds:
         lowered = pa.array([(t or "").lower() for t in texts.to_pylist()], pa.string())
         return self.hasher.words(*utf8(lowered))[:2]
 
-    def seeds(self, hashes: np.ndarray) -> Iterator[np.ndarray]:
-        """For each mask the seed at each word where it fits."""
-        for places, tag in zip(self.masks, self.tags):
+    def seeds(self, hashes: np.ndarray, used: Iterable[int]) -> Iterator[np.ndarray]:
+        """For each mask used the seed at each word where it fits."""
+        for places, tag in ((self.masks[m], self.tags[m]) for m in used):
             n = max(0, len(hashes) - places[-1])
             total = np.full(n, tag)
             for j, p in enumerate(places):
@@ -55,12 +58,19 @@ class _Seeds:
             yield mix(total)
 
 
-def longest(equal: np.ndarray, percent: int) -> tuple[int, int]:
-    """Longest stretch with at least percent equal: (begin, end)."""
+def longest(equal: np.ndarray, percent: int, equal_ends: bool = False) -> tuple[int, int]:
+    """Longest stretch with at least percent equal: (begin, end), the first of equal ones.
+
+    With equal_ends only stretches that begin and end on an equal place count.
+    """
     s = np.concatenate([[0], np.cumsum(np.where(equal, 100 - percent, -percent))])
-    least = np.minimum.accumulate(s)
+    begins = ends = s
+    if equal_ends:
+        begins = np.append(np.where(equal, s[:-1], s.max() + 1), s.max() + 1)
+        ends = np.insert(np.where(equal, s[1:], s.min() - 1), 0, s.min() - 1)
+    least = np.minimum.accumulate(begins)
     best, at = 0, (0, 0)
-    most = np.maximum.accumulate(s[::-1])[::-1]
+    most = np.maximum.accumulate(ends[::-1])[::-1]
     i = j = 0
     n = len(s)
     while j < n and i < n:  # both accumulations are monotone, so two pointers meet every longest stretch
@@ -73,38 +83,49 @@ def longest(equal: np.ndarray, percent: int) -> tuple[int, int]:
     return at
 
 
-def test_seeds(tests: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """seed, item_id, item_pos of the test texts."""
+def overlap_at(equal: np.ndarray, item_words: int, min_overlap: int, percent: int) -> tuple[int, int]:
+    """The overlap on a diagonal as (begin, end), (0, 0) without one; equal has the places where both texts have words."""
+    if item_words <= min_overlap:  # all of the test text or nothing
+        whole = len(equal) == item_words and 100 * int(equal.sum()) >= percent * item_words
+        return (0, item_words) if whole else (0, 0)
+    b, e = longest(equal, percent, equal_ends=True)
+    return (b, e) if e - b >= min_overlap else (0, 0)
+
+
+def test_seeds(tests: DataFrame, masks: tuple[str, ...] = MASKS, short_masks: tuple[str, ...] = SHORT_MASKS, min_overlap: int = MIN_OVERLAP) -> DataFrame:
+    """seed, item_id, item_pos, mask (number) of the test texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _Seeds(masks)
+        own = _Seeds((*masks, *short_masks))
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 hashes, rows = own.words(batch.column(1)[a:b])
                 ids = batch.column(0)[a:b].to_pylist()
                 for item, lo, hi in zip(ids, rows[:-1], rows[1:]):
-                    for seeds in own.seeds(hashes[lo:hi]):
-                        yield pa.RecordBatch.from_pydict({"seed": pa.array(seeds.view(np.int64), pa.int64()), "item_id": pa.array([item] * len(seeds), pa.int64()), "item_pos": pa.array(range(len(seeds)), pa.int32())})
+                    used = range(len(own.masks) if hi - lo < min_overlap else len(masks))
+                    for mask, seeds in zip(used, own.seeds(hashes[lo:hi], used)):
+                        yield pa.RecordBatch.from_pydict({"seed": pa.array(seeds.view(np.int64), pa.int64()), "item_id": pa.array([item] * len(seeds), pa.int64()), "item_pos": pa.array(range(len(seeds)), pa.int32()), "mask": pa.array([mask] * len(seeds), pa.int32())})
 
     rows = tests.select(F.col("item_id").cast("long").alias("item_id"), null_to_empty().alias("text")).filter("item_id is not null")
-    return rows.mapInArrow(run, "seed long, item_id long, item_pos int")
+    return rows.mapInArrow(run, "seed long, item_id long, item_pos int, mask int")
 
 
-def corpus_hits(docs: DataFrame, seeds: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
+def corpus_hits(docs: DataFrame, seeds: DataFrame, masks: tuple[str, ...] = MASKS, short_masks: tuple[str, ...] = SHORT_MASKS) -> DataFrame:
     """uid, seed, pos where a corpus seed is in the test side's bit table (a superset of the matches)."""
     size = 1 << FILTER_BITS
     places = seeds.select(F.expr(f"shiftrightunsigned(seed, {64 - FILTER_BITS})").alias("p"))
     words = places.groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).toArrow()
     table = np.zeros(size // 64, np.uint64)  # 8 MB, whatever the size of either side
     table[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    used = sorted(r.mask for r in seeds.select("mask").distinct().collect())  # the short ones only where a test text needs them
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _Seeds(masks)
+        own = _Seeds((*masks, *short_masks))
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 hashes, rows = own.words(batch.column(1)[a:b])
                 uid = batch.column(0)[a:b].to_numpy()
-                for places, seeds in zip(own.masks, own.seeds(hashes)):
+                for places, seeds in zip([own.masks[m] for m in used], own.seeds(hashes, used)):
                     p = seeds >> np.uint64(64 - FILTER_BITS)
                     at = np.flatnonzero(table[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1))
                     row = np.searchsorted(rows, at, side="right") - 1
@@ -116,22 +137,24 @@ def corpus_hits(docs: DataFrame, seeds: DataFrame, masks: tuple[str, ...] = MASK
     return docs.select("uid", "text").mapInArrow(run, "uid long, seed long, pos int")
 
 
-def overlaps(docs: DataFrame, tests: DataFrame, min_overlap: int = MIN_OVERLAP, percent: int = PERCENT, masks: tuple[str, ...] = MASKS) -> DataFrame:
+def overlaps(docs: DataFrame, tests: DataFrame, min_overlap: int = MIN_OVERLAP, percent: int = PERCENT, masks: tuple[str, ...] = MASKS, short_masks: tuple[str, ...] = SHORT_MASKS) -> DataFrame:
     """doc_id, item_id, overlap, equal, item_words, begin, end: one row for each document and test text that overlap.
 
-    An overlap is min_overlap words or more (all words of a shorter test text)
-    with at least percent of them equal, place by place; begin and end count
-    words of the document.  It is the longest such stretch of any diagonal, the
-    first of equal ones, without unequal words at its ends.
+    An overlap is min_overlap words or more with at least percent of them
+    equal, place by place; begin and end count words of the document.  It is
+    the longest such stretch of any diagonal that begins and ends on an equal
+    word, the first of equal ones.  Of a test text of min_overlap words or
+    fewer it is all words, whichever of them are unequal.
     Test texts under five words have no seeds and match nothing; nor do null
     and empty texts.  Rows that repeat are reported once per row; a null doc_id
     keeps its row.  Other columns are ignored.
     """
     corpus = docs.select("doc_id", null_to_empty().alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
-    seeds = materialise(test_seeds(tests, masks), "seeds")
+    seeds = materialise(test_seeds(tests, masks, short_masks, min_overlap), "seeds")
     count = seeds.count()
-    hits = corpus_hits(corpus, seeds, masks)
-    matched = hits.join(F.broadcast(seeds) if count <= BROADCAST_ROWS else seeds, "seed")
+    hits = corpus_hits(corpus, seeds, masks, short_masks)
+    places = seeds.drop("mask")
+    matched = hits.join(F.broadcast(places) if count <= BROADCAST_ROWS else places, "seed")
     diagonals = matched.select("uid", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     items = tests.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).filter("item is not null").dropDuplicates(["item_id"])
     found = materialise(diagonals.groupBy("uid", "item_id").agg(F.collect_list("shift").alias("shifts")), "diagonals")
@@ -140,7 +163,7 @@ def overlaps(docs: DataFrame, tests: DataFrame, min_overlap: int = MIN_OVERLAP,
     pairs = corpus.join(F.broadcast(look) if n * 200 <= 20_000_000 else look, "uid").select("doc_id", "text", "item_id", "item", "shifts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _Seeds(masks)
+        own = _Seeds((*masks, *short_masks))
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
@@ -153,12 +176,8 @@ def overlaps(docs: DataFrame, tests: DataFrame, min_overlap: int = MIN_OVERLAP,
                     for shift in sorted(shifts):
                         lo, hi = max(0, -shift), min(len(test), len(text) - shift)
                         equal = test[lo:hi] == text[lo + shift : hi + shift]
-                        b, e = longest(equal, percent)
-                        while e > b and not equal[e - 1]:
-                            e -= 1
-                        while b < e and not equal[b]:
-                            b += 1
-                        if e - b >= min(min_overlap, len(test)) and (best is None or e - b > best[2]):
+                        b, e = overlap_at(equal, len(test), min_overlap, percent)
+                        if e > b and (best is None or e - b > best[2]):
                             best = (doc, item, e - b, int(equal[b:e].sum()), len(test), lo + shift + b, lo + shift + e)
                     if best:
                         out.append(best)

@@ -1,6 +1,7 @@
 """Each operator against brute force on a small fixture with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -281,6 +282,53 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontaminate.overlaps(docs.limit(0), tests).count() == 0 and decontaminate.overlaps(docs, tests.limit(0)).count() == 0
 
 
+def brute_overlap(doc, item, least=13, percent=80):
+    """(overlap, equal, begin, end) by trying all stretches of all diagonals."""
+    best = None
+    for shift in range(-len(item) + 1, len(doc)):
+        lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
+        eq = [item[k] == doc[k + shift] for k in range(lo, hi)]
+        for i in range(len(eq)):
+            for j in range(i + 1, len(eq) + 1):
+                whole = len(item) <= least and j - i == len(item)
+                if (whole or (j - i >= least and len(item) > least and eq[i] and eq[j - 1])) and 100 * sum(eq[i:j]) >= percent * (j - i) and (best is None or j - i > best[0]):
+                    best = (j - i, sum(eq[i:j]), lo + shift + i, lo + shift + j)
+    return best
+
+
+def test_overlaps_equal_brute_force_over_substitutions(spark):
+    r = random.Random(12)
+    items = {k: prose(900 + k, n).split() for k, n in enumerate([*range(5, 15), 25, 35])}
+    docs = {}
+    for k, item in items.items():
+        for _ in range(25):
+            part = list(item)
+            for place in r.sample(range(len(part)), min(len(part), r.choice([0, 1, 1, 2, len(part) // 5, len(part) // 5 + 1, len(part) // 3]))):
+                part[place] = "changed"
+            docs[len(docs)] = prose(5000 + len(docs), r.randrange(4)).split() + part + prose(7000 + len(docs), r.randrange(4)).split()
+    a = items[11]
+    docs[len(docs)] = [*a[:12], *["x"] * 10, a[22], "y", *a[24:28], "z", *a[29:]]  # 12 equal words, 10 changed, 11 of 13 equal
+    for k in (5, 8):  # 10 and 13 words, the first or the last substituted
+        docs[len(docs)] = ["x", *items[k][1:]]
+        docs[len(docs)] = [*items[k][:-1], "x"]
+    docs[len(docs)] = [*items[0][:2], "x", *items[0][3:]]  # five words, the middle one substituted
+    want = {(d, k): best for d, doc in docs.items() for k, item in items.items() if (best := brute_overlap(doc, item))}
+    rows = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    tests = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.overlap, x.equal, x.begin, x.end) for x in decontaminate.overlaps(rows, tests).collect()}
+    assert got == want
+
+
+def test_every_overlap_holds_a_mask():
+    def held(equal, masks):
+        return any(all(equal[i + j] for j, c in enumerate(m) if c == "1") for m in masks for i in range(len(equal) - len(m) + 1))
+
+    for n in range(5, 22):
+        masks = decontaminate.MASKS + (decontaminate.SHORT_MASKS if n < 13 else ())
+        for wrong in itertools.combinations(range(n), n // 5):
+            assert held([k not in wrong for k in range(n)], masks)
+
+
 def test_longest_stretch_equals_brute_force():
     r = random.Random(9)
     for _ in range(300):

@@ -78,20 +78,30 @@ def evidence(rows: DataFrame, weighted: DataFrame, pairs: DataFrame) -> DataFram
 def temporal_neighbours(rows: DataFrame, left: Column, right: Column, k: int = NEIGHBOURS, days: int = 3) -> DataFrame:
     """item_id, other_id, gap_seconds: the k rows of the right side nearest in time to each row of the left, within days.
 
-    Right rows are numbered by time, hour by hour, so a left row's nearest ones
-    are among the k before and the k after its place: it joins the blocks of k
-    numbers around it and never a whole time range.
+    Ties in time are decided by other_id. Of the right rows of one timestamp
+    only the k + 1 smallest ids can be among the nearest (one may be the left
+    row itself), so that many are kept and numbered by time, hour by hour. The
+    k nearest of a timestamp are among its own, the 2k places before (k - 1
+    and the whole timestamp that completes them) and the k after: it joins the
+    blocks of k numbers there, once for all left rows of that time, and never
+    a whole time range.
     """
     dated = rows.filter(F.col("published_at").isNotNull()).select("item_id", F.unix_micros(F.col("published_at").cast("timestamp")).alias("at"), left.alias("is_left"), right.alias("is_right"))
-    dated = dated.withColumn("hour", F.expr("at div 3600000000"))
-    hours = dated.filter("is_right").groupBy("hour").agg(F.count(F.lit(1)).alias("c"))
+    smallest = F.row_number().over(Window.partitionBy("at").orderBy("item_id"))
+    kept = dated.filter("is_right and item_id is not null").select("at", F.col("item_id").alias("other_id"), smallest.alias("r")).filter(F.col("r") <= k + 1)
+    times = dated.groupBy("at").agg(F.max(F.coalesce("is_left", F.lit(False))).alias("is_left"), F.least(F.sum((F.col("is_right") & F.col("item_id").isNotNull()).cast("long")), F.lit(k + 1)).alias("c"))
+    times = times.select("at", "is_left", F.coalesce("c", F.lit(0)).alias("c"), F.expr("at div 3600000000").alias("hour"))
     # one row an hour of the covered time
-    before = dated.select("hour").distinct().join(hours, "hour", "left").select("hour", (F.sum(F.coalesce("c", F.lit(0))).over(Window.orderBy("hour")) - F.coalesce("c", F.lit(0))).alias("before"))
-    inside = F.sum(F.col("is_right").cast("long")).over(Window.partitionBy("hour").orderBy("at", "item_id").rowsBetween(Window.unboundedPreceding, 0))
-    placed = materialise(dated.withColumn("inside", inside).join(F.broadcast(before), "hour").withColumn("place", F.col("before") + F.col("inside")), "placed")
-    others = placed.filter("is_right").select(F.col("item_id").alias("other_id"), F.col("at").alias("other_at"), "place").withColumn("block", F.expr(f"place div {k}"))
-    own = placed.filter("is_left").select("item_id", "at", F.explode(F.sequence(F.expr(f"(place - {k}) div {k} - 1"), F.expr(f"(place + {k} + 1) div {k}"))).alias("block"))
+    before = times.groupBy("hour").agg(F.sum("c").alias("c")).select("hour", (F.sum("c").over(Window.orderBy("hour")) - F.col("c")).alias("before"))
+    inside = F.sum("c").over(Window.partitionBy("hour").orderBy("at")) - F.col("c")
+    times = materialise(times.withColumn("inside", inside).join(F.broadcast(before), "hour").select("at", "is_left", "c", (F.col("before") + F.col("inside")).alias("first")), "times")
+    others = kept.join(times, "at").select("other_id", F.col("at").alias("other_at"), F.expr(f"(first + r) div {k}").alias("block"))
+    around = F.sequence(F.expr(f"greatest(first - {2 * k}, 0) div {k}"), F.expr(f"(first + c + {k}) div {k}"))
+    own = times.filter("is_left").select("at", F.explode(around).alias("block"))
     gap = F.abs(F.col("at") - F.col("other_at"))
-    near = own.join(others, "block").filter((F.col("item_id") != F.col("other_id")) & (gap <= days * 86_400_000_000)).select("item_id", "other_id", (gap / 1e6).alias("gap_seconds"))
+    near = own.join(others, "block").filter(gap <= days * 86_400_000_000).select("at", "other_id", gap.alias("gap"))
+    ranked = F.row_number().over(Window.partitionBy("at").orderBy("gap", "other_id"))
+    near = near.withColumn("n", ranked).filter(F.col("n") <= k + 1).drop("n")
+    near = dated.filter("is_left").select("item_id", "at").join(near, "at").filter(F.col("item_id") != F.col("other_id")).select("item_id", "other_id", (F.col("gap") / 1e6).alias("gap_seconds"))
     w = Window.partitionBy("item_id").orderBy("gap_seconds", "other_id")
     return near.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k)

@@ -155,6 +155,21 @@ def test_temporal_neighbours_equal_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_temporal_neighbours_decide_ties_by_id(spark):
+    r = random.Random(16)
+    data = [(k, "de", 36000) for k in range(1, 501)] + [(1000, "en", 39600), (1001, "en", 36000), (1002, "en", 32400)]
+    data += [(2000 + k, r.choice(["en", "de", "both"]), 864_000 + 60 * r.choice([0, 1, 2, 3, 90])) for k in range(400)]
+    frame = spark.createDataFrame(data, "item_id long, language string, s long").select("item_id", "language", F.timestamp_seconds("s").alias("published_at"))
+    got = rows(clustering.temporal_neighbours(frame, F.col("language") != "de", F.col("language") != "en", k=12), "item_id", "n", "other_id", "gap_seconds")
+    want = []
+    for i, lang, at in data:
+        if lang != "de":
+            near = sorted((abs(at - b), j) for j, other, b in data if other != "en" and j != i and abs(at - b) <= 3 * 86400)[:12]
+            want += [(i, n + 1, j, float(g)) for n, (g, j) in enumerate(near)]
+    assert [x[2] for x in got if x[0] == 1000] == list(range(1, 13))
+    assert got == sorted(want)
+
+
 def test_story_evidence_needs_identity(spark):
     story = "earthquake shakes coastal village monday rescue teams search collapsed school building"
     docs = [(1, "coastal village earthquake", story), (2, "village earthquake coastal", story + " overnight")] + [(10 + k, f"other{k} topic{k}", f"unrelated{k} words{k} only{k} here{k}") for k in range(8)]

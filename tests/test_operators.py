@@ -129,6 +129,21 @@ def test_similar_pairs_equal_brute_force(spark):
     assert dict(rows(dedup.class_members(frame), "item_id", "class_id"))[90] == 0
 
 
+def test_every_document_of_a_copy_group_is_reported(spark):
+    r = random.Random(21)
+    base = [[f"w{k}" for k in r.sample(range(40), 20)] for _ in range(4)]
+    near = [[*base[0][1:], "other"], [*base[0][2:], "more", "two"]]
+    sets = {k: s for k, s in enumerate([*base, *near, *[base[0]] * 5, *[base[3]] * 7, *[near[0]] * 2, [], []])}
+    frame = spark.createDataFrame(list(sets.items()), "item_id long, items array<string>")
+    got = rows(dedup.document_links(frame), "item_id", "class_id", "n_copies", "n_links")
+    want = []
+    for k, s in sets.items():
+        copies = [j for j, t in sets.items() if s and set(t) == set(s)] or [k]
+        links = [j for j, t in sets.items() if j != k and s and 100 * len(set(s) & set(t)) >= 78 * len(set(s) | set(t))]
+        want.append((k, min(copies), len(copies) - 1, len(links)))
+    assert got == want
+
+
 def test_shifted_windows_do_not_chain(spark):
     words = [f"t{k}" for k in range(14)]
     sets = spark.createDataFrame([(1, words[0:10]), (2, words[1:11]), (3, words[2:12])], "item_id long, items array<string>")

@@ -8,18 +8,21 @@ characters become symbol numbers, and three statistics are taken -
 * the number of runs above and below the alphabet's middle,
 * the serial correlation of neighbouring symbols.
 
-A candidate must be consistent with randomness (harmonic mean of the three
-p-values), and it must be too unlike ordinary text in that alphabet.  For that
-the order of its symbols counts as well as their shares: a Markov chain over
-classes of symbols (vowels, consonants, upper case, digits, signs) stands for
-ordinary text, and the likelihood of uniform symbols over that of the chain
-has mean one under it, so its inverse is a p-value (Markov's inequality).  It
-goes through Benjamini-Hochberg within strata of encoding and length, so short
-tokens, which are many and say little, do not spend the error budget of long
-ones.
-
-Only built-in DataFrame functions are used.  The correction needs counts in
-p-value bins alone: one aggregation to at most STRATA x BINS rows.
+The null hypothesis is ordinary text in that alphabet: a Markov chain over
+classes of symbols (vowels, consonants, upper case, digits, signs).  The
+evidence against it is the likelihood of uniform symbols over that of the
+chain, times a weight of the three tests: POWER + 1 times their joint p-value
+to that power, whose mean under uniform symbols is one.  So the mean of the
+product under the chain is one as well, whatever the tests say, and its
+inverse is a p-value of ordinary text (Markov's inequality): a token that is
+unlike text but fails a test of randomness pays for it.  It goes through
+Benjamini-Hochberg within strata of encoding and length, so short tokens,
+which are many and say little, do not spend the error budget of long ones.
+
+Only built-in DataFrame functions are used.  Matches become rows (of a few
+numbers, or of one token), whose places are running sums of lengths, so work
+is linear in a text.  The correction needs counts in p-value bins alone: one
+aggregation to at most STRATA x BINS rows.
 """
 
 from __future__ import annotations
@@ -58,7 +61,8 @@ NIBBLES = {"l": dict(l=0.80, d=0.20), "d": dict(l=0.05, d=0.95)}
 CHAINS = {"decimal": {"d": dict(d=1.0)}, "hex": NIBBLES, "base32": CAPITALS, "letters": {"l": dict(l=1.0)}, "base64": CASES, "base64url": CASES}
 REPEATS = {"decimal": 0.15, "hex": 0.15}  # share of symbols that repeat the last one, beyond chance
 VOWEL = {"v": 0.15, "c": 0.55, "": 0.40}  # share of vowels after a vowel, a consonant, no letter
-RANDOM_P = 0.01
+POWER = 2  # of the battery's p-value in the evidence
+LEAST_P = 1e-12  # of a single test
 FALSE_RATE = 0.001
 BINS = 2000  # of a tenth of a nat of -ln p
 
@@ -69,38 +73,39 @@ def _upper_tail(z: Column) -> Column:
     return 1 / (1 + F.exp(1.5976 * bounded + 0.070565 * bounded * bounded * bounded))
 
 
-_MATCH = "array<struct<start:bigint,end:bigint,hit:string,part:string>>"
-_SPAN = "array<struct<start:bigint,end:bigint,kind_no:int,kind:string>>"
+def _pieces(text: Column, pattern: str, group: int) -> Column:
+    """array<struct(gap, hit, size)> of the leftmost non-overlapping matches, null without any.
 
-
-def _matches(text: Column, pattern: str, group: int, least: int) -> Column:
-    """array<struct(start, end, hit, part)> of the leftmost non-overlapping matches long enough.
-
-    Splitting at the same pattern gives the gaps; running lengths of gaps and
-    matches give the places (code points, end exclusive).
+    gap is the length of the text since the match before, size the length of
+    the group.  The last element is the gap behind the last match.
     """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
-    rows = F.arrays_zip(gaps.alias("gap"), whole.alias("hit"), part.alias("part"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_MATCH).alias("out"))
-
-    def step(s, r):
-        begin = s["at"] + F.length(r["gap"])
-        end = begin + F.length(r["hit"])
-        found = F.struct(begin.alias("start"), end.alias("end"), r["hit"].alias("hit"), r["part"].alias("part"))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(found)).alias("out"))
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    sizes = F.transform(hits if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length)
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    return F.when(text.rlike(pattern), F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), sizes.alias("size")))
 
-    found = F.filter(F.aggregate(rows, start, step, lambda s: s["out"]), lambda m: F.length(m["part"]) >= least)
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_MATCH))
 
+def _placed(matches: DataFrame) -> DataFrame:
+    """uid, kind_no, start, end, hit (null but for candidates) of base spans, and of candidates that overlap none.
 
-def _of_kind(matches: Column, number: int, kind: str) -> Column:
-    return F.transform(matches, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(number).alias("kind_no"), F.lit(kind).alias("kind"))).cast(_SPAN)
-
-
-def _base(text: Column) -> Column:
-    return F.concat(*(_of_kind(_matches(text, pattern, group, least), number, kind) for number, (kind, pattern, group, least) in enumerate(BASE)))
+    One shuffle by uid serves all windows; a text's matches are sorted there
+    and streamed.  Code points, end exclusive.
+    """
+    rows = None
+    for number, (_, _, _, least) in enumerate([*BASE, ("random", CANDIDATE, 0, 20)]):
+        hit = F.col("m.hit") if number == len(BASE) else F.lit(None).cast("string")
+        one = matches.select("uid", F.lit(number).alias("kind_no"), F.posexplode(f"k{number}").alias("place", "m")).filter("m.hit is not null")
+        one = one.select("uid", "kind_no", "place", "m.gap", F.length("m.hit").alias("n"), (F.col("m.size") >= least).alias("long_enough"), hit.alias("hit"))
+        rows = one if rows is None else rows.unionByName(one)
+    by_kind = Window.partitionBy("uid", "kind_no").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.repartition("uid").withColumn("end", F.sum((F.col("gap") + F.col("n")).cast("long")).over(by_kind)).filter("long_enough")
+    rows = rows.select("uid", "kind_no", (F.col("end") - F.col("n")).alias("start"), "end", "hit")
+    is_base = F.col("kind_no") < len(BASE)
+    upwards, downwards = Window.partitionBy("uid").orderBy("start", "kind_no"), Window.partitionBy("uid").orderBy(F.col("start").desc(), F.col("kind_no").desc())
+    rows = rows.withColumn("reached", F.max(F.when(is_base, F.col("end"))).over(upwards.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.withColumn("next_base", F.min(F.when(is_base, F.col("start"))).over(downwards.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    free = F.coalesce(F.col("reached") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("next_base") >= F.col("end"), F.lit(True))
+    return rows.filter(is_base | free).select("uid", "kind_no", "start", "end", "hit")
 
 
 def _count(number: int) -> Column:
@@ -126,45 +131,66 @@ def _ordinary(encoding: str, alphabet: str) -> tuple[list[int], list[float], lis
     return [names.index(k) for k in kinds], [share(a, b) for a in names for b in names], [w / totals[k] for w, k in zip(weights, kinds)]
 
 
+def _battery(n: Column, k: Column, chi: Column, high: Column, runs: Column, joint: Column, spread: Column) -> list[Column]:
+    """p-values of the three tests: Wilson-Hilferty for chi-squared, the normal limits of the other two."""
+    df = k - 1
+    z_chi = (F.cbrt(chi / df) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+    expected = 2 * high * (n - high) / n + 1
+    variance = (expected - 1) * (expected - 2) / (n - 1)
+    z_runs = F.when(variance > 0, F.abs(runs - expected) / F.sqrt(F.greatest(variance, F.lit(1e-9)))).otherwise(F.lit(8.0))
+    z_serial = F.when(spread > 0, F.abs(joint / F.greatest(spread, F.lit(1e-9)) + 1 / (n - 1)) * F.sqrt(n)).otherwise(F.lit(8.0))
+    return [F.greatest(p, F.lit(LEAST_P)) for p in (_upper_tail(z_chi), 2 * _upper_tail(z_runs), 2 * _upper_tail(z_serial))]
+
+
 def _tested(candidates: DataFrame) -> DataFrame:
-    """Candidates (hit) with encoding, length stratum, p_random and the p-value bin against ordinary text."""
+    """Candidates (uid, start, end, hit) with encoding, length stratum, p_chi, p_runs, p_serial, evidence and its bin.
+
+    Counts and runs come from string functions; one fold over the symbols sums
+    what depends on neighbours.
+    """
     rows = candidates.withColumn("encoding", F.coalesce(*(F.when(F.col("hit").rlike(pattern), F.lit(name)) for name, pattern, _ in ENCODINGS))).filter("encoding is not null")
     which = lambda value: F.coalesce(*(F.when(F.col("encoding") == e[0], F.lit(value(e))) for e in ENCODINGS))
     rows = rows.withColumn("alphabet", which(lambda e: e[2])).withColumn("repeats", which(lambda e: REPEATS.get(e[0], 0.0)))
     for i, column in enumerate(("classes", "chain", "shares")):
         rows = rows.withColumn(column, which(lambda e: _ordinary(e[0], e[2])[i]))
-    bare = F.when(F.col("encoding") == "hex", F.lower("hit")).otherwise(F.regexp_replace("hit", "=+$", ""))
-    rows = rows.withColumn("codes", F.transform(F.filter(F.split(bare, ""), lambda c: c != ""), lambda c: (F.position(c, F.col("alphabet")) - 1).cast("double")))
-    rows = rows.withColumn("n", F.size("codes").cast("double")).withColumn("k", F.length("alphabet").cast("double")).filter("n >= 16")
-    counts = F.transform(F.sequence(F.lit(0), F.col("k").cast("int") - 1), lambda s: F.size(F.filter("codes", lambda c: c == s)).cast("double"))
-    total = lambda column, f: F.aggregate(column, F.lit(0.0), lambda t, x: t + f(x))
-    rows = rows.withColumn("chi", total(counts, lambda o: o * o) * F.col("k") / F.col("n") - F.col("n"))
-    rows = rows.withColumn("mean", total(F.col("codes"), lambda c: c) / F.col("n"))
-    rows = rows.withColumn("high", total(F.col("codes"), lambda c: F.when(c >= F.col("k") / 2, 1.0).otherwise(0.0)))
-    pairs = F.arrays_zip(F.expr("slice(codes, 1, size(codes) - 1)").alias("a"), F.expr("slice(codes, 2, size(codes) - 1)").alias("b"))
-    rows = rows.withColumn("turns", total(pairs, lambda x: F.when((x["a"] >= F.col("k") / 2) != (x["b"] >= F.col("k") / 2), 1.0).otherwise(0.0)) + 1)
-    rows = rows.withColumn("joint", total(pairs, lambda x: (x["a"] - F.col("mean")) * (x["b"] - F.col("mean"))))
-    rows = rows.withColumn("spread", total(F.col("codes"), lambda c: (c - F.col("mean")) * (c - F.col("mean"))))
-    # Wilson-Hilferty for chi-squared, the normal limits of the other two
-    df = F.col("k") - 1
-    z_chi = (F.cbrt(F.col("chi") / df) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-    expected = 2 * F.col("high") * (F.col("n") - F.col("high")) / F.col("n") + 1
-    variance = (expected - 1) * (expected - 2) / (F.col("n") - 1)
-    z_runs = F.when(variance > 0, F.abs(F.col("turns") - expected) / F.sqrt(F.greatest(variance, F.lit(1e-9)))).otherwise(F.lit(8.0))
-    z_serial = F.when(F.col("spread") > 0, F.abs(F.col("joint") / F.greatest("spread", F.lit(1e-9)) + 1 / (F.col("n") - 1)) * F.sqrt("n")).otherwise(F.lit(8.0))
-    inverse = 1 / F.greatest(_upper_tail(z_chi), F.lit(1e-12)) + 1 / F.greatest(2 * _upper_tail(z_runs), F.lit(1e-12)) + 1 / F.greatest(2 * _upper_tail(z_serial), F.lit(1e-12))
-    rows = rows.withColumn("p_random", 3 / inverse)
-    at = lambda column, place: F.get(F.col(column), place.cast("int"))
+    rows = rows.withColumn("bare", F.when(F.col("encoding") == "hex", F.lower("hit")).otherwise(F.regexp_replace("hit", "=+$", "")))
+    rows = rows.withColumn("n", F.length("bare").cast("double")).withColumn("k", F.length("alphabet").cast("double")).filter("n >= 16")
+    symbols = F.filter(F.split("alphabet", ""), lambda c: c != "")
+    rows = rows.withColumn("counts", F.transform(symbols, lambda c: (F.col("n") - F.length(F.replace(F.col("bare"), c, F.lit("")))).cast("double")))
+    halves = which(lambda e: "".join("01"[2 * i >= len(e[2])] for i in range(len(e[2]))))
+    rows = rows.withColumn("halves", F.call_function("translate", F.col("bare"), F.col("alphabet"), halves))
+    rows = rows.withColumn("codes", F.transform(F.filter(F.split("bare", ""), lambda c: c != ""), lambda c: (F.position(c, F.col("alphabet")) - 1)))
+    number = lambda i: i.cast("double")
+    place = F.sequence(F.lit(0), F.col("k").cast("int") - 1)
+    weighed = lambda f: F.aggregate(F.zip_with("counts", place, lambda o, i: o * f(number(i))), F.lit(0.0), lambda t, x: t + x)
+    rows = rows.withColumns({"total": weighed(lambda i: i), "squares": weighed(lambda i: i * i), "chi": F.aggregate("counts", F.lit(0.0), lambda t, o: t + o * o) * F.col("k") / F.col("n") - F.col("n")})
+    rows = rows.withColumn("high", F.length(F.replace(F.col("halves"), F.lit("0"), F.lit(""))).cast("double"))
+    rows = rows.withColumn("runs", F.length(F.regexp_replace(F.regexp_replace("halves", "0+", "0"), "1+", "1")).cast("double"))
+    at = lambda column, where: F.get(F.col(column), where.cast("int"))
     width = F.sqrt(F.size("chain").cast("double"))
 
-    def unlike(x: Column) -> Column:
-        """ln of the uniform share of a symbol over its share after the last one in ordinary text."""
-        chained = at("chain", at("classes", x["a"]) * width + at("classes", x["b"])) * at("shares", x["b"])
-        return -F.log(F.col("k") * (F.when(x["a"] == x["b"], F.col("repeats")).otherwise(0.0) + (1 - F.col("repeats")) * chained))
+    def unlike(a: Column, b: Column) -> Column:
+        """ln of the uniform share of symbol b over its share after a in ordinary text."""
+        chained = at("chain", at("classes", a) * width + at("classes", b)) * at("shares", b)
+        return -F.log(F.col("k") * (F.when(a == b, F.col("repeats")).otherwise(0.0) + (1 - F.col("repeats")) * chained))
+
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("products"), F.lit(0.0).alias("unlike"))
+
+    def step(s, c):
+        first = s["last"] < 0
+        return F.struct(c.alias("last"), F.when(first, 0.0).otherwise(s["products"] + s["last"] * number(c)).alias("products"), F.when(first, 0.0).otherwise(s["unlike"] + unlike(s["last"], c)).alias("unlike"))
 
-    rows = rows.withColumn("evidence", F.greatest(F.lit(0.0), total(pairs, unlike)))
-    rows = rows.withColumn("bin", F.least(F.lit(BINS), F.floor(10 * F.col("evidence"))).cast("int")).withColumn("stratum", F.floor(F.log2("n")).cast("int"))
-    return rows.select("uid", "start", "end", "encoding", "stratum", "p_random", "bin")
+    rows = rows.withColumn("pairs", F.aggregate("codes", start, step)).withColumn("mean", F.col("total") / F.col("n"))
+    ends = F.get("codes", F.lit(0)) + F.element_at("codes", -1)
+    joint = F.col("pairs.products") - F.col("mean") * (2 * F.col("total") - ends) + (F.col("n") - 1) * F.col("mean") * F.col("mean")
+    spread = F.col("squares") - F.col("n") * F.col("mean") * F.col("mean")
+    names = ("p_chi", "p_runs", "p_serial")
+    rows = rows.withColumns({"joint": joint, "spread": F.greatest(F.lit(0.0), spread)})
+    rows = rows.withColumns(dict(zip(names, _battery(*map(F.col, ("n", "k", "chi", "high", "runs", "joint", "spread"))))))
+    p = 3 / sum(1 / F.col(x) for x in names)  # harmonic mean
+    rows = rows.withColumn("evidence", F.col("pairs.unlike") + F.log(F.lit(POWER + 1.0)) + POWER * F.log(p))
+    rows = rows.withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(BINS), F.floor(10 * F.col("evidence")))).cast("int")).withColumn("stratum", F.floor(F.log2("n")).cast("int"))
+    return rows.select("uid", "start", "end", "encoding", "stratum", *names, "evidence", "bin")
 
 
 def thresholds(tested: DataFrame, false_rate: float = FALSE_RATE) -> DataFrame:
@@ -175,23 +201,25 @@ def thresholds(tested: DataFrame, false_rate: float = FALSE_RATE) -> DataFrame:
     return bins.filter(F.exp(-F.col("bin") / 10) <= false_rate * F.col("at_least") / F.col("all")).groupBy("encoding", "stratum").agg(F.min("bin").alias("from_bin"))
 
 
-def scan(docs: DataFrame, false_rate: float = FALSE_RATE, random_p: float = RANDOM_P) -> DataFrame:
+def scan(docs: DataFrame, false_rate: float = FALSE_RATE) -> DataFrame:
     """doc_id, spans array<struct(start, end, kind_no, kind)> of every row of docs (doc_id, text).
 
     Sorted by start, then kind as listed, random last.  A random span overlaps
-    no base span.  Null and empty texts have no spans; repeated rows and null
-    ids keep their rows; other columns are ignored.
+    no base span.  Null and empty texts have no spans; very long texts and
+    tokens are read whole; repeated rows and null ids keep their rows; other
+    columns are ignored.
     """
-    text = null_to_empty()
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), text.alias("text"))
-    rows = rows.select("doc_id", "uid", _base(F.col("text")).alias("base"), _matches(F.col("text"), CANDIDATE, 0, 20).alias("runs"))
-    rows = materialise(rows.withColumn("runs", F.filter("runs", lambda r: ~F.exists("base", lambda b: (r["start"] < b["end"]) & (b["start"] < r["end"])))), "spans")
-    tested = materialise(_tested(rows.select("uid", F.explode("runs").alias("r")).select("uid", "r.start", "r.end", "r.hit")), "tested")
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), null_to_empty().alias("text"))
+    matches = materialise(rows.select("doc_id", "uid", *(_pieces(F.col("text"), pattern, group).alias(f"k{i}") for i, (_, pattern, group, _) in enumerate([*BASE, ("random", CANDIDATE, 0, 20)]))), "matches")
+    placed = materialise(_placed(matches), "placed")
+    tested = materialise(_tested(placed.filter(F.col("kind_no") == len(BASE)).select("uid", "start", "end", "hit")), "tested")
     cut = thresholds(tested, false_rate)  # a row for an encoding and a power of two of length
-    found = tested.join(F.broadcast(cut), ["encoding", "stratum"]).filter((F.col("bin") >= F.col("from_bin")) & (F.col("p_random") >= random_p))
-    found = found.groupBy("uid").agg(F.collect_list(F.struct("start", "end", F.lit(len(BASE)).alias("kind_no"), F.lit("random").alias("kind"))).cast(_SPAN).alias("more"))
-    by_place = F.expr("array_sort(concat(base, coalesce(more, cast(array() as " + _SPAN + "))), (a, b) -> case when a.start <> b.start then cast(sign(a.start - b.start) as int) else a.kind_no - b.kind_no end)")
-    return rows.select("doc_id", "uid", "base").join(found, "uid", "left").select("doc_id", by_place.alias("spans"))
+    found = tested.join(F.broadcast(cut), ["encoding", "stratum"]).filter(F.col("bin") >= F.col("from_bin")).select("uid", F.lit(len(BASE)).alias("kind_no"), "start", "end")
+    spans = placed.filter(F.col("kind_no") < len(BASE)).select("uid", "kind_no", "start", "end").unionByName(found)
+    spans = spans.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "kind_no", "end"))).alias("s"))
+    kinds = F.array(*(F.lit(k[0]) for k in BASE), F.lit("random"))
+    ordered = F.transform(F.coalesce("s", F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint>>")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind_no"].alias("kind_no"), F.get(kinds, x["kind_no"]).alias("kind")))
+    return matches.select("doc_id", "uid").join(spans, "uid", "left").select("doc_id", ordered.alias("spans"))
 
 
 def as_text(spans: Column) -> Column:

@@ -467,3 +467,91 @@ def test_toxicity_edges(spark, docs):
     assert toxicity.score(empty(spark), model).count() == 0
     nothing = toxicity.fit(docs, labels.limit(0))
     assert {r.score for r in toxicity.score(docs, nothing).collect()} == {0.5}
+
+
+def plain_battery(token):
+    """The three statistics' p-values and the evidence of one token, in plain Python."""
+    from math import cbrt, exp, log, sqrt
+
+    encoding, _, alphabet = next(e for e in secret_scan.ENCODINGS if re.match(e[1], token))
+    bare = token.lower() if encoding == "hex" else token.rstrip("=")
+    codes, n, k = [alphabet.index(c) for c in bare], len(bare), len(alphabet)
+
+    def tail(z):
+        z = max(-8.0, min(8.0, z))
+        return 1 / (1 + exp(1.5976 * z + 0.070565 * z**3))
+
+    chi = sum((codes.count(s) - n / k) ** 2 / (n / k) for s in range(k))
+    z_chi = (cbrt(chi / (k - 1)) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1)))
+    above = [c >= k / 2 for c in codes]
+    high, runs = sum(above), 1 + sum(a != b for a, b in zip(above, above[1:]))
+    expected = 2 * high * (n - high) / n + 1
+    variance = (expected - 1) * (expected - 2) / (n - 1)
+    z_runs = abs(runs - expected) / sqrt(variance) if variance > 0 else 8.0
+    mean = sum(codes) / n
+    spread = sum((c - mean) ** 2 for c in codes)
+    z_serial = abs(sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:])) / spread + 1 / (n - 1)) * sqrt(n) if spread > 0 else 8.0
+    p = [max(x, secret_scan.LEAST_P) for x in (tail(z_chi), 2 * tail(z_runs), 2 * tail(z_serial))]
+    classes, chain, shares = secret_scan._ordinary(encoding, alphabet)
+    width, repeats = round(len(chain) ** 0.5), secret_scan.REPEATS.get(encoding, 0.0)
+    unlike = sum(-log(k * (repeats * (a == b) + (1 - repeats) * chain[classes[a] * width + classes[b]] * shares[b])) for a, b in zip(codes, codes[1:]))
+    return encoding, n, p, unlike + log(secret_scan.POWER + 1) + secret_scan.POWER * log(3 / sum(1 / x for x in p))
+
+
+def plain_discoveries(tokens, rate):
+    """Benjamini-Hochberg by encoding and power of two of length, on bins of a tenth of a nat."""
+    from math import exp, floor
+
+    strata = {}
+    for t in tokens:
+        encoding, n, _, evidence = plain_battery(t)
+        strata.setdefault((encoding, n.bit_length()), []).append((max(0, min(secret_scan.BINS, floor(10 * evidence))), t))
+    out = []
+    for rows in strata.values():
+        fits = [b for b, _ in rows if exp(-b / 10) <= rate * sum(x >= b for x, _ in rows) / len(rows)]
+        out += [t for b, t in rows if fits and b >= min(fits)]
+    return sorted(out)
+
+
+def random_tokens(r, encoding, n, text_like):
+    alphabet = next(e[2] for e in secret_scan.ENCODINGS if e[0] == encoding)
+    if text_like:
+        return "".join(r.choice(["station", "house", "The", "water", "index", "value", "2024"]) for _ in range(n))[:n]
+    token = "".join(r.choice(alphabet) for _ in range(n))
+    return token.upper() if encoding == "hex" else token
+
+
+def test_battery_equals_brute_force_at_many_lengths(spark):
+    r = random.Random(17)
+    tokens = [random_tokens(r, e, n, False) for e, *_ in secret_scan.ENCODINGS for n in (20, 24, 33, 47, 64, 100, 128, 200)]
+    tokens += [random_tokens(r, "base64", n, True) for n in (20, 31, 64, 200) for _ in range(5)] + ["ab" * 30, "A" * 40, "abcdefghijklmnopqrstuvwxyz", "0" * 32, "Zz9+" * 9 + "=="]
+    frame = spark.createDataFrame([(k, 0, len(t), t) for k, t in enumerate(tokens)], "uid long, start long, end long, hit string")
+    for x in secret_scan._tested(frame).collect():
+        encoding, n, p, evidence = plain_battery(tokens[x.uid])
+        assert (x.encoding, x.stratum) == (encoding, n.bit_length() - 1)
+        assert [x.p_chi, x.p_runs, x.p_serial] == pytest.approx(p, rel=1e-6, abs=1e-12) and x.evidence == pytest.approx(evidence, rel=1e-6, abs=1e-6)
+
+
+def test_scan_finds_what_plain_false_discovery_control_finds(spark):
+    r = random.Random(23)
+    tokens = [random_tokens(r, e, n, False) for e in ("base64", "base32", "letters", "hex") for n in (24, 40, 90) for _ in range(6)] + [random_tokens(r, "base64", n, True) for n in (24, 40, 90) for _ in range(80)]
+    tokens = sorted(set(tokens))
+    docs = spark.createDataFrame([(k, f"see {t} there") for k, t in enumerate(tokens)], "doc_id long, text string")
+    found = secret_scan.summary(secret_scan.scan(docs)).filter("n_random > 0").collect()
+    assert sorted(tokens[x.doc_id] for x in found) == plain_discoveries([t for t in tokens if not brute_spans(t)], secret_scan.FALSE_RATE)
+
+
+def test_very_long_texts_are_scanned_whole_in_linear_time(spark):
+    import time
+
+    def seconds(n):
+        text = " ".join(f"token=abcdefgh{k:06d} station{k:06d}waterhouse" for k in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        row = secret_scan.summary(secret_scan.scan(docs)).collect()[0]
+        assert row.n_assign == n and row.spans.count(",") == n - 1 + row.n_random
+        return time.time() - began
+
+    seconds(1000)
+    few, many = seconds(10_000), seconds(160_000)
+    assert many < 16 * max(few, 1.0)

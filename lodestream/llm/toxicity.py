@@ -5,7 +5,7 @@ each counts once a text.  A logistic model with an L1 penalty is fitted on a
 bounded sample of labelled rows.  For sentences that name a group the identity
 term is swapped for another of its kind, and a sentence without one gets a
 neutral mention; the squared change of the score under the swap is part of the
-loss, so group names alone do not raise a score.
+loss (on the logit of the score), so group names alone do not raise a score.
 
 Scoring is one pass without a shuffle: the model is at most MAX_FEATURES
 weights, whatever the corpus size.
@@ -20,12 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lodestream.llm.common import WordHasher, ascii_lower_table, null_to_empty, slices, utf8
+from lodestream.llm.common import WordHasher, ascii_lower_table, materialise, null_to_empty, slices, utf8
 
 BITS = 20
 PREFIXES = (4, 6)
-MAX_TRAIN = 12_000  # labelled rows the model is fitted on, by hash of doc_id
+MAX_TRAIN = 12_000  # labelled documents the model is fitted on, by hash of doc_id
+MAX_TRAIN_CHARS = 48_000_000  # of all their texts together: what reaches the driver is a few numbers a word
 MAX_FEATURES = 4096
 THRESHOLD = 0.3
 #: Kinds of identity terms; a term is swapped for the next of its kind.
@@ -117,15 +119,34 @@ def _design(rows: list[np.ndarray], kept: np.ndarray):
     return row[ok], at[ok]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, identity: dict[str, list[str]] = IDENTITY, l1: float = 2e-4, swap_weight: float = 1.0, rounds: int = 400) -> Model:
-    """Fits the model on at most max_train labelled rows outside the held-out fold.
+def sample(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = MAX_TRAIN_CHARS) -> DataFrame:
+    """text and toxic of at most max_train labelled documents with at most max_chars characters in all.
 
-    Null labels and null ids are no examples; without any example the score is
-    one half for every text.
+    Documents come by hash of doc_id until a bound is met; none is of the
+    held-out fold.  A doc_id is one example however often it is repeated: the
+    largest of its labels, the least of its texts by length and hash.
     """
-    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_train)
-    found = _examples(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), identity)
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
+    chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), null_to_empty().alias("text"))
+    which = F.struct(F.length("text").alias("n"), F.xxhash64("text").alias("h"))
+    one = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(which).alias("t"))
+    # at most max_train rows of a few numbers meet in this window
+    running = F.sum("t.n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    one = materialise(one.withColumn("chars", running).filter(F.col("chars") <= max_chars).select("doc_id", "toxic", "t.n", "t.h"), "sample")
+    same = rows.withColumns({"n": F.length("text"), "h": F.xxhash64("text")}).join(F.broadcast(one), ["doc_id", "n", "h"])
+    return same.groupBy("doc_id", "toxic").agg(F.first("text").alias("text")).select("toxic", "text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, identity: dict[str, list[str]] = IDENTITY, l1: float = 2e-4, swap_weight: float = 1.0, rounds: int = 400, max_chars: int = MAX_TRAIN_CHARS) -> Model:
+    """Fits the model on the bounded `sample` of labelled documents outside the held-out fold.
+
+    The loss is logistic, plus swap_weight times the squared change of the
+    score's logit under the swap of identity terms, plus an L1 penalty.  Null
+    labels and null ids are no examples; without any example the score is one
+    half for every text.
+    """
+    found = _examples(sample(docs, labels, max_train, max_chars), identity)
     y = np.array(found["label"].to_pylist(), np.float64)
     if not len(y):
         return Model(0.0, np.zeros(0, np.int32), np.zeros(0))

@@ -60,10 +60,12 @@ def remove_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     # own columns travel in a struct, so no name of theirs can clash
     keyed = docs.select(F.struct(*docs.columns).alias("own"), F.xxhash64("text").alias("own_hash"))
     both = keyed.join(hits, (F.col("own_hash") == F.col("text_hash")) & F.col("own.doc_id").eqNullSafe(F.col("id")), "left")
-    lines_of = F.split("own.text", "\n")
-    kept = F.array_join(F.filter(lines_of, lambda _, i: ~F.array_contains("gone", i)), "\n")
+    # kept places by one hash set a text, so removal is linear in its lines
+    both = both.withColumn("lines", F.when(F.col("gone").isNotNull(), F.split("own.text", "\n")))
+    both = both.withColumn("places", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"))
+    kept = F.array_join(F.transform("places", lambda i: F.get("lines", i)), "\n")
     text = F.when(F.col("gone").isNotNull(), kept).otherwise(F.col("own.text"))
     others = [text.alias(c) if c == "text" else F.col(f"own.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    n_lines = F.when(F.col("own.text").isNull(), 0).otherwise(F.size(lines_of)).cast("long")
+    n_lines = F.when(F.col("own.text").isNull(), 0).otherwise(F.length("own.text") - F.length(F.replace(F.col("own.text"), F.lit("\n"), F.lit(""))) + 1).cast("long")
     n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
     return both.select(*others, n_lines.alias("n_lines"), n_removed.alias("n_removed"))

@@ -2,11 +2,12 @@
 
 The listed canonical URLs become a table of 512-bit blocks, one row a block:
 a key picks one block and eight bits in it, and blocks merge by bit_or in an
-ordinary aggregation.  Distinct keys of the pages probe that table by block
-number; what passes (the listed keys and a small share of false positives)
-meets the exact key list in a hash join.  A page key that repeats in a third
-of all rows is one row by then.  Block table and hits are broadcast only while
-their row counts stay under a bound; beyond it both joins shuffle.
+ordinary aggregation.  The block table is broadcast and every page is probed
+in the scan, before any shuffle; only what passes (listed pages and a small
+share of false positives) meets the exact keys.  Those are broadcast too while
+their number stays under a bound.  Beyond the bounds the distinct keys of the
+pages, combined map side, probe a shuffled block table, and hits are copied
+over salts, so that a url in a third of all rows is dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITS_PER_KEY = 16
 BROADCAST_ROWS = 500_000  # of at most about 80 bytes each
+SALTS = 16
 #: (action, host, path), as the contract of the query fixes them
 RULES = [
     ("allow", "com", "/"),
@@ -73,19 +75,41 @@ def build_filter(keys: DataFrame, n_keys: int) -> tuple[DataFrame, int]:
     return rows.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"f{i}") for i in range(8))), blocks
 
 
-def listed(pages: DataFrame, urls: DataFrame, url: str = "url") -> DataFrame:
-    """Distinct canonical keys of pages that are in the list (`urls.url`): Bloom filter, then exact join."""
-    keys = urls.select(canonical(F.col(url)).alias("key")).filter("key <> ''").distinct()
-    n = keys.count()
-    table, blocks = build_filter(keys, n)
-    probes = pages.select(canonical(F.col(url)).alias("key")).filter("key <> ''").distinct().select("key", *_place("key", blocks))
+def probe(rows: DataFrame, table: DataFrame, blocks: int) -> DataFrame:
+    """rows (with `key`) and `maybe`: whether the broadcast block table passes the key."""
+    names = [f"w{i}" for i in range(8)]
+    placed = rows.select("*", *_place("key", blocks))
+    found = placed.join(F.broadcast(table), "block", "left")
     passes = " and ".join(f"(w{i} & f{i}) <> 0" for i in range(8))
-    small = n <= BROADCAST_ROWS
-    hits = probes.join(F.broadcast(table) if blocks <= BROADCAST_ROWS else table, "block").filter(passes).select("key")
-    return hits.join(F.broadcast(keys) if small else keys.hint("shuffle_hash"), "key", "left_semi")
+    return found.withColumn("maybe", F.coalesce(F.expr(passes), F.lit(False))).drop("block", *names, *(f"f{i}" for i in range(8)))
 
 
-def judge(pages: DataFrame, urls: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:
+def listed(rows: DataFrame, urls: DataFrame, url: str = "url", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """rows (with `key`) and `listed`: whether the key is a canonical key of the list (`urls.url`)."""
+    keys = urls.select(canonical(F.col(url)).alias("key")).filter("key <> ''").distinct()
+    n = keys.count()
+    table, blocks = build_filter(keys, n)
+    small = n <= broadcast_rows
+    exact = keys.withColumn("listed", F.lit(True))
+    if blocks <= broadcast_rows:
+        probed = probe(rows, table, blocks)
+        if small:  # no shuffle at all: an empty key stands for what the filter stopped
+            found = probed.withColumn("key", F.when(F.col("maybe"), F.col("key")).otherwise("")).join(F.broadcast(exact), "key", "left")
+            return found.drop("maybe").withColumn("listed", F.coalesce("listed", F.lit(False)))
+        hits = probed.filter("maybe").select("key").distinct().join(keys, "key", "left_semi")
+    else:
+        placed = rows.select("key").filter("key <> ''").distinct().select("key", *_place("key", blocks))
+        passes = " and ".join(f"(w{i} & f{i}) <> 0" for i in range(8))
+        hits = placed.join(table, "block").filter(passes).select("key").join(keys, "key", "left_semi")
+        probed = rows.withColumn("maybe", F.lit(True))
+    hits = hits.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("listed"))
+    # the salt of a row the filter stopped is its own, outside the hits' range, so such rows spread as well
+    salt = F.when(F.col("maybe"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise((SALTS + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))).cast("int"))
+    found = probed.withColumn("salt", salt).join(hits, ["key", "salt"], "left")
+    return found.drop("maybe", "salt").withColumn("listed", F.coalesce("listed", F.lit(False)))
+
+
+def judge(pages: DataFrame, urls: DataFrame, rules=RULES, default: str = "allow", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """pages with host, path, rule and verdict.
 
     The longest fitting rule decides.  Without one, a page whose canonical URL
@@ -95,10 +119,9 @@ def judge(pages: DataFrame, urls: DataFrame, rules=RULES, default: str = "allow"
     """
     made = ("host", "path", "rule", "verdict")
     # own columns travel in a struct, so no name of theirs can clash; made ones are replaced
-    rows = pages.select(F.struct(*pages.columns).alias("own"), F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"), canonical(F.col("url")).alias("key"))
+    rows = pages.select(F.struct(*pages.columns).alias("own"), F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"), F.coalesce(canonical(F.col("url")), F.lit("")).alias("key"))
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "action": action})
-    hits = listed(pages, urls).select("key", F.lit(True).alias("listed"))
     verdict = F.coalesce("action", F.when(F.col("listed"), F.lit("block")), F.lit(default))
-    joined = rows.join(hits, "key", "left").withColumn("verdict", verdict)
+    joined = listed(rows, urls, broadcast_rows=broadcast_rows).withColumn("verdict", verdict)
     return joined.select(*(F.col(f"own.`{c}`").alias(c) for c in pages.columns if c not in made), *made)

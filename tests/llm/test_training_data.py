@@ -351,6 +351,9 @@ def test_url_rules_and_list(spark):
     assert got[5] == ("www.example.com", "/en/", "www.example.com/en/", "allow") and got[6] == ("x.net", "/es/1", "net/es/", "block")
     assert got[7] == ("x.net", "/fr", None, "allow") and got[8] == ("net", "/fr/", "net/fr/", "block")
     assert got[9][2:] == (None, "block") and got[10][2:] == (None, "block") and got[11][2:] == (None, "allow")
+    for few in (0, 1):  # beyond the bounds of broadcasting: of the keys only, and of the blocks as well
+        far = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, listed, broadcast_rows=few).collect()}
+        assert far == {(k, *v) for k, v in got.items()}
     out = url_filter.judge(pages, listed)
     assert out.count() == len(urls) + 1 and "key" in out.columns and "listed" in out.columns
     assert url_filter.judge(pages.limit(0), listed).count() == 0 and url_filter.judge(pages, listed.limit(0)).count() == len(urls) + 1
@@ -366,7 +369,10 @@ def test_bloom_filter_has_no_false_negatives_and_few_positives(spark):
     probed = probes.select("key", *url_filter._place("key", blocks)).join(table, "block").filter(" and ".join(f"(w{i} & f{i}) <> 0" for i in range(8)))
     passed = {int(r.key[1:].split(".")[0]) for r in probed.select("key").collect()}
     assert set(range(2000)) <= passed and len(passed) < 2000 + 18000 * 0.02
-    assert url_filter.listed(probes.select(F.concat(F.lit("http://"), "key").alias("url")), listed).count() == 2000
+    marked = url_filter.probe(probes, table, blocks)
+    assert {int(r.key[1:].split(".")[0]) for r in marked.filter("maybe").collect()} == passed
+    for bound in (500_000, 1000, 1):
+        assert url_filter.listed(probes, listed, broadcast_rows=bound).filter("listed").count() == 2000
 
 
 # 8
@@ -399,6 +405,22 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.remove_lines(frame.limit(0)).count() == 0
 
 
+def test_line_removal_from_a_very_long_text_is_linear(spark):
+    import time
+
+    def seconds(n):
+        lines = [f"shared {k}" if k % 2 else f"own {k}" for k in range(n)]
+        rows = [(0, "\n".join(lines), "s0")] + [(k, "\n".join(x for x in lines if x.startswith("shared")), f"s{k}") for k in range(1, 3)]
+        began = time.time()
+        got = line_dedup.remove_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), 3).filter("doc_id = 0").collect()[0]
+        assert got.text == "\n".join(lines[::2]) and (got.n_lines, got.n_removed) == (n, n // 2)
+        return time.time() - began
+
+    seconds(1000)
+    few, many = seconds(10_000), seconds(80_000)
+    assert many < 8 * max(few, 2.0)
+
+
 # 9
 
 
@@ -465,6 +487,12 @@ def test_toxicity_edges(spark, docs):
     scored = toxicity.score(docs, model).collect()
     assert len(scored) == len(texts()) and all(0 <= r.score <= 1 for r in scored)
     assert toxicity.score(empty(spark), model).count() == 0
+    repeated = frame.unionByName(frame.filter("doc_id < 8").crossJoin(spark.range(50)).select(frame.columns))
+    twice = labels.unionByName(labels)
+    assert toxicity.sample(repeated, twice, max_train=30).count() == toxicity.sample(frame, labels, max_train=30).count() == 30
+    assert sum(len(r.text) for r in toxicity.sample(repeated, twice, max_chars=3000).collect()) <= 3000
+    again = toxicity.fit(repeated, twice, max_train=30)
+    assert again.bias == model.bias and again.weights.tolist() == model.weights.tolist(), "repeated rows and labels change nothing"
     nothing = toxicity.fit(docs, labels.limit(0))
     assert {r.score for r in toxicity.score(docs, nothing).collect()} == {0.5}
 

@@ -16,27 +16,28 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from base64 import b64decode, b64encode
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lodestream.llm.common import materialise, null_to_empty, slices, stream
+from lodestream.llm.common import null_to_empty, slices, stream
 
-LEAST, MEAN, MOST = 6, 16, 64  # bytes
-DIGEST = 6  # bytes
+LEAST, MEAN, MOST = 12, 32, 128  # bytes
+DIGEST = 5  # bytes
 _SPACE = re.compile(r"\s+")
 _GEAR = (stream(256, 5) >> np.uint64(32)).astype(np.uint32)
 _GEAR[255] = 0  # no byte of UTF-8: it stands between texts, so that no hash reaches over from one to the next
 _BETWEEN = b"\xff" * 32
 _STRICT = np.uint32(0xFFFFFFFF << (32 - MEAN.bit_length()) & 0xFFFFFFFF)  # one bit more than the mean asks for
 _LOOSE = np.uint32(0xFFFFFFFF << (32 - MEAN.bit_length() + 2) & 0xFFFFFFFF)  # one bit less
-BUCKET_BITS = 8  # documents of 256 neighbouring ids are sorted together
-BROADCAST_ROWS = 1_000_000  # of 16 bytes
+BUCKET_ROWS = 2_000  # documents that are sorted together, about
+MOST_BUCKETS = 20_000  # of which one row each is held on the driver
 
 
 def normalise(text: str) -> str:
@@ -97,13 +98,13 @@ def fingerprints(texts: list[str]) -> list[dict[bytes, int]]:
 
 
 def to_string(found: dict[bytes, int]) -> str:
-    """Fourteen hex digits a chunk, digest and length, sorted."""
-    return "".join(sorted(d.hex() + f"{n:02x}" for d, n in found.items()))
+    """Eight base64 characters a chunk, digest and length, sorted: about a fifth of the text's size."""
+    return "".join(sorted(b64encode(d + bytes([n])).decode() for d, n in found.items()))
 
 
 def from_string(s: str) -> dict[bytes, int]:
-    step = 2 * DIGEST + 2
-    return {bytes.fromhex(s[i : i + step - 2]): int(s[i + step - 2 : i + step], 16) for i in range(0, len(s), step)}
+    rows = (b64decode(s[i : i + 8]) for i in range(0, len(s), 8))
+    return {x[:DIGEST]: x[DIGEST] for x in rows}
 
 
 def likeness(a: dict[bytes, int], b: dict[bytes, int]) -> float:
@@ -129,28 +130,47 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), null_to_empty().alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def in_order(docs: DataFrame) -> DataFrame:
-    """doc_id, text, ghost: each partition holds whole buckets of neighbouring ids, by descending id.
+def in_order(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """doc_id, text, ghost: each partition holds whole buckets of neighbouring rows, by descending id and by text.
 
-    A bucket's last row is a ghost: a copy of the first row of the next bucket
-    (after the last, of the first), so that every row's successor stands below
-    it.  Texts are shuffled once; what finds the ghosts are ids alone, one row
-    for 256 ids, in windows of 256 buckets and one over groups of 2^16 ids.
+    Buckets are ranges of ids between quantiles, so they are even for dense
+    and for sparse ids alike; an id that fills several quantiles is dealt over
+    as many buckets by quantiles of how its texts begin.  A bucket's last row
+    is a ghost: a copy of the first row of the next bucket (after the last, of
+    the first), so that every row's successor stands below it.  Texts are
+    shuffled once; the driver sees one row a bucket.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), null_to_empty().alias("text"))
-    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("b", F.shiftright("key", BUCKET_BITS))
-    buckets = rows.groupBy("b").agg(F.max("key").alias("first")).withColumn("g", F.shiftright("b", BUCKET_BITS))
-    groups = buckets.groupBy("g").agg(F.max("first").alias("first"))
-    over = Window.orderBy(F.col("g").desc())
-    whole = Window.partitionBy(F.lit(0))
-    groups = groups.select("g", F.coalesce(F.lead("first").over(over), F.max("first").over(whole)).alias("after"))
-    inside = F.lead("first").over(Window.partitionBy("g").orderBy(F.col("b").desc()))
-    follow = materialise(buckets.select("b", "g", inside.alias("inside")).join(groups, "g").select("b", F.coalesce("inside", "after").alias("key")), "follow")
-    small = follow.count() <= BROADCAST_ROWS
-    ghosts = rows.select("key", "doc_id", "text").join(F.broadcast(follow) if small else follow, "key")
-    ghosts = ghosts.groupBy("b").agg(F.first("key").alias("key"), F.min("text").alias("text"))
-    both = rows.select("b", "key", "doc_id", "text", F.lit(False).alias("ghost")).unionByName(ghosts.select("b", "key", F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("ghost")))
-    return both.repartition("b").sortWithinPartitions("b", "ghost", F.col("key").desc(), "text").select("doc_id", "text", "ghost")
+    # bitwise not turns the order around without overflow, so null ids come last; seven bytes of a text as a number keep its order
+    begins = F.conv(F.rpad(F.hex(F.substring(F.encode("text", "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    rows = rows.withColumn("place", F.bitwise_not(F.coalesce("doc_id", F.lit(-(1 << 63))))).withColumn("begins", begins)
+    n = docs.count()
+    parts = max(1, min(MOST_BUCKETS, n // bucket_rows))
+
+    def quantiles(rows: DataFrame, column: str, parts: int) -> np.ndarray:
+        shares = [k / parts for k in range(1, parts)]
+        found = rows.agg(F.percentile_approx(column, shares, max(10_000, 4 * parts)).alias("q")).first().q if shares else None
+        return np.array(found or [], np.int64)
+
+    cuts = quantiles(rows, "place", parts)
+    hot, times = np.unique(cuts, return_counts=True)
+    inner = {int(p): quantiles(rows.filter(F.col("place") == int(p)), "begins", int(t) + 1) for p, t in zip(hot, times) if t > 1}
+
+    @F.pandas_udf("int")
+    def bucket(place: pd.Series, begins: pd.Series) -> pd.Series:
+        out = cuts.searchsorted(place, "left")
+        for p, inside in inner.items():
+            at = (place == p).to_numpy()
+            out[at] += inside.searchsorted(begins.to_numpy()[at], "left")
+        return pd.Series(out.astype(np.int32))
+
+    rows = rows.withColumn("b", bucket("place", "begins"))
+    firsts = sorted((r.b, *r.f) for r in rows.groupBy("b").agg(F.min(F.struct("place", "begins")).alias("f")).collect())
+    follow = [(b, *firsts[(k + 1) % len(firsts)][1:]) for k, (b, *_) in enumerate(firsts)]
+    after = docs.sparkSession.createDataFrame(follow, "b int, place long, begins long")
+    ghosts = rows.select("place", "begins", "text").join(F.broadcast(after), ["place", "begins"]).groupBy("b").agg(F.first("place").alias("place"), F.min("text").alias("text"))
+    both = rows.select("b", "place", "doc_id", "text", F.lit(False).alias("ghost")).unionByName(ghosts.select("b", "place", F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("ghost")))
+    return both.repartition("b").sortWithinPartitions("b", "ghost", "place", "text").select("doc_id", "text", "ghost")
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:

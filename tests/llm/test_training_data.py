@@ -99,6 +99,55 @@ def test_fingerprints_against_plain_order(spark, docs):
     assert fingerprints.compare_edits(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("bucket_rows", [1, 7, 60])
+def test_successors_do_not_depend_on_buckets(spark, bucket_rows):
+    r = random.Random(4)
+    ids = [r.randrange(-(1 << 62), 1 << 62) for _ in range(60)] + list(range(40)) + [5] * 30 + [None] * 30
+    rows = [(i, "" if k % 9 == 0 else prose(k, 3)) for k, i in enumerate(ids)]
+    found = [tuple(x) for x in fingerprints.in_order(spark.createDataFrame(rows, "doc_id long, text string"), bucket_rows).collect()]
+    order = sorted(((-i if i is not None else 1 << 63), t) for i, t in rows)
+    after = {}
+    for k, row in enumerate(order):
+        after.setdefault(row, []).append(order[(k + 1) % len(order)][1])
+    got = {}
+    for (i, text, ghost), (_, follows, _) in zip(found, found[1:] + found[:1]):
+        if not ghost:
+            got.setdefault((-i if i is not None else 1 << 63, text), []).append(follows)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in after.items()}
+
+
+def plain_chunks(text):
+    """Content-defined chunks of one normalised text, byte by byte."""
+    import unicodedata
+
+    data = " ".join(unicodedata.normalize("NFKC", text).casefold().split()).encode()
+    values = [int(x) for x in fingerprints._GEAR]
+    bits = fingerprints.MEAN.bit_length()
+    out, begin, h = [], 0, 0
+    for at, byte in enumerate(data):
+        h = ((h << 1) + values[byte]) & 0xFFFFFFFF  # bytes older than 32 have left
+        size = at + 1 - begin
+        strict, loose = h >> (32 - bits) == 0, h >> (32 - bits + 2) == 0
+        if size >= fingerprints.MOST or at + 1 == len(data) or (strict if fingerprints.LEAST <= size <= fingerprints.MEAN else loose and size > fingerprints.MEAN):
+            out.append(data[begin : at + 1])
+            begin = at + 1
+    return out
+
+
+def test_chunks_and_likeness_equal_brute_force():
+    cases = [prose(k, 150) for k in range(20)] + ["", "x", "\U0001f600" * 50, "Straße ½ " * 30, "a" * 1000, prose(3, 75) + " " + prose(4, 75)]
+    found = fingerprints.fingerprints(cases)
+    for text, own in zip(cases, found):
+        assert own == {hashlib.blake2b(c, digest_size=fingerprints.DIGEST).digest(): len(c) for c in plain_chunks(text)}
+    for a, x in zip(cases, found):
+        for b, y in zip(cases, found):
+            p, q = set(plain_chunks(a)), set(plain_chunks(b))
+            shared, light = sum(map(len, p & q)), min(sum(map(len, p)), sum(map(len, q)))
+            assert fingerprints.likeness(x, y) == pytest.approx(shared / light if light else float(p == q))
+    sizes = [len(fingerprints.to_string(f)) / len(t) for t, f in zip(cases[:20], found)]
+    assert max(sizes) < 0.3, "a fingerprint is a small part of its text"
+
+
 def test_chunks_resist_shifts_and_join_back():
     text = prose(7, 800)
     a, b = fingerprints.fingerprints([text, "a few new words in front " + text])
@@ -108,7 +157,7 @@ def test_chunks_resist_shifts_and_join_back():
     alone, second = fingerprints.fingerprints(["x", text]), fingerprints.fingerprints([text])
     assert alone[1] == second[0], "a text's chunks do not depend on its neighbours"
     strict, loose = [], []
-    assert fingerprints.boundaries(strict, loose, 0, 200) == [64, 128, 192, 200]
+    assert fingerprints.boundaries(strict, loose, 0, 300) == [128, 256, 300]
 
 
 def test_single_document_follows_itself(spark):

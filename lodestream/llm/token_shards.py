@@ -15,11 +15,13 @@ once and shuffled once.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +57,9 @@ def sequences(docs: DataFrame, seq_len: int = SEQ_LEN, path: str | None = None)
     """task, place, doc_id, seq_no, n_tokens, tokens (little-endian unsigned 16-bit) of the whole texts."""
     path = path or default_vocabulary()
     names = ["task", "place", "doc_id", "seq_no", "n_tokens", "tokens"]
+    size = len(codec_of(path).vocabulary.length)
+    if size > 1 << 16:
+        raise ValueError(f"{path} has {size} ids; shards hold ids of 16 bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, task, place = codec_of(path), TaskContext.get().partitionId(), 0
@@ -97,7 +102,7 @@ def shards(docs: DataFrame, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD,
     seq_len is padded with the end-of-text id, and lengths says how many ids
     are its own.  Null and empty texts have no sequences.  Repeated rows have
     sequences of their own; a null doc_id keeps them.  Other columns are
-    ignored.  Vocabularies must have at most 65,536 ids.
+    ignored.  A vocabulary with more than 65,536 ids is an error.
     """
     stride, pad = 2 * seq_len, np.array([PAD], "<u2").tobytes()
     rows = slotted(docs, seq_len, key, path).withColumn("shard", F.expr(f"slot div {per_shard}"))
@@ -127,10 +132,55 @@ def shards(docs: DataFrame, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD,
 
 
 def write(shards_: DataFrame, path: str) -> None:
-    """Write shards; each file covers a range of slots."""
+    """Write shards as a table; each of its files covers a range of slots."""
     shards_.write.mode("overwrite").parquet(path)
 
 
+def file_name(shard: int) -> str:
+    return f"shard-{shard:09d}.bin"
+
+
+def write_files(shards_: DataFrame, path: str) -> DataFrame:
+    """Write each shard as a plain file of fixed-stride records under path, a folder or store that all executors reach.
+
+    A file appears by a rename once it is whole, and holds the same bytes
+    whoever writes it, so a task that is lost or runs twice leaves the same
+    file.  Returns shard, first_slot, n_sequences, stride, doc_ids, lengths,
+    payload_sha256, file: write it as the index of the files.
+    """
+    names = ["shard", "first_slot", "n_sequences", "stride", "doc_ids", "lengths", "payload_sha256", "file"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        files.create_dir(base, recursive=True)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = batch.slice(k, 1)
+                name = file_name(own.column("shard")[0].as_py())
+                part = f"{base}/.{name}-{uuid.uuid4().hex}"
+                with files.open_output_stream(part) as out:
+                    out.write(own.column("payload")[0].as_buffer())
+                files.move(part, f"{base}/{name}")
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names[:-1]), pa.array([f"{base}/{name}"])], names)
+
+    kinds = dict(shards_.dtypes) | {"file": "string"}
+    return shards_.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names))
+
+
+def read_records(path: str, slot: int, n: int, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD) -> Iterator[np.ndarray]:
+    """The ids of n records of write_files from a slot on, padding included: one seek a shard, then sequential reads."""
+    files, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    stride = 2 * seq_len
+    while n > 0:
+        with files.open_input_file(f"{base}/{file_name(slot // per_shard)}") as f:
+            f.seek(slot % per_shard * stride)
+            while n > 0 and (data := f.read(stride)):
+                yield np.frombuffer(data, "<u2")
+                slot, n = slot + 1, n - 1
+        if slot % per_shard:
+            return  # the last shard ends here
+
+
 def read_from(spark: SparkSession, path: str, slot: int = 0, per_shard: int = PER_SHARD) -> DataFrame:
     """slot, doc_id, n_tokens, tokens from a slot on, in slot order: shards before it are not read."""
     rows = spark.read.parquet(path).filter(F.col("shard") >= slot // per_shard)

@@ -9,7 +9,8 @@ is measured.
 Scale.  The corpus side would give several seeds a word, so a bit table of the
 test side's seeds (its size is fixed) drops what cannot match before anything
 leaves the task; a handful of rows per contaminated text is joined exactly.
-The second look reads the texts of hit documents only.
+The second look reads the texts of hit documents only; what goes to every
+executor for it is ids and diagonals, within a byte bound, else it is shuffled.
 """
 
 from __future__ import annotations
@@ -28,10 +29,13 @@ from lodestream.llm.common import WordHasher, ascii_lower_table, materialise, mi
 MASKS = ("11111", "110111", "111011", "1101101")
 #: Test texts under MIN_OVERLAP words have these as well: five words in a row with one substituted hold one of them.
 SHORT_MASKS = ("1111", "10111", "11011", "11101")
+#: Test texts under five words have one of these, all their words.
+TINY_MASKS = ("1", "11", "111", "1111")
 MIN_OVERLAP = 13  # words; of a shorter test text all of it
 PERCENT = 80  # equal words in the overlap
 FILTER_BITS = 26  # 8 MB as bits
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 1_000_000  # seeds, of 24 bytes
+BROADCAST_BYTES = 64_000_000
 _GAPS = bytes(b for b in range(1, 128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
 
 
@@ -96,18 +100,21 @@ def test_seeds(tests: DataFrame, masks: tuple[str, ...] = MASKS, short_masks: tu
     """seed, item_id, item_pos, mask (number) of the test texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _Seeds((*masks, *short_masks))
+        own = _Seeds((*masks, *short_masks, *TINY_MASKS))
+        few = len(masks) + len(short_masks)
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 hashes, rows = own.words(batch.column(1)[a:b])
                 ids = batch.column(0)[a:b].to_pylist()
                 for item, lo, hi in zip(ids, rows[:-1], rows[1:]):
-                    used = range(len(own.masks) if hi - lo < min_overlap else len(masks))
+                    n = int(hi - lo)
+                    if not n:
+                        continue
+                    used = range(few + n - 1, few + n) if n <= len(TINY_MASKS) else range(few if n < min_overlap else len(masks))
                     for mask, seeds in zip(used, own.seeds(hashes[lo:hi], used)):
                         yield pa.RecordBatch.from_pydict({"seed": pa.array(seeds.view(np.int64), pa.int64()), "item_id": pa.array([item] * len(seeds), pa.int64()), "item_pos": pa.array(range(len(seeds)), pa.int32()), "mask": pa.array([mask] * len(seeds), pa.int32())})
 
-    rows = tests.select(F.col("item_id").cast("long").alias("item_id"), null_to_empty().alias("text")).filter("item_id is not null")
-    return rows.mapInArrow(run, "seed long, item_id long, item_pos int, mask int")
+    return tests.select(F.col("item_id").cast("long").alias("item_id"), null_to_empty().alias("text")).mapInArrow(run, "seed long, item_id long, item_pos int, mask int")
 
 
 def corpus_hits(docs: DataFrame, seeds: DataFrame, masks: tuple[str, ...] = MASKS, short_masks: tuple[str, ...] = SHORT_MASKS) -> DataFrame:
@@ -117,20 +124,25 @@ def corpus_hits(docs: DataFrame, seeds: DataFrame, masks: tuple[str, ...] = MASK
     words = places.groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).toArrow()
     table = np.zeros(size // 64, np.uint64)  # 8 MB, whatever the size of either side
     table[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    few = len(masks) + len(short_masks)
     used = sorted(r.mask for r in seeds.select("mask").distinct().collect())  # the short ones only where a test text needs them
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _Seeds((*masks, *short_masks))
+        own = _Seeds((*masks, *short_masks, *TINY_MASKS))
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 hashes, rows = own.words(batch.column(1)[a:b])
                 uid = batch.column(0)[a:b].to_numpy()
-                for places, seeds in zip([own.masks[m] for m in used], own.seeds(hashes, used)):
+                for mask, seeds in zip(used, own.seeds(hashes, used)):
+                    places = own.masks[mask]
                     p = seeds >> np.uint64(64 - FILTER_BITS)
                     at = np.flatnonzero(table[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1))
                     row = np.searchsorted(rows, at, side="right") - 1
                     whole = at + places[-1] < rows[row + 1]
                     at, row = at[whole], row[whole]
+                    if mask >= few and len(at):  # a test text of few words: its first place in each document says all
+                        _, first = np.unique(np.stack([row.astype(np.uint64), seeds[at]]), axis=1, return_index=True)
+                        at, row = at[first], row[first]
                     if len(at):
                         yield pa.RecordBatch.from_pydict({"uid": pa.array(uid[row], pa.int64()), "seed": pa.array(seeds[at].view(np.int64), pa.int64()), "pos": pa.array((at - rows[row]).astype(np.int32), pa.int32())})
 
@@ -144,23 +156,25 @@ def overlaps(docs: DataFrame, tests: DataFrame, min_overlap: int = MIN_OVERLAP,
     equal, place by place; begin and end count words of the document.  It is
     the longest such stretch of any diagonal that begins and ends on an equal
     word, the first of equal ones.  Of a test text of min_overlap words or
-    fewer it is all words, whichever of them are unequal.
-    Test texts under five words have no seeds and match nothing; nor do null
-    and empty texts.  Rows that repeat are reported once per row; a null doc_id
-    keeps its row.  Other columns are ignored.
+    fewer it is all words, whichever of them are unequal; under five words all
+    have to be equal, and the first place in the document is reported.
+    Null and empty test texts and null item ids match nothing; of an item_id
+    with several texts the least counts.  Documents that repeat are reported
+    once per row; a null doc_id keeps its row.  Other columns are ignored.
     """
+    tests = tests.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).filter("item_id is not null and item is not null").groupBy("item_id").agg(F.min("item").alias("item"))
     corpus = docs.select("doc_id", null_to_empty().alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
-    seeds = materialise(test_seeds(tests, masks, short_masks, min_overlap), "seeds")
+    seeds = materialise(test_seeds(tests.withColumnRenamed("item", "text"), masks, short_masks, min_overlap), "seeds")
     count = seeds.count()
     hits = corpus_hits(corpus, seeds, masks, short_masks)
     places = seeds.drop("mask")
     matched = hits.join(F.broadcast(places) if count <= BROADCAST_ROWS else places, "seed")
     diagonals = matched.select("uid", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
-    items = tests.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).filter("item is not null").dropDuplicates(["item_id"])
     found = materialise(diagonals.groupBy("uid", "item_id").agg(F.collect_list("shift").alias("shifts")), "diagonals")
-    n = found.count()
-    look = found.join(F.broadcast(items) if count <= BROADCAST_ROWS else items, "item_id")
-    pairs = corpus.join(F.broadcast(look) if n * 200 <= 20_000_000 else look, "uid").select("doc_id", "text", "item_id", "item", "shifts")
+    size = found.agg(F.coalesce(F.sum(F.size("shifts") * 4 + 40), F.lit(0))).first()[0]
+    look = corpus.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "uid")
+    size = tests.agg(F.coalesce(F.sum(F.octet_length("item") + 40), F.lit(0))).first()[0]
+    pairs = look.join(F.broadcast(tests) if size <= BROADCAST_BYTES else tests, "item_id").select("doc_id", "text", "item_id", "item", "shifts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _Seeds((*masks, *short_masks))

@@ -28,6 +28,7 @@ from lodestream.llm.common import SPACES, WordHasher, ascii_lower_table, materia
 from lodestream.operators.graph import components
 
 BANDS, PER_BAND = 40, 3
+HOT_SHARE = 2_000
 
 
 def _signatures(n_words: int, bands: int, per_band: int):
@@ -117,6 +118,20 @@ def _rest(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
 
 
+def _class_of(rows: DataFrame) -> DataFrame:
+    """doc_id, id: the smallest doc_id with the same digest.
+
+    A digest with more than one in HOT_SHARE of all rows (there are fewer than
+    HOT_SHARE such digests) is looked up by broadcast, so no group of copies
+    meets in one task; the rest is joined by digest.
+    """
+    classes = materialise(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
+    n = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(classes.filter(F.col("n") * HOT_SHARE > n).filter("n > 1").select("digest", "id"))
+    rest = rows.select("doc_id", "digest").join(hot.select("digest"), "digest", "left_anti").join(classes.select("digest", "id"), "digest")
+    return rows.select("doc_id", "digest").join(hot, "digest").unionByName(rest).select("doc_id", "id")
+
+
 def near_duplicates(docs: DataFrame, n_words: int = 2, percent: int = 80, bands: int = BANDS, per_band: int = PER_BAND) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
@@ -132,7 +147,8 @@ def near_duplicates(docs: DataFrame, n_words: int = 2, percent: int = 80, bands:
     repeats = not repeated.isEmpty()
     if repeats:
         known = known.join(repeated, "doc_id", "left").filter("least is null or digest = least").dropDuplicates(["doc_id"])
-    classes = known.filter("bands is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+    with_sets = known.filter("bands is not null")
+    classes = with_sets.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     keys = classes.select("id", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("top")).filter("rep < top").select("key", "rep")
     member = materialise(keys.join(buckets, "key"), "buckets")  # the classes in buckets of two or more
@@ -161,8 +177,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 2, percent: int = 80, bands:
     if not extra.isEmpty():
         comp = components(links.unionByName(extra))
 
-    found = known.join(classes.select("digest", F.col("id").alias("class")), "digest").select("doc_id", F.col("class").alias("id"))
-    found = _labelled(found, comp).select("doc_id", "component")
+    found = _labelled(_class_of(with_sets), comp).select("doc_id", "component")
     out = sig.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

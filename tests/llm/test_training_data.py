@@ -331,6 +331,13 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontaminate.overlaps(docs.limit(0), tests).count() == 0 and decontaminate.overlaps(docs, tests.limit(0)).count() == 0
 
 
+def test_test_texts_of_few_words_are_looked_up_whole(spark):
+    tests = spark.createDataFrame([(k, " ".join(f"rare{k}w{j}" for j in range(k))) for k in range(1, 5)], "item_id long, text string")
+    docs = spark.createDataFrame([(10 * k + e, "some words " + " ".join("other" if e and j == k - 1 else f"rare{k}w{j}" for j in range(k)) + " and more " + f"rare{k}w0 rare{k}w0 " * 3) for k in range(1, 5) for e in (0, 1)], "doc_id long, text string")
+    got = sorted((x.doc_id, x.item_id, x.overlap, x.equal, x.begin) for x in decontaminate.overlaps(docs, tests).collect())
+    assert got == sorted([(10 * k, k, k, k, 2) for k in range(1, 5)] + [(11, 1, 1, 1, 5)])
+
+
 def brute_overlap(doc, item, least=13, percent=80):
     """(overlap, equal, begin, end) by trying all stretches of all diagonals."""
     best = None
@@ -496,6 +503,37 @@ def test_shards_hold_every_sequence_in_slot_order(spark, docs, tmp_path):
         assert len(r.payload) == r.n_sequences * r.stride and r.first_slot == r.shard * 16
     assert sum(r.n_tokens for r in whole) == sum(len(x) // 4 for x in codec.encode_many([t or "" for _, t in texts()]))
     assert token_shards.shards(empty(spark)).count() == 0
+    clashing = docs.selectExpr("doc_id", "text", "1 as shard", "2 as slot", "3 as task", "4 as tokens", "'x' as payload")
+    assert sum(r.n_sequences for r in token_shards.shards(clashing, seq_len=64, per_shard=16).collect()) == len(whole)
+
+
+def test_shard_files_equal_brute_force_and_resume(spark, docs, tmp_path):
+    seq_len, per_shard = 64, 16
+    slotted = token_shards.slotted(docs, seq_len)
+    rows = slotted.collect()
+    n = len(rows)
+    assert sorted(r["index"] for r in rows) == list(range(n)) and [r.slot for r in rows] == token_shards.permute(np.array([r["index"] for r in rows]), n, token_shards.KEY).tolist()
+    by_slot = {r.slot: bytes(r.tokens) + np.full(seq_len - r.n_tokens, token_shards.PAD, "<u2").tobytes() for r in rows}
+    index = token_shards.write_files(token_shards.shards(docs, seq_len, per_shard), str(tmp_path / "bin")).collect()
+    whole = b""
+    for r in sorted(index, key=lambda r: r.shard):
+        data = open(r.file, "rb").read()
+        assert len(data) == r.n_sequences * r.stride and hashlib.sha256(data).hexdigest() == r.payload_sha256 and r.first_slot == r.shard * per_shard
+        whole += data
+    assert whole == b"".join(by_slot[k] for k in range(n))
+    for slot, many in ((0, n), (37, 20), (n - 1, 5), (15, 2)):
+        got = list(token_shards.read_records(str(tmp_path / "bin"), slot, many, seq_len, per_shard))
+        assert [x.tobytes() for x in got] == [by_slot[k] for k in range(slot, min(n, slot + many))]
+
+
+def test_vocabularies_beyond_sixteen_bits_are_refused(docs, monkeypatch):
+    class Wide:
+        class vocabulary:
+            length = np.zeros(70_000)
+
+    monkeypatch.setattr(token_shards, "codec_of", lambda path: Wide)
+    with pytest.raises(ValueError, match="16 bits"):
+        token_shards.sequences(docs)
 
 
 # 10

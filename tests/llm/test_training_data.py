@@ -70,6 +70,54 @@ def test_chat_windows_read_back_exactly(spark):
     assert chat_format.format_windows(table.limit(0)).count() == 0
 
 
+def plain_windows(turns, budget, history, segment):
+    """The windows' turns, (first new, number of new, masked turns in front), of one conversation of (role, text)."""
+    count = [len(re.findall(r"\w+|[^\w\s]", "### %s: %s</turn>\n" % t)) for t in turns]
+    before = [sum(count[:k]) for k in range(len(turns))]
+    system = turns[0][0] == "system"
+    out, s = [], 0
+    while s < len(turns):
+        front = [0] if system and s else []
+        room, j = min(history, budget - count[s] - sum(count[k] for k in front)), s
+        while j > (1 if system else 0) and count[j - 1] <= room and before[j - 1] >= (before[s] // (segment * budget)) * segment * budget - history:
+            j -= 1
+            room -= count[j]
+        front += range(j, s)
+        e, total = s, sum(count[k] for k in front)
+        while e < len(turns) and (e == s or total + count[e] <= budget) and before[e] // (segment * budget) == before[s] // (segment * budget):
+            total += count[e]
+            e += 1
+        out.append((s, e - s, front, total))
+        s = e
+    return out
+
+
+@pytest.mark.parametrize("segment", [1, 3, 256])
+def test_windows_equal_brute_force(spark, segment):
+    r = random.Random(segment)
+    talks = {c: [("system" if k == 0 and c % 2 else "user" if k % 2 else "assistant", " ".join("word" for _ in range(r.choice([0, 1, 3, 9, 20, 40, 120])))) for k in range(n)] for c, n in ((1, 300), (2, 90), (3, 1), (4, 7))}
+    rows = [(c, k, *t) for c, own in talks.items() for k, t in enumerate(own)]
+    r.shuffle(rows)
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    windows = chat_format.format_windows(table, budget=100, history=30, segment=segment)
+    got = {}
+    for w in sorted(windows.collect(), key=lambda w: (w.conv_id, w.segment, w.window)):
+        front = [(role, said) for role, said, _, _ in chat_format.parse(w.formatted)][: w.n_repeated]
+        got.setdefault(w.conv_id, []).append((w.first_turn, w.n_new, front, w.n_tokens))
+    for c, own in talks.items():
+        assert got[c] == [(s, n, [own[k] for k in front], t) for s, n, front, t in plain_windows(own, 100, 30, segment)]
+    written = spark.createDataFrame(windows.collect(), windows.schema).repartition(5)
+    assert {x.conv_id: x.turns_sha256 for x in chat_format.read_back(written).collect()} == {c: digests(own)[1] for c, own in talks.items()}
+
+
+def test_one_conversation_is_cut_by_many_tasks(spark):
+    rows = spark.range(20_000).selectExpr("cast(null as long) as conv_id", "cast(null as long) as turn", "'user' as role", "concat('t', id % 5000) as text")
+    windows = chat_format.format_windows(rows, budget=64, history=16, segment=4)
+    segments = windows.groupBy("segment").count().collect()
+    assert len(segments) > 100 and max(x["count"] for x in segments) < 10
+    assert windows.selectExpr("sum(n_new)").first()[0] == 20_000 and chat_format.read_back(windows).first().n_turns == 20_000
+
+
 @pytest.mark.parametrize("text", ["", "\\", "###", "######", "\\###", "</turn>", "\\h", "a</turn>\\e###b", "####\\#"])
 def test_escape_is_reversible(text):
     shown = chat_format.escape(text)

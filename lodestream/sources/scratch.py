@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths made inside the innermost `temporary`, None outside of any.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; set here only where the session names none, as in tests."""
@@ -23,9 +29,42 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there.
 
     Unlike a cache it survives lost executors, and unlike a plain re-use it is
-    computed once.  Parquet keeps it columnar and compressed.
+    computed once.  Parquet keeps it columnar and compressed.  The table stays
+    until the `temporary` block around the call ends; outside of one, whoever
+    owns the folder clears it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Drop what `materialise` makes inside the block; the block's own function makes tables that outlast it.
+
+        with temporary(spark) as keep:
+            found = keep(components(edges), "found")
+
+    Kept tables belong to the block around this one, if there is one.
+    """
+    outer, own = _MADE.get(), []
+    token = _MADE.set(own)
+
+    def keep(df: DataFrame, what: str) -> DataFrame:
+        inner = _MADE.set(outer)
+        try:
+            return materialise(df, what)
+        finally:
+            _MADE.reset(inner)
+
+    try:
+        yield keep
+    finally:
+        _MADE.reset(token)
+        for path in own:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

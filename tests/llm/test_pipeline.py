@@ -70,3 +70,20 @@ def test_stages_take_an_empty_table(spark, corpus):
     docs = spark.read.parquet(f"{d}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, d).count() == 0
+
+
+def test_stages_handle_nulls_repeats_and_clashing_columns(spark, corpus):
+    d, rows, items = corpus
+    extra = [(900, None, None, None, None), (901, "", "en", "s1", 0), (None, None, "en", "s1", 0), (None, "no id at all " + prose(9, 30), "en", "s2", 9), (902, prose(10, 40), "en", None, 5), (902, prose(10, 40), "en", None, 5), (903, "The common footer", "en", "s3", 17), (904, prose(77, 9000), "en", "s4", 1)]
+    names = ["h1", "gone", "own", "id", "key", "digest", "item_id", "uid", "text_hash", "predicted", "component_id", "kept", "n_lines", "lines"]
+    docs = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *(f"'{c}' as {c}" for c in names))
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, kept = kept, spark.createDataFrame(stage(spark, kept, d).collect(), docs.schema)
+        assert kept.columns == docs.columns
+        assert all(r[c] == c for r in kept.limit(3).collect() for c in names)
+        ids = sorted(str(r.doc_id) for r in kept.collect())
+        assert {"900", "901", "903", "904", "None"} <= set(ids) and ids.count("902") == 2 and ids.count("None") == 2, name
+    texts = {r.doc_id: r.text for r in kept.collect()}
+    assert texts[900] is None and texts[901] == "" and texts[903] == "" and texts[904] == prose(77, 9000)
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, d).count() == kept.count()

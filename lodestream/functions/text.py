@@ -1,4 +1,9 @@
-"""Text functions as column expressions; the two exact ones that Spark lacks are Arrow UDFs."""
+"""Text functions as column expressions.
+
+Spark has no compatibility normalisation, full case folding or HTML parser;
+those parts are Arrow UDFs, which get the texts that need them and nulls for
+the rest.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +16,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-WORD = r"[\p{L}\p{N}_]+"
+WORD = r"[\p{L}\p{N}_\u0600-\u06FF]+"
+#: Texts of these characters alone are in compatibility form, and lower case with ss for ß is their full case folding.
+PLAIN = "^[\\x00-\\x1B\\x20-\\x7E¡«¿»À-ÖØ-öø-ıĴ-ľŁ-ňŊ-ž–—‘’“”„€]*$"
 CONTROLS = "[\\u200B-\\u200F\\u202A-\\u202E\\u2060-\\u2069\\uFEFF]"
 #: Tracking parameters dropped from urls, besides utm_* (fixed values).
 TRACKING = ["fbclid", "gclid", "mc_cid", "mc_eid", "ref", "source"]
@@ -29,32 +36,58 @@ def normalise_arabic(x: Column) -> Column:
     return F.translate(F.regexp_replace(x, DIACRITICS, ""), ARABIC_FROM, ARABIC_TO)
 
 
-def normalise(x: Column) -> Column:
-    """Control characters out, digits and Arabic letters folded, case folded, white space collapsed.
-
-    Exact for texts in compatibility form; others need normalise_exact.
-    """
-    x = F.translate(strip_controls(F.coalesce(x, F.lit(""))), DIGITS_FROM, DIGITS_TO)
-    return F.trim(F.regexp_replace(F.replace(F.lower(normalise_arabic(x)), F.lit("ß"), F.lit("ss")), r"\s+", " "))
-
-
 @F.pandas_udf(StringType())
 def normalise_exact(s: pd.Series) -> pd.Series:
-    """As normalise, with NFKC and full case folding."""
+    """Compatibility form without control characters, digits and Arabic letters folded, case folded, white space collapsed; null stays."""
     controls = regex.compile(CONTROLS.encode().decode("unicode_escape"))
     marks = regex.compile(DIACRITICS.encode().decode("unicode_escape"))
     table = str.maketrans(dict(zip(ARABIC_FROM, ARABIC_TO)) | {"ـ": None} | dict(zip(DIGITS_FROM, DIGITS_TO)))
 
-    def one(x: str | None) -> str:
-        x = controls.sub("", unicodedata.normalize("NFKC", x or "")).strip()
+    def one(x: str | None) -> str | None:
+        if x is None:
+            return None
+        x = controls.sub("", unicodedata.normalize("NFKC", x)).strip()
         return " ".join(marks.sub("", x).translate(table).casefold().split())
 
-    return s.map(one)
+    return s.map(one, na_action="ignore")
+
+
+def folded(x: Column) -> Column:
+    """As normalise, but for the white space of plain texts: what words are taken from."""
+    x = F.coalesce(x, F.lit(""))
+    plain = x.rlike(PLAIN)
+    return F.when(plain, F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))).otherwise(normalise_exact(F.when(~plain, x)))
+
+
+def normalise(x: Column) -> Column:
+    """Compatibility form, control characters out, digits and Arabic letters folded, case folded, white space collapsed; null is empty."""
+    return F.trim(F.regexp_replace(folded(x), r"\s+", " "))
+
+
+def normalise_all(xs: Column) -> Column:
+    """Each element of an array normalised; null is the empty array."""
+    joined = normalise(F.array_join(xs, "\x01"))
+    return F.when(F.size(F.coalesce(xs, F.array().cast("array<string>"))) > 0, F.split(joined, "\x01")).otherwise(F.array().cast("array<string>"))
+
+
+#: Letters with a diacritic and the bare ones.
+BASE = {chr(c): d[0] for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and unicodedata.combining(d[1])}
+
+
+def without_marks(x: Column) -> Column:
+    """Latin letters without their diacritics, as a full-text index folds them."""
+    bare = F.regexp_replace(F.call_function("translate", x, F.lit("".join(BASE)), F.lit("".join(BASE.values()))), r"\p{Mn}", "")
+    return F.when(F.length(x) == F.octet_length(x), x).otherwise(bare)
 
 
 def tokens(x: Column) -> Column:
     """Words of a text in order, after normalisation."""
-    return F.regexp_extract_all(normalise(x), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(folded(x), F.lit(WORD), F.lit(0))
+
+
+def index_tokens(x: Column) -> Column:
+    """Words of a text as a full-text index holds them: without diacritics."""
+    return F.regexp_extract_all(without_marks(folded(x)), F.lit(WORD), F.lit(0))
 
 
 def language(x: Column) -> Column:
@@ -79,17 +112,43 @@ def script_shares(x: Column) -> Column:
     return F.struct(share(arabic).alias("arabic"), share(latin).alias("latin"), share(letters - arabic - latin).alias("other"))
 
 
-def query_class(x: Column) -> Column:
-    """HASHTAG, HANDLE, URL, EXACT_PHRASE, MIXED_LANGUAGE, SHORT_AMBIGUOUS, RARE_ENTITY or MULTI_TERM_TOPIC."""
+#: A query that is a url or starts with a host name.
+URL_QUERY = r"(?i)^https?://|^[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}(?:/|$)"
+
+
+def query_intent(x: Column, exact_phrase: bool = False) -> Column:
+    """struct(intent, exact, normalised, tokens, class) of a query text.
+
+    Quotes around the query make it exact; intents are decided in the order
+    hashtag, handle, url, mixed_language, exact_phrase, organization_phrase (two
+    to five words, one with an upper-case letter), keywords.
+    """
     bare = F.trim(x)
-    words = F.regexp_extract_all(normalise(x), F.lit(WORD), F.lit(0))
-    mixed = bare.rlike("[\\u0600-\\u06FF]") & bare.rlike("[A-Za-z]")
-    return (
-        F.when(bare.startswith("#"), "HASHTAG").when(bare.startswith("@"), "HANDLE").when(bare.rlike("^https?://"), "URL")
-        .when(bare.rlike('^".*"$'), "EXACT_PHRASE").when(mixed, "MIXED_LANGUAGE")
-        .when((F.size(words) == 1) & (F.length(bare) <= 4), "SHORT_AMBIGUOUS").when((F.size(words) <= 2) & bare.rlike("[A-Z0-9-]"), "RARE_ENTITY")
-        .otherwise("MULTI_TERM_TOPIC")
+    quoted = (F.length(bare) >= 2) & bare.startswith('"') & bare.endswith('"')
+    inner = F.when(quoted, F.trim(F.substring(bare, F.lit(2), F.length(bare) - 2))).otherwise(bare)
+    words = F.array_distinct(tokens(inner))
+    exact = quoted | F.lit(exact_phrase)
+    n = F.size(words)
+    intent = (
+        F.when(bare.startswith("#") & (n > 0), "hashtag").when(bare.startswith("@") & (n > 0), "handle").when(inner.rlike(URL_QUERY), "url")
+        .when(inner.rlike("[\\u0600-\\u06FF]") & inner.rlike("[A-Za-z]"), "mixed_language").when(exact, "exact_phrase")
+        .when((n > 1) & (n <= 5) & bare.rlike(r"\p{Lu}"), "organization_phrase").otherwise("keywords")
     )
+    kind = (
+        F.when(intent == "hashtag", "HASHTAG").when(intent == "handle", "HANDLE").when(intent == "url", "URL").when(exact, "EXACT_PHRASE")
+        .when(intent == "mixed_language", "MIXED_LANGUAGE").when(n == 1, "SHORT_AMBIGUOUS").when(intent == "organization_phrase", "RARE_ENTITY").otherwise("MULTI_TERM_TOPIC")
+    )
+    return F.struct(intent.alias("intent"), exact.alias("exact"), normalise(inner).alias("normalised"), words.alias("tokens"), kind.alias("class"))
+
+
+def query_class(x: Column) -> Column:
+    """HASHTAG, HANDLE, URL, EXACT_PHRASE, MIXED_LANGUAGE, SHORT_AMBIGUOUS, RARE_ENTITY or MULTI_TERM_TOPIC."""
+    return query_intent(x)["class"]
+
+
+def article_variant(words: Column) -> Column:
+    """The words joined, those of an Arabic query over four letters without the article."""
+    return F.array_join(F.transform(words, lambda w: F.when(w.startswith("ال") & (F.length(w) > 4), F.substring(w, F.lit(3), F.length(w))).otherwise(w)), " ")
 
 
 #: Identifier patterns of queries.
@@ -128,6 +187,42 @@ def contains_run(words: Column, run: Column) -> Column:
     return (F.size(run) > 0) & F.contains(pad(words), pad(run))
 
 
+def places_of(words: Column, wanted: list[str], offset: Column | int = 0) -> Column:
+    """array<struct(term, pos)> of the wanted words in order, places counted from offset."""
+    one = lambda w, i: F.when(w.isin(wanted), F.struct(w.alias("term"), (i + offset).alias("pos")))
+    return F.filter(F.transform(words, one), lambda h: h.isNotNull())
+
+
+def runs_among(hits: Column, run: list[str]) -> Column:
+    """How often the run of words stands in a row among the places of its words."""
+    if not run:
+        return F.lit(0)
+
+    def here(h: Column, i: Column) -> Column:
+        found = h["term"] == run[0]
+        for j, word in enumerate(run[1:], 1):
+            other = F.get(hits, i + j)
+            found = found & F.coalesce((other["term"] == word) & (other["pos"] == h["pos"] + j), F.lit(False))
+        return found
+
+    return F.size(F.filter(hits, here))
+
+
+def cover_among(hits: Column, wanted: list[str]) -> Column:
+    """Number of wanted words over the shortest stretch that holds them all, from their places; 0 if one is missing."""
+    wanted = list(dict.fromkeys(wanted))
+    if not wanted:
+        return F.lit(0.0)
+    start = F.struct(F.array(*[F.lit(-1)] * len(wanted)).alias("last"), F.lit(2147483647).alias("best"))
+
+    def step(s, h):
+        last = F.array(*(F.when(h["term"] == q, h["pos"]).otherwise(s["last"][i]) for i, q in enumerate(wanted)))
+        low = F.array_min(last)
+        return F.struct(last.alias("last"), F.when(low >= 0, F.least(s["best"], h["pos"] - low + 1)).otherwise(s["best"]).alias("best"))
+
+    return F.aggregate(hits, start, step, lambda s: F.when(s["best"] == 2147483647, 0.0).otherwise(F.least(F.lit(1.0), F.lit(float(len(wanted))) / s["best"])))
+
+
 def bigrams(words: Column) -> Column:
     return F.when(F.size(words) < 2, F.array().cast("array<string>")).otherwise(
         F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))

@@ -1,8 +1,9 @@
-"""Full-text retrieval: postings, BM25 over weighted columns, lexical relevance and final scores.
+"""Full-text retrieval: an index of a query's words, BM25 over weighted columns, lexical relevance and final scores.
 
-Queries are a small relation of terms; the corpus is tokenised once and only
-rows of query terms leave the scan, so the term join broadcasts the query side
-and statistics (documents, length, document frequency) stay corpus-wide.
+The corpus is read and cut into words once.  What leaves the scan for each
+item is its lengths and the places of the query's words, a small table that
+is written; scores, document frequencies, phrases and the covering window all
+come from it.
 """
 
 from __future__ import annotations
@@ -15,21 +16,26 @@ from pyspark.sql.window import Window
 
 from lodestream.functions import numbers, text
 from lodestream.functions.numbers import rounded
+from lodestream.sources.scratch import materialise
 
 #: Weights of the final score (fixed values).
 WEIGHTS = {"relevance": 0.35, "freshness": 0.20, "engagement": 0.15, "source_confidence": 0.10, "cross_source": 0.10, "novelty": 0.10}
 K1, B = 1.2, 0.75
-#: Column weights of a title and a text; each column is indexed plain and normalised, so weights count twice.
-COLUMN_WEIGHTS = {"title": 8.0, "text": 2.0}
+#: Column weights (fixed values); each column is indexed plain and normalised, so weights and lengths count twice.
+COLUMN_WEIGHTS = {"title": 4.0, "text": 1.0, "author": 0.5}
+#: Distinct words of a query set that are looked up in the scan; more are joined.
+MOST_TERMS = 20_000
+BROADCAST_ROWS = 500_000  # a query and a term
 
 
 @dataclass(frozen=True)
 class Query:
-    """A parsed query: its words in order, whether they must stand together, and its intent."""
+    """A parsed query: its words in order, whether they must stand together, its intent and its normalised text."""
 
     words: tuple[str, ...]
     exact: bool = False
     intent: str = "keywords"
+    normalised: str = ""
     distinct: tuple[str, ...] = field(init=False, default=())
 
     def __post_init__(self):
@@ -45,9 +51,44 @@ class Query:
 
 
 def tokenised(content: DataFrame) -> DataFrame:
-    """content with title_words, text_words and words (both)."""
-    rows = content.withColumn("title_words", text.tokens(F.col("title"))).withColumn("text_words", text.tokens(F.col("text")))
-    return rows.withColumn("words", F.concat("title_words", "text_words"))
+    """content with title_words, text_words and words: all of title, text, handle and hashtags (where there are such)."""
+    rows = _with_author(content).withColumn("title_words", text.tokens(F.col("title"))).withColumn("text_words", text.tokens(F.col("text")))
+    others = F.concat(text.tokens(F.col("handle")), text.tokens(F.array_join("hashtags", " ")))
+    return rows.withColumn("words", F.concat("title_words", "text_words", others))
+
+
+def _with_author(content: DataFrame) -> DataFrame:
+    missing = {c: F.lit(None).cast(kind) for c, kind in (("handle", "string"), ("hashtags", "array<string>"), ("canonical_url", "string")) if c not in content.columns}
+    return content.withColumns(missing) if missing else content
+
+
+def index(content: DataFrame, words: list[str], keep: list[str] | None = None) -> DataFrame:
+    """item_id, n_title, n_text, dl, hits, marks and the columns `keep` of every item, from one pass over its text.
+
+    hits: the places of the words in title, text, handle and hashtags, one
+    after the other.  marks: their places as a full-text index sees them,
+    without diacritics, column by column (title, text, author) with a gap
+    between columns; dl is the length there, both copies of a column counted.
+    """
+    rows = tokenised(content)
+    marked = sorted({m for w in words for m in _index_words(w)})
+    rows = rows.withColumns({f"{c}_index": text.index_tokens(F.col(of)) for c, of in (("title", "title"), ("text", "text"), ("author", "handle"))})
+    size = {c: F.size(f"{c}_index") for c in COLUMN_WEIGHTS}
+    gaps = {"title": F.lit(0), "text": size["title"] + 1, "author": size["title"] + size["text"] + 2}
+    marks = F.concat(*(F.transform(text.places_of(F.col(f"{c}_index"), marked, gaps[c]), _with_weight(2 * w)) for c, w in COLUMN_WEIGHTS.items()))
+    return rows.select(
+        "item_id", F.size("title_words").alias("n_title"), F.size("text_words").alias("n_text"), (2 * sum(size.values(), F.lit(0))).alias("dl"),
+        text.places_of(F.col("words"), list(words)).alias("hits"), marks.alias("marks"), *(keep or []),
+    )
+
+
+def _index_words(word: str) -> list[str]:
+    """A query's word as the index holds it (driver side)."""
+    return ["".join(text.BASE.get(c, c) for c in word)]
+
+
+def _with_weight(weight: float):
+    return lambda h: F.struct(h["term"].alias("term"), h["pos"].alias("pos"), F.lit(weight).alias("weight"))
 
 
 def candidates(rows: DataFrame, query: Query) -> DataFrame:
@@ -59,54 +100,127 @@ def candidates(rows: DataFrame, query: Query) -> DataFrame:
     return rows.filter(F.size(F.array_intersect("words", F.array(*map(F.lit, query.distinct)))) >= query.required)
 
 
-def postings(rows: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """item_id, term, tf (weighted by column), dl, for all terms or the given ones (broadcast: a query set's terms)."""
-    length = 2 * (F.size("title_words") + F.size("text_words"))
-    both = F.concat(*(F.transform(F.col(f"{c}_words"), _weigh(COLUMN_WEIGHTS[c])) for c in ("title", "text")))
-    each = rows.select("item_id", length.alias("dl"), F.explode(both).alias("t")).select("item_id", "dl", F.col("t.term").alias("term"), F.col("t.weight").alias("weight"))
-    if terms is not None:
-        each = each.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-    return each.groupBy("item_id", "term").agg(F.sum("weight").alias("tf"), F.first("dl").alias("dl"))
+def matches(query: Query) -> Column:
+    """Whether an indexed row is a candidate.
+
+    Exact: the phrase.  url: the query within the url.  handle: the query's
+    first word is the handle.  hashtag: it is a tag, or stands behind a # in
+    title or text.  Else: enough distinct words.
+    """
+    if query.exact:
+        return text.runs_among(F.col("hits"), list(query.words)) > 0
+    if query.intent == "url":
+        return F.lit(bool(query.normalised)) & F.contains(text.normalise(F.col("canonical_url")), F.lit(query.normalised))
+    if not query.words:
+        return F.lit(False)
+    if query.intent == "handle":
+        return text.normalise(F.regexp_replace("handle", "^@", "")) == query.words[0]
+    if query.intent == "hashtag":
+        return F.array_contains(_tags(F.col("hashtags")), query.words[0]) | F.col("literal_tags").isNotNull() & F.array_contains("literal_tags", query.words[0])
+    return F.size(_found(query)) >= query.required
+
+
+def literal_tags(title: Column, body: Column) -> Column:
+    """What stands behind a # at the start of a word of title or text, folded."""
+    return F.array_distinct(F.regexp_extract_all(text.folded(F.concat_ws(" ", title, body)), F.lit(r"(?<!\S)#(\S*)"), F.lit(1)))
+
+
+def _tags(tags: Column) -> Column:
+    return text.normalise_all(F.transform(tags, lambda t: F.regexp_replace(t, "^#", "")))
+
+
+def _terms(hits: Column) -> Column:
+    return F.array_distinct(F.transform(hits, lambda h: h["term"]))
+
 
+def _found(query: Query) -> Column:
+    return F.array_intersect(F.array(*map(F.lit, query.distinct)), _terms(F.col("hits")))
 
-def _weigh(weight: float):
-    def one(w: Column) -> Column:
-        return F.struct(w.alias("term"), F.lit(weight).alias("weight"))
 
-    return one
+def frequencies(indexed: DataFrame) -> DataFrame:
+    """item_id, term, tf (weighted by column), dl of an index."""
+    each = indexed.select("item_id", "dl", F.explode("marks").alias("m")).select("item_id", "dl", "m.term", "m.weight")
+    return each.groupBy("item_id", "term").agg(F.sum("weight").alias("tf"), F.first("dl").alias("dl"))
 
 
-def collection(rows: DataFrame) -> DataFrame:
+def collection(indexed: DataFrame) -> DataFrame:
     """One row: n documents, average length."""
-    return rows.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(2 * (F.size("title_words") + F.size("text_words"))).alias("avgdl"))
+    return indexed.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, item_id, bm25 for every query (query_id, term) and item that holds one of its terms."""
-    posted = postings(rows, queries)
-    stats = collection(rows)  # one row
-    df = document_frequency(posted).join(F.broadcast(stats))
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    terms = queries.select("query_id", "term").distinct().join(df, "term").select("query_id", "term", idf.alias("idf"), "avgdl")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return posted.join(F.broadcast(terms), "term").groupBy("query_id", "item_id").agg(F.sum(part).alias("bm25"))
+def _idf(df: Column) -> Column:
+    return F.greatest(F.lit(1e-6), F.log((F.col("n_docs") - df + 0.5) / (df + 0.5)))
+
+
+def _part(idf: Column) -> Column:
+    return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
+def bm25(content: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, item_id, bm25 for every query (query_id, term) and item that holds one of its terms.
+
+    Query terms are compared without diacritics.  Up to MOST_TERMS distinct
+    terms are looked up in the scan itself; a larger query set is joined.
+    """
+    q = queries.select("query_id", text.without_marks(F.col("term")).alias("term")).distinct()
+    q = materialise(q, "query-terms")
+    terms = [r.term for r in q.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    few = len(terms) <= MOST_TERMS
+    indexed = index(content, terms if few else [], ["title_index", "text_index", "author_index"] if not few else None).select("item_id", "dl", "marks", *(() if few else ("title_index", "text_index", "author_index")))
+    indexed = materialise(indexed, "index")
+    if few:
+        posted = frequencies(indexed)
+    else:
+        one = lambda c, w: indexed.select("item_id", "dl", F.explode(f"{c}_index").alias("term")).groupBy("item_id", "dl", "term").agg((F.count(F.lit(1)) * 2 * w).alias("tf"))
+        each = None
+        for c, w in COLUMN_WEIGHTS.items():
+            each = one(c, w) if each is None else each.unionByName(one(c, w))
+        posted = each.join(q.select("term").distinct(), "term", "left_semi").groupBy("item_id", "term").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+    posted = materialise(posted, "postings")
+    df = document_frequency(posted).join(F.broadcast(collection(indexed)))  # one row
+    weighed = q.join(df, "term").select("query_id", "term", _idf(F.col("df")).alias("idf"), "avgdl")
+    if q.count() <= BROADCAST_ROWS:
+        weighed = F.broadcast(weighed)
+    return posted.join(weighed, "term").groupBy("query_id", "item_id").agg(F.sum(_part(F.col("idf"))).alias("bm25"))
+
+
+def bm25_of(indexed: DataFrame, query: Query) -> DataFrame:
+    """item_id, bm25 of one query over its index; an exact query is one phrase, counted within columns."""
+    words = [w for word in query.words for w in _index_words(word)]
+    if query.exact:
+        first = lambda h: text.runs_among(F.filter("marks", lambda m: m["weight"] == h), words)
+        tf = sum((first(F.lit(2 * w)) * (2 * w) for w in COLUMN_WEIGHTS.values()), F.lit(0.0))
+        posted = indexed.select("item_id", F.lit("").alias("term"), tf.alias("tf"), "dl").filter("tf > 0")
+    else:
+        posted = frequencies(indexed)
+    df = document_frequency(posted).join(F.broadcast(collection(indexed)))
+    # a row for each of the query's words
+    return posted.join(F.broadcast(df), "term").groupBy("item_id").agg(F.sum(_part(_idf(F.col("df")))).alias("bm25"))
 
 
 def relevance(query: Query, bm25_normalised: Column) -> dict[str, Column]:
-    """Lexical features of a tokenised row, and their score."""
-    wanted = F.array(*map(F.lit, query.distinct))
+    """Lexical features of an indexed row, and their score."""
     n = float(max(1, len(query.distinct)))
-    coverage = F.size(F.array_intersect(wanted, "words")) / n
-    title_coverage = F.size(F.array_intersect(wanted, "title_words")) / n
-    body_coverage = F.size(F.array_intersect(wanted, "text_words")) / n
-    phrase = text.contains_run(F.col("words"), query.array()).cast("double")
-    title_phrase = text.contains_run(F.col("title_words"), query.array()).cast("double")
-    near = text.proximity(F.col("words"), list(query.distinct))
-    score = 35 * coverage + 15 * title_coverage + 15 * phrase + 15 * title_phrase + 10 * near + bm25_normalised / 10
+    hits, words = F.col("hits"), list(query.words)
+    title = F.filter(hits, lambda h: h["pos"] < F.col("n_title"))
+    body = F.filter(hits, lambda h: (h["pos"] >= F.col("n_title")) & (h["pos"] < F.col("n_title") + F.col("n_text")))
+    share = lambda part: F.size(F.array_intersect(F.array(*map(F.lit, query.distinct)), _terms(part))) / n
+    coverage, title_coverage, body_coverage = share(hits), share(title), share(body)
+    phrase, title_phrase, body_phrase = ((text.runs_among(part, words) > 0).cast("double") for part in (hits, title, body))
+    near = text.cover_among(hits, list(query.distinct))
+    exact = F.lit(0.0)
+    if query.intent == "hashtag" and query.words:
+        exact = F.array_contains(_tags(F.col("hashtags")), query.words[0]).cast("double")
+    elif query.intent == "handle" and query.words:
+        exact = (text.normalise(F.regexp_replace("handle", "^@", "")) == query.words[0]).cast("double")
+    elif query.intent == "url" and query.normalised:
+        exact = F.contains(text.normalise(F.col("canonical_url")), F.lit(query.normalised)).cast("double")
+    exact = F.coalesce(exact, F.lit(0.0))
+    score = 35 * coverage + 15 * title_coverage + 15 * phrase + 15 * title_phrase + 10 * near + bm25_normalised / 10 + 10 * exact
     return {
         "relevance": rounded(F.least(F.lit(100.0), score), 2),
         "coverage": rounded(100 * coverage, 2),
@@ -114,18 +228,48 @@ def relevance(query: Query, bm25_normalised: Column) -> dict[str, Column]:
         "body_coverage": rounded(100 * body_coverage, 2),
         "phrase": 100 * phrase,
         "title_phrase": 100 * title_phrase,
+        "body_phrase": 100 * body_phrase,
         "proximity": rounded(100 * near, 2),
+        "intent_exact": 100 * exact,
     }
 
 
+def evidence(content: DataFrame, query: Query, keep: list[str]) -> DataFrame:
+    """The candidates of a query with bm25_normalised, their lexical features, matched_terms and the columns `keep`."""
+    kept = list(dict.fromkeys([*keep, "handle", "hashtags", "canonical_url"]))
+    rows = _with_author(content)
+    if query.intent == "hashtag":
+        rows = rows.withColumn("literal_tags", literal_tags(F.col("title"), F.col("text")))
+        kept.append("literal_tags")
+    indexed = materialise(index(rows, list(query.distinct), kept), "index")
+    found = indexed.filter(matches(query)).join(bm25_of(indexed, query), "item_id", "left")
+    top = found.agg(F.max("bm25").alias("top"))  # one row
+    norm = rounded(F.coalesce(F.try_divide(100 * F.coalesce("bm25", F.lit(0.0)), F.col("top")), F.lit(0.0)), 2)
+    found = found.join(F.broadcast(top)).withColumn("bm25_normalised", norm)
+    features = relevance(query, F.col("bm25_normalised"))
+    return found.select("item_id", "bm25_normalised", *(c.alias(k) for k, c in features.items()), _found(query).alias("matched_terms"), *keep)
+
+
 def final_score(parts: dict[str, Column], penalty: Column, weights: dict[str, float] = WEIGHTS) -> Column:
     """Weighted sum whose secondary signals count only as far as the item is relevant."""
+    return explained(parts, penalty, weights)["score"]
+
+
+def explained(parts: dict[str, Column], penalty: Column, weights: dict[str, float] = WEIGHTS) -> dict[str, Column]:
+    """score, pre_penalty, factor and the weighted components of the final score."""
     if abs(sum(weights.values()) - 1.0) > 1e-9:
         raise ValueError("ranking weights must total 1")
     factor = rounded(F.pow(parts["relevance"] / 100, F.lit(2.0)), 4)
     weighted = {k: rounded(w * parts[k], 4) for k, w in weights.items()}
     rest = sum((v for k, v in weighted.items() if k != "relevance"), F.lit(0.0))
-    return rounded(numbers.clamp(weighted["relevance"] + factor * rest - penalty), 2)
+    before = weighted["relevance"] + factor * rest
+    return {"score": rounded(numbers.clamp(before - penalty), 2), "pre_penalty": rounded(numbers.clamp(before), 2), "factor": factor} | {f"w_{k}": v for k, v in weighted.items()}
+
+
+def resolved_weights(settings: dict[str, float]) -> dict[str, float]:
+    """Stored weights if they are all there and total one, else the defaults."""
+    own = {k: settings.get(k) for k in WEIGHTS}
+    return own if all(isinstance(v, (int, float)) for v in own.values()) and abs(sum(own.values()) - 1) <= 1e-6 else dict(WEIGHTS)
 
 
 def hybrid_score(parts: dict[str, Column], semantic: Column, penalty: Column, semantic_weight: float = 0.75, budget: float = 0.01, weights: dict[str, float] = WEIGHTS) -> Column:
@@ -138,20 +282,33 @@ def hybrid_score(parts: dict[str, Column], semantic: Column, penalty: Column, se
     return rounded(numbers.clamp((1 - budget) * relevant + budget * factor * quality - penalty), 2)
 
 
-def rank(content: DataFrame, query: Query, now: Column, engagement: Column, limit: int = 20, source_confidence: float = 70.0) -> DataFrame:
-    """The best items for one query, with their score parts."""
-    rows = tokenised(content)
-    terms = content.sparkSession.createDataFrame([(0, t) for t in query.distinct], "query_id int, term string")
-    found = candidates(rows, query).join(bm25(rows, terms).select("item_id", "bm25"), "item_id", "left")
-    top = found.agg(F.max("bm25").alias("top"))  # one row
-    norm = rounded(F.coalesce(F.try_divide(100 * F.coalesce("bm25", F.lit(0.0)), F.col("top")), F.lit(0.0)), 2)
-    found = found.join(F.broadcast(top)).withColumn("bm25_normalised", norm)
-    found = found.withColumns(relevance(query, F.col("bm25_normalised")))
-    parts = {"relevance": F.col("relevance"), "freshness": numbers.freshness(F.col("published_at"), now), "engagement": engagement, "source_confidence": F.lit(source_confidence), "cross_source": F.lit(0.0), "novelty": F.lit(100.0)}
-    penalty = text.spam_penalty(F.col("title"), F.col("text"), F.col("canonical_url"))
-    found = found.withColumns({"freshness": parts["freshness"], "engagement": engagement, "spam": penalty}).withColumn("score", final_score(parts, penalty))
+def duplicate_signals(rows: DataFrame, key: Column) -> DataFrame:
+    """rows with cross_source and novelty: copies by `key` over several sources, and whether a row is its group's newest.
+
+    rows: item_id, source, published_at.  A row without copies is novel.
+    """
+    keyed = rows.withColumn("_key", key)
+    order = F.struct(F.coalesce(F.unix_micros(F.col("published_at").cast("timestamp")), F.lit(-(1 << 62))), F.col("source"), F.col("item_id"))
+    groups = keyed.groupBy("_key").agg(F.countDistinct("source").alias("_sources"), F.max_by("item_id", order).alias("_canonical"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    out = keyed.join(groups, "_key", "left")
+    cross = F.when(F.col("_n").isNull(), 0.0).otherwise(numbers.cross_source(F.col("_sources")))
+    return out.withColumns({"cross_source": cross, "novelty": F.when(F.col("_n").isNull() | (F.col("item_id") == F.col("_canonical")), 100.0).otherwise(40.0)}).drop("_key", "_sources", "_canonical", "_n")
+
+
+def rank(content: DataFrame, query: Query, now: Column, engagement: Column, limit: int = 20, source_confidence: float = 70.0, copies: Column | None = None) -> DataFrame:
+    """The best items for one query, with their score parts; with `copies`, copies of a text lose novelty and gain cross-source weight."""
+    rows = _with_author(content).withColumns({"freshness": numbers.freshness(F.col("published_at"), now), "engagement": engagement, "spam": text.spam_penalty(F.col("title"), F.col("text"), F.col("canonical_url"))})
+    if copies is not None:
+        rows = rows.withColumn("copy_key", copies)
+    keep = ["source", "published_at", "freshness", "engagement", "spam"] + (["copy_key"] if copies is not None else [])
+    found = evidence(rows, query, keep)
+    found = duplicate_signals(found, F.col("copy_key")) if copies is not None else found.withColumns({"cross_source": F.lit(0.0), "novelty": F.lit(100.0)})
+    parts = {k: F.col(k) for k in ("relevance", "freshness", "engagement", "cross_source", "novelty")} | {"source_confidence": F.lit(source_confidence)}
+    found = found.withColumns(explained(parts, F.col("spam")))
     best = found.orderBy(F.col("score").desc(), F.col("relevance").desc(), F.col("published_at").desc_nulls_last(), F.col("item_id").desc()).limit(limit)
-    return best.select("item_id", "source", "bm25_normalised", "relevance", "proximity", "freshness", "engagement", "spam", "score")
+    if copies is None:
+        return best.select("item_id", "source", "bm25_normalised", "relevance", "proximity", "freshness", "engagement", "spam", "score")
+    return best.select("item_id", "source", "score", "relevance", "cross_source", "novelty", "spam", "factor", "pre_penalty", *(f"w_{k}" for k in WEIGHTS), "matched_terms")
 
 
 def fair_admission(rows: DataFrame, source: str, order: list[Column], identity: list[str], per_source: int, total: int) -> DataFrame:
@@ -166,8 +323,12 @@ def fair_admission(rows: DataFrame, source: str, order: list[Column], identity:
     return ranked.orderBy("source_rank", source).limit(total)
 
 
-def interleaved(rows: DataFrame, source: str, rank_column: str, limit: int) -> DataFrame:
-    """Round-robin over sources in the order in which sources first appear in the ranking."""
-    w = Window.partitionBy(source)
+def interleaved(rows: DataFrame, source: str, rank_column: str, limit: int, group: str | None = None) -> DataFrame:
+    """Round-robin over sources in the order in which sources first appear in the ranking (of each group)."""
+    outer = [group] if group else []
+    w = Window.partitionBy(*outer, source)
     rows = rows.withColumn("source_rank", F.row_number().over(w.orderBy(rank_column))).withColumn("first_rank", F.min(rank_column).over(w))
-    return rows.orderBy("source_rank", "first_rank").limit(limit)
+    if not group:
+        return rows.orderBy("source_rank", "first_rank").limit(limit)
+    place = Window.partitionBy(group).orderBy("source_rank", "first_rank")
+    return rows.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= limit)

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from lodestream.functions import numbers, text
 from lodestream.operators import retrieval as R
-from lodestream.sources.tables import CONTENT_SQL, ENGAGEMENT_SQL, FRESHNESS_SQL, NOW_SQL, SPAM_SQL, content, documents, engagement, norm_sql, now, rounded_sql, table, tokens_sql
+from lodestream.sources.scratch import materialise
+from lodestream.sources.tables import CONTENT_SQL, ENGAGEMENT_SQL, FRESHNESS_SQL, NOW_SQL, SPAM_SQL, content, documents, engagement, index_tokens_sql, norm_sql, now, rounded_sql, table, tokens_sql
 
 QUERY = R.Query(("the", "and", "in"))
 PHRASE = R.Query(("of", "the"), exact=True)
@@ -23,16 +24,17 @@ def _in(words, column: str) -> str:
 
 
 TOKENISED_SQL = f"""WITH {CONTENT_SQL}, tok AS (
-  SELECT *, list_concat(title_words, text_words) AS words FROM (SELECT *, {tokens_sql('title')} AS title_words, {tokens_sql('text')} AS text_words FROM content)
-), stats AS (SELECT count(*) AS n_docs, avg(2 * (len(title_words) + len(text_words))) AS avgdl FROM tok
+  SELECT *, list_concat(title_words, text_words, {tokens_sql('handle')}, {tokens_sql("array_to_string(hashtags, ' ')")}) AS words, 2 * (len(title_index) + len(text_index) + len(author_index)) AS dl
+  FROM (SELECT *, {tokens_sql('title')} AS title_words, {tokens_sql('text')} AS text_words, {index_tokens_sql('title')} AS title_index, {index_tokens_sql('text')} AS text_index, {index_tokens_sql('handle')} AS author_index FROM content)
+), stats AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM tok
 ), each AS (
-  SELECT item_id, unnest(title_words) AS term, 8.0 AS weight FROM tok UNION ALL SELECT item_id, unnest(text_words), 2.0 FROM tok
-), posted AS (
-  SELECT e.item_id, term, sum(weight) AS tf, any_value(2 * (len(title_words) + len(text_words))) AS dl FROM each e JOIN tok USING (item_id) GROUP BY 1, 2
+  SELECT item_id, dl, unnest(title_index) AS term, 8.0 AS weight FROM tok UNION ALL SELECT item_id, dl, unnest(text_index), 2.0 FROM tok UNION ALL SELECT item_id, dl, unnest(author_index), 1.0 FROM tok
+), posted AS (SELECT item_id, term, sum(weight) AS tf, any_value(dl) AS dl FROM each GROUP BY 1, 2
 ), df AS (SELECT term, count(*) AS df FROM posted GROUP BY 1)"""
 BM25_PART = "greatest(1e-6, ln((n_docs - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))"
 _W = QUERY.distinct
 _SEEN = ", ".join(f"max(pos) FILTER (WHERE term = '{w}') OVER (PARTITION BY item_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS p{i}" for i, w in enumerate(_W))
+_MATCHED = f"list_filter({list(_W)}, lambda w: list_contains(words, w))"
 _FEATURES = f"""{TOKENISED_SQL}, score0 AS (
   SELECT item_id, sum({BM25_PART}) AS bm25 FROM posted JOIN df USING (term), stats WHERE term IN {_W} GROUP BY 1
 ), cand AS (
@@ -45,73 +47,171 @@ _FEATURES = f"""{TOKENISED_SQL}, score0 AS (
 ), feat AS (
   SELECT cand.*, {rounded_sql('coalesce(100 * bm25 / nullif(max(bm25) OVER (), 0), 0)', 2)} AS bm25_normalised,
     ({_in(_W, 'words')}) / {float(len(_W))} AS coverage, ({_in(_W, 'title_words')}) / {float(len(_W))} AS title_coverage, ({_in(_W, 'text_words')}) / {float(len(_W))} AS body_coverage,
-    contains(' ' || array_to_string(words, ' ') || ' ', ' {' '.join(_W)} ')::INT AS phrase,
-    contains(' ' || array_to_string(title_words, ' ') || ' ', ' {' '.join(_W)} ')::INT AS title_phrase, coalesce(proximity, 0) AS proximity
+    {', '.join(f"contains(' ' || array_to_string({c}, ' ') || ' ', ' {' '.join(_W)} ')::INT AS {n}" for c, n in (('words', 'phrase'), ('title_words', 'title_phrase'), ('text_words', 'body_phrase')))}, coalesce(proximity, 0) AS proximity
   FROM cand LEFT JOIN near USING (item_id)
 ), rel AS (
   SELECT *, {rounded_sql('least(100.0, 35 * coverage + 15 * title_coverage + 15 * phrase + 15 * title_phrase + 10 * proximity + bm25_normalised / 10)', 2)} AS relevance,
     {FRESHNESS_SQL} AS freshness, {ENGAGEMENT_SQL} AS engagement, {SPAM_SQL} AS spam FROM feat
 )"""
-RANK_SQL = f"""{_FEATURES}, scored AS (
-  SELECT *, {rounded_sql('greatest(0.0, least(100.0, ' + rounded_sql('0.35 * relevance', 4) + ' + ' + rounded_sql('pow(relevance / 100, 2.0)', 4) + ' * (' + rounded_sql('0.2 * freshness', 4) + ' + ' + rounded_sql('0.15 * engagement', 4) + ' + ' + rounded_sql('0.1 * 70.0', 4) + ' + ' + rounded_sql('0.1 * 100.0', 4) + ') - spam))', 2)} AS score FROM rel
-)
+
+
+def _score_sql(cross: str, novelty: str) -> dict[str, str]:
+    weighed = {k: rounded_sql(f"{w} * {x}", 4) for k, w, x in (("relevance", 0.35, "relevance"), ("freshness", 0.2, "freshness"), ("engagement", 0.15, "engagement"), ("source_confidence", 0.1, "70.0"), ("cross_source", 0.1, cross), ("novelty", 0.1, novelty))}
+    factor = rounded_sql("pow(relevance / 100, 2.0)", 4)
+    before = f"{weighed['relevance']} + {factor} * ({' + '.join(v for k, v in weighed.items() if k != 'relevance')})"
+    return {"score": rounded_sql(f"greatest(0.0, least(100.0, {before} - spam))", 2), "pre_penalty": rounded_sql(f"greatest(0.0, least(100.0, {before}))", 2), "factor": factor} | {f"w_{k}": v for k, v in weighed.items()}
+
+
+RANK_SQL = f"""{_FEATURES}, scored AS (SELECT *, {_score_sql('0.0', '100.0')['score']} AS score FROM rel)
 SELECT item_id, source, bm25_normalised, relevance, {rounded_sql('100 * proximity', 2)} AS proximity, freshness, engagement, spam, score
 FROM scored ORDER BY score DESC, relevance DESC, published_at DESC NULLS LAST, item_id DESC LIMIT 20"""
 
 
+def rank_explained_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking with copies told apart: cross-source weight, novelty, and how each score came about."""
+    ranked = R.rank(content(spark, sf_dir), QUERY, now(), engagement(), copies=text.content_fingerprint(F.col("title"), F.col("text")))
+    return ranked.withColumn("matched_terms", F.array_join("matched_terms", ","))
+
+
+_OWN = _score_sql("cross_source", "novelty")
+EXPLAINED_SQL = f"""{_FEATURES}, keyed AS (SELECT *, regexp_replace({norm_sql("title || ' ' || text")}, '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g') AS fp FROM rel
+), grp AS (SELECT fp, count(*) AS n, count(DISTINCT source) AS sources, arg_max(item_id, {{'p': coalesce(epoch_us(published_at), -4611686018427387904), 's': source, 'i': item_id}}) AS canonical FROM keyed GROUP BY fp HAVING count(*) > 1
+), sig AS (SELECT keyed.*, CASE WHEN n IS NULL OR sources <= 1 THEN 0.0 ELSE least(100.0, 40.0 + 20.0 * (sources - 2)) END AS cross_source, CASE WHEN n IS NULL OR item_id = canonical THEN 100.0 ELSE 40.0 END AS novelty FROM keyed LEFT JOIN grp USING (fp)
+), scored AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _OWN.items())} FROM sig)
+SELECT item_id, source, score, relevance, cross_source, novelty, spam, {', '.join(k for k in _OWN if k != 'score')}, array_to_string({_MATCHED}, ',') AS matched_terms
+FROM scored ORDER BY score DESC, relevance DESC, published_at DESC NULLS LAST, item_id DESC LIMIT 20"""
+
+
 def relevance_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.tokenised(content(spark, sf_dir))
-    found = R.candidates(rows, QUERY)
-    terms = spark.createDataFrame([(0, t) for t in QUERY.distinct], "query_id int, term string")
-    found = found.join(R.bm25(rows, terms).select("item_id", "bm25"), "item_id", "left")
-    found = found.join(F.broadcast(found.agg(F.max("bm25").alias("top"))))
-    norm = numbers.rounded(F.coalesce(F.try_divide(100 * F.col("bm25"), F.col("top")), F.lit(0.0)), 2)
-    features = R.relevance(QUERY, F.col("bm25_normalised"))
-    return found.withColumn("bm25_normalised", norm).select("item_id", "bm25_normalised", *(c.alias(k) for k, c in features.items()))
+    return R.evidence(content(spark, sf_dir), QUERY, []).withColumn("matched_terms", F.array_join("matched_terms", ","))
 
 
 FEATURES_SQL = f"""{_FEATURES}
 SELECT item_id, bm25_normalised, relevance, {', '.join(rounded_sql('100 * ' + c, 2) + ' AS ' + c for c in ('coverage', 'title_coverage', 'body_coverage', 'proximity'))},
-  100.0 * phrase AS phrase, 100.0 * title_phrase AS title_phrase FROM rel"""
+  100.0 * phrase AS phrase, 100.0 * title_phrase AS title_phrase, 100.0 * body_phrase AS body_phrase, 0.0 AS intent_exact, array_to_string({_MATCHED}, ',') AS matched_terms FROM rel"""
+
+
+def phrase_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An exact query is one term of the index: adjacent words within a column."""
+    found = R.bm25_of(materialise(R.index(content(spark, sf_dir), list(PHRASE.distinct)), "index"), PHRASE)
+    return found.select("item_id", numbers.rounded(F.col("bm25"), 6).alias("bm25"))
+
+
+def _phrases_sql(column: str) -> str:
+    a, b = PHRASE.words
+    return f"len(list_filter(range(1, len({column})), lambda i: {column}[i] = '{a}' AND {column}[i + 1] = '{b}'))"
+
+
+PHRASE_SQL = f"""{TOKENISED_SQL}, ph AS (SELECT item_id, dl, 8.0 * {_phrases_sql('title_index')} + 2.0 * {_phrases_sql('text_index')} + 1.0 * {_phrases_sql('author_index')} AS tf FROM tok
+), hit AS (SELECT *, (SELECT count(*) FROM ph WHERE tf > 0) AS df FROM ph WHERE tf > 0)
+SELECT item_id, {rounded_sql(BM25_PART, 6)} AS bm25 FROM hit, stats"""
 
 
 def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, term: the first three distinct words of each benchmark text."""
+    """query_id, term: the distinct words of each benchmark text."""
     b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.explode(F.slice(F.array_distinct(text.tokens(F.col("text"))), 1, 3)).alias("term"))
+    return b.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
 
 
 def bm25_multi_query_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = R.bm25(R.tokenised(documents(spark, sf_dir)), query_set(spark, sf_dir)).withColumn("bm25", numbers.rounded(F.col("bm25"), 6))
+    scored = R.bm25(content(spark, sf_dir), query_set(spark, sf_dir)).withColumn("bm25", numbers.rounded(F.col("bm25"), 6))
     w = Window.partitionBy("query_id").orderBy(F.col("bm25").desc(), F.col("item_id"))
     return scored.withColumn("rank", F.row_number().over(w)).filter("rank <= 10").select("query_id", "item_id", "bm25", "rank")
 
 
-MULTI_SQL = f"""{TOKENISED_SQL}, ordered AS (
-  SELECT item_id AS query_id, term, min(pos) AS first FROM (SELECT item_id, unnest(ws) AS term, generate_subscripts(ws, 1) AS pos FROM (SELECT item_id, {tokens_sql('text')} AS ws FROM benchmark)) GROUP BY 1, 2
-), qs AS (SELECT query_id, term FROM ordered QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY first) <= 3
+MULTI_SQL = f"""{TOKENISED_SQL}, qs AS (SELECT DISTINCT item_id AS query_id, strip_accents(unnest({tokens_sql('text')})) AS term FROM benchmark
 ), scored AS (
   SELECT query_id, item_id, {rounded_sql(f'sum({BM25_PART})', 6)} AS bm25 FROM posted JOIN df USING (term) JOIN qs USING (term), stats GROUP BY 1, 2
 )
 SELECT query_id, item_id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, item_id) AS rank FROM scored QUALIFY rank <= 10"""
 
+_BRANCHES = {"phrase": PHRASE, "enough_words": QUERY, "url": R.Query(("example", "net"), intent="url", normalised="example.net"), "handle": R.Query(("src3",), intent="handle")}
+
 
 def candidate_match_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How each item fares under the phrase, word-count, url and all-words branches."""
-    rows = R.tokenised(content(spark, sf_dir))
-    words = F.array(*map(F.lit, QUERY.distinct))
-    return rows.select(
-        "item_id",
-        text.contains_run(F.col("words"), PHRASE.array()).alias("phrase"),
-        (F.size(F.array_intersect("words", words)) >= QUERY.required).alias("enough_words"),
-        F.contains(text.normalise(F.col("canonical_url")), F.lit("example.net")).alias("url"),
-        (F.size(F.array_except(words, "words")) == 0).alias("all_words"),
-    )
+    """How each item fares as a candidate of a phrase, of words, of a url and of a handle query, and whether it holds all words."""
+    words = [w for q in _BRANCHES.values() for w in q.distinct]
+    rows = R.index(content(spark, sf_dir), words, ["handle", "hashtags", "canonical_url"])
+    every = F.size(F.array_except(F.array(*map(F.lit, QUERY.distinct)), F.transform("hits", lambda h: h["term"]))) == 0
+    return rows.select("item_id", *(R.matches(q).alias(k) for k, q in _BRANCHES.items()), every.alias("all_words"))
 
 
 MATCH_SQL = f"""{TOKENISED_SQL}
 SELECT item_id, contains(' ' || array_to_string(words, ' ') || ' ', ' of the ') AS phrase, {_in(_W, 'words')} >= {QUERY.required} AS enough_words,
-  contains({norm_sql('canonical_url')}, 'example.net') AS url, {_in(_W, 'words')} = {len(_W)} AS all_words FROM tok"""
+  contains({norm_sql('canonical_url')}, 'example.net') AS url, handle = '@src3' AS handle, {_in(_W, 'words')} = {len(_W)} AS all_words FROM tok"""
+
+#: A small corpus in other scripts and widths, with tags, handles and links (query_fixture and normalise_fixture say what becomes of it).
+POSTS = [
+    (1, "#Ｐython release", "Read the #ﬁne notes at https://example.org/a", "@Core", ["Python"], "https://example.org/Python/"),
+    (2, "قِصَّة جديدة", "نص عن #تقنية والأمن ٢٠٢٤", "@أخبار", ["تقنية"], "https://example.org/ar"),
+    (3, "Straße und Café", "Die STRASSE am Caf\u00e9 ist zu", "@DE", None, "https://example.org/de?utm_source=x"),
+    (4, None, "no title here #Python", "@core_team", [], "https://example.net/x"),
+]
+_POST_SCHEMA = "item_id long, title string, text string, handle string, hashtags array<string>, canonical_url string"
+_POST_QUERIES = {
+    "hashtag": R.Query(("python",), intent="hashtag"), "handle": R.Query(("core",), intent="handle"), "url": R.Query(("example", "net"), intent="url", normalised="example.net/x"),
+    "phrase": R.Query(("strasse", "am"), exact=True), "words": R.Query(("strasse", "café", "die", "ist")), "arabic": R.Query(("تقنيه", "2024")),
+}
+
+
+def match_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the fixture's posts each kind of query takes as a candidate, and the exactness of its intent."""
+    rows = spark.createDataFrame(POSTS, _POST_SCHEMA)
+    rows = rows.withColumn("literal_tags", R.literal_tags(F.col("title"), F.col("text")))
+    words = sorted({w for q in _POST_QUERIES.values() for w in q.distinct})
+    indexed = materialise(R.index(rows, words, ["handle", "hashtags", "canonical_url", "literal_tags"]), "fixture")
+    out = None
+    for kind, q in _POST_QUERIES.items():
+        f = R.relevance(q, F.lit(0.0))
+        one = indexed.filter(R.matches(q)).select(F.lit(kind).alias("kind"), "item_id", f["relevance"].alias("relevance"), f["intent_exact"].alias("intent_exact"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+MATCH_FIXTURE_SQL = """SELECT * FROM (VALUES ('hashtag', 1, 100.0, 100.0), ('hashtag', 4, 60.0, 0.0), ('handle', 1, 70.0, 100.0), ('url', 4, 10.0, 100.0), ('phrase', 3, 67.5, 0.0), ('words', 3, 50.5, 0.0), ('arabic', 2, 41.67, 0.0)) t(kind, item_id, relevance, intent_exact)"""
+
+
+def normalise_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compatibility form, case folding, Arabic letters and digits, marks and control characters, on texts that need each."""
+    rows = spark.createDataFrame([(k, x) for k, (x, *_) in enumerate(_NORMAL)], "id long, x string")
+    return rows.select("id", text.normalise(F.col("x")).alias("normal"), F.array_join(text.tokens(F.col("x")), "|").alias("words"), F.array_join(text.index_tokens(F.col("x")), "|").alias("index_words"), text.language(F.col("x")).alias("detected"))
+
+
+#: text, normal form, words, words of the index, language
+_NORMAL = [
+    ("Ｆｕｌｌ　Ｗｉｄｔｈ ①②", "full width 12", "full|width|12", "full|width|12", "en"),
+    ("ﬁne ﬂow ½ x²", "fine flow 1⁄2 x2", "fine|flow|1|2|x2", "fine|flow|1|2|x2", "en"),
+    ("STRASSE Straße ẞ", "strasse strasse ss", "strasse|strasse|ss", "strasse|strasse|ss", "en"),
+    ("Ὀδυσσεύς ΟΔΟΣ", "ὀδυσσεύσ οδοσ", "ὀδυσσεύσ|οδοσ", "ὀδυσσεύσ|οδοσ", "en"),
+    ("قِصَّةٌ إلى أحمد ٢٠٢٤ ۱۲", "قصه الي احمد 2024 12", "قصه|الي|احمد|2024|12", "قصه|الي|احمد|2024|12", "ar"),
+    ("e\u0301te\u0301 Été", "été été", "été|été", "ete|ete", "en"),
+    ("zero\u200bwidth \u202eturn\u202c", "zerowidth turn", "zerowidth|turn", "zerowidth|turn", "en"),
+    ("  12 !! \t", "12 !!", "12", "12", "und"),
+]
+NORMALISE_FIXTURE_SQL = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join([str(k), *(f"'{x}'" for x in row[1:])]) + ")" for k, row in enumerate(_NORMAL)) + ") t(id, normal, words, index_words, detected)"
+
+
+def query_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intent, class and words of queries of every kind."""
+    rows = spark.createDataFrame([(k, q[0]) for k, q in enumerate(_QUERIES)], "id long, q string")
+    p = text.query_intent(F.col("q"))
+    return rows.select("id", p["intent"].alias("intent"), p["exact"].alias("exact"), p["class"].alias("class"), F.array_join(p["tokens"], "|").alias("words"), text.article_variant(p["tokens"]).alias("variant"))
+
+
+#: query, intent, exact, class, words, variant without Arabic articles
+_QUERIES = [
+    ("#OpenData", "hashtag", False, "HASHTAG", "opendata", "opendata"),
+    ("@someone", "handle", False, "HANDLE", "someone", "someone"),
+    ("https://example.org/a", "url", False, "URL", "https|example|org|a", "https example org a"),
+    ("example.org/path", "url", False, "URL", "example|org|path", "example org path"),
+    ('"climate policy"', "exact_phrase", True, "EXACT_PHRASE", "climate|policy", "climate policy"),
+    ("OpenAI تقنية", "mixed_language", False, "MIXED_LANGUAGE", "openai|تقنيه", "openai تقنيه"),
+    ("rust", "keywords", False, "SHORT_AMBIGUOUS", "rust", "rust"),
+    ("World Health Organization", "organization_phrase", False, "RARE_ENTITY", "world|health|organization", "world health organization"),
+    ("how to bake bread", "keywords", False, "MULTI_TERM_TOPIC", "how|to|bake|bread", "how to bake bread"),
+    ("الاقتصاد الرقمي", "keywords", False, "MULTI_TERM_TOPIC", "الاقتصاد|الرقمي", "اقتصاد رقمي"),
+]
+QUERY_FIXTURE_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{i}', {str(e).lower()}, '{c}', '{w}', '{v}')" for k, (_, i, e, c, w, v) in enumerate(_QUERIES)) + ") t(id, intent, exact, class, words, variant)"
 
 
 def filter_time_language_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,21 +288,27 @@ SELECT item_id, CASE WHEN b > 0 THEN '...' ELSE '' END || trim(substr(flat, b +
 
 
 def intent_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query class, identifier flags and script shares of the query set."""
-    b = table(spark, sf_dir, "benchmark").withColumn("q", F.array_join(F.slice(F.split("text", " "), 1, 3), " "))
-    flags = [text.has_identifier(F.col("q"), k).alias(k) for k in ("cve", "year", "hashtag", "domain")]
-    return b.select("item_id", "q", text.query_class(F.col("q")).alias("query_class"), *flags)
+    """Intent, class and identifier flags of the query set, whole texts."""
+    b = table(spark, sf_dir, "benchmark")
+    flags = [text.has_identifier(F.col("text"), k).alias(k) for k in ("cve", "year", "hashtag", "domain")]
+    p = text.query_intent(F.col("text"))
+    return b.select("item_id", p["intent"].alias("intent"), p["class"].alias("query_class"), F.size(p["tokens"]).alias("n_words"), *flags)
 
 
-INTENT_SQL = r"""SELECT item_id, q, CASE WHEN starts_with(trim(q), '#') THEN 'HASHTAG' WHEN starts_with(trim(q), '@') THEN 'HANDLE' WHEN regexp_matches(trim(q), '^https?://') THEN 'URL'
-    WHEN regexp_matches(trim(q), '^".*"$') THEN 'EXACT_PHRASE'
-    WHEN len(ws) = 1 AND length(trim(q)) <= 4 THEN 'SHORT_AMBIGUOUS' WHEN len(ws) <= 2 AND regexp_matches(q, '[A-Z0-9-]') THEN 'RARE_ENTITY' ELSE 'MULTI_TERM_TOPIC' END AS query_class,
-  regexp_matches(q, '(?i)\bCVE-[0-9]{4}-[0-9]{4,}\b') AS cve, regexp_matches(q, '\b(19|20)[0-9]{2}\b') AS year, regexp_matches(q, '(^| )#[\p{L}\p{N}_]+') AS hashtag,
-  regexp_matches(q, '\b[a-z0-9-]+(\.[a-z0-9-]+)*\.(com|org|net|io|dev)\b') AS domain
-FROM (SELECT item_id, q, """ + tokens_sql("q") + " AS ws FROM (SELECT item_id, array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') AS q FROM benchmark))"
+INTENT_SQL = r"""SELECT item_id, intent, CASE intent WHEN 'hashtag' THEN 'HASHTAG' WHEN 'handle' THEN 'HANDLE' WHEN 'url' THEN 'URL' WHEN 'exact_phrase' THEN 'EXACT_PHRASE' ELSE CASE WHEN len(ws) = 1 THEN 'SHORT_AMBIGUOUS' WHEN intent = 'organization_phrase' THEN 'RARE_ENTITY' ELSE 'MULTI_TERM_TOPIC' END END AS query_class, len(ws)::INT AS n_words,
+  regexp_matches(text, '(?i)\bCVE-[0-9]{4}-[0-9]{4,}\b') AS cve, regexp_matches(text, '\b(19|20)[0-9]{2}\b') AS year, regexp_matches(text, '(^| )#[\p{L}\p{N}_]+') AS hashtag,
+  regexp_matches(text, '\b[a-z0-9-]+(\.[a-z0-9-]+)*\.(com|org|net|io|dev)\b') AS domain
+FROM (SELECT item_id, text, ws, CASE WHEN starts_with(trim(text), '#') AND len(ws) > 0 THEN 'hashtag' WHEN starts_with(trim(text), '@') AND len(ws) > 0 THEN 'handle' WHEN regexp_matches(trim(text), '(?i)^https?://|^[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}(?:/|$)') THEN 'url'
+  WHEN regexp_matches(trim(text), '^".*"$') THEN 'exact_phrase' WHEN len(ws) BETWEEN 2 AND 5 AND regexp_matches(text, '\p{Lu}') THEN 'organization_phrase' ELSE 'keywords' END AS intent
+  FROM (SELECT item_id, text, list_distinct(""" + tokens_sql("text") + """) AS ws FROM benchmark))"""
 
 QUERIES = {
     "rank_lexical_top20": (rank_lexical_top20, RANK_SQL),
+    "rank_explained_top20": (rank_explained_top20, EXPLAINED_SQL),
+    "phrase_bm25": (phrase_bm25, PHRASE_SQL),
+    "match_fixture": (match_fixture, MATCH_FIXTURE_SQL),
+    "normalise_fixture": (normalise_fixture, NORMALISE_FIXTURE_SQL),
+    "query_fixture": (query_fixture, QUERY_FIXTURE_SQL),
     "relevance_features": (relevance_features, FEATURES_SQL),
     "bm25_multi_query_topk": (bm25_multi_query_topk, MULTI_SQL),
     "candidate_match_branches": (candidate_match_branches, MATCH_SQL),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.functions import numbers
+from lodestream.functions import numbers, text
 
 NOW = "2024-02-01 00:00:00"
 
@@ -14,13 +14,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Scanned rows over all cores, where their files are too few to split; a table of many files stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < 2 * cores else rows
+
+
 def now():
     return F.lit(NOW).cast("timestamp_ntz")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, source, language, title (first line), text."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return d.select(F.col("doc_id").alias("item_id"), "source", F.col("lang").alias("language"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), "text")
 
 
@@ -33,7 +39,8 @@ def content(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("item_id"), "url")
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("item_id"), F.col("ts").alias("published_at"), F.col("value").alias("like_value"), F.get_json_object("props", "$.k").cast("int").alias("k"))
     base = documents(spark, sf_dir).join(pages, "item_id", "left").join(events, "item_id", "left")
-    return base.withColumn("canonical_url", F.coalesce("url", F.concat(F.lit("https://example.org/doc/"), F.col("item_id").cast("string")))).drop("url")
+    url = F.coalesce("url", F.concat(F.lit("https://example.org/doc/"), F.col("item_id").cast("string")))
+    return base.withColumns({"canonical_url": url, "handle": F.concat(F.lit("@"), "source"), "hashtags": text.hashtags(F.col("text"))}).drop("url")
 
 
 def engagement():
@@ -45,7 +52,8 @@ def engagement():
 CONTENT_SQL = """content AS (
   SELECT d.doc_id AS item_id, d.source, d.lang AS language, split_part(d.text, chr(10), 1) AS title, d.text,
     coalesce(p.url, 'https://example.org/doc/' || d.doc_id) AS canonical_url, e.ts AS published_at, e.value AS like_value,
-    CAST(json_extract_string(e.props, '$.k') AS INTEGER) AS k
+    CAST(json_extract_string(e.props, '$.k') AS INTEGER) AS k, '@' || d.source AS handle,
+    nullif(list_distinct(regexp_extract_all(' ' || d.text, '[^\\p{L}\\p{N}_]#([\\p{L}\\p{N}_]+)', 1)), []) AS hashtags
   FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id LEFT JOIN events e ON e.event_id = d.doc_id
 )"""
 NOW_SQL = f"TIMESTAMP '{NOW}'"
@@ -59,6 +67,10 @@ def tokens_sql(x: str) -> str:
     return f"regexp_extract_all({norm_sql(x)}, '[\\p{{L}}\\p{{N}}_]+')"
 
 
+def index_tokens_sql(x: str) -> str:
+    return f"regexp_extract_all(strip_accents({norm_sql(x)}), '[\\p{{L}}\\p{{N}}_]+')"
+
+
 def rounded_sql(x: str, digits: int) -> str:
     return f"(floor(({x}) * {10**digits} + 0.5) / {10**digits})"
 

@@ -33,7 +33,7 @@ def test_candidates_need_the_phrase_or_enough_words(spark):
 
 def test_bm25_prefers_title_and_rare_terms(spark):
     docs = [(k, "x", "common " * 5) for k in range(8)] + [(8, "rare", "common"), (9, "x", "rare common common common")]
-    found = retrieval.bm25(retrieval.tokenised(spark.createDataFrame(docs, "item_id int, title string, text string")), spark.createDataFrame([(0, "rare"), (0, "common")], "query_id int, term string"))
+    found = retrieval.bm25(spark.createDataFrame(docs, "item_id int, title string, text string"), spark.createDataFrame([(0, "rare"), (0, "common")], "query_id int, term string"))
     best = [r.item_id for r in found.orderBy(F.col("bm25").desc()).collect()]
     assert best[:2] == [8, 9] and len(best) == 10
 

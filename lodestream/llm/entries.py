@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from lodestream.llm import bpe, chat_format, decontaminate, fingerprints, line_dedup, minhash, secret_scan, token_shards, toxicity, url_filter
 from lodestream.llm.common import table
+from lodestream.sources.tables import spread
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def control_conversation(spark: SparkSession) -> DataFrame:
@@ -21,15 +26,15 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
+    return fingerprints.compare_edits(corpus(spark, sf_dir))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.summary(secret_scan.scan(table(spark, sf_dir, "documents")))
+    return secret_scan.summary(secret_scan.scan(corpus(spark, sf_dir)))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(corpus(spark, sf_dir))
 
 
 OP4_SQL = r"""
@@ -51,11 +56,11 @@ SELECT s.doc_id, CAST(len(items) AS BIGINT) AS n_shingles, component_id, s.doc_i
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"))
+    return bpe.round_trip(corpus(spark, sf_dir))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.overlaps(corpus(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def tracked(pages: DataFrame) -> DataFrame:
@@ -87,7 +92,7 @@ FROM k LEFT JOIN fit ON k.page_id = fit.page_id LEFT JOIN listed ON k.key = list
 """
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.remove_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    cleaned = line_dedup.remove_lines(corpus(spark, sf_dir).select("doc_id", "source", "text"))
     return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -107,11 +112,11 @@ SELECT doc_id, n_lines, n_removed, CAST(length(text) AS BIGINT) AS kept_chars, s
 
 
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_shards.shards(table(spark, sf_dir, "documents"))
+    return token_shards.shards(corpus(spark, sf_dir))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = corpus(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 

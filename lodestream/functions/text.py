@@ -38,18 +38,18 @@ def normalise_arabic(x: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def normalise_exact(s: pd.Series) -> pd.Series:
-    """Compatibility form without control characters, digits and Arabic letters folded, case folded, white space collapsed; null stays."""
+    """Compatibility form without control characters, digits and Arabic letters folded, case folded, white space collapsed; null is empty."""
     controls = regex.compile(CONTROLS.encode().decode("unicode_escape"))
     marks = regex.compile(DIACRITICS.encode().decode("unicode_escape"))
     table = str.maketrans(dict(zip(ARABIC_FROM, ARABIC_TO)) | {"ـ": None} | dict(zip(DIGITS_FROM, DIGITS_TO)))
 
     def one(x: str | None) -> str | None:
-        if x is None:
-            return None
+        if not x:
+            return ""
         x = controls.sub("", unicodedata.normalize("NFKC", x)).strip()
         return " ".join(marks.sub("", x).translate(table).casefold().split())
 
-    return s.map(one, na_action="ignore")
+    return s.map(one)
 
 
 def folded(x: Column) -> Column:

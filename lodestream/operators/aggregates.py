@@ -9,16 +9,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestream.functions import text
 from lodestream.functions.numbers import rounded
+from lodestream.sources.scratch import materialise
 
-#: Words that say nothing about a topic, in the corpus's languages.
-STOPWORDS = ["the", "and", "for", "that", "with", "this", "from", "was", "are", "der", "die", "das", "und", "que", "los", "las", "les", "des", "est"]
+#: Words that say nothing about a topic (fixed values): English, and normalised Arabic ones.
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "been", "by", "for", "from", "has", "have", "in", "is", "it", "its", "of", "on", "or", "that", "the", "this", "to", "was", "were", "will", "with",
+    "اذ", "اذا", "الى", "ان", "او", "اي", "بها", "به", "بين", "تلك", "ثم", "هذا", "هذه", "ذلك", "عن", "علي", "في", "كان", "كما", "لا", "ما", "مع", "من", "هو", "هي", "و", "يا",
+]
+URL = r"(?i)https?://\S+|www\.\S+"
+#: Steps of time buckets by name, in seconds, and each scope's days, step and number of buckets (fixed values).
+STEPS = {"15m": 900, "1h": 3600, "6h": 21600, "24h": 86400}
+SCOPES = {"24h": (1, "1h", 24), "7d": (7, "6h", 28), "30d": (30, "24h", 30), "all": (None, "1h", 24)}
 
 
 def counts(rows: DataFrame, *columns: str) -> DataFrame:
-    """One count per value of each column, as (dimension, value, n): a single pass by GROUPING SETS."""
-    long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in columns))).alias("d"))
-    return long.groupBy("d.dimension", "d.value").agg(F.count(F.lit(1)).alias("n"))
+    """One count per value of each column, as (dimension, value, n): a single pass by grouping sets."""
+    sets = [[c] for c in columns]
+    grouped = rows.groupingSets(sets, *columns).agg(F.count(F.lit(1)).alias("n"), *(F.grouping(c).alias(f"_{c}") for c in columns))
+    dimension = F.coalesce(*(F.when(F.col(f"_{c}") == 0, F.lit(c)) for c in columns))
+    value = F.coalesce(*(F.when(F.col(f"_{c}") == 0, F.col(c).cast("string")) for c in columns))
+    return grouped.select(dimension.alias("dimension"), value.alias("value"), "n")
 
 
 def time_buckets(rows: DataFrame, at: str, start: Column, end: Column, n: int) -> DataFrame:
@@ -63,9 +75,60 @@ def related_terms(rows: DataFrame, words: Column, k: int = 12, skip: list[str] =
     return terms.orderBy(F.col("n_docs").desc(), "term").limit(k)
 
 
+def snapshot(items: DataFrame, now: Column, scope: str = "all", query_words: list[str] | None = None) -> DataFrame:
+    """An analytics snapshot as rows (key, label, value).
+
+    items: item_id, source, category, language, title, text, canonical_url,
+    published_at, fetched_at, score, engagement, reach (both null without
+    metrics), hashtags, mentions.  The scope filters by fetch time and sets the
+    buckets; for "all" their step spans the published times.  Ties among terms
+    and marks are decided by name.
+    """
+    days, step, n = SCOPES[scope]
+    rows = items if days is None else items.filter(F.col("fetched_at") >= now - F.expr(f"INTERVAL {days} DAYS"))
+    words = text.tokens(F.regexp_replace(F.concat_ws(" ", "title", "text"), URL, " "))
+    skip = sorted({*STOPWORDS, *(query_words or [])})
+    words = F.filter(F.array_distinct(words), lambda w: (F.length(w) > 2) & ~w.isin(skip))
+    light = [c for c in rows.columns if c not in ("title", "text")]
+    rows = materialise(rows.select(*light, words.alias("words")), "snapshot")  # one pass over the texts
+    social, news = rows.filter("category = 'social'"), rows.filter("category = 'news'")
+    value = lambda key, x: F.struct(F.lit(key).alias("key"), F.lit("").alias("label"), x.cast("double").alias("value"))
+    is_social = F.col("category") == "social"
+    one = rows.agg(
+        F.array(
+            value("total_results", F.count(F.lit(1))), value("unique_results", F.countDistinct("canonical_url")), value("source_count", F.countDistinct("source")),
+            value("duplicate_count", F.count(F.lit(1)) - F.countDistinct("canonical_url")), value("average_score", rounded(F.coalesce(F.avg("score"), F.lit(0.0)), 2)), value("scored_record_count", F.count("score")),
+            value("platform_diversity", F.countDistinct(F.when(is_social, F.col("source")))), value("average_social_reach", rounded(F.avg(F.when(is_social, F.col("reach"))), 2)),
+        ).alias("v")
+    ).select(F.explode("v").alias("v")).select("v.*")
+    parts = [one]
+    label = lambda frame, key, name, number: frame.select(F.lit(key).alias("key"), F.col(name).cast("string").alias("label"), F.col(number).cast("double").alias("value"))
+    named = {"source": "platform_distribution", "category": "category_distribution", "language": "language_distribution"}
+    by = counts(rows, *named)
+    parts.append(by.select(F.coalesce(*(F.when(F.col("dimension") == d, F.lit(k)) for d, k in named.items())).alias("key"), F.col("value").alias("label"), F.col("n").cast("double").alias("value")))
+    parts.append(label(counts(social, "source"), "social_source_distribution", "value", "n"))
+    parts.append(label(score_histogram(rows.filter("score is not null"), "score").filter("n > 0"), "score_distribution", "band", "n"))
+    parts.append(label(age_distribution(rows, "published_at", now), "publication_time_distribution", "age", "n"))
+    parts.append(label(related_terms(rows, F.col("words"), skip=[]), "top_related_terms", "term", "n_docs"))
+    for key, column in (("top_hashtags", "hashtags"), ("top_mentioned_accounts", "mentions")):
+        parts.append(label(top_marks(social, F.filter(F.coalesce(column, F.array().cast("array<string>")), lambda t: F.trim(t) != "")), key, "mark", "n"))
+    first = rows.agg(F.min("published_at").alias("first"))  # one row
+    for prefix, part in (("", rows), ("social_", social), ("news_", news)):
+        dated = part.filter("published_at is not null").select("published_at")
+        start = F.col("first") if days is None else now - F.expr(f"INTERVAL {STEPS[step] * n} SECONDS")
+        buckets = time_buckets(dated.join(F.broadcast(first)), "published_at", start, now, n)
+        buckets = materialise(buckets, "buckets")  # n rows
+        parts.append(label(buckets, f"{prefix}mentions_over_time", "bucket", "n_rows"))
+        parts.append(trend(buckets, n).select(F.lit(f"{prefix}trend_percent").alias("key"), F.lit("").alias("label"), F.col("trend").alias("value")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def top_marks(rows: DataFrame, marks: Column, k: int = 12) -> DataFrame:
-    """The k most frequent marks (hashtags, mentions), every occurrence counted."""
-    found = rows.select(F.explode(F.transform(marks, F.lower)).alias("mark")).groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
+    """The k most frequent marks (hashtags, mentions), every occurrence counted; ties by name."""
+    found = rows.select(F.explode(F.transform(marks, lambda m: F.replace(F.lower(m), F.lit("ß"), F.lit("ss")))).alias("mark")).groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
     return found.orderBy(F.col("n").desc(), "mark").limit(k)
 
 
@@ -81,6 +144,41 @@ def spread(rows: DataFrame, by: str, value: str) -> DataFrame:
     return rows.groupBy(by).agg(rounded(F.stddev_pop(value), 3).alias("deviation"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"))
 
 
+def component_stats(rows: DataFrame, columns: list[str], shares=(0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
+    """Per column: count, mean, deviation, and nearest-lower percentiles: the value at place floor(share x (n - 1)).
+
+    Places come from a rank within each column's own ordered values, so a
+    column is never collected.
+    """
+    long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("component"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select("x.*").filter("v is not null")
+    distinct = long.groupBy("component", "v").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("component").orderBy("v")
+    upto = distinct.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    total = long.groupBy("component").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("v"), 3).alias("mean"), rounded(F.stddev_pop("v"), 3).alias("deviation"))
+    placed = upto.join(total, "component")
+    least = lambda q: F.min(F.when(F.col("upto") > F.floor(F.lit(q) * (F.col("n") - 1)), F.col("v")))
+    return placed.groupBy("component", "n", "mean", "deviation").agg(*(rounded(least(q), 3).alias(f"p{round(100 * q)}") for q in shares))
+
+
+def size_distribution(rows: DataFrame, group: str) -> DataFrame:
+    """How many groups have each size."""
+    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("n_groups"))
+
+
+def unique_identities(rows: DataFrame, group: Column, item: Column) -> DataFrame:
+    """One row: distinct groups, an item without one counting for itself."""
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(F.coalesce(group.cast("string"), F.concat(F.lit("item:"), item.cast("string")))).alias("n_unique"))
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """name, n of each table."""
+    out = None
+    for name, rows in tables.items():
+        one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def funnel(parts: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     """One row per key with the count of each stage; a key that a stage lacks counts 0 there."""
     tagged = None

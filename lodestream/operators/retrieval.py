@@ -196,7 +196,7 @@ def bm25_of(indexed: DataFrame, query: Query) -> DataFrame:
         tf = sum((first(F.lit(2 * w)) * (2 * w) for w in COLUMN_WEIGHTS.values()), F.lit(0.0))
         posted = indexed.select("item_id", F.lit("").alias("term"), tf.alias("tf"), "dl").filter("tf > 0")
     else:
-        posted = frequencies(indexed)
+        posted = frequencies(indexed).filter(F.col("term").isin(words))
     df = document_frequency(posted).join(F.broadcast(collection(indexed)))
     # a row for each of the query's words
     return posted.join(F.broadcast(df), "term").groupBy("item_id").agg(F.sum(_part(_idf(F.col("df")))).alias("bm25"))

@@ -65,17 +65,22 @@ WHERE length(term) > 2 AND term NOT IN ({_SKIP}) GROUP BY 1 ORDER BY 2 DESC, 1 L
 
 
 def top_hashtags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = F.regexp_extract_all("text", F.lit(r"#([\p{L}\p{N}_]+)"), F.lit(1))
-    return A.top_marks(documents(spark, sf_dir), marks)
+    """Marks in texts to which every document adds three of its own making: two tags, one in capitals, and a mention."""
+    made = F.concat_ws(" ", "text", F.concat(F.lit("#Topic"), (F.col("item_id") % 23).cast("string")), F.concat(F.lit("#"), F.upper("language")), F.concat(F.lit("@"), "source"))
+    rows = documents(spark, sf_dir).select(made.alias("text"))
+    tags = A.top_marks(rows, text.hashtags(F.col("text"))).select(F.lit("hashtag").alias("kind"), "mark", "n")
+    return tags.unionByName(A.top_marks(rows, text.mentions(F.col("text"))).select(F.lit("mention").alias("kind"), "mark", "n"))
 
 
-HASHTAG_SQL = r"""SELECT lower(mark) AS mark, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '#([\p{L}\p{N}_]+)', 1)) AS mark FROM documents) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12"""
+HASHTAG_SQL = r"""WITH d AS (SELECT ' ' || text || ' #Topic' || (doc_id % 23) || ' #' || upper(lang) || ' @' || source AS text FROM documents
+), h AS (SELECT lower(unnest(list_distinct(regexp_extract_all(text, '[^\p{L}\p{N}_]#([\p{L}\p{N}_]+)', 1)))) AS mark FROM d), m AS (SELECT lower(unnest(list_distinct(regexp_extract_all(text, '[^\p{L}\p{N}_]@([\p{L}\p{N}_.-]+)', 1)))) AS mark FROM d)
+SELECT * FROM (SELECT 'hashtag' AS kind, mark, count(*) AS n FROM h GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 12) UNION ALL SELECT * FROM (SELECT 'mention', mark, count(*) FROM m GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 12)"""
 
 
 def engagement_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = content(spark, sf_dir).select("item_id", "source", engagement().alias("engagement"))
     per = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("engagement"), 4).alias("mean"), F.max("engagement").alias("high"))
-    return per.withColumn("reach", rounded(F.least(F.lit(100.0), 0.8 * F.col("mean") + 0.2 * 100 * (1 - F.exp(F.lit(-1.0)))), 2))
+    return per.withColumn("reach", numbers.social_reach(F.lit("mastodon"), F.col("mean"), F.lit(3)))
 
 
 ENGAGED_SQL = f"""WITH {CONTENT_SQL}, e AS (SELECT source, {ENGAGEMENT_SQL} AS engagement FROM content), p AS (SELECT source, count(*) AS n, {rounded_sql('avg(engagement)', 4)} AS mean, max(engagement) AS high FROM e GROUP BY 1)
@@ -121,9 +126,8 @@ FROM events GROUP BY 1, 2"""
 def grouping_sets_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judged quality by language, by source and overall: one pass, three grouping sets."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    d.join(table(spark, sf_dir, "labels"), "doc_id").createOrReplaceTempView("judged_documents")
-    return spark.sql("""SELECT lang, source, count(*) AS n, sum(quality) AS good, sum(toxic) AS toxic, floor(avg(quality) * 10000 + 0.5) / 10000 AS rate
-      FROM judged_documents GROUP BY GROUPING SETS ((lang), (source), ())""")
+    rows = d.join(table(spark, sf_dir, "labels"), "doc_id").groupingSets([["lang"], ["source"], []], "lang", "source")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("good"), F.sum("toxic").alias("toxic"), rounded(F.avg("quality"), 4).alias("rate"))
 
 
 SLICES_SQL = """SELECT lang, source, count(*) AS n, sum(quality) AS good, sum(toxic) AS toxic, floor(avg(quality) * 10000 + 0.5) / 10000 AS rate
@@ -144,18 +148,25 @@ COMPLETE_SQL = f"""WITH {CONTENT_SQL}, s AS (SELECT item_id, {SPAM_SQL} AS spam,
 SELECT *, CASE WHEN completeness >= 0.75 THEN 'RICH' WHEN completeness >= 0.45 THEN 'MODERATE' ELSE 'SPARSE' END AS level FROM s"""
 
 
+QUOTAS, SAMPLE = {"en": 30, "de": 15}, 90
+
+
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sampling operator: quotas per language, then the rest of the quota from what is left."""
+    """A sampling operator: quotas per language, then what is left fills the sample, in order of id."""
     from pyspark.sql.window import Window
 
     rows = documents(spark, sf_dir).select("item_id", "language")
     w = Window.partitionBy("language").orderBy("item_id")
-    quota = F.when(F.col("language") == "en", 30).when(F.col("language") == "de", 15).otherwise(10)
-    return rows.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= quota)
+    quota = F.lit(10)
+    for language, n in QUOTAS.items():
+        quota = F.when(F.col("language") == language, n).otherwise(quota)
+    ranked = rows.withColumn("n", F.row_number().over(w)).withColumn("chosen", F.col("n") <= quota)
+    # the quotas' rows come first, so one bounded top k holds them and the fill
+    return ranked.orderBy(F.col("chosen").desc(), "item_id").limit(SAMPLE).select("item_id", "language", "n", "chosen")
 
 
-SAMPLE_SQL = """SELECT doc_id AS item_id, lang AS language, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents
-QUALIFY n <= CASE lang WHEN 'en' THEN 30 WHEN 'de' THEN 15 ELSE 10 END"""
+SAMPLE_SQL = f"""WITH r AS (SELECT doc_id AS item_id, lang AS language, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents), q AS (SELECT *, n <= CASE language WHEN 'en' THEN 30 WHEN 'de' THEN 15 ELSE 10 END AS chosen FROM r)
+SELECT * FROM q ORDER BY chosen DESC, item_id LIMIT {SAMPLE}"""
 
 
 def round_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestream.functions import numbers
+from lodestream.functions import numbers, text
 from lodestream.functions.numbers import rounded
 from lodestream.operators import metrics as M
 from lodestream.operators import retrieval as R
 from lodestream.operators import vectors as V
-from lodestream.sources.tables import CONTENT_SQL, FRESHNESS_SQL, content, now, rounded_sql, table
+from lodestream.plans.retrieval import BM25_PART, TOKENISED_SQL
+from lodestream.sources.scratch import materialise
+from lodestream.sources.tables import CONTENT_SQL, ENGAGEMENT_SQL, FRESHNESS_SQL, content, engagement, now, rounded_sql, table, tokens_sql
 
 #: The query set of searches: every vector whose id is divisible by 50, against all.
 EVERY = 50
@@ -30,85 +32,151 @@ COSINE_SQL = f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {r
 SELECT query_id, item_id, similarity, {rounded_sql('greatest(0.0, least(100.0, (similarity + 1) * 50))', 2)} AS score, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM s QUALIFY rank <= 10"""
 
 
-def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rankings of the items that have a vector: by freshness, and by similarity to vector 0."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
-    query = e.filter("item_id = 0").select(F.lit(-1).cast("long").alias("query_id"), "embedding")
-    near = V.top_k(query, e, 200).select("item_id", "similarity", F.col("rank").alias("semantic_rank"))
-    rows = content(spark, sf_dir).select("item_id", "source", numbers.freshness(F.col("published_at"), now()).alias("lexical")).join(near, "item_id")
-    return rows.withColumn("lexical_rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("lexical").desc(), "item_id")))
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set: every fiftieth vector with its document's first line."""
+    e = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    d = table(spark, sf_dir, "documents").filter(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
+    return e.join(d, "query_id", "left")
 
 
-_LISTS_SQL = f"""WITH {CONTENT_SQL}, near AS (
-  SELECT b.vec_id AS item_id, {rounded_sql(_COS, 6)} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id = 0
-), n2 AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, item_id) AS semantic_rank FROM near QUALIFY semantic_rank <= 200
-), lists AS (SELECT item_id, source, {FRESHNESS_SQL} AS lexical, similarity, semantic_rank FROM content JOIN n2 USING (item_id)
-), ranked AS (SELECT *, row_number() OVER (ORDER BY lexical DESC, item_id) AS lexical_rank FROM lists)"""
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rankings of all other items for each query: by BM25 of its title, and by similarity to its vector.
+
+    An item stands in the lists it has a score in.
+    """
+    queries = materialise(_queries(spark, sf_dir), "queries")
+    items = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    near = V.similarities(queries.select("query_id", "embedding"), items)
+    terms = queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("title")))).alias("term"))
+    found = R.bm25(content(spark, sf_dir), terms).filter("item_id <> query_id").withColumn("bm25", rounded(F.col("bm25"), 6))
+    rank = lambda by: F.row_number().over(Window.partitionBy("query_id").orderBy(F.col(by).desc(), "item_id"))
+    top = F.max("bm25").over(Window.partitionBy("query_id"))
+    lexical = found.select("query_id", "item_id", rounded(100 * F.col("bm25") / top, 2).alias("lexical"), rank("bm25").alias("lexical_rank"))
+    return lexical.join(near.select("query_id", "item_id", "similarity", rank("similarity").alias("semantic_rank")), ["query_id", "item_id"], "full_outer")
+
+
+_LISTS_SQL = f"""{TOKENISED_SQL}, qs AS (SELECT vec_id AS query_id, embedding, title FROM embeddings LEFT JOIN content ON item_id = vec_id WHERE vec_id % {EVERY} = 0
+), near AS (SELECT a.query_id, b.vec_id AS item_id, {rounded_sql(_COS, 6)} AS similarity FROM qs a JOIN embeddings b ON a.query_id <> b.vec_id
+), n2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS semantic_rank FROM near
+), qt AS (SELECT DISTINCT query_id, strip_accents(unnest({tokens_sql('title')})) AS term FROM qs
+), lx AS (SELECT query_id, item_id, {rounded_sql(f'sum({BM25_PART})', 6)} AS bm25 FROM posted JOIN df USING (term) JOIN qt USING (term), stats WHERE item_id <> query_id GROUP BY 1, 2
+), l2 AS (SELECT query_id, item_id, {rounded_sql('100 * bm25 / max(bm25) OVER (PARTITION BY query_id)', 2)} AS lexical, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, item_id) AS lexical_rank FROM lx
+), lists AS (SELECT * FROM l2 FULL JOIN n2 USING (query_id, item_id))"""
+_SEMANTIC = rounded_sql("greatest(0.0, least(100.0, (similarity + 1) * 50))", 2)
 
 
 def hybrid_rerank_fair20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty candidates interleaved over sources, re-ranked by the hybrid score."""
-    top = R.interleaved(_lists(spark, sf_dir), "source", "lexical_rank", 20)
-    parts = {"relevance": F.col("lexical"), "freshness": F.col("lexical"), "engagement": F.lit(0.0), "source_confidence": F.lit(70.0), "cross_source": F.lit(0.0), "novelty": F.lit(100.0)}
-    semantic = V.semantic_score(F.col("similarity"))
-    return top.select("item_id", "source_rank", "lexical", semantic.alias("semantic"), R.hybrid_score(parts, semantic, F.lit(0.0)).alias("score"))
+    """Twenty lexical candidates of each query, interleaved over sources, re-ranked by the hybrid score."""
+    rows = _lists(spark, sf_dir).filter("lexical_rank is not null").join(content(spark, sf_dir).select("item_id", "source", numbers.freshness(F.col("published_at"), now()).alias("freshness"), engagement().alias("engagement")), "item_id")
+    top = R.interleaved(rows, "source", "lexical_rank", 20, "query_id")
+    parts = {"relevance": F.col("lexical"), "freshness": F.col("freshness"), "engagement": F.col("engagement"), "source_confidence": F.lit(70.0), "cross_source": F.lit(0.0), "novelty": F.lit(100.0)}
+    semantic = F.coalesce(V.semantic_score(F.col("similarity")), F.col("lexical"))
+    return top.select("query_id", "item_id", "place", "source_rank", "lexical", semantic.alias("semantic"), R.hybrid_score(parts, semantic, F.lit(0.0)).alias("score"))
 
 
 _REL = rounded_sql("0.25 * lexical + 0.75 * semantic", 2)
-HYBRID_SQL = f"""{_LISTS_SQL}, w AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY lexical_rank) AS source_rank, min(lexical_rank) OVER (PARTITION BY source) AS first_rank FROM ranked
-), t AS (SELECT *, {rounded_sql('greatest(0.0, least(100.0, (similarity + 1) * 50))', 2)} AS semantic FROM w ORDER BY source_rank, first_rank LIMIT 20
+HYBRID_SQL = f"""{_LISTS_SQL}, c AS (SELECT lists.*, source, {FRESHNESS_SQL} AS freshness, {ENGAGEMENT_SQL} AS engagement FROM lists JOIN content USING (item_id) WHERE lexical_rank IS NOT NULL
+), w AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY lexical_rank) AS source_rank, min(lexical_rank) OVER (PARTITION BY query_id, source) AS first_rank FROM c
+), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY source_rank, first_rank) AS place, coalesce({_SEMANTIC}, lexical) AS semantic FROM w QUALIFY place <= 20
 ), r AS (SELECT *, {_REL} AS rel FROM t)
-SELECT item_id, source_rank, lexical, semantic, {rounded_sql('greatest(0.0, least(100.0, 0.99 * rel + 0.01 * ' + rounded_sql('pow(rel / 100, 2.0)', 4) + ' * ((0.2 * lexical + 0.15 * 0.0 + 0.1 * 70.0 + 0.1 * 0.0 + 0.1 * 100.0) / 0.65)))', 2)} AS score FROM r"""
+SELECT query_id, item_id, place, source_rank, lexical, semantic, {rounded_sql('greatest(0.0, least(100.0, 0.99 * rel + 0.01 * ' + rounded_sql('pow(rel / 100, 2.0)', 4) + ' * ((0.2 * freshness + 0.15 * engagement + 0.1 * 70.0 + 0.1 * 0.0 + 0.1 * 100.0) / 0.65)))', 2)} AS score FROM r"""
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best of each query by weighted reciprocal ranks of both lists; an item may stand in one only."""
     rows = _lists(spark, sf_dir)
     seen = None
     for engine, weight, rank in (("lexical", 1.0, "lexical_rank"), ("semantic", 1.5, "semantic_rank")):
-        one = rows.select(F.col("item_id").alias("key"), F.lit(engine).alias("engine"), F.lit("v0").alias("variant"), F.lit(1).alias("round"), F.col(rank).alias("rank"), F.lit(weight).alias("engine_weight"), F.lit(0.9).alias("confidence"))
+        one = rows.filter(F.col(rank).isNotNull()).select(F.struct("query_id", "item_id").alias("key"), F.lit(engine).alias("engine"), F.lit("v0").alias("variant"), F.lit(1).alias("round"), F.col(rank).alias("rank"), F.lit(weight).alias("engine_weight"), F.lit(0.9).alias("confidence"))
         seen = one if seen is None else seen.unionByName(one)
-    return V.weighted_rrf(seen).orderBy(F.col("score").desc(), "key").limit(50)
+    fused = V.weighted_rrf(seen).select("key.query_id", "key.item_id", "score", "engines", "n_support")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
+    return fused.withColumn("place", F.row_number().over(w)).filter("place <= 50")
+
+
+_PART = "coalesce(1.0 * 0.9 / ({k} + lexical_rank), 0) + coalesce(1.5 * 0.9 / ({k} + semantic_rank), 0)"
+RRF_SQL = f"""{_LISTS_SQL}, f AS (SELECT query_id, item_id, {rounded_sql(_PART.format(k=60), 8)} AS score, concat_ws(',', CASE WHEN lexical_rank IS NOT NULL THEN 'lexical' END, CASE WHEN semantic_rank IS NOT NULL THEN 'semantic' END) AS engines, (lexical_rank IS NOT NULL)::BIGINT + (semantic_rank IS NOT NULL)::BIGINT AS n_support FROM lists)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS place FROM f QUALIFY place <= 50"""
+
+
+def rrf_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of each query's ten best by plain reciprocal ranks are the same for k = 20 and k = 60."""
+    rows = materialise(_lists(spark, sf_dir).select("query_id", "item_id", "lexical_rank", "semantic_rank"), "lists")
+    part = lambda k, c: F.coalesce(F.try_divide(F.lit(1.0), k + F.col(c)), F.lit(0.0))
+    tops = []
+    for k in (20, 60):
+        w = Window.partitionBy("query_id").orderBy(rounded(part(k, "lexical_rank") + part(k, "semantic_rank"), 8).desc(), "item_id")
+        tops.append(rows.withColumn("place", F.row_number().over(w)).filter("place <= 10").select("query_id", "item_id"))
+    return tops[0].join(tops[1], ["query_id", "item_id"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("shared"))
+
 
+def _plain(k: int) -> str:
+    return rounded_sql(f"coalesce(1.0 / ({k} + lexical_rank), 0) + coalesce(1.0 / ({k} + semantic_rank), 0)", 8)
 
-RRF_SQL = f"""{_LISTS_SQL} SELECT item_id AS key, {rounded_sql('1.0 * 0.9 / (60 + lexical_rank) + 1.5 * 0.9 / (60 + semantic_rank)', 8)} AS score, 'lexical,semantic' AS engines, 2::BIGINT AS n_support FROM ranked ORDER BY score DESC, key LIMIT 50"""
+
+DEPTHS_SQL = f"""{_LISTS_SQL}, a AS (SELECT query_id, item_id FROM lists QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {_plain(20)} DESC, item_id) <= 10), b AS (SELECT query_id, item_id FROM lists QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {_plain(60)} DESC, item_id) <= 10)
+SELECT query_id, count(*) AS shared FROM a JOIN b USING (query_id, item_id) GROUP BY 1"""
 
 
 def fusion_order_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Linear fusion and two-stage orders, and how far their top tens agree."""
-    rows = _lists(spark, sf_dir).withColumn("semantic", V.semantic_score(F.col("similarity")))
-    rows = rows.withColumn("fused", rounded(0.25 * F.col("lexical") + 0.75 * F.col("semantic"), 4))
-    best = lambda *o: rows.orderBy(*o).limit(10).select("item_id")
+    """Linear fusion and two-stage orders of each query, and how far their top tens agree."""
+    rows = _lists(spark, sf_dir)
+    lexical = F.coalesce("lexical", F.lit(0.0))
+    semantic = F.coalesce(V.semantic_score(F.col("similarity")), lexical)
+    rows = rows.select("query_id", "item_id", "lexical_rank", lexical.alias("lexical"), semantic.alias("semantic"))
+    rows = materialise(rows.withColumn("fused", rounded(0.25 * F.col("lexical") + 0.75 * F.col("semantic"), 4)), "lists")
+
+    def best(*order):
+        w = Window.partitionBy("query_id").orderBy(*order)
+        return rows.withColumn("place", F.row_number().over(w)).filter("place <= 10").select("query_id", "item_id")
+
     linear = best(F.col("fused").desc(), F.col("lexical").desc(), F.col("item_id"))
     staged = best(F.when(F.col("lexical_rank") <= 20, 0).otherwise(1), F.col("semantic").desc(), "item_id")
-    both = linear.intersect(staged).agg(F.count(F.lit(1)).alias("shared"))
-    return both.select("shared", (F.col("shared") < 10).alias("changed"))
+    both = linear.join(staged.withColumn("in_both", F.lit(1)), ["query_id", "item_id"], "left").groupBy("query_id").agg(F.count("in_both").alias("shared"))
+    return both.select("query_id", "shared", (F.col("shared") < 10).alias("changed"))
 
 
-OVERLAP_SQL = f"""{_LISTS_SQL}, s AS (SELECT *, {rounded_sql('greatest(0.0, least(100.0, (similarity + 1) * 50))', 2)} AS semantic FROM ranked
-), a AS (SELECT item_id FROM s ORDER BY {rounded_sql('0.25 * lexical + 0.75 * semantic', 4)} DESC, lexical DESC, item_id LIMIT 10
-), b AS (SELECT item_id FROM s ORDER BY CASE WHEN lexical_rank <= 20 THEN 0 ELSE 1 END, semantic DESC, item_id LIMIT 10)
-SELECT count(*) AS shared, count(*) < 10 AS changed FROM a JOIN b USING (item_id)"""
+OVERLAP_SQL = f"""{_LISTS_SQL}, s AS (SELECT query_id, item_id, lexical_rank, coalesce(lexical, 0.0) AS lexical, coalesce({_SEMANTIC}, lexical, 0.0) AS semantic FROM lists
+), a AS (SELECT query_id, item_id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {rounded_sql('0.25 * lexical + 0.75 * semantic', 4)} DESC, lexical DESC, item_id) <= 10
+), b AS (SELECT query_id, item_id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN lexical_rank <= 20 THEN 0 ELSE 1 END, semantic DESC, item_id) <= 10)
+SELECT a.query_id, count(b.item_id) AS shared, count(b.item_id) < 10 AS changed FROM a LEFT JOIN b ON a.query_id = b.query_id AND a.item_id = b.item_id GROUP BY 1"""
 
 
 def near_tie_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The top 100 by similarity, near ties alternating story (label) and source."""
+    """The top 100 of each query by similarity, near ties alternating story (label) and source."""
     e = table(spark, sf_dir, "embeddings")
-    labels = e.select(F.col("vec_id").alias("item_id"), F.col("label").alias("story"))
-    rows = _lists(spark, sf_dir).filter("semantic_rank <= 100").join(labels, "item_id")
-    rows = rows.select(F.lit(0).alias("query_id"), F.col("item_id").alias("key"), V.semantic_score(F.col("similarity")).alias("score"), "story", "source")
+    items = e.select(F.col("vec_id").alias("item_id"), "embedding")
+    near = V.top_k(_queries(spark, sf_dir).select("query_id", "embedding"), items, 100)
+    stories = e.select(F.col("vec_id").alias("item_id"), F.col("label").alias("story")).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "source"), "item_id", "left")
+    rows = near.join(stories, "item_id").select("query_id", F.col("item_id").alias("key"), V.semantic_score(F.col("similarity")).alias("score"), "story", F.coalesce("source", F.lit("")).alias("source"))
     return V.near_tie_order(rows, "query_id", delta=2.0, floor=50.0)
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+TIES_SQL = f"""WITH RECURSIVE near AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, b.label AS story, {rounded_sql(_COS, 6)} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % {EVERY} = 0
+), top AS (SELECT query_id, item_id, story, coalesce(source, '') AS source, {_SEMANTIC} AS score FROM (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) <= 100) LEFT JOIN documents ON doc_id = item_id
+), start AS (SELECT query_id, list({{'k': item_id, 'y': story, 's': source, 'v': score}} ORDER BY score DESC, item_id) AS waiting FROM top GROUP BY 1
+), walk AS (
+  SELECT query_id, 1 AS position, waiting[1] AS last, waiting[2:] AS waiting FROM start
+  UNION ALL SELECT query_id, position + 1, waiting[pick], list_concat(waiting[1:pick - 1], waiting[pick + 1:]) FROM (
+    SELECT *, CASE WHEN waiting[1].v < 50.0 THEN 1 ELSE coalesce(list_filter(range(2, len(waiting) + 1), lambda i: waiting[i].v >= 50.0 AND waiting[1].v - waiting[i].v <= 2.0 AND waiting[i].y <> last.y AND waiting[i].s <> last.s)[1], 1) END AS pick FROM walk WHERE len(waiting) > 0)
+) SELECT query_id, last.k AS key, position::BIGINT AS position FROM walk"""
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The first twenty ranks of each query with their hits, the number of items relevant to each, and the sizes of labels (items, queries)."""
     e = table(spark, sf_dir, "embeddings")
-    queries = e.filter(F.col("vec_id") % EVERY == 0)
-    ranked = V.top_k(queries.select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("item_id"), "embedding"), 20).select("query_id", "item_id", "rank")
-    relevant = e.select(F.col("vec_id").alias("item_id"), "label").join(F.broadcast(queries.select(F.col("vec_id").alias("query_id"), "label")), "label").filter("item_id <> query_id").select("query_id", "item_id")
-    return ranked, relevant
+    queries = e.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("wanted"))
+    ranked = V.top_k(queries.select("query_id", "embedding"), e.select(F.col("vec_id").alias("item_id"), "embedding"), 20).select("query_id", "item_id", "rank")
+    labels = e.select(F.col("vec_id").alias("item_id"), "label")
+    hits = ranked.join(labels, "item_id").join(queries.select("query_id", "wanted"), "query_id").withColumn("hit", F.coalesce((F.col("label") == F.col("wanted")).cast("int"), F.lit(0)))
+    sizes = e.groupBy("label").agg(F.count(F.lit(1)).alias("n_items"), F.count_if(F.col("vec_id") % EVERY == 0).alias("n_queries"))
+    total = queries.join(sizes, F.col("wanted") == F.col("label")).select("query_id", (F.col("n_items") - 1).alias("n_relevant"))
+    return hits, total, sizes
 
 
 def ir_metrics_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.macro(M.per_query(*_ranked(spark, sf_dir)))
+    hits, total, _ = _ranked(spark, sf_dir)
+    return M.macro(M.from_hits(hits, total))
 
 
 def _at(k: int) -> str:
@@ -126,10 +194,13 @@ SELECT count(*) AS n_queries, {', '.join(f"{rounded_sql(f'avg({c})', 4)} AS {c}"
 
 
 def pair_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of query vectors and their five nearest, against pairs of equal label."""
-    ranked, relevant = _ranked(spark, sf_dir)
-    pair = lambda d: d.select(F.least("query_id", "item_id").alias("a"), F.greatest("query_id", "item_id").alias("b")).distinct()
-    return M.pair_quality(pair(ranked.filter("rank <= 5")), pair(relevant))
+    """Pairs of query vectors and their five nearest, against all pairs of equal label: those are counted by label, never listed."""
+    hits, _, sizes = _ranked(spark, sf_dir)
+    pairs = hits.filter("rank <= 5").select(F.least("query_id", "item_id").alias("a"), F.greatest("query_id", "item_id").alias("b"), "hit").distinct()
+    found = pairs.agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("tp"), F.count(F.lit(1)).alias("n_found"))
+    # a pair of two queries is one pair
+    expected = sizes.agg(F.sum(F.col("n_queries") * (F.col("n_items") - 1) - F.expr("n_queries * (n_queries - 1) div 2")).alias("n_expected"))
+    return M.quality_of(found.join(F.broadcast(expected)))
 
 
 PAIRS_SQL = f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, a.label = b.label AS hit, {rounded_sql(_COS, 6)} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % {EVERY} = 0
@@ -141,7 +212,48 @@ SELECT tp, n_found, n_expected, {rounded_sql('p', 4)} AS precision, {rounded_sql
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.bootstrap(table(spark, sf_dir, "labels").select("doc_id", "quality"), "quality", samples=500)
+    return M.bootstrap(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "quality", samples=500)
+
+
+def paired_bootstrap_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    return M.paired_bootstrap(labels.select("doc_id", F.col("quality").alias("v")), labels.select("doc_id", F.col("toxic").alias("v")), "doc_id", "v", samples=300)
+
+
+def _bootstrap_sql(value: str, samples: int) -> str:
+    steps = " + ".join(f"(u >= {x!r})::INT" for x in M.poisson_steps())
+    return f"""WITH c AS (SELECT doc_id, ({value})::DOUBLE AS v FROM labels WHERE {value} IS NOT NULL), e AS (SELECT v, s, ('0x' || substr(md5(doc_id || '|' || s || '|7'), 1, 8))::BIGINT / 4294967296.0 AS u FROM c, range(1, {samples + 1}) g(s)
+), m AS (SELECT s, sum(({steps}) * v) / nullif(sum({steps}), 0) AS m FROM e GROUP BY 1)
+SELECT (SELECT count(*) FROM c) AS n, {rounded_sql('(SELECT avg(v) FROM c)', 6)} AS mean, {rounded_sql('quantile_cont(m, 0.025)', 6)} AS low, {rounded_sql('quantile_cont(m, 0.975)', 6)} AS high FROM m"""
+
+
+def retrieval_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the five nearest of each query miss of its nearest of equal label, and what they wrongly hold."""
+    hits, _, _ = _ranked(spark, sf_dir)
+    relevant = hits.filter("hit = 1 and rank <= 12").select("query_id", "item_id")
+    items = content(spark, sf_dir).select("item_id", engagement().alias("engagement"), text.tokens(F.col("title")).alias("title_words"))
+    queries = hits.select("query_id").distinct().withColumn("words", F.array(F.lit("the")))
+    return M.errors(hits, relevant, items, queries)
+
+
+_RANKED_SQL = f"""s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, a.label = b.label AS hit, {rounded_sql(_COS, 6)} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % {EVERY} = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM s QUALIFY rank <= 20)"""
+ERRORS_SQL = f"""WITH {CONTENT_SQL}, {_RANKED_SQL}, i AS (SELECT item_id, {ENGAGEMENT_SQL} AS engagement, list_contains({tokens_sql('title')}, 'the') AS title FROM content)
+SELECT query_id, item_id, 'LEXICAL_MISS' AS category FROM r WHERE hit AND rank BETWEEN 6 AND 12
+UNION ALL SELECT query_id, item_id, CASE WHEN engagement >= 80 THEN 'ENGAGEMENT_OVERWEIGHTED' WHEN title THEN 'TITLE_OVERWEIGHTED' ELSE 'AMBIGUOUS_QUERY' END FROM r JOIN i USING (item_id) WHERE rank <= 5 AND NOT hit"""
+
+
+def returned_set_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision over what is similar enough to be returned at all, and queries rightly left without a result."""
+    hits, _, _ = _ranked(spark, sf_dir)
+    shown = hits.filter("item_id % 3 <> 0")
+    relevant = hits.filter("hit = 1 and item_id % 3 <> 1 and query_id % 100 = 0").select("query_id", "item_id")
+    return M.returned_precision(shown, relevant)
+
+
+RETURNED_SQL = f"""WITH {_RANKED_SQL}, t AS (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE hit AND item_id % 3 <> 1 AND query_id % 100 = 0) AS good FROM r WHERE item_id % 3 <> 0 AND rank <= 5 GROUP BY 1
+), v AS (SELECT query_id, count(*) AS m FROM r WHERE hit AND item_id % 3 <> 1 AND query_id % 100 = 0 GROUP BY 1)
+SELECT coalesce(t.query_id, v.query_id) AS query_id, coalesce(n, 0) AS n_returned, {rounded_sql('coalesce(good, 0) / greatest(1, coalesce(n, 0))', 4)} AS precision, coalesce(n, 0) = 0 AND m IS NULL AS no_result_success FROM t FULL JOIN v ON t.query_id = v.query_id"""
 
 
 QUERIES = {
@@ -149,8 +261,12 @@ QUERIES = {
     "hybrid_rerank_fair20": (hybrid_rerank_fair20, HYBRID_SQL),
     "rrf_fusion": (rrf_fusion, RRF_SQL),
     "fusion_order_overlap": (fusion_order_overlap, OVERLAP_SQL),
-    "near_tie_diversity": (near_tie_diversity, None),
+    "rrf_depths": (rrf_depths, DEPTHS_SQL),
+    "near_tie_diversity": (near_tie_diversity, TIES_SQL),
     "ir_metrics_macro": (ir_metrics_macro, METRICS_SQL),
     "pair_precision_recall": (pair_precision_recall, PAIRS_SQL),
-    "bootstrap_ci": (bootstrap_ci, None),
+    "bootstrap_ci": (bootstrap_ci, _bootstrap_sql("quality", 500)),
+    "paired_bootstrap_delta": (paired_bootstrap_delta, _bootstrap_sql("quality - toxic", 300)),
+    "retrieval_errors": (retrieval_errors, ERRORS_SQL),
+    "returned_set_precision": (returned_set_precision, RETURNED_SQL),
 }

@@ -94,7 +94,7 @@ def test_ranking_metrics(spark):
     pairs = lambda *p: spark.createDataFrame(p, "a int, b int")
     q = metrics.pair_quality(pairs((1, 2), (1, 3)), pairs((1, 2), (4, 5), (6, 7))).first()
     assert (q.tp, q.precision, q.recall, q.f1) == (1, 0.5, pytest.approx(0.3333), 0.4)
-    b = metrics.bootstrap(spark.createDataFrame([(k, k % 2) for k in range(200)], "k int, v int"), "v", samples=200).first()
+    b = metrics.bootstrap(spark.createDataFrame([(k, k % 2) for k in range(200)], "k int, v int"), "k", "v", samples=200).first()
     assert b.mean == 0.5 and 0.38 < b.low < 0.47 and 0.53 < b.high < 0.62
 
 

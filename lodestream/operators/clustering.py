@@ -1,78 +1,247 @@
-"""Story clustering: features, blocking, pair evidence."""
+"""Story clustering: duplicate representatives, features, blocking, pair evidence, stories.
+
+Copies are one representative before anything is paired.  Words meet once, in
+one table of (item, word, flags, weight); blocks, totals and shared words are
+joins and sums over it.  Caps that decide results are fixed values: blocks of
+at most 32 items, 24 candidates and 12 neighbours in time an item.
+"""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestream.functions import numbers, text
-from lodestream.operators.aggregates import STOPWORDS
+from lodestream.operators.dedup import by_keys, complete_linkage
 from lodestream.sources.scratch import materialise
 
-BLOCK, DEGREE, NEIGHBOURS = 32, 24, 12
+#: Bounds and thresholds (fixed values).
+BLOCK, DEGREE, NEIGHBOURS, DAYS = 32, 24, 12, 3
+SEMANTIC, LONG_GAP_SEMANTIC = 0.79, 0.88
+TAIL = 3_000_000  # undecided pairs that one task walks: five numbers each
+#: Words that tell no story (fixed values).
+STOPWORDS = [
+    "a", "about", "after", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "new", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with", "example",
+    "الى", "أن", "ان", "بعد", "عن", "على", "علي", "في", "كان", "كما", "من", "هذا", "هذه", "و",
+]
+ENTITY = r"(?<![\p{L}\p{N}_])[A-Z][A-Za-z0-9]*(?:[-_][A-Za-z0-9]+)*(?![\p{L}\p{N}_])"
 
 
 def meaningful(words: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS))
 
 
-def features(content: DataFrame) -> DataFrame:
-    """item_id, published_at, title and body word sets and title bigrams."""
-    rows = content.select("item_id", "source", "language", "published_at", meaningful(text.tokens(F.col("title"))).alias("ts"), meaningful(text.tokens(F.col("text"))).alias("bs"))
-    return rows.select("item_id", "source", "language", "published_at", F.array_distinct("ts").alias("title"), F.array_distinct("bs").alias("body"), F.array_distinct(text.bigrams(F.col("ts"))).alias("phrases"))
+def entities(x: Column, skip: list[str] | None = None) -> Column:
+    """Distinct Latin names of a text, lower-cased: capitalised words and compounds of more than two letters."""
+    found = F.transform(F.regexp_extract_all(x, F.lit(ENTITY), F.lit(0)), F.lower)
+    return F.array_distinct(F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin([*STOPWORDS, *(skip or [])])))
+
+
+def representatives(content: DataFrame) -> DataFrame:
+    """item_id, rep_id: the item that stands for each group of copies (equal canonical url or fingerprint, in chains).
+
+    The representative has most meaningful words, a title, the smallest id.
+    """
+    rows = content.select(
+        "item_id", text.canonical_url(F.col("canonical_url")).alias("u"), text.content_fingerprint(F.col("title"), F.col("text")).alias("f"),
+        F.size(meaningful(text.tokens(F.concat_ws(" ", "title", "text")))).alias("n"), (F.coalesce("title", F.lit("")) != "").alias("titled"),
+    )
+    rows = materialise(rows, "copies")
+    groups = materialise(by_keys(rows, "u", "f"), "copy-groups")
+    best = rows.join(groups, "item_id").groupBy("group_id").agg(F.max_by("item_id", F.struct("n", "titled", -F.col("item_id"))).alias("rep_id"))
+    return groups.join(best, "group_id").select("item_id", "rep_id")
+
+
+def features(content: DataFrame, query_words: list[str] | None = None) -> DataFrame:
+    """item_id, source, language, published_at, url, title and body word sets, title bigrams and entities."""
+    q = query_words or []
+    rows = content.select(
+        "item_id", "source", "language", "published_at", text.canonical_url(F.col("canonical_url")).alias("url"), F.coalesce("title", F.lit("")).alias("headline"),
+        meaningful(text.tokens(F.col("title"))).alias("ts"), meaningful(text.tokens(F.col("text"))).alias("bs"), entities(F.concat_ws(" ", "title", "text"), q).alias("entities"),
+    )
+    phrases = F.filter(text.bigrams(F.col("ts")), lambda p: ~F.forall(F.split(p, " "), lambda w: w.isin(q))) if q else text.bigrams(F.col("ts"))
+    return rows.select("item_id", "source", "language", "published_at", "url", "headline", F.array_distinct("ts").alias("title"), F.array_distinct("bs").alias("body"), F.array_distinct(phrases).alias("phrases"), "entities")
 
 
-def weights(rows: DataFrame) -> DataFrame:
-    """word, df, weight, distinctive, identity over all items."""
-    n = rows.agg(F.count(F.lit(1)).alias("n"))  # one row
-    df = rows.select(F.explode(F.array_union("title", "body")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n))
-    weight = numbers.cluster_weight(F.col("df").cast("double"), F.col("n").cast("double"), F.lit(False))
-    distinctive = F.col("df") <= F.greatest(F.lit(2), F.ceil(F.col("n") * 0.35))
+def terms(rows: DataFrame, query_words: list[str] | None = None) -> DataFrame:
+    """item_id, word, t and b (in title, in body), df, weight, distinctive, identity: every distinct word of every item."""
+    q = query_words or []
+    flagged = lambda words, t, b: F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(t).alias("t"), F.lit(b).alias("b")))
+    both = F.concat(flagged(F.array_intersect("title", "body"), True, True), flagged(F.array_except("title", "body"), True, False), flagged(F.array_except("body", "title"), False, True))
+    each = materialise(rows.select("item_id", F.explode(both).alias("x")).select("item_id", "x.*"), "words")
+    n = rows.agg(F.greatest(F.lit(1), F.count(F.lit(1))).alias("n"))  # one row
+    df = each.groupBy("word").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n))
+    asked = F.col("word").isin(q) if q else F.lit(False)
+    weight = numbers.cluster_weight(F.col("df").cast("double"), F.col("n").cast("double"), asked)
+    distinctive = ~asked & (F.col("df") <= F.greatest(F.lit(2), F.ceil(F.col("n") * 0.35)))
     identity = distinctive & (F.col("df") <= F.greatest(F.lit(4), F.ceil(F.col("n") * 0.05)))
-    return df.select("word", "df", weight.alias("weight"), distinctive.alias("distinctive"), identity.alias("identity"))
+    df = df.select("word", "df", weight.alias("weight"), distinctive.alias("distinctive"), identity.alias("identity"))
+    return each.join(df, "word")
 
 
-def block_pairs(rows: DataFrame, weighted: DataFrame) -> DataFrame:
-    """a, b, priority: pairs that share identity words in blocks of 2 to 32, the 24 of most shared blocks per item.
+def block_pairs(rows: DataFrame, each: DataFrame) -> DataFrame:
+    """a, b, priority: pairs that share a block, and how many: identity words, entities that are such, title phrases with one.
 
-    A block larger than 32 says nothing about a story and gives no pairs.
+    A block of more than 32 items says nothing about a story and gives no pairs.
+    """
+    own = each.filter("identity").select("item_id", "word")
+    named = rows.select("item_id", F.explode("entities").alias("word")).join(own, ["item_id", "word"])
+    phrases = rows.select("item_id", F.explode("phrases").alias("phrase"))
+    halves = phrases.select("item_id", "phrase", F.explode(F.split("phrase", " ")).alias("word")).join(own, ["item_id", "word"]).select("item_id", "phrase").distinct()
+    keys = own.select("item_id", F.lit("token").alias("kind"), F.col("word").alias("key")).unionByName(named.select("item_id", F.lit("entity").alias("kind"), F.col("word").alias("key"))).unionByName(halves.select("item_id", F.lit("phrase").alias("kind"), F.col("phrase").alias("key")))
+    keys = materialise(keys, "blocks")
+    good = keys.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, BLOCK)).select("kind", "key")
+    kept = keys.join(good, ["kind", "key"])
+    pairs = kept.withColumnRenamed("item_id", "a").join(kept.withColumnRenamed("item_id", "b"), ["kind", "key"]).filter("a < b")
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("priority"))
+
+
+def time_pairs(rows: DataFrame, one: Column, other: Column) -> DataFrame:
+    """a, b: items of two languages that are among each other's twelve nearest in time, within three days, from either side."""
+    found = temporal_neighbours(rows, one, other, NEIGHBOURS, DAYS).select("item_id", "other_id").unionByName(temporal_neighbours(rows, other, one, NEIGHBOURS, DAYS).select("item_id", "other_id"))
+    return found.select(F.least("item_id", "other_id").alias("a"), F.greatest("item_id", "other_id").alias("b")).distinct()
+
+
+def capped(pairs: DataFrame, order: list[Column], degree: int = DEGREE, tail: int = TAIL) -> DataFrame:
+    """The pairs (a, b) that a greedy walk in the given total order takes while both ends have fewer than `degree`.
+
+    In rounds: a pair that stands within the free places of both its ends is
+    taken, whatever happens to the pairs before it, and a pair at a full end is
+    dropped.  Once at most `tail` pairs are undecided they are walked by one
+    task, five numbers each; more of them take another round.
+    """
+    left = materialise(pairs.withColumn("place", F.struct(*order)).select("a", "b", "place"), "pairs")
+    nothing = pairs.sparkSession.createDataFrame([], "end long, n long")
+    used, taken = nothing, None
+    while True:
+        ends = left.select("a", "b", "place", F.explode(F.array("a", "b")).alias("end")).join(used, "end", "left")
+        ends = ends.withColumn("free", degree - F.coalesce("n", F.lit(0))).withColumn("r", F.row_number().over(Window.partitionBy("end").orderBy("place")))
+        decided = materialise(ends.groupBy("a", "b", "place").agg(F.min(F.col("r") <= F.col("free")).alias("take"), F.min("free").alias("free")), "decided")
+        now = decided.filter("take").select("a", "b")
+        taken = now if taken is None else taken.unionByName(now)
+        left = decided.filter("not take and free > 0").select("a", "b", "place")
+        used = materialise(taken.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count(F.lit(1)).alias("n")), "used")
+        n = left.count()
+        if not n:
+            return taken
+        if n <= tail:
+            return taken.unionByName(_walked(left, used, degree))
+
+
+def _walked(left: DataFrame, used: DataFrame, degree: int) -> DataFrame:
+    """The greedy walk itself, over a bounded number of pairs."""
+    rows = left.withColumn("seq", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("place")))
+    for side in "ab":
+        rows = rows.join(used.select(F.col("end").alias(side), F.col("n").alias(f"n_{side}")), side, "left")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        count = dict(zip(pdf.a, pdf.n_a)) | dict(zip(pdf.b, pdf.n_b))
+        out = []
+        for a, b in zip(pdf.a, pdf.b):
+            if count[a] < degree and count[b] < degree:
+                count[a] += 1
+                count[b] += 1
+                out.append((a, b))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    rows = rows.select(F.lit(0).alias("all"), "a", "b", "seq", F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"))
+    return rows.groupBy("all").applyInPandas(walk, "a long, b long")
+
+
+def candidates(rows: DataFrame, each: DataFrame, one: Column, other: Column) -> DataFrame:
+    """a, b of the pairs to compare: from blocks and from times, the best 24 an item."""
+    pairs = block_pairs(rows, each).join(time_pairs(rows, one, other).withColumn("near", F.lit(True)), ["a", "b"], "full_outer")
+    when = rows.select("item_id", "published_at")
+    for side in "ab":
+        pairs = pairs.join(when.select(F.col("item_id").alias(side), F.col("published_at").alias(f"at_{side}")), side)
+    near = numbers.rounded(numbers.temporal_proximity(F.col("at_a"), F.col("at_b")), 9)
+    pairs = pairs.select("a", "b", F.coalesce("priority", F.lit(0)).alias("priority"), near.alias("near"))
+    return capped(pairs, [-F.col("priority"), -F.col("near"), F.col("a"), F.col("b")])
+
+
+def _tagged(hashes: Column, kind: str) -> Column:
+    return F.transform(hashes, lambda h: F.struct(F.lit(kind).alias("kind"), h.alias("h")))
+
+
+def evidence(rows: DataFrame, each: DataFrame, pairs: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
+    """Weighted similarities of each pair, shared signals, score, reasons, and whether they tell one story.
+
+    semantic: a, b, semantic (cosine) of the pairs that have vectors.
     """
-    keys = weighted.filter(F.col("identity") & F.col("df").between(2, BLOCK)).select("word")
-    each = rows.select("item_id", F.explode(F.array_union("title", "body")).alias("word")).join(keys, "word")
-    pairs = each.select("word", F.col("item_id").alias("a")).join(each.select("word", F.col("item_id").alias("b")), "word").filter("a < b")
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("priority"))
-    order = [F.col("priority").desc(), F.col("a"), F.col("b")]
-    ranked = pairs.withColumn("ra", F.row_number().over(Window.partitionBy("a").orderBy(*order))).withColumn("rb", F.row_number().over(Window.partitionBy("b").orderBy(*order)))
-    return ranked.filter((F.col("ra") <= DEGREE) & (F.col("rb") <= DEGREE)).select("a", "b", "priority")
-
-
-def evidence(rows: DataFrame, weighted: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Weighted similarities of each pair, shared signals, and whether they tell one story."""
-    each = rows.select("item_id", F.explode(F.array_union("title", "body")).alias("word"), "title", "body").select("item_id", "word", F.array_contains("title", F.col("word")).alias("t"), F.array_contains("body", F.col("word")).alias("b"))
-    each = materialise(each.join(weighted, "word"), "words")
     mass = lambda flag: F.sum(F.when(flag, F.col("weight")).otherwise(0.0))
     totals = each.groupBy("item_id").agg(mass(F.col("t")).alias("wt"), mass(F.col("b")).alias("wb"), F.sum("weight").alias("wa"))
-    left = each.select(F.col("item_id").alias("a"), "word", F.col("t").alias("lt"), F.col("b").alias("lb"))
-    right = each.select(F.col("item_id").alias("b"), "word", F.col("t").alias("rt"), F.col("b").alias("rb"), "weight", "distinctive", "identity")
-    shared = pairs.join(left, "a").join(right, ["b", "word"]).groupBy("a", "b").agg(
-        mass(F.col("lt") & F.col("rt")).alias("st"), mass(F.col("lb") & F.col("rb")).alias("sb"), F.sum("weight").alias("sa"),
-        F.sum(F.col("distinctive").cast("int")).alias("n_distinctive"), F.sum(F.col("identity").cast("int")).alias("n_identity"),
+    # words that several items have, as 64-bit hashes: a pair's shared ones come from its items' arrays, and only they meet their weights
+    common = each.filter("df > 1").withColumn("h", F.xxhash64("word"))
+    sets = common.groupBy("item_id").agg(F.collect_list(F.when(F.col("t"), F.col("h"))).alias("title"), F.collect_list(F.when(F.col("b"), F.col("h"))).alias("body"), F.collect_list("h").alias("all"))
+    sets = materialise(sets, "sets")
+    kinds = ("title", "body", "all")
+    for side in "ab":
+        own = sets.select(F.col("item_id").alias(side), *(F.col(k).alias(f"{k}_{side}") for k in kinds))
+        shared = (pairs.select("a", "b") if side == "a" else shared).join(own, side)
+    tagged = F.concat(*(_tagged(F.array_intersect(f"{k}_a", f"{k}_b"), k) for k in kinds))
+    weighed = common.groupBy("h").agg(F.first("weight").alias("weight"), F.first("distinctive").alias("distinctive"), F.first("identity").alias("identity"))
+    shared = shared.select("a", "b", F.explode(tagged).alias("x")).select("a", "b", "x.*").join(weighed, "h")
+    whole = F.col("kind") == "all"
+    shared = shared.groupBy("a", "b").agg(
+        mass(F.col("kind") == "title").alias("st"), mass(F.col("kind") == "body").alias("sb"), mass(whole).alias("sa"),
+        F.count_if(whole & F.col("distinctive")).cast("int").alias("n_distinctive"), F.count_if(whole & F.col("identity")).cast("int").alias("n_identity"),
     )
-    meta = rows.select("item_id", "published_at", "phrases").join(totals, "item_id")
-    both = shared
+    both = pairs.select("a", "b").join(shared, ["a", "b"], "left").na.fill(0, ["st", "sb", "sa", "n_distinctive", "n_identity"])
+    meta = rows.select("item_id", "language", "published_at", "phrases", "entities").join(totals, "item_id", "left").na.fill(0, ["wt", "wb", "wa"])
     for side in "ab":
-        both = both.join(meta.select(F.col("item_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("published_at", "phrases", "wt", "wb", "wa"))), side)
+        both = both.join(meta.select(F.col("item_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("language", "published_at", "phrases", "entities", "wt", "wb", "wa"))), side)
+    if semantic is not None:
+        both = both.join(semantic, ["a", "b"], "left")
+    else:
+        both = both.withColumn("semantic", F.lit(None).cast("double"))
     ratio = lambda s, w: F.coalesce(F.try_divide(F.col(s), F.col(f"{w}_a") + F.col(f"{w}_b") - F.col(s)), F.lit(0.0))
     both = both.withColumns({"title_similarity": ratio("st", "wt"), "body_similarity": ratio("sb", "wb"), "similarity": ratio("sa", "wa")})
-    both = both.withColumn("n_phrases", F.size(F.array_intersect("phrases_a", "phrases_b"))).withColumn("temporal", numbers.temporal_proximity(F.col("published_at_a"), F.col("published_at_b")))
-    t, b, c, d, p = (F.col(x) for x in ("title_similarity", "body_similarity", "similarity", "n_distinctive", "n_phrases"))
+    both = both.withColumns({"n_phrases": F.size(F.array_intersect("phrases_a", "phrases_b")), "n_entities": F.size(F.array_intersect("entities_a", "entities_b")), "temporal": numbers.temporal_proximity(F.col("published_at_a"), F.col("published_at_b"))})
+    t, b, c, d, p, near = (F.col(x) for x in ("title_similarity", "body_similarity", "similarity", "n_distinctive", "n_phrases", "temporal"))
     strong = (F.col("n_identity") > 0) & (
         (c >= 0.55) | ((d >= 3) & (c >= 0.20) & (F.greatest(t, b) >= 0.24)) | ((p > 0) & (d >= 2) & (c >= 0.18) & (b >= 0.12))
-        | ((p > 0) & (d >= 3) & (t >= 0.30) & (F.col("temporal") >= 0.50)) | ((t >= 0.52) & (d >= 2) & (b >= 0.12))
+        | ((p > 0) & (d >= 3) & (t >= 0.30) & (near >= 0.50)) | ((t >= 0.52) & (d >= 2) & (b >= 0.12))
     )
+    wanted = F.when((near < 0.1) & (c < 0.70), LONG_GAP_SEMANTIC).otherwise(SEMANTIC)
+    supported = F.coalesce((F.col("semantic") >= wanted) & ((F.col("n_identity") > 0) | ((F.col("language_a") != F.col("language_b")) & (near >= 0.25))), F.lit(False))
+    lexical = 0.45 * t + 0.35 * b + 0.20 * c
     r = lambda x: numbers.rounded(x, 6)
-    return both.select("a", "b", r(t).alias("title_similarity"), r(b).alias("body_similarity"), r(c).alias("similarity"), r(0.45 * t + 0.35 * b + 0.20 * c).alias("score"), "n_distinctive", "n_identity", "n_phrases", strong.alias("same_story"))
+    why = {"shared_distinctive_terms": d > 0, "shared_story_identifiers": F.col("n_identity") > 0, "entity_overlap": F.col("n_entities") > 0, "title_phrase_overlap": p > 0, "semantic_similarity": supported, "temporal_proximity": near >= 0.75, "lexical_story_identity": strong}
+    reasons = F.array_join(F.array_compact(F.array(*(F.when(test, name) for name, test in why.items()))), ",")
+    return both.select(
+        "a", "b", r(t).alias("title_similarity"), r(b).alias("body_similarity"), r(c).alias("similarity"), r(F.col("semantic")).alias("semantic"), r(F.greatest(lexical, F.when(supported, F.col("semantic")).otherwise(0.0))).alias("score"),
+        "n_distinctive", "n_identity", "n_phrases", "n_entities", (strong | supported).alias("same_story"), reasons.alias("reasons"),
+    )
+
+
+def stories(rows: DataFrame, each: DataFrame, copies: DataFrame, found: DataFrame, content: DataFrame) -> DataFrame:
+    """Stories of two items and more, copies included: size, sources, times, title, terms, mean similarity, suspicion.
+
+    copies: item_id, rep_id; found: the admissible pairs of representatives
+    (a, b, score).  Linkage is complete, in the order of url, source and id.
+    """
+    order = rows.select("item_id", F.concat_ws("\x01", "url", "source").alias("key"))
+    linked = complete_linkage(found, order=order).withColumnRenamed("id", "rep_id")
+    linked = materialise(copies.select("rep_id").distinct().join(linked, "rep_id", "left").select("rep_id", F.coalesce("cluster", "rep_id").alias("cluster"), F.coalesce("admitted", F.lit(1.0)).alias("admitted")), "linked")
+    members = copies.join(linked, "rep_id").withColumn("similarity", F.when(F.col("item_id") == F.col("rep_id"), F.col("admitted")).otherwise(1.0))
+    total = copies.agg(F.count(F.lit(1)).alias("total"))  # one row
+    data = members.join(content.select("item_id", "source", "published_at"), "item_id")
+    groups = data.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n_items"), F.countDistinct("source").alias("n_sources"), F.min("published_at").alias("earliest"), F.max("published_at").alias("latest"), F.avg("similarity").alias("mean"),
+    ).filter("n_items > 1")
+    by_source = data.groupBy("cluster", "source").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", "n"))), lambda x: F.concat_ws(":", x["source"], x["n"].cast("string"))), ",").alias("sources"))
+    distinctive = each.filter("distinctive").select(F.col("item_id").alias("rep_id"), "word", "weight").join(linked, "rep_id").join(groups.select("cluster"), "cluster")
+    counted = distinctive.groupBy("cluster", "word").agg(F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"))
+    w = Window.partitionBy("cluster").orderBy(F.col("n").desc(), F.col("weight").desc(), "word")
+    top = counted.withColumn("r", F.row_number().over(w)).filter("r <= 8").groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]), ",").alias("terms"))
+    sizes = distinctive.groupBy("cluster", "rep_id").agg(F.count(F.lit(1)).alias("n"))
+    heads = rows.select(F.col("item_id").alias("rep_id"), "headline").join(linked, "rep_id").join(sizes, ["cluster", "rep_id"], "left").groupBy("cluster").agg(F.max_by("headline", F.struct(F.coalesce("n", F.lit(0)), F.col("headline") != "", -F.col("rep_id"))).alias("title"))
+    out = groups.join(by_source, "cluster").join(heads, "cluster").join(top, "cluster", "left").join(F.broadcast(total))
+    suspicious = (F.col("n_items") >= 5) & (F.col("n_items") >= 0.40 * F.col("total")) & (F.col("mean") < 0.85)
+    return out.select("cluster", "n_items", "n_sources", "sources", "earliest", "latest", "title", F.coalesce("terms", F.lit("")).alias("terms"), numbers.rounded(F.col("mean"), 4).alias("mean_similarity"), suspicious.alias("suspicious"))
 
 
 def temporal_neighbours(rows: DataFrame, left: Column, right: Column, k: int = NEIGHBOURS, days: int = 3) -> DataFrame:

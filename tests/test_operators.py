@@ -189,11 +189,11 @@ def test_story_evidence_needs_identity(spark):
     story = "earthquake shakes coastal village monday rescue teams search collapsed school building"
     docs = [(1, "coastal village earthquake", story), (2, "village earthquake coastal", story + " overnight")] + [(10 + k, f"other{k} topic{k}", f"unrelated{k} words{k} only{k} here{k}") for k in range(8)]
     content = spark.createDataFrame([(*d, "s", "en") for d in docs], "item_id long, title string, text string, source string, language string").withColumn("published_at", F.lit(None).cast("timestamp"))
-    feats = clustering.features(content)
-    weighted = clustering.weights(feats)
-    pairs = clustering.block_pairs(feats, weighted)
+    feats = clustering.features(content.withColumn("canonical_url", F.concat(F.lit("https://e.org/"), "item_id")))
+    each = clustering.terms(feats)
+    pairs = clustering.block_pairs(feats, each)
     assert rows(pairs, "a", "b") == [(1, 2)]
-    assert clustering.evidence(feats, weighted, pairs).first().same_story
+    assert clustering.evidence(feats, each, pairs).first().same_story
 
 
 def test_planning_rules(spark):
@@ -273,3 +273,27 @@ def test_text_functions_ignore_partitioning(spark):
     frame = spark.createDataFrame([(k, f"Word{k} über {k}") for k in range(50)], "k int, t string")
     a = rows(frame.repartition(7).select("k", F.array_join(text.tokens(F.col("t")), " ").alias("w")), "k", "w")
     assert a == rows(frame.coalesce(1).select("k", F.array_join(text.tokens(F.col("t")), " ").alias("w")), "k", "w")
+
+
+def test_degree_cap_equals_the_sequential_walk(spark):
+    import random
+
+    r = random.Random(6)
+    pairs = {tuple(sorted(r.sample(range(40), 2))): r.randrange(4) for _ in range(500)}
+    count, want = {}, set()
+    for (a, b), p in sorted(pairs.items(), key=lambda x: (-x[1], x[0])):
+        if count.get(a, 0) < 5 and count.get(b, 0) < 5:
+            count[a], count[b] = count.get(a, 0) + 1, count.get(b, 0) + 1
+            want.add((a, b))
+    frame = spark.createDataFrame([(*k, p) for k, p in pairs.items()], "a long, b long, p int")
+    for tail in (0, 1_000):
+        got = clustering.capped(frame, [-F.col("p"), F.col("a"), F.col("b")], degree=5, tail=tail)
+        assert {(x.a, x.b) for x in got.collect()} == want and got.count() == len(want)
+
+
+def test_representatives_and_entities(spark):
+    data = [(1, "A title", "one two three", "https://e.org/a"), (2, "", "A title one two three", "https://e.org/b"), (3, "A title", "one two three", "https://e.org/c"), (4, "Longer title", "words words words here", "https://e.org/a?utm_source=x"), (5, None, "", "https://e.org/d")]
+    got = clustering.representatives(spark.createDataFrame(data, "item_id long, title string, text string, canonical_url string")).collect()
+    assert {x.item_id: x.rep_id for x in got} == {1: 4, 2: 4, 3: 4, 4: 4, 5: 5}
+    names = spark.range(1).select(clustering.entities(F.lit("The World-Bank met Éric and OpenAI in Paris_Nord, Example (UN) new York."), ["paris"]).alias("e")).first().e
+    assert names == ["world-bank", "openai", "paris_nord", "york"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.sources import exports, payloads
-from lodestream.sources.tables import documents, table
+from lodestream.sources.tables import CONTENT_SQL, content, documents, table
 
 
 def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,14 +36,61 @@ SELECT count(*) AS raw, count(*) FILTER (WHERE ok) AS schema_valid, count(*) FIL
 
 
 def export_csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).select("item_id", "source", F.concat(F.when(F.col("item_id") % 3 == 0, F.lit("=")).otherwise(""), F.substring("title", 1, 40)).alias("cell"))
+    rows = documents(spark, sf_dir).select("item_id", "source", F.concat(F.when(F.col("item_id") % 3 == 0, F.lit("=")).otherwise(""), "text").alias("cell"))
     return exports.csv_rows(rows)
 
 
-CSV_SQL = r"""WITH c AS (SELECT doc_id::VARCHAR AS item_id, source, CASE WHEN doc_id % 3 = 0 THEN '=' ELSE '' END || substr(split_part(text, chr(10), 1), 1, 40) AS cell FROM documents)
+CSV_SQL = r"""WITH c AS (SELECT doc_id::VARCHAR AS item_id, source, CASE WHEN doc_id % 3 = 0 THEN '=' ELSE '' END || text AS cell FROM documents)
 SELECT CASE WHEN regexp_matches(ltrim(item_id), '^[=+\-@]') THEN '''' || item_id ELSE item_id END AS item_id, source, CASE WHEN regexp_matches(ltrim(cell), '^[=+\-@]') THEN '''' || cell ELSE cell END AS cell FROM c"""
 
 
+def export_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export of all content as safe cells."""
+    rows = content(spark, sf_dir)
+    items = rows.select("source", F.lit("post").alias("source_type"), F.col("handle").alias("author_handle"), "title", "text", "language", "hashtags", F.floor("like_value").alias("like_count"), F.col("k").alias("comment_count"), exports.iso(F.col("published_at")).alias("publication_time"), F.col("canonical_url").alias("original_url"), F.col("item_id").alias("cluster"))
+    return exports.csv_rows(exports.export_rows(items, "-all content"))
+
+
+def _safe_sql(x: str) -> str:
+    return f"CASE WHEN regexp_matches(ltrim({x}), '^[=+\\-@]') THEN '''' || {x} ELSE {x} END"
+
+
+_EXPORTED = {
+    "query": "'''-all content'", "source": _safe_sql("source"), "source_type": "'post'", "author_handle": _safe_sql("handle"), "title": _safe_sql("title"), "text": _safe_sql("text"), "language": "language", "hashtags": "array_to_string(hashtags, '|')",
+    "like_count": _safe_sql("floor(like_value)::BIGINT::VARCHAR"), "comment_count": _safe_sql("k::VARCHAR"), "publication_time": "strftime(published_at, '%Y-%m-%dT%H:%M:%S')", "original_url": "canonical_url", "cluster": "item_id::VARCHAR",
+}
+EXPORT_SQL = f"WITH {CONTENT_SQL} SELECT " + ", ".join(f"{_EXPORTED.get(c, 'NULL::VARCHAR')} AS {c}" for c in exports.EXPORT_COLUMNS) + " FROM content"
+
+
+def feed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as feeds of one item, RSS and Atom by turns, every seventh cut off in the middle."""
+    d = documents(spark, sf_dir)
+    safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    key = F.col("item_id").cast("string")
+    rss = F.concat(F.lit("<rss><channel><title>feed</title><item><guid>"), key, F.lit("</guid><link>https://example.org/"), key, F.lit("</link><title>entry "), key, F.lit("</title><description>"), safe, F.lit("</description><pubDate>Mon, 01 Jan 2024 00:00:10 +0000</pubDate></item></channel></rss>"))
+    atom = F.concat(F.lit("<feed><entry><id>"), key, F.lit('</id><link href="https://example.org/'), key, F.lit('"/><title>entry '), key, F.lit("</title><summary>"), safe, F.lit("</summary><published>2024-01-01T00:00:10Z</published></entry></feed>"))
+    feed = F.when(F.col("item_id") % 7 == 0, F.lit("<rss><channel><item>")).when(F.col("item_id") % 2 == 0, rss).otherwise(atom)
+    rows = payloads.normalise(payloads.feed_payloads(d.select(feed.alias("payload"))), "rss")
+    return rows.select(F.col("external_id").cast("long").alias("item_id"), "url", "title", F.md5("text").alias("digest"), F.unix_seconds("published_at").alias("published"))
+
+
+FEED_SQL = r"""WITH t AS (
+  SELECT doc_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS flat FROM documents)
+SELECT doc_id AS item_id, 'https://example.org/' || doc_id AS url, 'entry ' || doc_id AS title, md5(CASE WHEN flat = '' THEN 'entry ' || doc_id ELSE flat END) AS digest, 1704067210 AS published FROM t WHERE doc_id % 7 <> 0"""
+
+
+def embed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is kept of embed answers about pages: no markup, nothing nested."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    author = F.when(F.col("page_id") % 2 == 0, '{"b": "a"}').otherwise('"someone"')
+    answer = F.concat(F.lit('{"type": "rich", "html": "<b>x</b>", "title": "'), "url", F.lit('", "author_name": '), author, F.lit(', "provider_name": null, "width": '), F.col("page_id").cast("string"), F.lit("}"))
+    kept = payloads.embed_metadata(F.when(F.col("page_id") % 9 == 0, "[1]").otherwise(answer))
+    return p.select("page_id", F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("kept"), kept["title"].alias("title"))
+
+
+EMBED_SQL = "SELECT page_id, CASE WHEN page_id % 9 = 0 THEN NULL WHEN page_id % 2 = 0 THEN 'title,type' ELSE 'author_name,title,type' END AS kept, CASE WHEN page_id % 9 <> 0 THEN url END AS title FROM pages"
+
+
 def url_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Platform urls built from page ids, classified."""
     p = table(spark, sf_dir, "pages").select("page_id")
@@ -58,5 +105,8 @@ QUERIES = {
     "payload_normalise": (payload_normalise, PAYLOAD_SQL),
     "payload_stage_counts": (payload_stage_counts, STAGE_SQL),
     "export_csv_cells": (export_csv_cells, CSV_SQL),
+    "export_table": (export_table, EXPORT_SQL),
+    "feed_scan": (feed_scan, FEED_SQL),
+    "embed_keys": (embed_keys, EMBED_SQL),
     "url_classify": (url_classify, CLASSIFY_SQL),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestream.functions import numbers, text
+from lodestream.operators import filters
 from lodestream.operators import retrieval as R
 from lodestream.sources.scratch import materialise
 from lodestream.sources.tables import CONTENT_SQL, ENGAGEMENT_SQL, FRESHNESS_SQL, NOW_SQL, SPAM_SQL, content, documents, engagement, index_tokens_sql, norm_sql, now, rounded_sql, table, tokens_sql
@@ -276,15 +277,53 @@ SELECT item_id, source, source_rank, score FROM ranked WHERE source_rank <= 50 O
 
 
 def snippet_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snippets around two terms and where these stand in them."""
     rows = documents(spark, sf_dir).filter(F.lower("text").contains("tion"))
-    return rows.select("item_id", text.snippet(F.col("text"), F.array(F.lit("tion"), F.lit("the"))).alias("snippet"))
+    made = text.snippet(F.col("text"), ["tion", "the"])
+    spans = F.transform(made["ranges"], lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string")))
+    return rows.select("item_id", made["snippet"].alias("snippet"), F.array_join(spans, ",").alias("ranges"))
 
 
 SNIPPET_SQL = """WITH f AS (
   SELECT doc_id AS item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM documents WHERE contains(lower(text), 'tion')
 ), p AS (SELECT *, least(nullif(instr(lower(flat), 'tion'), 0), coalesce(nullif(instr(lower(flat), 'the'), 0), 1000000000)) AS found FROM f
-), b AS (SELECT *, greatest(0, least(greatest(0, coalesce(found, 1) - 91), length(flat) - 360)) AS b FROM p)
-SELECT item_id, CASE WHEN b > 0 THEN '...' ELSE '' END || trim(substr(flat, b + 1, 360)) || CASE WHEN b + 360 < length(flat) THEN '...' ELSE '' END AS snippet FROM b"""
+), b AS (SELECT *, greatest(0, least(greatest(0, coalesce(found, 1) - 91), length(flat) - 360)) AS b FROM p
+), s AS (SELECT item_id, substr(flat, b + 1, 360) AS body, CASE WHEN b > 0 THEN '...' ELSE '' END AS before, CASE WHEN b + 360 < length(flat) THEN '...' ELSE '' END AS after FROM b
+), pos AS (SELECT item_id, body, before, unnest(range(1, length(body) + 1)) AS i FROM s
+), h AS (SELECT item_id, length(before) + i - 1 AS s, length(before) + i - 1 + length(term) AS e FROM pos, (VALUES ('tion'), ('the')) w(term) WHERE lower(substr(body, i, length(term))) = term
+), m AS (SELECT *, s > coalesce(max(e) OVER (PARTITION BY item_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS first FROM h
+), g AS (SELECT *, sum(first::INT) OVER (PARTITION BY item_id ORDER BY s, e) AS k FROM m
+), r AS (SELECT item_id, k, min(s) AS s, max(e) AS e FROM g GROUP BY 1, 2
+), a AS (SELECT item_id, string_agg(s || '-' || e, ',' ORDER BY s) AS ranges FROM r GROUP BY 1)
+SELECT item_id, before || body || after AS snippet, coalesce(ranges, '') AS ranges FROM s LEFT JOIN a USING (item_id)"""
+
+
+def request_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items each of several requests wants by type, media, links and tags; an item's types follow from its id."""
+    at = lambda values: F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (F.col("item_id") % len(values) + 1).cast("int"))
+    rows = documents(spark, sf_dir).select("item_id", "text", at(_SOURCE_TYPES).alias("source_type"), at(_MEDIA).alias("media_type"), F.when(F.col("item_id") % 11 == 0, "https://example.org").alias("link"), F.array(F.initcap("source"), "language").alias("hashtags"))
+    marks = F.array(*(F.when(filters.request_filter(**r), F.lit(name)) for name, r in _REQUESTS.items()))
+    return rows.select("item_id", F.explode(F.array_compact(marks)).alias("request"))
+
+
+_SOURCE_TYPES = ["post", "video", "pull_request", "article", None, "dataset", "issue"]
+_MEDIA = ["image", "text", None, "", "video"]
+_REQUESTS = {"types": {"content_types": ["issues", "news", "record"]}, "media": {"media": True}, "no_media": {"media": False, "content_types": ["posts", "dataset"]}, "links": {"links": True}, "tags": {"hashtags": ["SRC1", "De"], "links": False}}
+REQUEST_SQL = """WITH d AS (
+  SELECT doc_id AS item_id, (['post', 'video', 'pull_request', 'article', 'record', 'dataset', 'issue'])[doc_id % 7 + 1] AS kind, doc_id % 5 IN (0, 4) AS media, doc_id % 11 = 0 OR regexp_matches(text, 'https?://') AS links, lower(source) AS source, lower(lang) AS lang FROM documents)
+SELECT item_id, 'types' AS request FROM d WHERE kind IN ('pull_request', 'issue', 'article', 'record') UNION ALL SELECT item_id, 'media' FROM d WHERE media
+UNION ALL SELECT item_id, 'no_media' FROM d WHERE NOT media AND kind IN ('post', 'dataset') UNION ALL SELECT item_id, 'links' FROM d WHERE links
+UNION ALL SELECT item_id, 'tags' FROM d WHERE NOT links AND (source = 'src1' OR lang = 'de' OR lang = 'src1' OR source = 'de')"""
+
+
+def allowed_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each page lies under a base on its host: a language's path, a part of a path's segment, or the host itself."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    path = F.when(F.col("page_id") % 3 == 0, "/en/").when(F.col("page_id") % 3 == 1, "/e").otherwise("")
+    return p.select("page_id", filters.under(F.col("url"), F.concat(F.regexp_extract("url", "^[a-z]+://[^/]+", 0), path)).alias("allowed"))
+
+
+ALLOWED_SQL = r"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN regexp_matches(url, '^[a-z]+://[^/]+/en(/|[?#]|$)') WHEN 1 THEN regexp_matches(url, '^[a-z]+://[^/]+/e(/|[?#]|$)') ELSE true END AS allowed FROM pages"""
 
 
 def intent_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,5 +356,7 @@ QUERIES = {
     "sort_modes": (sort_modes, SORT_SQL),
     "fair_round_robin_admission": (fair_round_robin_admission, ADMIT_SQL),
     "snippet_highlight": (snippet_highlight, SNIPPET_SQL),
+    "request_filters": (request_filters, REQUEST_SQL),
+    "allowed_hosts": (allowed_hosts, ALLOWED_SQL),
     "intent_labels": (intent_labels, INTENT_SQL),
 }

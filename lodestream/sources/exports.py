@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.functions import text
@@ -19,6 +19,72 @@ def csv_rows(rows: DataFrame) -> DataFrame:
     return rows.select(*out)
 
 
+#: Columns of an export, in their order (fixed values).
+EXPORT_COLUMNS = [
+    "query",
+    "source",
+    "source_type",
+    "acquisition_mode",
+    "acquisition_modes_seen",
+    "indexed_public_web_coverage",
+    "discovery_support",
+    "discovery_engines",
+    "evidence_completeness",
+    "evidence_completeness_score",
+    "author",
+    "author_handle",
+    "author_verified",
+    "title",
+    "text",
+    "language",
+    "hashtags",
+    "mentions",
+    "media_type",
+    "like_count",
+    "view_count",
+    "comment_count",
+    "share_count",
+    "repost_count",
+    "reaction_count",
+    "publication_time",
+    "fetch_time",
+    "original_url",
+    "final_score",
+    "relevance",
+    "freshness",
+    "engagement",
+    "social_reach",
+    "source_confidence",
+    "cross_source_presence",
+    "duplicate_group",
+    "cluster",
+]
+BOM = "\ufeff"
+
+
+def iso(x: Column) -> Column:
+    return F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def export_rows(items: DataFrame, query: str) -> DataFrame:
+    """The export's columns of items found for a query; what items lack is null, further columns are left out."""
+    made = {c: F.col(f"`{c}`") for c in items.columns} | {"query": F.lit(query)}
+    return items.select(*(made.get(c, F.lit(None).cast("string")).alias(c) for c in EXPORT_COLUMNS))
+
+
+def export_head(search: dict, analytics: DataFrame, version: str = "1.0") -> DataFrame:
+    """The one line that goes with the records of a JSON export: schema, version, the search and its analytics (one row)."""
+    asked = F.struct(*(F.lit(v).alias(k) for k, v in search.items()))
+    return analytics.select(F.to_json(F.struct(F.lit("search-export").alias("schema"), F.lit(version).alias("version"), asked.alias("search"), F.struct(*analytics.columns).alias("analytics"))).alias("value"))
+
+
+def write_export(rows: DataFrame, path: str) -> None:
+    """CSV files with a header; each begins with a byte order mark, so a spreadsheet reads any of them as UTF-8."""
+    first, *rest = rows.columns
+    marked = csv_rows(rows).select(F.col(f"`{first}`").alias(BOM + first), *(f"`{c}`" for c in rest))
+    marked.write.mode("overwrite").option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     csv_rows(rows).write.mode("overwrite").option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
 

@@ -96,7 +96,7 @@ PLATFORMS: dict[str, Platform] = {
     ),
     "rss": Platform(
         "guid string, link string, title string, description string, pubDate string, creator string",
-        lambda: _row(first_of(c("guid"), c("link")), c("link"), author=c("creator"), title=text.strip_tags(F.coalesce(c("title"), F.lit(""))), text=text.strip_tags(F.coalesce(c("description"), F.lit(""))), published_at=F.coalesce(F.try_to_timestamp(F.regexp_replace(c("pubDate"), "^[A-Za-z]{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(c("pubDate")))),
+        lambda: _row(first_of(c("guid"), c("link")), c("link"), author=c("creator"), title=text.strip_tags(F.coalesce(c("title"), F.lit(""))), text=text.strip_tags(F.coalesce(first_of(c("description"), c("title")), F.lit(""))), published_at=F.coalesce(F.try_to_timestamp(F.regexp_replace(c("pubDate"), "^[A-Za-z]{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(c("pubDate")))),
     ),
     "youtube": Platform(
         "id struct<videoId:string,channelId:string,playlistId:string>, snippet struct<title:string,description:string,channelTitle:string,publishedAt:string>, statistics struct<viewCount:string,likeCount:string,commentCount:string>",
@@ -148,6 +148,45 @@ def stage_counts(payloads: DataFrame, platform: str, words: list[str], since: Co
     return rows.agg(F.count(F.lit(1)).alias("raw"), n(F.col("valid")).alias("schema_valid"), n(match).alias("query_match"), n(eligible).alias("time_eligible"), n(~F.col("valid")).alias("malformed"))
 
 
+#: What is read of a feed: the items of a channel (or beside it), or the entries of an Atom feed.
+_ITEM = "array<struct<guid:string,link:string,title:string,description:string,author:string,pubDate:string>>"
+_ENTRY = "array<struct<id:string,link:struct<_VALUE:string,_href:string>,title:string,summary:string,content:string,author:struct<name:string>,published:string,updated:string>>"
+_FEED = f"channel struct<item:{_ITEM}>, item {_ITEM}, entry {_ENTRY}"
+
+
+def feed_payloads(feeds: DataFrame, column: str = "payload") -> DataFrame:
+    """payload: an rss payload for each item or entry of XML feeds, one feed a row.
+
+    A feed that is no XML, null or empty gives no rows.
+    """
+    p = feeds.select(F.from_xml(F.col(column), _FEED, {"mode": "PERMISSIVE"}).alias("p"))
+    none = F.array().cast("array<struct<guid:string,link:string,title:string,description:string,creator:string,pubDate:string>>")
+
+    def of_item(i: Column) -> Column:
+        return F.struct(i["guid"].alias("guid"), i["link"].alias("link"), i["title"].alias("title"), i["description"].alias("description"), i["author"].alias("creator"), i["pubDate"].alias("pubDate"))
+
+    def of_entry(e: Column) -> Column:
+        return F.struct(e["id"].alias("guid"), first_of(e["link"]["_VALUE"], e["link"]["_href"]).alias("link"), e["title"].alias("title"), first_of(e["summary"], e["content"]).alias("description"), e["author"]["name"].alias("creator"), first_of(e["published"], e["updated"]).alias("pubDate"))
+
+    lists = (F.transform(c("channel.item"), of_item), F.transform(c("item"), of_item), F.transform(c("entry"), of_entry))
+    return p.select(F.explode(F.concat(*(F.coalesce(x, none) for x in lists))).alias("one")).select(F.to_json("one").alias("payload"))
+
+
+#: What may be kept of an embed answer: never its markup (fixed values).
+EMBED_KEYS = ["author_name", "author_url", "provider_name", "provider_url", "title", "type"]
+
+
+def embed_metadata(payload: Column) -> Column:
+    """map<string,string> of the allowed keys whose values are text, numbers or truth values; null where the answer is no JSON object."""
+    v = F.try_parse_json(payload)
+    pairs = []
+    for key in EMBED_KEYS:
+        one = F.try_variant_get(v, f"$.{key}", "variant")
+        plain = ~F.schema_of_variant(one).rlike("^(OBJECT|ARRAY|VOID)")
+        pairs.append(F.when(plain, F.struct(F.lit(key).alias("key"), F.try_variant_get(v, f"$.{key}", "string").alias("value"))))
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.map_from_entries(F.array_compact(F.array(*pairs))))
+
+
 def with_authors(posts: DataFrame, users: DataFrame) -> DataFrame:
     """Posts with the user each names, where the response carries users apart."""
     return posts.join(users.select(F.col("id").alias("author_id"), "name", "username").dropDuplicates(["author_id"]), "author_id", "left")

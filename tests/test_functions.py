@@ -76,8 +76,10 @@ def test_spam_and_snippet(spark):
     row = one(spark, text.spam_penalty(F.lit("T"), F.lit("short"), F.lit("u")), text.spam_penalty(F.lit(None), F.lit("WOW!!!!! BUY NOW OR NEVER, ALL THE THINGS YOU NEED"), F.lit("x?utm_a=1&utm_b=2")))
     assert row[:] == (5.0, 13.0)
     long = "x " * 200 + "needle " + "y " * 400
-    cut = one(spark, text.snippet(F.lit(long), F.array(F.lit("needle"))), text.snippet(F.lit("tiny"), F.array(F.lit("zz"))))
-    assert cut[0].startswith("...") and cut[0].endswith("...") and "needle" in cut[0] and cut[1] == "tiny"
+    cut, tiny, both, none, plain = one(spark, *(text.snippet(F.lit(x).cast("string"), terms) for x, terms in ((long, ["needle"]), ("tiny", ["zz"]), ("aaa Ab+C ab+cd 𝒳 AB", ["ab+c", "aa", "b", "(", r"\E"]), (None, ["a"]), ("  a \n b ", []))))
+    assert cut.snippet.startswith("...") and cut.snippet.endswith("...") and [cut.snippet[r.start : r.end] for r in cut.ranges] == ["needle"]
+    assert (tiny.snippet, tiny.ranges) == ("tiny", []) and (none.snippet, none.ranges) == (None, None) and (plain.snippet, plain.ranges) == ("a b", [])
+    assert [tuple(r) for r in both.ranges] == [(0, 2), (4, 8), (9, 13), (18, 19)]
 
 
 @pytest.mark.parametrize("q, want", [("#a", "HASHTAG"), ("@a", "HANDLE"), ("https://x.y", "URL"), ('"a b"', "EXACT_PHRASE"), ("كتاب book", "MIXED_LANGUAGE"), ("ai", "SHORT_AMBIGUOUS"), ("CVE-2024-12345", "RARE_ENTITY"), ("Acme", "SHORT_AMBIGUOUS"), ("Acme Corp", "RARE_ENTITY"), ("one two three", "MULTI_TERM_TOPIC")])

@@ -60,7 +60,7 @@ class Vocabulary:
             spec = json.load(f)
         symbols = byte_symbols()
         raw = lambda s: bytes(symbols[c] for c in s)
-        ids = {raw(s): i for s, i in spec["model"]["vocab"].items()}
+        self.ids = ids = {raw(s): i for s, i in spec["model"]["vocab"].items()}
         self.single = [ids[bytes([b])] for b in range(256)]
         #: pairs of ids, left << 32 | right, sorted; and rank << 32 | merged id of each, so that the smallest value wins
         pairs: dict[int, int] = {}
@@ -93,10 +93,14 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.values[at], NONE)
 
+    def parts(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the bytes of words (a matrix, one word a row), and the ranks of the pairs."""
+        return self.single[words], self.first[words[:, :-1], words[:, 1:]]
+
     def short(self, words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """words: a matrix of bytes, one word a row.  Pairs (row numbers, matrix of their ids)."""
-        row, part, done = np.arange(len(words)), self.single[words], []
-        rank = self.first[words[:, :-1], words[:, 1:]]
+        row, done = np.arange(len(words)), []
+        part, rank = self.parts(words)
         while rank.shape[1]:
             best = rank.argmin(axis=1)
             value = rank[np.arange(len(row)), best]
@@ -125,7 +129,7 @@ class Vocabulary:
 
     def long(self, data: bytes) -> list[int]:
         """The same ids for one long word, from a heap of pairs."""
-        part, get = self.single[np.frombuffer(data, np.uint8)].tolist(), self.merges.get
+        part, get = self.parts(np.frombuffer(data, np.uint8)[None])[0][0].tolist(), self.merges.get
         n = len(part)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(value >> 32, i, value & 0xFFFFFFFF, part[i], part[i + 1]) for i in range(n - 1) if (value := get(part[i] << 32 | part[i + 1])) is not None]

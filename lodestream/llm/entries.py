@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import bpe, chat_format, decontaminate, fingerprints, line_dedup, minhash, secret_scan, token_shards, toxicity, url_filter
+from lodestream.llm import bpe, chat_format, decontaminate, fill_middle, fingerprints, line_dedup, minhash, packing, secret_scan, token_shards, toxicity, url_filter
 from lodestream.llm.common import table
 from lodestream.sources.tables import spread
 
@@ -120,6 +120,38 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(corpus(spark, sf_dir))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(corpus(spark, sf_dir))
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h, regexp_extract_all(coalesce(text, ''), '[^
+]*
+|[^
+]+') AS u FROM documents
+), k AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS UBIGINT) AS h1, CAST('0x' || h[9:16] AS UBIGINT) AS h2, CAST('0x' || h[25:32] AS UBIGINT) AS h4 FROM d
+), c AS (
+  SELECT *, CAST(least(h1 % (n + 1), h2 % (n + 1)) AS BIGINT) AS a, CAST(greatest(h1 % (n + 1), h2 % (n + 1)) AS BIGINT) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM k
+), p AS (
+  SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_fingerprints": op2_fingerprints,
@@ -131,5 +163,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_shards": op9_token_shards,
     "op10_toxicity": op10_toxicity,
+    "op11_packing": op11_packing,
+    "op12_fill_middle": op12_fill_middle,
 }
-ORACLES = {"op4_minhash": OP4_SQL, "op7_url_filter": OP7_SQL, "op8_line_dedup": OP8_SQL}
+ORACLES = {"op4_minhash": OP4_SQL, "op7_url_filter": OP7_SQL, "op8_line_dedup": OP8_SQL, "op12_fill_middle": OP12_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import bpe, chat_format, decontaminate, fill_middle, fingerprints, line_dedup, minhash, packing, secret_scan, token_shards, toxicity, url_filter
+from lodestream.llm import bpe, chat_format, decontaminate, fill_middle, fingerprints, line_dedup, minhash, packing, prefix_trie, secret_scan, token_shards, toxicity, url_filter
 from lodestream.llm.common import table
 from lodestream.sources.tables import spread
 
@@ -152,6 +152,10 @@ FROM p
 """
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_fingerprints": op2_fingerprints,
@@ -165,5 +169,6 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_packing": op11_packing,
     "op12_fill_middle": op12_fill_middle,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES = {"op4_minhash": OP4_SQL, "op7_url_filter": OP7_SQL, "op8_line_dedup": OP8_SQL, "op12_fill_middle": OP12_SQL}

@@ -156,6 +156,41 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+OP13_SQL = r"""
+WITH own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT c, xor(list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)), lambda crc, b:
+    list_reduce(range(8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(crc, b)), 4294967295), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT c FROM own)
+), taken AS (SELECT ids.c, o.role, o.text, o.pos FROM ids JOIN own o ON o.c = ids.c - ids.c % 5 AND o.pos < ids.h
+), given AS (SELECT c, count(*) AS n FROM taken GROUP BY c
+), turns AS (
+  SELECT * FROM taken UNION ALL
+  SELECT own.c, role, text, pos - h + coalesce(n, 0) FROM own JOIN ids USING (c) LEFT JOIN given USING (c) WHERE pos >= h
+), paths AS (SELECT c, list({'r': role, 't': text} ORDER BY pos) AS path FROM turns GROUP BY c
+), members AS (
+  SELECT c, len(coalesce(path, [])) AS n, coalesce(path, []) AS path, unnest(range(0, len(coalesce(path, [])) + 1)) AS d FROM ids LEFT JOIN paths USING (c)
+), keyed AS (
+  SELECT c, n, d, path[1:d] AS own, CASE WHEN d > 0 THEN strlen(path[d].t) ELSE 0 END AS bytes FROM members
+), nodes AS (
+  SELECT sha256(CAST(to_json(own) AS VARCHAR)) AS id, any_value(own) AS own, d, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256
+  FROM keyed GROUP BY 1, d
+), up AS (SELECT id, conv_id, n_convs, bytes, CASE WHEN d > 0 THEN sha256(CAST(to_json(own[1:d - 1]) AS VARCHAR)) END AS parent FROM nodes
+), kids AS (SELECT parent AS id, count(*) AS n FROM up GROUP BY parent
+), above AS (SELECT id AS node, own, unnest(range(0, d + 1)) AS a, n_convs, bytes FROM nodes
+), under AS (
+  SELECT sha256(CAST(to_json(own[1:a]) AS VARCHAR)) AS id, count(*) FILTER (kids.id IS NULL) AS leaves, sum((n_convs - 1) * bytes) AS saved
+  FROM above LEFT JOIN kids ON kids.id = node GROUP BY 1
+)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, under.leaves AS n_leaves, CAST(under.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN up USING (id) LEFT JOIN nodes p ON p.id = up.parent LEFT JOIN kids ON kids.id = n.id JOIN under ON under.id = n.id
+"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_fingerprints": op2_fingerprints,
@@ -171,4 +206,4 @@ QUERIES = {
     "op12_fill_middle": op12_fill_middle,
     "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLES = {"op4_minhash": OP4_SQL, "op7_url_filter": OP7_SQL, "op8_line_dedup": OP8_SQL, "op12_fill_middle": OP12_SQL}
+ORACLES = {"op4_minhash": OP4_SQL, "op7_url_filter": OP7_SQL, "op8_line_dedup": OP8_SQL, "op12_fill_middle": OP12_SQL, "op13_prefix_trie": OP13_SQL}

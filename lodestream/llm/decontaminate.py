@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.llm.common import WordHasher, ascii_lower_table, materialise, mix, null_to_empty, slices, stream, utf8
@@ -158,13 +158,26 @@ def overlaps(docs: DataFrame, tests: DataFrame, min_overlap: int = MIN_OVERLAP,
     word, the first of equal ones.  Of a test text of min_overlap words or
     fewer it is all words, whichever of them are unequal; under five words all
     have to be equal, and the first place in the document is reported.
-    Null and empty test texts and null item ids match nothing; of an item_id
-    with several texts the least counts.  Documents that repeat are reported
-    once per row; a null doc_id keeps its row.  Other columns are ignored.
+    Null and empty test texts and null item ids match nothing; every text of an
+    item_id is tested by itself, and equal rows of the tests count once.
+    Documents that repeat are reported once per row; a null doc_id keeps its
+    row.  Other columns are ignored.
     """
-    tests = tests.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).filter("item_id is not null and item is not null").groupBy("item_id").agg(F.min("item").alias("item"))
-    corpus = docs.select("doc_id", null_to_empty().alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
-    seeds = materialise(test_seeds(tests.withColumnRenamed("item", "text"), masks, short_masks, min_overlap), "seeds")
+    return _overlaps(docs, tests, min_overlap, percent, masks, short_masks).drop("uid", "uid2")
+
+
+def _row_keys() -> list[Column]:
+    """Two hashes of a row's id and text: rows that share them have the same overlaps."""
+    own = [F.col("doc_id"), null_to_empty(), F.col("doc_id").isNull()]
+    return [F.xxhash64(*own).alias("uid"), F.xxhash64(F.lit("row"), *own).alias("uid2")]
+
+
+def _overlaps(docs: DataFrame, tests: DataFrame, min_overlap: int = MIN_OVERLAP, percent: int = PERCENT, masks: tuple[str, ...] = MASKS, short_masks: tuple[str, ...] = SHORT_MASKS) -> DataFrame:
+    """`overlaps` with uid and uid2, the row keys of the document."""
+    tests = tests.select(F.col("item_id").cast("long").alias("own_item"), F.col("text").alias("item")).filter("own_item is not null and item is not null").distinct()
+    tests = tests.withColumn("item_id", F.xxhash64("own_item", "item"))
+    corpus = docs.select("doc_id", null_to_empty().alias("text"), *_row_keys())
+    seeds = materialise(test_seeds(tests.select("item_id", F.col("item").alias("text")), masks, short_masks, min_overlap), "seeds")
     count = seeds.count()
     hits = corpus_hits(corpus, seeds, masks, short_masks)
     places = seeds.drop("mask")
@@ -174,7 +187,7 @@ def overlaps(docs: DataFrame, tests: DataFrame, min_overlap: int = MIN_OVERLAP,
     size = found.agg(F.coalesce(F.sum(F.size("shifts") * 4 + 40), F.lit(0))).first()[0]
     look = corpus.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "uid")
     size = tests.agg(F.coalesce(F.sum(F.octet_length("item") + 40), F.lit(0))).first()[0]
-    pairs = look.join(F.broadcast(tests) if size <= BROADCAST_BYTES else tests, "item_id").select("doc_id", "text", "item_id", "item", "shifts")
+    pairs = look.join(F.broadcast(tests) if size <= BROADCAST_BYTES else tests, "item_id").select("doc_id", "text", "own_item", "item", "shifts", "uid", "uid2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _Seeds((*masks, *short_masks))
@@ -184,7 +197,7 @@ def overlaps(docs: DataFrame, tests: DataFrame, min_overlap: int = MIN_OVERLAP,
                 words, rows = own.words(part.column(1))
                 tested, item_rows = own.words(part.column(3))
                 out = []
-                for i, (doc, item, shifts) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(4).to_pylist())):
+                for i, (doc, item, shifts, *keys) in enumerate(zip(*(part.column(k).to_pylist() for k in (0, 2, 4, 5, 6)))):
                     text, test = words[rows[i] : rows[i + 1]], tested[item_rows[i] : item_rows[i + 1]]
                     best = None
                     for shift in sorted(shifts):
@@ -192,16 +205,17 @@ def overlaps(docs: DataFrame, tests: DataFrame, min_overlap: int = MIN_OVERLAP,
                         equal = test[lo:hi] == text[lo + shift : hi + shift]
                         b, e = overlap_at(equal, len(test), min_overlap, percent)
                         if e > b and (best is None or e - b > best[2]):
-                            best = (doc, item, e - b, int(equal[b:e].sum()), len(test), lo + shift + b, lo + shift + e)
+                            best = (doc, item, e - b, int(equal[b:e].sum()), len(test), lo + shift + b, lo + shift + e, *keys)
                     if best:
                         out.append(best)
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "item_id", "overlap", "equal", "item_words", "begin", "end"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "item_id", "overlap", "equal", "item_words", "begin", "end", "uid", "uid2"])
 
-    return pairs.mapInArrow(run, "doc_id long, item_id long, overlap long, equal long, item_words long, `begin` long, `end` long")
+    return pairs.mapInArrow(run, "doc_id long, item_id long, overlap long, equal long, item_words long, `begin` long, `end` long, uid long, uid2 long")
 
 
 def remove_contaminated(docs: DataFrame, tests: DataFrame, **how) -> DataFrame:
-    """docs without the documents that overlap a test text."""
-    hit = overlaps(docs, tests, **how).select("doc_id").distinct()
-    return docs.join(hit, docs.doc_id.eqNullSafe(hit.doc_id), "left_anti")
+    """docs without the rows whose text overlaps a test text; rows equal in id and text go together, others are decided alone."""
+    hit = _overlaps(docs, tests, **how).select("uid", "uid2").distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("own"), *_row_keys())
+    return keyed.join(hit, ["uid", "uid2"], "left_anti").select("own.*")

@@ -143,13 +143,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, identity
 
     The loss is logistic, plus swap_weight times the squared change of the
     score's logit under the swap of identity terms, plus an L1 penalty.  Null
-    labels and null ids are no examples; without any example the score is one
-    half for every text.
+    labels and null ids are no examples; without any example nothing is known
+    to be toxic, and every text scores 0 (to 26 digits).
     """
     found = _examples(sample(docs, labels, max_train, max_chars), identity)
     y = np.array(found["label"].to_pylist(), np.float64)
     if not len(y):
-        return Model(0.0, np.zeros(0, np.int32), np.zeros(0))
+        return Model(-60.0, np.zeros(0, np.int32), np.zeros(0))
     x, gone, come = ([np.frombuffer(b, np.int32) for b in found[c].to_pylist()] for c in ("x", "gone", "come"))
     size = 1 << BITS
     total = np.bincount(np.concatenate(x), minlength=size).astype(float)
@@ -190,29 +190,56 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, identity
     return Model(bias, kept[on], w[on])
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs (doc_id, text).
-
-    Null and empty texts get the score of no features.  A null doc_id keeps its
-    row (held_out false).  Repeated rows score alike; other columns are ignored.
-    """
+def _scores(model: Model):
+    """A function from batches of texts to batches of scores."""
     bias, features, weights = model.bias, model.features, model.weights
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weight = np.zeros(1 << BITS)
         weight[features] = weights
         used = weight != 0
         found = _Features()
-        for batch in batches:
-            texts, z = batch.column(1), []
+        for texts in batches:
+            z = []
             for a, b in slices(texts):
                 f, rows = found.many(texts[a:b])
                 row = np.repeat(np.arange(b - a), np.diff(rows))
                 keys = [np.unique((row[hit] << BITS) | k[hit].astype(np.int64)) for k in f if (hit := used[k]).any()]
                 keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
                 z.append(bias + np.bincount(keys >> BITS, weight[keys & ((1 << BITS) - 1)], b - a))
-            value = 1 / (1 + np.exp(-np.clip(np.concatenate(z), -60, 60))) if z else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value, pa.float64())], ["doc_id", "score"])
+            yield pa.array(1 / (1 + np.exp(-np.clip(np.concatenate(z), -60, 60))) if z else np.zeros(0), pa.float64())
+
+    return run
+
+
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs (doc_id, text).
+
+    Null and empty texts get the score of no features.  A null doc_id keeps its
+    row (held_out false).  Repeated rows score alike; other columns are ignored.
+    """
+    scores = _scores(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[pa.Array] = []
+
+        def texts() -> Iterator[pa.Array]:
+            for batch in batches:
+                ids.append(batch.column(0))
+                yield batch.column(1)
+
+        for value in scores(texts()):
+            yield pa.RecordBatch.from_arrays([ids.pop(), value], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), null_to_empty().alias("text")).mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def remove_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows whose own text scores threshold or more, in one pass and without a join.
+
+    Null and empty texts have the score of no features.  Each row is decided by
+    its text alone, whatever its id and however often that repeats.
+    """
+    scored = F.arrow_udf(_scores(model), "double", F.ArrowUDFType.SCALAR_ITER)
+    return docs.filter(scored(null_to_empty()) < threshold)

@@ -87,3 +87,20 @@ def test_stages_handle_nulls_repeats_and_clashing_columns(spark, corpus):
     texts = {r.doc_id: r.text for r in kept.collect()}
     assert texts[900] is None and texts[901] == "" and texts[903] == "" and texts[904] == prose(77, 9000)
     assert corpus_pipeline.STAGES[-1][1](spark, kept, d).count() == kept.count()
+
+
+def test_without_labels_no_document_is_toxic(spark, corpus, tmp_path):
+    d, rows, _ = corpus
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    spark.read.parquet(f"{d}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == len(rows)
+
+
+def test_rows_without_id_are_decided_one_by_one(spark, corpus):
+    d, rows, items = corpus
+    clean, toxic, leak = prose(9100, 50), prose(9101, 20) + " moron idiot moron idiot", prose(9102, 20) + " " + items[0]
+    docs = spark.createDataFrame([(None, t, "en", "s", 1) for t in (clean, toxic, leak)] + [(k, *rest) for k, *rest in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_toxic(spark, docs, d)
+    assert sorted(r.text for r in kept.filter("doc_id is null").collect()) == sorted([clean, leak])
+    kept = corpus_pipeline.drop_contaminated(spark, kept, d)
+    assert [r.text for r in kept.filter("doc_id is null").collect()] == [clean]

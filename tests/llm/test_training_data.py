@@ -379,6 +379,17 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontaminate.overlaps(docs.limit(0), tests).count() == 0 and decontaminate.overlaps(docs, tests.limit(0)).count() == 0
 
 
+def test_every_text_of_an_item_is_tested_and_rows_are_decided_alone(spark):
+    one, two = prose(800, 20), prose(801, 20)
+    tests = spark.createDataFrame([(1, one), (1, two), (1, two), (2, prose(802, 20))], "item_id long, text string")
+    rows = [(5, f"x {one} y", "a"), (6, f"{two} z", "b"), (7, f"{one} w {two}", "c"), (None, prose(803, 60), "d"), (None, f"{two} q", "e"), (8, prose(804, 30), "f"), (8, one, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, uid string")
+    got = sorted((str(r.doc_id), r.item_id, r.overlap) for r in decontaminate.overlaps(docs, tests).collect())
+    assert got == [("5", 1, 20), ("6", 1, 20), ("7", 1, 20), ("7", 1, 20), ("8", 1, 20), ("None", 1, 20)]
+    kept = decontaminate.remove_contaminated(docs, tests)
+    assert kept.columns == docs.columns and sorted(r.uid for r in kept.collect()) == ["d", "f"]
+
+
 def test_test_texts_of_few_words_are_looked_up_whole(spark):
     tests = spark.createDataFrame([(k, " ".join(f"rare{k}w{j}" for j in range(k))) for k in range(1, 5)], "item_id long, text string")
     docs = spark.createDataFrame([(10 * k + e, "some words " + " ".join("other" if e and j == k - 1 else f"rare{k}w{j}" for j in range(k)) + " and more " + f"rare{k}w0 rare{k}w0 " * 3) for k in range(1, 5) for e in (0, 1)], "doc_id long, text string")
@@ -574,6 +585,16 @@ def test_shard_files_equal_brute_force_and_resume(spark, docs, tmp_path):
         assert [x.tobytes() for x in got] == [by_slot[k] for k in range(slot, min(n, slot + many))]
 
 
+def test_shards_do_not_depend_on_the_split(spark, docs, tmp_path):
+    want = None
+    for parts, shuffle in ((1, 4), (2, 3), (5, 9)):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+        got = sorted((r.shard, r.first_slot, r.n_sequences, r.payload_sha256, tuple(r.lengths)) for r in token_shards.shards(docs.repartition(parts), seq_len=64, per_shard=16).collect())
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        want = want or got
+        assert got == want and len(got) > 10
+
+
 def test_vocabularies_beyond_sixteen_bits_are_refused(docs, monkeypatch):
     class Wide:
         class vocabulary:
@@ -629,7 +650,54 @@ def test_toxicity_edges(spark, docs):
     again = toxicity.fit(repeated, twice, max_train=30)
     assert again.bias == model.bias and again.weights.tolist() == model.weights.tolist(), "repeated rows and labels change nothing"
     nothing = toxicity.fit(docs, labels.limit(0))
-    assert {r.score for r in toxicity.score(docs, nothing).collect()} == {0.5}
+    unknown = toxicity.score(docs, nothing).collect()
+    assert len(unknown) == len(texts()) and all(r.score < 1e-20 and r.predicted == 0 for r in unknown), "nothing is toxic where no label says so"
+    assert toxicity.remove_toxic(docs, nothing).count() == len(texts())
+
+
+def plain_features(text):
+    """Words of ASCII letters, digits and other bytes, lower-cased, and their first four and six bytes, hashed one by one."""
+    hasher, out = toxicity._Features(), set()
+    for word in re.findall(rb"[^\x01-/:-@\[-`{-\x7f]+", (text or "").encode()):
+        out |= set(hasher.many(toxicity.pa.array([word.decode()]))[0][:, 0].tolist())
+    return out
+
+
+def test_scores_and_loss_equal_plain_sums(spark):
+    docs, labels = labelled(spark, 150)
+    model = toxicity.fit(docs, labels)
+    weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+    logit = lambda text: model.bias + sum(weight.get(f, 0.0) for f in plain_features(text))
+    texts_of = {r.doc_id: r.text for r in docs.collect()}
+    scored = toxicity.score(docs, model).collect()
+    for r in scored:
+        assert abs(r.score - 1 / (1 + np.exp(-logit(texts_of[r.doc_id])))) < 1e-9
+    assert toxicity.remove_toxic(docs, model).count() == sum(r.predicted == 0 for r in scored)
+    # the fitted weights are where the plainly written loss is least
+    rows = sorted((r.toxic, r.text) for r in toxicity.sample(docs, labels).collect())
+    swap, pairs = toxicity._swaps(toxicity.IDENTITY)
+    swapped = []
+    for _, text in rows:
+        other = re.sub(r"\w+", lambda m: swap.get(m[0].lower(), m[0]), text)
+        a, b = pairs[len(text) % len(pairs)]
+        swapped.append((plain_features(text), plain_features(other)) if other != text else (plain_features(f"{text}\n{a}"), plain_features(f"{text}\n{b}")))
+    own = [plain_features(t) for _, t in rows]
+
+    def loss(bias, w):
+        total = 0.0
+        for (y, _), x, (a, b) in zip(rows, own, swapped):
+            z = bias + sum(w.get(f, 0.0) for f in x)
+            moved = sum(w.get(f, 0.0) for f in a - b) - sum(w.get(f, 0.0) for f in b - a)
+            total += np.log1p(np.exp(-z if y else z)) + moved * moved
+        return total / len(rows) + 2e-4 * sum(map(abs, w.values()))
+
+    best = loss(model.bias, weight)
+    r = random.Random(3)
+    for _ in range(40):
+        changed = dict(weight)
+        for f in r.sample(sorted(weight), min(3, len(weight))):
+            changed[f] += r.choice([-0.2, -0.05, 0.05, 0.2])
+        assert loss(model.bias + r.choice([0, -0.1, 0.1]), changed) > best - 1e-4
 
 
 def plain_battery(token):

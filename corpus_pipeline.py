@@ -21,13 +21,11 @@ NEAR_WORDS = 5  # of a shingle
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier does not reject; it learns from the labelled ones among docs.
 
-    Null and empty texts score as no words at all.  Rows that repeat a doc_id
-    go together if any of them is rejected, and so do rows without an id.
-    Without any label nothing is rejected above the classifier's one half.
+    Null and empty texts score as no words at all.  Each row is decided by its
+    own text, also without an id or where an id repeats.  Without any label
+    nothing is rejected.
     """
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    rejected = toxicity.score(docs, model).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, docs.doc_id.eqNullSafe(rejected.doc_id), "left_anti")
+    return toxicity.remove_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +55,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no benchmark text.
 
-    Null and empty texts overlap nothing and stay.  Rows that repeat a doc_id
-    go together if any of them overlaps, and so do rows without an id.
+    Null and empty texts overlap nothing and stay.  Each row is decided by its
+    own text, also without an id or where an id repeats.
     """
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 

@@ -152,6 +152,43 @@ def test_shifted_windows_do_not_chain(spark):
     assert rows(dedup.complete_linkage(pairs), "id", "cluster") == [(1, 1), (2, 1), (3, 3)]
 
 
+def plain_linkage(pairs, key):
+    """Clusters by the definition: items in order, each joins the whole cluster with the strongest weakest pair."""
+    score = {frozenset(p[:2]): p[2] for p in pairs}
+    clusters, admitted = [], {}
+    for item in sorted({i for p in pairs for i in p[:2]}, key=lambda i: (key[i], i)):
+        fits = [(min(score[frozenset((item, m))] for m in c), -n) for n, c in enumerate(clusters) if all(frozenset((item, m)) in score for m in c)]
+        if fits:
+            weakest, n = max(fits)
+            clusters[-n].append(item)
+        else:
+            weakest = 1.0
+            clusters.append([item])
+        admitted[item] = weakest
+    return sorted((m, c[0], admitted[m]) for c in clusters for m in c)
+
+
+@pytest.mark.parametrize("seed,n,share", [(1, 12, 0.5), (2, 40, 0.15), (3, 30, 0.8), (4, 60, 0.05), (5, 25, 1.0)])
+def test_complete_linkage_equals_its_definition(spark, seed, n, share):
+    r = random.Random(seed)
+    pairs = [(a, b, r.choice([0.8, 0.85, 0.9, 1.0])) for a in range(n) for b in range(a + 1, n) if r.random() < share]
+    key = {i: r.choice("abc") for i in range(n)}
+    frame = spark.createDataFrame(pairs, "a long, b long, score double").repartition(5)
+    order = spark.createDataFrame(list(key.items()), "item_id long, key string")
+    assert rows(dedup.complete_linkage(frame, order=order), "id", "cluster", "admitted") == plain_linkage(pairs, key)
+    assert rows(dedup.complete_linkage(frame), "id", "cluster", "admitted") == plain_linkage(pairs, dict.fromkeys(key, ""))
+    assert dedup.complete_linkage(frame.limit(0)).count() == 0
+
+
+def test_linkage_of_a_long_chain_and_a_large_clique(spark):
+    chain = spark.range(3000).selectExpr("id as a", "id + 1 as b", "0.9D as score")
+    found = dedup.complete_linkage(chain).groupBy("cluster").count().collect()
+    assert len(found) == 1501 and max(x["count"] for x in found) == 2
+    ids = spark.range(300)
+    clique = ids.alias("x").join(ids.alias("y"), F.expr("x.id < y.id")).selectExpr("x.id as a", "y.id as b", "0.9D as score")
+    assert rows(dedup.complete_linkage(clique).groupBy("cluster").count(), "cluster", "count") == [(0, 300)]
+
+
 def test_key_groups_and_canonical_member(spark):
     data = spark.createDataFrame([(1, "u1", "f1"), (2, "u1", "f2"), (3, "u2", "f2"), (4, "u9", "f9"), (5, None, "f9")], "item_id long, u string, f string")
     assert rows(dedup.by_keys(data, "u", "f"), "item_id", "group_id") == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]

@@ -11,10 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.operators.ordering import numbered  # noqa: F401
 from lodestream.sources.scratch import materialise  # noqa: F401
 from lodestream.sources.tables import table  # noqa: F401
 
@@ -25,43 +24,6 @@ def null_to_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def numbered(rows: DataFrame, order: list[str], tie: list[str], keep: list[str]) -> DataFrame:
-    """The columns `keep` with index, 0 to n - 1 in the order of `order` and `tie` (nulls first), and rank, the index of the first row with equal `order`.
-
-    Both depend on the rows alone, not on how they are dealt, as long as rows
-    equal in order and tie are equal in keep.  rows must come from a written
-    table.  `tie` may part rows with equal `order` over many tasks, so a value
-    that a third of the rows share stays no task's burden.  One row for each
-    range, its count and the keys at its ends, goes through the driver.
-    """
-    null = [F.col(c).isNull() for c in order]
-    sorted_ = rows.repartitionByRange(*order, *tie).sortWithinPartitions(*order, *tie).select(F.xxhash64(*order, *null).alias("__key"), *keep)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, place, first, last = TaskContext.get().partitionId(), 0, 0, None
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            keys, at = np.asarray(batch.column(0)), np.arange(place, place + n)
-            new = np.concatenate([[last is None or keys[0] != last], keys[1:] != keys[:-1]])
-            firsts = np.maximum.accumulate(np.where(new, at, first))
-            place, first, last = place + n, firsts[-1], keys[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(at), pa.array(firsts), *batch.columns], ["__part", "__place", "__first", *batch.schema.names])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sorted_.schema.fields)
-    local = materialise(sorted_.mapInArrow(run, f"__part int, __place long, __first long, {fields}"), "numbered")
-    offsets, before, begun, last = [], 0, 0, None
-    for r in local.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min_by("__key", "__place").alias("low"), F.max_by("__key", "__place").alias("high"), F.max("__first").alias("last")).orderBy("__part").collect():
-        begun = begun if r.low == last else before  # where the run that stands at this range's start begins
-        offsets.append((r[0], before, begun))
-        begun, last = begun if r.last == 0 else before + r.last, r.high
-        before += r.n
-    of = rows.sparkSession.createDataFrame(offsets, "__part int, __before long, __begun long")
-    rank = F.when(F.col("__first") == 0, F.col("__begun")).otherwise(F.col("__before") + F.col("__first"))
-    return local.join(F.broadcast(of), "__part").select(*keep, (F.col("__before") + F.col("__place")).alias("index"), rank.alias("rank"))
-
-
 def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of an Arrow string column holding about `size` bytes each (one row at least)."""
     n = len(texts)

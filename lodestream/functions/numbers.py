@@ -27,8 +27,29 @@ SOCIAL = ["x", "threads", "telegram", "reddit", "youtube", "instagram", "tiktok"
 
 
 def rounded(x: Column, digits: int) -> Column:
-    """Half-up rounding spelt out, so that every engine gives the same digits."""
-    return F.floor(x * 10**digits + 0.5) / 10**digits
+    """x to so many decimals (0 to 15): the nearest by the exact value of the double, half to even where it is a tie.
+
+    So 2.675, which as a double lies below the tie, gives 2.67, and 0.125 gives
+    0.12.  x times the power of ten is kept as a product and the error of its
+    rounding, both exact, as x and the power are cut in halves whose products
+    fit a double.  Magnitudes beyond 2^53 steps have no further digits and stay.
+    """
+    scale = 10.0**digits
+    high = float((scale * 134217729.0) - (scale * 134217729.0 - scale))
+    low = scale - high
+
+    def exact(v: Column) -> Column:
+        wide = v * F.lit(134217729.0)
+        top = wide - (wide - v)
+        rest = v - top
+        product = v * F.lit(scale)
+        error = ((top * high - product) + top * low + rest * high) + rest * low
+        below = F.floor(product).cast("double")
+        over = (product - below) - 0.5 + error  # its sign is right: the first term is exact, and the second far smaller than its steps
+        up = (over > 0) | ((over == 0) & (below % 2 != 0))
+        return F.when(F.abs(product) < F.lit(float(1 << 53)), (below + up.cast("double")) / scale).otherwise(v)
+
+    return F.get(F.transform(F.array(x.cast("double")), exact), F.lit(0))  # x is computed once
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:

@@ -16,6 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lodestream.functions import numbers
+
 WORD = r"[\p{L}\p{N}_\u0600-\u06FF]+"
 #: Texts of these characters alone are in compatibility form, and lower case with ss for ß is their full case folding.
 PLAIN = "^[\\x00-\\x1B\\x20-\\x7E¡«¿»À-ÖØ-öø-ıĴ-ľŁ-ňŊ-ž–—‘’“”„€]*$"
@@ -108,7 +110,7 @@ def script_shares(x: Column) -> Column:
     letters = F.length(F.regexp_replace(x, r"[^\p{L}]", ""))
     arabic = F.length(F.regexp_replace(x, "[^\\u0600-\\u06FF]", ""))
     latin = F.length(F.regexp_replace(x, "[^A-Za-z\\u00C0-\\u024F]", ""))
-    share = lambda n: F.floor(F.coalesce(F.try_divide(n, letters), F.lit(0.0)) * 1000 + 0.5) / 1000
+    share = lambda n: numbers.rounded(F.coalesce(F.try_divide(n, letters), F.lit(0.0)), 3)
     return F.struct(share(arabic).alias("arabic"), share(latin).alias("latin"), share(letters - arabic - latin).alias("other"))
 
 

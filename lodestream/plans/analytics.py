@@ -130,10 +130,24 @@ def grouping_sets_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("good"), F.sum("toxic").alias("toxic"), rounded(F.avg("quality"), 4).alias("rate"))
 
 
-SLICES_SQL = """SELECT lang, source, count(*) AS n, sum(quality) AS good, sum(toxic) AS toxic, floor(avg(quality) * 10000 + 0.5) / 10000 AS rate
+SLICES_SQL = f"""SELECT lang, source, count(*) AS n, sum(quality) AS good, sum(toxic) AS toxic, {rounded_sql('avg(quality)', 4)} AS rate
 FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang), (source), ())"""
 
 
+#: Values whose decimals are rounded, most of them ties or next to one, and to how many decimals.
+_ROUNDED = {"value_0": ("value", 0), "value_1": ("value", 1), "value_2": ("value", 2), "value_4": ("value", 4), "eighths": ("event_id / 8", 2), "cents": ("event_id / 1000 + 0.005D", 2), "shares": ("1 / (event_id + 1)", 6), "signed": ("(event_id - 5000) / 16", 3)}
+
+
+def half_even_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event values, and quotients that are ties in decimal but seldom as doubles, rounded by their exact values."""
+    rows = table(spark, sf_dir, "events").select("event_id", "value")
+    return rows.select("event_id", *(rounded(F.expr(x), digits).alias(name) for name, (x, digits) in _ROUNDED.items()))
+
+
+_DOUBLES = {"event_id / 8": "event_id / 8.0::DOUBLE", "event_id / 1000 + 0.005D": "event_id / 1000.0::DOUBLE + 0.005::DOUBLE", "1 / (event_id + 1)": "1.0::DOUBLE / (event_id + 1)", "(event_id - 5000) / 16": "(event_id - 5000) / 16.0::DOUBLE"}
+ROUNDING_SQL = f"SELECT event_id, {', '.join(f'{rounded_sql(_DOUBLES.get(x, x), digits)} AS {name}' for name, (x, digits) in _ROUNDED.items())} FROM events"
+
+
 def spam_and_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = content(spark, sf_dir)
     parts = {"url": (F.col("canonical_url").isNotNull(), 0.16), "title": (F.col("title") != "", 0.12), "snippet": (F.col("text") != "", 0.18), "full": (F.length("text") >= 80, 0.22), "author": (F.col("source").isNotNull(), 0.1), "time": (F.col("published_at").isNotNull(), 0.12)}
@@ -196,6 +210,7 @@ QUERIES = {
     "quantiles_by_source": (quantiles_by_source, QUANTILES_SQL),
     "latest_per_key": (latest_per_key, LATEST_SQL),
     "acquisition_funnel": (acquisition_funnel, FUNNEL_SQL),
+    "half_even_rounding": (half_even_rounding, ROUNDING_SQL),
     "grouping_sets_slices": (grouping_sets_slices, SLICES_SQL),
     "spam_and_completeness": (spam_and_completeness, COMPLETE_SQL),
     "stratified_sample": (stratified_sample, SAMPLE_SQL),

@@ -37,7 +37,7 @@ _LANES = f"""lp AS (SELECT item_id, row_number() OVER (ORDER BY bm25 DESC, item_
 ), kw0 AS (SELECT item_id, {rounded_sql(f'sum({BM25_PART})', 9)} AS bm25 FROM posted JOIN df USING (term), stats WHERE term IN {QUERY.distinct} GROUP BY 1
 ), kw AS (SELECT item_id, row_number() OVER (ORDER BY bm25 DESC, item_id) AS place FROM kw0 QUALIFY place <= {{k}}"""
 # the phrase scores without their rounding, which could tie
-_PHRASES = PHRASE_SQL.split("SELECT item_id, (floor(")[0] + f", pb AS (SELECT item_id, {rounded_sql(BM25_PART, 9)} AS bm25 FROM hit, stats), "
+_PHRASES = PHRASE_SQL.split("SELECT item_id, (CAST(printf(")[0] + f", pb AS (SELECT item_id, {rounded_sql(BM25_PART, 9)} AS bm25 FROM hit, stats), "
 
 
 def _union_sql(lanes: list[str], limit: int) -> str:

@@ -72,7 +72,8 @@ def index_tokens_sql(x: str) -> str:
 
 
 def rounded_sql(x: str, digits: int) -> str:
-    return f"(floor(({x}) * {10**digits} + 0.5) / {10**digits})"
+    """The nearest decimal by the exact value of a double, half to even: what C's printf writes."""
+    return f"(CAST(printf('%.{digits}f', CAST(({x}) AS DOUBLE)) AS DOUBLE))"
 
 
 def share_sql(x: str, scale: int) -> str:

@@ -1,5 +1,7 @@
 """Scalar functions against hand-computed values."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ def test_scores(spark):
     e = numbers.engagement({"likes": lit(30), "shares": lit(None).cast("int")}, scales)
     assert one(spark, e, numbers.engagement({"views": lit(3)}, scales), numbers.engagement({"likes": lit(-5)}, scales))[:] == (100.0, 0.0, 0.0)
     assert one(spark, numbers.social_reach(lit("rss"), lit(50.0), lit(1)), numbers.social_reach(lit("x"), lit(50.0), lit(1)))[:] == (None, 40.0)
-    assert one(spark, numbers.rounded(lit(0.125), 2), numbers.rounded(lit(2.5), 0))[:] == (0.13, 3.0)
+    assert one(spark, numbers.rounded(lit(0.125), 2), numbers.rounded(lit(2.5), 0))[:] == (0.12, 2.0)
     assert one(spark, numbers.token_rarity(lit(0.0), lit(0.0)), numbers.token_rarity(lit(99.0), lit(99.0)))[:] == (0.5, 0.0)
     shares = [one(spark, numbers.split_evenly(lit(11), lit(3), lit(k)))[0] for k in (1, 2, 3)]
     assert shares == [4, 4, 3]
@@ -90,3 +92,16 @@ def test_query_classes(spark, q, want):
 def test_identifiers(spark):
     flags = one(spark, *(text.has_identifier(F.lit("see CVE-2024-12345 in 2024 at a.example.com"), k) for k in ("cve", "ghsa", "year", "domain", "quoted")))
     assert flags[:] == (True, False, True, True, False)
+
+
+def test_rounding_equals_pythons_on_exact_values(spark):
+    r = random.Random(7)
+    xs = [2.675, 0.125, 0.375, -0.125, 1.005, 0.5, 1.5, 2.5, -2.5, 0.0, 1e15 + 0.3, 4503599627370495.5, 1e300, 5126801.5021179635, 0.285, 1.115, 5e-7]
+    for _ in range(100_000):
+        xs.append(r.choice([r.uniform(-100, 100), r.randrange(-(10**6), 10**6) / 1000 + 0.0005 * r.randrange(3), (r.randrange(10**7) * 2 + 1) / 2 ** r.randrange(1, 12), r.expovariate(1) * 10 ** r.randrange(-6, 9)]))
+    frame = spark.createDataFrame([(x,) for x in xs], "x double")
+    digits = (0, 1, 2, 4, 6, 9)
+    for x, row in zip(xs, frame.select("x", *(numbers.rounded(F.col("x"), d).alias(f"d{d}") for d in digits)).collect()):
+        assert row.x == x and list(row)[1:] == [round(x, d) for d in digits], x
+    odd = spark.sql("select explode(array(cast(null as double), double('NaN'), double('Infinity'))) as x").select(numbers.rounded(F.col("x"), 2)).collect()
+    assert odd[0][0] is None and odd[1][0] != odd[1][0] and odd[2][0] == float("inf")

@@ -10,6 +10,7 @@ from lodestream.functions.numbers import rounded
 from lodestream.operators import planning as P
 from lodestream.operators import writes as X
 from lodestream.sources.tables import NOW_SQL, now, rounded_sql, table
+from lodestream.streaming import breaker as B
 from lodestream.streaming import streams as S
 
 
@@ -177,6 +178,38 @@ BREAKER_SQL = """WITH r AS (SELECT user_id, (value < 20)::INT AS failed, epoch_u
 SELECT user_id, count(*) AS failures, min(sec) AS first, max(sec) AS last, max(sec) + 60.0 AS open_until FROM r WHERE failed = 1 GROUP BY user_id, island HAVING count(*) >= 2"""
 
 
+_REASONS = ["Captcha required", "HTTP error 429", "Read timeout", "Connection refused"]
+
+
+def _walked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests of five engines, one in three a failure; a second of the rules is a minute here, as events are minutes apart."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
+    reason = F.when(F.col("value") < 30, F.element_at(F.array(*map(F.lit, _REASONS)), (F.col("event_id") % 4 + 1).cast("int")))
+    return B.walk(e, "event_type", ["event_id"], F.unix_micros(F.col("ts").cast("timestamp")) / 6e7, B.cause(reason))
+
+
+def breaker_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request with its breaker after it."""
+    return _walked(spark, sf_dir).select("event_type", "event_id", "failed", "skipped", "failures", "open_until", B.state_name(F.col("failed")).alias("state"))
+
+
+def breaker_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each time a breaker opened: when, until when, why, and what it skipped."""
+    return B.openings(_walked(spark, sf_dir), "event_type")
+
+
+_WALK_CTE = f"""r AS (SELECT event_type, event_id, epoch_us(ts) / 6e7 AS at, CASE WHEN value < 30 THEN (['captcha', 'rate', 'timeout', 'other'])[event_id % 4 + 1] END AS failed, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events
+), c(failed, cooldown, state) AS (VALUES {', '.join(f"('{k}', {v}::DOUBLE, '{B.STATE[k]}')" for k, v in B.COOLDOWN.items())}
+), q AS (SELECT r.*, cooldown, coalesce(state, 'HEALTHY') AS state FROM r LEFT JOIN c USING (failed)
+), w AS (SELECT q.*, false AS skipped, (failed IS NOT NULL)::INT AS failures, 0.0::DOUBLE AS open_until FROM q WHERE n = 1
+  UNION ALL SELECT q.*, w.open_until > q.at, CASE WHEN w.open_until > q.at THEN w.failures WHEN q.failed IS NULL THEN 0 ELSE least(2, w.failures + 1) END,
+    CASE WHEN w.open_until > q.at THEN w.open_until WHEN q.failed IS NULL OR w.failures = 0 THEN 0.0 ELSE q.at + q.cooldown END
+  FROM w JOIN q ON q.event_type = w.event_type AND q.n = w.n + 1)"""
+WALK_SQL = f"WITH RECURSIVE {_WALK_CTE} SELECT event_type, event_id, failed, skipped, failures, open_until, state FROM w"
+OPENINGS_SQL = f"""WITH RECURSIVE {_WALK_CTE}, o AS (SELECT *, (NOT skipped AND failed IS NOT NULL AND open_until > w."at") AS opens FROM w)
+SELECT event_type, open_until, min(o."at") FILTER (WHERE opens) AS opened, arg_min(failed, o."at") FILTER (WHERE opens) AS cause, count(*) FILTER (WHERE skipped) AS n_skipped FROM o WHERE opens OR skipped GROUP BY 1, 2"""
+
+
 def _job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations")
     event = F.when((F.col("turn") >= 4) & (F.col("role") == "assistant"), "completed").otherwise(F.col("role"))
@@ -222,6 +255,8 @@ QUERIES = {
     "content_upsert_merge": (content_upsert_merge, UPSERT_SQL),
     "cache_eviction": (cache_eviction, EVICT_SQL),
     "breaker_intervals": (breaker_intervals, BREAKER_SQL),
+    "breaker_walk": (breaker_walk, WALK_SQL),
+    "breaker_openings": (breaker_openings, OPENINGS_SQL),
     "event_fold_state": (event_fold_state, FOLD_SQL),
     "event_history": (event_history, HISTORY_SQL),
     "stream_tumbling_counts": (stream_tumbling_counts, TUMBLING_SQL),

@@ -122,3 +122,19 @@ def errors(ranked: DataFrame, relevant: DataFrame, items: DataFrame, queries: Da
     title = (F.size("words") > 0) & (F.size(F.array_except("words", "title_words")) == 0)
     kind = F.when(F.col("engagement") >= 80, "ENGAGEMENT_OVERWEIGHTED").when(title, "TITLE_OVERWEIGHTED").otherwise("AMBIGUOUS_QUERY")
     return missing.unionByName(wrong.select("query_id", "item_id", kind.alias("category")))
+
+
+def error_counts(ranked: DataFrame, n_relevant: DataFrame, items: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, category, n: how many errors of each kind (see `errors`) the first k ranks of a query have.
+
+    ranked: query_id, item_id, rank, hit; n_relevant: query_id, n_relevant (of
+    all items).  What is missed is counted, not listed, so no query is paired
+    with all items relevant to it.
+    """
+    top = ranked.filter(F.col("rank") <= k)
+    found = top.groupBy("query_id").agg(F.sum("hit").alias("found"))
+    missed = n_relevant.join(found, "query_id", "left").select("query_id", F.lit("LEXICAL_MISS").alias("category"), (F.col("n_relevant") - F.coalesce("found", F.lit(0))).alias("n")).filter("n > 0")
+    wrong = top.filter("hit = 0").select("query_id", "item_id").join(items, "item_id").join(queries, "query_id")
+    title = (F.size("words") > 0) & (F.size(F.array_except("words", "title_words")) == 0)
+    kind = F.when(F.col("engagement") >= 80, "ENGAGEMENT_OVERWEIGHTED").when(title, "TITLE_OVERWEIGHTED").otherwise("AMBIGUOUS_QUERY")
+    return missed.unionByName(wrong.groupBy("query_id", kind.alias("category")).agg(F.count(F.lit(1)).alias("n")))

@@ -91,15 +91,25 @@ def embed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 EMBED_SQL = "SELECT page_id, CASE WHEN page_id % 9 = 0 THEN NULL WHEN page_id % 2 = 0 THEN 'title,type' ELSE 'author_name,title,type' END AS kept, CASE WHEN page_id % 9 <> 0 THEN url END AS title FROM pages"
 
 
-def url_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Platform urls built from page ids, classified."""
-    p = table(spark, sf_dir, "pages").select("page_id")
-    forms = ["https://www.x.com/u{}/status/{}", "https://old.reddit.com/r/s{}/comments/{}", "https://threads.net/@u{}", "https://reddit.com/r/s{}", "https://x.com/about/u{}/x"]
-    url = F.element_at(F.array(*(F.replace(F.lit(f), F.lit("{}"), F.col("page_id").cast("string")) for f in forms)), (F.col("page_id") % 5 + 1).cast("int"))
-    return p.select("page_id", payloads.classify(url).alias("kind"))
+#: Where a platform would keep a page, by the page's own number; a page whose number the list does not reach stays where it is.
+_FORMS = ["https://www.x.com/u{}/status/{}", "https://old.reddit.com/r/s{}/comments/{}", "https://threads.net/@u{}", "https://reddit.com/r/s{}", "https://x.com/about/u{}/x", "https://twitter.com/u{}", "https://reddit.com/r/s{}/comments/a{}/t/c{}", "https://threads.com/@u{}/post/{}", "https://www.reddit.com/user/u{}/", "https://reddit.com/about/{}"]
 
 
-CLASSIFY_SQL = "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'POST' WHEN 1 THEN 'POST' WHEN 2 THEN 'PROFILE' WHEN 3 THEN 'COMMUNITY' ELSE 'OTHER' END AS kind FROM pages"
+def url_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' urls, and the urls they would have on platforms, classified; other hosts have no kind."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.regexp_extract("url", r"/(\d+)", 1)
+    form = F.get(F.array(*map(F.lit, _FORMS)), F.expr(f"int(regexp_extract(url, '/([0-9]+)', 1)) % {len(_FORMS) + 2}"))
+    return p.withColumn("moved", F.coalesce(F.replace(form, F.lit("{}"), number), "url")).select("page_id", "moved", payloads.classify(F.col("moved")).alias("kind"))
+
+
+CLASSIFY_SQL = f"""WITH p AS (SELECT page_id, url, regexp_extract(url, '/([0-9]+)', 1) AS k FROM pages
+), m AS (SELECT page_id, coalesce(replace(({_FORMS!r})[CAST(k AS INTEGER) % {len(_FORMS) + 2} + 1], '{{}}', k), url) AS moved FROM p
+), h AS (SELECT *, regexp_replace(lower(regexp_extract(moved, '^https?://([^/:@?#]+)', 1)), '^(www|mobile|old|new)\\.', '') AS host, regexp_extract(moved, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM m)
+SELECT page_id, moved, CASE WHEN host IN ('x.com', 'twitter.com') THEN CASE WHEN regexp_matches(path, '^/[A-Za-z0-9_]+/status/[0-9]+') THEN 'POST' WHEN regexp_matches(path, '^/[A-Za-z0-9_]{{1,15}}/?$') THEN 'PROFILE' ELSE 'OTHER' END
+  WHEN host IN ('threads.net', 'threads.com') THEN CASE WHEN regexp_matches(path, '^/@[A-Za-z0-9_.]+/post/[A-Za-z0-9_-]+') THEN 'POST' WHEN regexp_matches(path, '^/@[A-Za-z0-9_.]+/?$') THEN 'PROFILE' ELSE 'OTHER' END
+  WHEN host = 'reddit.com' THEN CASE WHEN regexp_matches(path, '^/r/[A-Za-z0-9_]+/comments/[A-Za-z0-9_]+/[^/]*/[A-Za-z0-9_]+') THEN 'COMMENT' WHEN regexp_matches(path, '^/r/[A-Za-z0-9_]+/comments/[A-Za-z0-9_]+') THEN 'POST'
+    WHEN regexp_matches(path, '^/r/[A-Za-z0-9_]+/?$') THEN 'COMMUNITY' WHEN regexp_matches(path, '^/u(ser)?/[A-Za-z0-9_-]+/?$') THEN 'PROFILE' ELSE 'OTHER' END END AS kind FROM h"""
 
 QUERIES = {
     "payload_normalise": (payload_normalise, PAYLOAD_SQL),

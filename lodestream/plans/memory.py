@@ -50,8 +50,8 @@ INDEX_SQL = _PHRASES + _LANES.format(k=40) + "), " + _union_sql(["lp", "kw"], LI
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Discoveries remembered from every third document, two documents to a url."""
-    rows = content(spark, sf_dir).filter("item_id % 3 = 0")
+    """Discoveries remembered from all documents, those of odd id twelve to a url."""
+    rows = content(spark, sf_dir)
     return rows.select(F.col("item_id").alias("record_id"), "title", F.col("text").alias("snippet"), F.when(F.col("item_id") % 2 == 0, F.col("canonical_url")).otherwise(F.concat(F.lit("https://memory.example.org/"), F.expr("item_id div 12").cast("string"))).alias("canonical_url"), F.coalesce(F.col("published_at"), now()).alias("last_seen_at"))
 
 
@@ -63,7 +63,7 @@ MEMORY_SQL = _PHRASES + _LANES.format(k=180) + f"""), lit AS (SELECT item_id, ro
 ), {_union_sql(['lit', 'lp', 'kw'], 180)}, st AS (
   SELECT position, 'content' AS kind, item_id AS key, canonical_url, coalesce(published_at, {NOW_SQL}) < {NOW_SQL} - INTERVAL 30 DAY AS historical FROM o JOIN content USING (item_id)
 ), rec AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN canonical_url ELSE 'https://memory.example.org/' || (item_id // 12) END AS canonical_url, coalesce(published_at, {NOW_SQL}) AS seen,
-    list_concat(title_words, text_words) AS ws FROM tok WHERE item_id % 3 = 0 ORDER BY seen DESC, item_id LIMIT 1000
+    list_concat(title_words, text_words) AS ws FROM tok ORDER BY seen DESC, item_id LIMIT 1000
 ), hits AS (SELECT * FROM rec WHERE (contains(' ' || array_to_string(ws, ' ') || ' ', ' of the ') OR {' + '.join(f"list_contains(ws, '{w}')::INT" for w in QUERY.distinct)} >= {QUERY.required}) AND canonical_url NOT IN (SELECT canonical_url FROM st)
 ), one AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY canonical_url ORDER BY seen DESC, item_id) = 1
 ), dis AS (SELECT ((SELECT count(*) FROM st) + row_number() OVER (ORDER BY seen DESC, item_id))::INT AS position, 'discovery' AS kind, item_id AS key, canonical_url, true AS historical FROM one)
@@ -134,14 +134,14 @@ SELECT component, len(vs) AS n, {rounded_sql('mean', 3)} AS mean, {rounded_sql('
 
 def identity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, unique identities and sizes of the groups of equal texts."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.length("text") > 200, F.md5("text")).alias("g"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("g"))
     unique = A.unique_identities(rows, F.col("g"), F.col("doc_id"))
     sizes = A.size_distribution(rows.filter("g is not null"), "g")
     counts = unique.select(F.explode(F.array(F.struct(F.lit("rows").alias("what"), F.lit(0).cast("long").alias("size"), F.col("n_rows").alias("n")), F.struct(F.lit("unique").alias("what"), F.lit(0).cast("long").alias("size"), F.col("n_unique").alias("n")))).alias("x")).select("x.*")
     return counts.unionByName(sizes.select(F.lit("groups").alias("what"), "size", F.col("n_groups").alias("n")))
 
 
-IDENTITY_SQL = """WITH r AS (SELECT doc_id, CASE WHEN length(text) > 200 THEN md5(text) END AS g FROM documents)
+IDENTITY_SQL = """WITH r AS (SELECT doc_id, md5(text) AS g FROM documents)
 SELECT 'rows' AS what, 0::BIGINT AS size, count(*) AS n FROM r UNION ALL SELECT 'unique', 0, count(DISTINCT coalesce(g, 'item:' || doc_id)) FROM r
 UNION ALL SELECT 'groups', size, count(*) FROM (SELECT count(*) AS size FROM r WHERE g IS NOT NULL GROUP BY g) GROUP BY 2"""
 

@@ -21,6 +21,8 @@ SOURCE = "CASE event_id % 6 WHEN 0 THEN 'x' WHEN 1 THEN 'rss' WHEN 2 THEN 'gdelt
 ERROR = "CASE WHEN event_id % 11 = 0 THEN 'timeout' WHEN event_id % 13 = 0 THEN 'http_403' WHEN event_id % 17 = 0 THEN 'odd' WHEN event_id % 19 = 0 THEN 'unconfigured' END"
 STATE = "CASE (search * 7 + length(source)) % 5 WHEN 0 THEN 'healthy' WHEN 1 THEN 'restricted' WHEN 2 THEN 'unconfigured' WHEN 3 THEN 'timeout' ELSE 'odd' END"
 SELECTED = "(search + length(source)) % 3 <> 0"
+#: Which events stand for the runs of a source, and for what a search shows in the end.
+RUN, FINAL = "event_type = 'signup' AND value > 100", "event_type = 'purchase'"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,15 +35,15 @@ _EVENTS_SQL = f"ev AS (SELECT event_id, user_id, event_type, value, ts, {SEARCH}
 def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     sources = e.select("search", "source").distinct().selectExpr("search", "source", f"{STATE} AS state", f"{SELECTED} AS selected")
-    runs = e.filter("event_id % 50 = 0").groupBy("search", "source").agg(F.max("event_id").alias("event_id")).join(e.select("event_id", "error"), "event_id")
+    runs = e.filter(RUN).groupBy("search", "source").agg(F.max("event_id").alias("event_id")).join(e.select("event_id", "error"), "event_id")
     runs = runs.selectExpr("search", "source", "error", "event_id % 4 AS matched", "event_id % 3 AS admitted")
-    return C.gap_reasons(sources, runs, e.filter("event_id % 9 = 0"), "search", web_enabled=False)
+    return C.gap_reasons(sources, runs, e.filter(FINAL), "search", web_enabled=False)
 
 
 _REASON = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.REASONS.items())
 _GAPS_SQL = f"""WITH {_EVENTS_SQL}, src AS (SELECT *, {STATE} AS state, {SELECTED} AS selected FROM (SELECT DISTINCT search, source FROM ev)
-), ru AS (SELECT search, source, event_id % 4 AS matched, event_id % 3 AS admitted, coalesce(error, '') AS error FROM ev WHERE event_id IN (SELECT max(event_id) FROM ev WHERE event_id % 50 = 0 GROUP BY search, source)
-), fi AS (SELECT search, source, count(*) AS final FROM ev WHERE event_id % 9 = 0 GROUP BY 1, 2
+), ru AS (SELECT search, source, event_id % 4 AS matched, event_id % 3 AS admitted, coalesce(error, '') AS error FROM ev WHERE event_id IN (SELECT max(event_id) FROM ev WHERE {RUN} GROUP BY search, source)
+), fi AS (SELECT search, source, count(*) AS final FROM ev WHERE {FINAL} GROUP BY 1, 2
 ), g AS (SELECT src.search, src.source, selected, ru.search IS NOT NULL AS executed, coalesce(final, 0) > 0 AS contributed, coalesce(matched, 0) AS matched, coalesce(admitted, 0) AS admitted, coalesce(final, 0) AS final,
   CASE WHEN ru.search IS NOT NULL AND error <> '' THEN CASE error {_REASON} ELSE 'FAILED' END WHEN ru.search IS NOT NULL AND matched = 0 THEN 'NO_MATCHES'
     WHEN NOT selected THEN CASE WHEN src.source IN ('x', 'threads', 'reddit') THEN 'WEB_DISCOVERY_DISABLED' ELSE CASE state {_REASON} ELSE 'NOT_SELECTED' END END WHEN ru.search IS NULL THEN 'NOT_SELECTED' END AS reason,
@@ -64,12 +66,12 @@ PATH = "CASE event_id % 4 WHEN 0 THEN 'LOCAL_MEMORY' WHEN 1 THEN 'HISTORICAL_IND
 def coverage_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     funnel = e.selectExpr("search", f"{PATH} AS path", "event_id % 3 AS admitted")
-    final = e.filter("event_id % 5 = 0").selectExpr("search", f"array({PATH}, CASE WHEN event_id % 3 = 0 THEN 'LOCAL_MEMORY' ELSE 'WEB_INDEX' END) AS paths", "event_id % 7 = 0 AS historical")
+    final = e.filter(FINAL).selectExpr("search", f"array({PATH}, CASE WHEN event_id % 3 = 0 THEN 'LOCAL_MEMORY' ELSE 'WEB_INDEX' END) AS paths", "event_id % 7 = 0 AS historical")
     return C.lanes(funnel, final, "search")
 
 
 LANES_SQL = f"""WITH {_EVENTS_SQL}, f AS (SELECT search, CASE {PATH} WHEN 'LOCAL_MEMORY' THEN 'LOCAL_MEMORY' WHEN 'HISTORICAL_INDEX' THEN 'HISTORICAL' ELSE 'LIVE' END AS lane, sum(event_id % 3)::BIGINT AS candidates FROM ev GROUP BY 1, 2
-), p AS (SELECT search, {PATH} AS a, CASE WHEN event_id % 3 = 0 THEN 'LOCAL_MEMORY' ELSE 'WEB_INDEX' END AS b, event_id % 7 = 0 AS h FROM ev WHERE event_id % 5 = 0
+), p AS (SELECT search, {PATH} AS a, CASE WHEN event_id % 3 = 0 THEN 'LOCAL_MEMORY' ELSE 'WEB_INDEX' END AS b, event_id % 7 = 0 AS h FROM ev WHERE {FINAL}
 ), r AS (SELECT search, 'LIVE' AS lane FROM p WHERE a = 'API' OR b = 'WEB_INDEX' UNION ALL SELECT search, 'LOCAL_MEMORY' FROM p WHERE a = 'LOCAL_MEMORY' OR b = 'LOCAL_MEMORY' UNION ALL SELECT search, 'HISTORICAL' FROM p WHERE a = 'HISTORICAL_INDEX' OR h
 ), n AS (SELECT search, lane, count(*) AS final FROM r GROUP BY 1, 2)
 SELECT search, lane, coalesce(candidates, 0) AS candidates, coalesce(final, 0) AS final FROM f FULL JOIN n USING (search, lane)"""
@@ -144,16 +146,16 @@ SELECT key, CASE WHEN better THEN coalesce(nullif(nt, ''), ot) ELSE ot END AS ti
 
 
 def discovery_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Independent support of each record, from known observations and the new ones among later findings."""
+    """Independent support of each record, from the observations of the first round and the new ones of the second."""
     f = _found(spark, sf_dir)
     keys = ["key", "engine", "variant"]
-    known = f.filter("seq % 2 = 0 and seq % 300 < 200").select(*keys).distinct()
-    both = known.unionByName(D.new_observations(known, f.filter("seq % 2 = 1 and seq % 300 < 250"), keys))
+    known = f.filter("round = 1").select(*keys).distinct()
+    both = known.unionByName(D.new_observations(known, f.filter("round = 2"), keys))
     rows = D.support(f.select("key").distinct(), both)
     return rows.select("key", F.array_join("engines", ",").alias("engines"), F.array_join("variants", ",").alias("variants"), "support")
 
 
-SUPPORT_SQL = f"""WITH {_FOUND_SQL}, o AS (SELECT DISTINCT key, engine, variant FROM fo WHERE (seq % 2 = 0 AND seq % 300 < 200) OR (seq % 2 = 1 AND seq % 300 < 250)), k AS (SELECT DISTINCT key FROM fo)
+SUPPORT_SQL = f"""WITH {_FOUND_SQL}, o AS (SELECT DISTINCT key, engine, variant FROM fo), k AS (SELECT DISTINCT key FROM fo)
 SELECT k.key, coalesce(array_to_string(list_sort(list(DISTINCT engine) FILTER (WHERE engine IS NOT NULL)), ','), '') AS engines, coalesce(array_to_string(list_sort(list(DISTINCT variant) FILTER (WHERE variant IS NOT NULL)), ','), '') AS variants, count(engine) AS support FROM k LEFT JOIN o USING (key) GROUP BY 1"""
 
 TELEMETRY = {"engine": "'e' || (event_id % 3)", "platform": SOURCE, "returned": "event_id % 20", "target": "event_id % 10", "accepted": "event_id % 5", "duplicates": "event_id % 2", "timeout": "event_id % 11 = 0", "rate_limited": "event_id % 13 = 0", "error": "event_id % 11 = 0 OR event_id % 13 = 0", "latency_ms": "value"}
@@ -266,7 +268,7 @@ SELECT query_id, n, term, 'the new ' || raw AS text, n_results, n_sources, confi
   (regexp_matches(raw, '^[#@]') OR regexp_matches(raw, '[\\p{{N}}.\\-]') OR (length(raw) >= 6 AND regexp_matches(raw, '\\p{{Lu}}'))) AND n_results >= 3 AND n_sources >= 2 AND confidence >= 0.78 AS accepted FROM c"""
 
 OBSERVED = {"left": "'n' || (user_id % 60)", "right": "'m' || (event_id % 7)", "relation": "CASE WHEN event_id % 2 = 0 THEN 'public_handle' ELSE 'same_as' END", "evidence_source": "'s' || (event_id % 3)", "direct": "event_id % 31 = 0", "seq": "event_id"}
-_OBSERVED_SQL = "ob AS (SELECT " + ", ".join(f'{v} AS "{k}"' for k, v in OBSERVED.items()) + " FROM events WHERE event_id % 10 = 0)"
+_OBSERVED_SQL = "ob AS (SELECT " + ", ".join(f'{v} AS "{k}"' for k, v in OBSERVED.items()) + " FROM events)"
 _ALIAS_SQL = f"""{_OBSERVED_SQL}, fr AS (SELECT *, (row_number() OVER (PARTITION BY "left", "right", relation, evidence_source ORDER BY seq) = 1)::INT AS fresh FROM ob
 ), nu AS (SELECT *, row_number() OVER (PARTITION BY "left", "right", relation ORDER BY seq) AS i FROM fr
 ), fold AS (SELECT "left", "right", relation, i, fresh AS support, CASE WHEN direct THEN 0.8 ELSE 0.55 END::DOUBLE AS c FROM nu WHERE i = 1
@@ -276,7 +278,7 @@ _ALIAS_SQL = f"""{_OBSERVED_SQL}, fr AS (SELECT *, (row_number() OVER (PARTITION
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.alias_edges(table(spark, sf_dir, "events").filter("event_id % 10 = 0").selectExpr(*(f"{v} AS {k}" for k, v in OBSERVED.items())))
+    return L.alias_edges(table(spark, sf_dir, "events").selectExpr(*(f"{v} AS {k}" for k, v in OBSERVED.items())))
 
 
 def alias_observations(spark: SparkSession, sf_dir: str) -> DataFrame:

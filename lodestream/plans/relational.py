@@ -50,16 +50,17 @@ SELECT event_type, count(*) AS n_tops, sum(n)::BIGINT AS n_events FROM e JOIN p
 
 
 def join_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The n-th click of a user with the user's n-th view: equal occurrence numbers."""
+    """A user's n-th event of each type with the user's n-th of the next type: equal occurrence numbers."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(2).collect()]  # the first two of the five event types
-    numbered = lambda k, name: e.filter(F.col("event_type") == k).withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).select("user_id", "n", F.col("event_id").alias(name))
-    return numbered(kinds[0], "left_id").join(numbered(kinds[1], "right_id"), ["user_id", "n"])
+    numbered = e.withColumn("n", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id")))
+    kinds = e.select("event_type").distinct()
+    following = kinds.alias("k").join(kinds.select(F.col("event_type").alias("next_type")), F.col("next_type") > F.col("event_type")).groupBy("event_type").agg(F.min("next_type").alias("next_type"))  # of a handful of types
+    right = numbered.select("user_id", "n", F.col("event_type").alias("next_type"), F.col("event_id").alias("right_id"))
+    return numbered.join(following, "event_type").join(right, ["user_id", "next_type", "n"]).select("event_type", "next_type", "user_id", "n", F.col("event_id").alias("left_id"), "right_id")
 
 
-OCCURRENCE_SQL = """WITH k AS (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2), r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events)
-SELECT a.user_id, a.n, a.event_id AS left_id, b.event_id AS right_id FROM r a JOIN r b ON a.user_id = b.user_id AND a.n = b.n
-WHERE a.event_type = (SELECT min(event_type) FROM k) AND b.event_type = (SELECT max(event_type) FROM k)"""
+OCCURRENCE_SQL = """WITH k AS (SELECT event_type, lead(event_type) OVER (ORDER BY event_type) AS next_type FROM (SELECT DISTINCT event_type FROM events)), r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events)
+SELECT a.event_type, next_type, a.user_id, a.n, a.event_id AS left_id, b.event_id AS right_id FROM r a JOIN k USING (event_type) JOIN r b ON a.user_id = b.user_id AND a.n = b.n AND b.event_type = next_type"""
 
 
 def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,31 +228,36 @@ SELECT (SELECT count(*) FROM c) AS n, {rounded_sql('(SELECT avg(v) FROM c)', 6)}
 
 
 def retrieval_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the five nearest of each query miss of its nearest of equal label, and what they wrongly hold."""
-    hits, _, _ = _ranked(spark, sf_dir)
-    relevant = hits.filter("hit = 1 and rank <= 12").select("query_id", "item_id")
+    """How many items of equal label the five nearest of each query miss, and what they wrongly hold."""
+    hits, total, _ = _ranked(spark, sf_dir)
     items = content(spark, sf_dir).select("item_id", engagement().alias("engagement"), text.tokens(F.col("title")).alias("title_words"))
     queries = hits.select("query_id").distinct().withColumn("words", F.array(F.lit("the")))
-    return M.errors(hits, relevant, items, queries)
+    return M.error_counts(hits, total, items, queries)
 
 
 _RANKED_SQL = f"""s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, a.label = b.label AS hit, {rounded_sql(_COS, 6)} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % {EVERY} = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM s QUALIFY rank <= 20)"""
-ERRORS_SQL = f"""WITH {CONTENT_SQL}, {_RANKED_SQL}, i AS (SELECT item_id, {ENGAGEMENT_SQL} AS engagement, list_contains({tokens_sql('title')}, 'the') AS title FROM content)
-SELECT query_id, item_id, 'LEXICAL_MISS' AS category FROM r WHERE hit AND rank BETWEEN 6 AND 12
-UNION ALL SELECT query_id, item_id, CASE WHEN engagement >= 80 THEN 'ENGAGEMENT_OVERWEIGHTED' WHEN title THEN 'TITLE_OVERWEIGHTED' ELSE 'AMBIGUOUS_QUERY' END FROM r JOIN i USING (item_id) WHERE rank <= 5 AND NOT hit"""
+ERRORS_SQL = f"""WITH {CONTENT_SQL}, {_RANKED_SQL}, i AS (SELECT item_id, {ENGAGEMENT_SQL} AS engagement, list_contains({tokens_sql('title')}, 'the') AS title FROM content
+), l AS (SELECT a.vec_id AS query_id, count(*) AS m FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.label = b.label WHERE a.vec_id % {EVERY} = 0 GROUP BY 1
+), t AS (SELECT query_id, count(*) FILTER (WHERE hit) AS good FROM r WHERE rank <= 5 GROUP BY 1)
+SELECT query_id, 'LEXICAL_MISS' AS category, m - coalesce(good, 0) AS n FROM l LEFT JOIN t USING (query_id) WHERE m > coalesce(good, 0)
+UNION ALL SELECT query_id, CASE WHEN engagement >= 80 THEN 'ENGAGEMENT_OVERWEIGHTED' WHEN title THEN 'TITLE_OVERWEIGHTED' ELSE 'AMBIGUOUS_QUERY' END, count(*) FROM r JOIN i USING (item_id) WHERE rank <= 5 AND NOT hit GROUP BY 1, 2"""
+#: Similarity from which an item is returned at all.
+RETURNED = 0.35
 
 
 def returned_set_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision over what is similar enough to be returned at all, and queries rightly left without a result."""
-    hits, _, _ = _ranked(spark, sf_dir)
-    shown = hits.filter("item_id % 3 <> 0")
-    relevant = hits.filter("hit = 1 and item_id % 3 <> 1 and query_id % 100 = 0").select("query_id", "item_id")
-    return M.returned_precision(shown, relevant)
+    e = table(spark, sf_dir, "embeddings")
+    queries = e.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("wanted"))
+    ranked = V.top_k(queries.select("query_id", "embedding"), e.select(F.col("vec_id").alias("item_id"), "embedding"), 20)
+    ranked = ranked.join(e.select(F.col("vec_id").alias("item_id"), "label"), "item_id").join(queries.select("query_id", "wanted"), "query_id")
+    shown = ranked.filter(F.col("similarity") >= RETURNED)
+    return M.returned_precision(shown, ranked.filter("label = wanted").select("query_id", "item_id"))
 
 
-RETURNED_SQL = f"""WITH {_RANKED_SQL}, t AS (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE hit AND item_id % 3 <> 1 AND query_id % 100 = 0) AS good FROM r WHERE item_id % 3 <> 0 AND rank <= 5 GROUP BY 1
-), v AS (SELECT query_id, count(*) AS m FROM r WHERE hit AND item_id % 3 <> 1 AND query_id % 100 = 0 GROUP BY 1)
+RETURNED_SQL = f"""WITH {_RANKED_SQL}, t AS (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE hit) AS good FROM r WHERE similarity >= {RETURNED} AND rank <= 5 GROUP BY 1
+), v AS (SELECT query_id, count(*) AS m FROM r WHERE hit GROUP BY 1)
 SELECT coalesce(t.query_id, v.query_id) AS query_id, coalesce(n, 0) AS n_returned, {rounded_sql('coalesce(good, 0) / greatest(1, coalesce(n, 0))', 4)} AS precision, coalesce(n, 0) = 0 AND m IS NULL AS no_result_success FROM t FULL JOIN v ON t.query_id = v.query_id"""
 
 

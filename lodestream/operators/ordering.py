@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestream.sources.scratch import materialise
 
 
-def numbered(rows: DataFrame, order: list[str], tie: list[str], keep: list[str]) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str], tie: list[str], keep: list[str], weight: str | None = None) -> DataFrame:
     """The columns `keep` with index, 0 to n - 1 in the order of `order` and `tie` (nulls first), and rank, the index of the first row with equal `order`.
 
     Both depend on the rows alone, not on how they are dealt, as long as rows
@@ -21,9 +21,13 @@ def numbered(rows: DataFrame, order: list[str], tie: list[str], keep: list[str])
     table.  `tie` may part rows with equal `order` over many tasks, so a value
     that a third of the rows share stays no task's burden.  One row for each
     range, its count and the keys at its ends, goes through the driver.
+
+    weight: a column of positive numbers; index is then the sum of the weights
+    before a row, and rank that before the first row with equal `order`.
     """
+    size = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     null = [F.col(c).isNull() for c in order]
-    sorted_ = rows.repartitionByRange(*order, *tie).sortWithinPartitions(*order, *tie).select(F.xxhash64(*order, *null).alias("__key"), *keep)
+    sorted_ = rows.repartitionByRange(*order, *tie).sortWithinPartitions(*order, *tie).select(F.xxhash64(*order, *null).alias("__key"), size.alias("__size"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place, first, last = TaskContext.get().partitionId(), 0, 0, None
@@ -31,16 +35,17 @@ def numbered(rows: DataFrame, order: list[str], tie: list[str], keep: list[str])
             n = batch.num_rows
             if not n:
                 continue
-            keys, at = np.asarray(batch.column(0)), np.arange(place, place + n)
+            keys, ends = np.asarray(batch.column(0)), place + np.cumsum(np.asarray(batch.column(1)))
+            at = np.concatenate([[place], ends[:-1]])
             new = np.concatenate([[last is None or keys[0] != last], keys[1:] != keys[:-1]])
             firsts = np.maximum.accumulate(np.where(new, at, first))
-            place, first, last = place + n, firsts[-1], keys[-1]
+            place, first, last = ends[-1], firsts[-1], keys[-1]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(at), pa.array(firsts), *batch.columns], ["__part", "__place", "__first", *batch.schema.names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sorted_.schema.fields)
     local = materialise(sorted_.mapInArrow(run, f"__part int, __place long, __first long, {fields}"), "numbered")
     offsets, before, begun, last = [], 0, 0, None
-    for r in local.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min_by("__key", "__place").alias("low"), F.max_by("__key", "__place").alias("high"), F.max("__first").alias("last")).orderBy("__part").collect():
+    for r in local.groupBy("__part").agg(F.max(F.col("__place") + F.col("__size")).alias("n"), F.min_by("__key", "__place").alias("low"), F.max_by("__key", "__place").alias("high"), F.max("__first").alias("last")).orderBy("__part").collect():
         begun = begun if r.low == last else before  # where the run that stands at this range's start begins
         offsets.append((r[0], before, begun))
         begun, last = begun if r.last == 0 else before + r.last, r.high

@@ -10,7 +10,7 @@ written as shards of fixed stride, so a reader finds slot s at byte
 Scale.  Sequences are numbered in the order of their documents' ids and texts,
 by ranges, so slots depend on the documents, the key and seq_len alone: another
 cluster, or another split of the input, writes the same shards and can go on
-where the first one stopped.  Numbering sees some 40 bytes a sequence; token
+where the first one stopped.  Numbering sees some 40 bytes a document; token
 ids are written once and shuffled twice, to meet their slot and into shards.
 """
 
@@ -55,9 +55,9 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.nda
 
 
 def sequences(docs: DataFrame, seq_len: int = SEQ_LEN, path: str | None = None) -> DataFrame:
-    """task, place (where it was cut), doc_id, digest of the text, seq_no, n_tokens, tokens (little-endian unsigned 16-bit) of the whole texts."""
+    """task, place (where its document was cut), doc_id, digest of the text, n_seqs of the text, seq_no, n_tokens, tokens (little-endian unsigned 16-bit) of the whole texts."""
     path = path or default_vocabulary()
-    names = ["task", "place", "doc_id", "digest", "seq_no", "n_tokens", "tokens"]
+    names = ["task", "place", "doc_id", "digest", "n_seqs", "seq_no", "n_tokens", "tokens"]
     size = len(codec_of(path).vocabulary.length)
     if size > 1 << 16:
         raise ValueError(f"{path} has {size} ids; shards hold ids of 16 bits")
@@ -66,36 +66,36 @@ def sequences(docs: DataFrame, seq_len: int = SEQ_LEN, path: str | None = None)
         codec, task, place = codec_of(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for a, b in slices(batch.column(2), 1 << 21):
-                docs_, digests, numbers, pieces = [], [], [], []
+                docs_, digests, numbers, pieces, places, counts = [], [], [], [], [], []
                 for doc, digest, ids in zip(batch.column(0)[a:b].to_pylist(), batch.column(1)[a:b].to_pylist(), codec.encode_many(batch.column(2)[a:b].to_pylist())):
                     data = np.frombuffer(ids, "<u4").astype("<u2").tobytes()
                     cut = range(0, len(data), 2 * seq_len)
                     docs_ += [doc] * len(cut)
                     digests += [digest] * len(cut)
+                    places += [place] * len(cut)
+                    counts += [len(cut)] * len(cut)
+                    place += 1
                     numbers += range(len(cut))
                     pieces += [data[i : i + 2 * seq_len] for i in cut]
-                count = len(pieces)
-                places = np.arange(place, place + count)
-                place += count
-                yield pa.RecordBatch.from_arrays([pa.array([task] * count, pa.int32()), pa.array(places, pa.int64()), pa.array(docs_, pa.int64()), pa.array(digests, pa.int64()), pa.array(numbers, pa.int32()), pa.array([len(p) // 2 for p in pieces], pa.int32()), pa.array(pieces, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([task] * len(pieces), pa.int32()), pa.array(places, pa.int64()), pa.array(docs_, pa.int64()), pa.array(digests, pa.int64()), pa.array(counts, pa.int32()), pa.array(numbers, pa.int32()), pa.array([len(p) // 2 for p in pieces], pa.int32()), pa.array(pieces, pa.binary())], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(null_to_empty()).alias("digest"), null_to_empty().alias("text"))
-    return rows.mapInArrow(run, "task int, place long, doc_id long, digest long, seq_no int, n_tokens int, tokens binary")
+    return rows.mapInArrow(run, "task int, place long, doc_id long, digest long, n_seqs int, seq_no int, n_tokens int, tokens binary")
 
 
 def slotted(docs: DataFrame, seq_len: int = SEQ_LEN, key: int = KEY, path: str | None = None) -> DataFrame:
     """The sequences with index (dense, by doc_id, text and seq_no) and slot (its permutation)."""
     rows = materialise(sequences(docs, seq_len, path), "sequences")
     n = rows.count()
-    order = ["doc_id", "digest", "seq_no"]
-    index = numbered(rows.select(*order, "task", "place"), order, ["task", "place"], ["task", "place"]).drop("rank")
+    docs = rows.filter("seq_no = 0").select("doc_id", "digest", "task", "place", "n_seqs")
+    before = numbered(docs, ["doc_id", "digest"], ["task", "place"], ["task", "place"], "n_seqs").drop("rank")
 
     @F.pandas_udf("long")
     def slot(index: pd.Series) -> pd.Series:
         return pd.Series(permute(index.to_numpy(), n, key))
 
-    index = index.withColumn("slot", slot("index"))
-    return rows.join(index, ["task", "place"]).select("index", "slot", "doc_id", "seq_no", "n_tokens", "tokens")
+    both = rows.join(before, ["task", "place"]).withColumn("index", F.col("index") + F.col("seq_no"))
+    return both.withColumn("slot", slot("index")).select("index", "slot", "doc_id", "seq_no", "n_tokens", "tokens")
 
 
 def shards(docs: DataFrame, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD, key: int = KEY, path: str | None = None) -> DataFrame:

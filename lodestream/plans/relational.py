@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestream.functions.numbers import rounded
+from lodestream.operators import intervals as I
 from lodestream.operators import planning as P
+from lodestream.operators import snapshots as N
 from lodestream.operators import writes as X
 from lodestream.sources.tables import NOW_SQL, now, rounded_sql, table
 from lodestream.streaming import breaker as B
@@ -211,6 +213,52 @@ OPENINGS_SQL = f"""WITH RECURSIVE {_WALK_CTE}, o AS (SELECT *, (NOT skipped AND
 SELECT event_type, open_until, min(o."at") FILTER (WHERE opens) AS opened, arg_min(failed, o."at") FILTER (WHERE opens) AS cause, count(*) FILTER (WHERE skipped) AS n_skipped FROM o WHERE opens OR skipped GROUP BY 1, 2"""
 
 
+#: What an event of each type does to its user's configuration slots.
+_OPS = {"purchase": "VERIFIED_PRODUCTION", "view": "PREVIOUS_PRODUCTION", "signup": "EXPERIMENTAL", "click": "PROMOTION_CANDIDATE", "error": "ROLLBACK"}
+
+
+def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.create_map(*(F.lit(x) for pair in _OPS.items() for x in pair))
+    return N.slots(table(spark, sf_dir, "events").select("user_id", "event_id", kinds[F.col("event_type")].alias("op")), "user_id", "event_id", "op")
+
+
+def configuration_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slots of every user after each entry of the log."""
+    return _slots(spark, sf_dir)
+
+
+def configuration_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slots in force at one version."""
+    return N.as_of(_slots(spark, sf_dir), "user_id", "event_id", 3000)
+
+
+_SLOTS_CTE = f"""o AS (SELECT user_id, event_id, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _OPS.items())} END AS op, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events
+), w AS (SELECT user_id, 0::BIGINT AS event_id, ''::VARCHAR AS op, 0::BIGINT AS n, true AS applied, NULL::BIGINT AS production, NULL::BIGINT AS previous, NULL::BIGINT AS experimental, NULL::BIGINT AS candidate FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT o.user_id, o.event_id, o.op, o.n, NOT (o.op = 'ROLLBACK' AND (w.production IS NULL OR w.previous IS NULL)),
+    CASE o.op WHEN 'VERIFIED_PRODUCTION' THEN o.event_id WHEN 'ROLLBACK' THEN CASE WHEN w.production IS NULL OR w.previous IS NULL THEN w.production ELSE w.previous END ELSE w.production END,
+    CASE o.op WHEN 'PREVIOUS_PRODUCTION' THEN o.event_id WHEN 'ROLLBACK' THEN CASE WHEN w.production IS NULL OR w.previous IS NULL THEN w.previous ELSE w.production END ELSE w.previous END,
+    CASE o.op WHEN 'EXPERIMENTAL' THEN o.event_id ELSE w.experimental END, CASE o.op WHEN 'PROMOTION_CANDIDATE' THEN o.event_id ELSE w.candidate END
+  FROM w JOIN o ON o.user_id = w.user_id AND o.n = w.n + 1)"""
+SLOTS_SQL = f"WITH RECURSIVE {_SLOTS_CTE} SELECT user_id, event_id, op, applied, production, previous, experimental, candidate FROM w WHERE n > 0"
+AS_OF_SQL = f"WITH RECURSIVE {_SLOTS_CTE} SELECT user_id, production, previous, experimental, candidate FROM w WHERE n > 0 AND event_id <= 3000 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"
+
+
+def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work that each event starts, as many minutes long as its value, by type: its length, its union, what runs at once, and what of it falls into days 5 to 20."""
+    e = table(spark, sf_dir, "events").select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("start"), F.floor(F.col("value") * 60_000_000).alias("us"))
+    day = 86_400_000_000
+    windows = e.groupBy("event_type").agg(F.min("start").alias("first")).select("event_type", (F.col("first") + 5 * day).alias("low"), (F.col("first") + 20 * day).alias("high"))
+    return I.overlap_accounts(e.select("event_type", "start", (F.col("start") + F.col("us")).alias("end")), windows, "event_type")
+
+
+OVERLAP_SQL = """WITH v AS (SELECT event_type, epoch_us(ts) AS a, epoch_us(ts) + floor(value * 60000000)::BIGINT AS z FROM events), w AS (SELECT event_type, min(a) + 432000000000 AS low, min(a) + 1728000000000 AS high FROM v GROUP BY 1
+), e AS (SELECT event_type, a AS t, 1 AS d FROM v WHERE a < z UNION ALL SELECT event_type, z, -1 FROM v WHERE a < z
+), s AS (SELECT event_type, t, sum(d) OVER (PARTITION BY event_type ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS depth, lead(t) OVER (PARTITION BY event_type ORDER BY t, d) AS later FROM e
+), l AS (SELECT event_type, sum(later - t) FILTER (WHERE depth > 0) AS "union", sum(later - t) FILTER (WHERE depth > 1) AS shared, max(depth)::BIGINT AS deepest FROM s GROUP BY 1
+), o AS (SELECT event_type, count(*) AS n, sum(z - a) AS total, sum(greatest(0, least(z, high) - greatest(a, low))) AS overlap FROM v JOIN w USING (event_type) WHERE a < z GROUP BY 1)
+SELECT event_type, n, total::BIGINT AS total, "union"::BIGINT AS "union", shared::BIGINT AS shared, deepest, overlap::BIGINT AS overlap, least(total, overlap)::BIGINT AS hidden FROM o JOIN l USING (event_type)"""
+
+
 def _job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations")
     event = F.when((F.col("turn") >= 4) & (F.col("role") == "assistant"), "completed").otherwise(F.col("role"))
@@ -258,6 +306,9 @@ QUERIES = {
     "breaker_intervals": (breaker_intervals, BREAKER_SQL),
     "breaker_walk": (breaker_walk, WALK_SQL),
     "breaker_openings": (breaker_openings, OPENINGS_SQL),
+    "configuration_log": (configuration_log, SLOTS_SQL),
+    "configuration_as_of": (configuration_as_of, AS_OF_SQL),
+    "interval_overlap": (interval_overlap, OVERLAP_SQL),
     "event_fold_state": (event_fold_state, FOLD_SQL),
     "event_history": (event_history, HISTORY_SQL),
     "stream_tumbling_counts": (stream_tumbling_counts, TUMBLING_SQL),

@@ -20,13 +20,11 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lodestream.sources.scratch import materialise
+from lodestream.operators.scan import segmented_scan
 
 THRESHOLD = 2
 #: Seconds a breaker stays open, and its state's name, by cause (fixed values).
@@ -60,14 +58,14 @@ def step(failures: int, until: float, at: float, failed: str | None, cooldown: d
     return False, failures, at + cooldown[failed] if failures >= THRESHOLD else 0.0
 
 
-def effect(times: list[float], failed: list[str | None], cooldown: dict[str, float]) -> tuple[list, list, list]:
+def effect(times: list[float], failed: list[str | None], cooldown: dict[str, float]) -> tuple[float, list, list, list]:
     """What a stretch of requests makes of an incoming breaker.
 
-    closed: the outcome (failures, open until) for each count of failures it
-    may come in with.  bounds, outcomes: for a breaker open until t, the outcome
-    for the first bound that is not below t; beyond the last one it stays open.
-    Requests that meet in one state go on alike, so they are walked from the
-    end, once for each count.
+    The time of its first request; closed: the outcome (failures, open until)
+    for each count of failures a closed breaker may come in with; bounds and
+    outcomes: for a breaker open until t, the outcome for the first bound that
+    is not below t; beyond the last one it stays open.  Requests that meet in
+    one state go on alike, so they are walked from the end, once for each count.
     """
     n = len(times)
     ends: list[list[tuple[int, float]]] = [[]] * (n + 1)
@@ -91,103 +89,35 @@ def effect(times: list[float], failed: list[str | None], cooldown: dict[str, flo
         elif not bounds or bounds[-1] < at:
             bounds.append(at)
             outcomes.append(outcome)
-    return ends[0], bounds, outcomes
+    return times[0], ends[0], bounds, outcomes
 
 
-def through(state: tuple[int, float], first: float, table: tuple) -> tuple[int, float]:
-    """The breaker after a stretch whose first request is at `first`."""
-    closed, bounds, outcomes = table
+def through(state: tuple[int, float], table: tuple) -> tuple[int, float]:
+    """The breaker after a stretch."""
+    first, closed, bounds, outcomes = table
     failures, until = state
     if until <= first:
-        return tuple(closed[failures])
+        return closed[failures]
     i = bisect_left(bounds, until)
-    return tuple(outcomes[i]) if i < len(bounds) else state
+    return outcomes[i] if i < len(bounds) else state
 
 
 def walk(requests: DataFrame, by: str, order: list[str], at: Column, failed: Column, cooldown: dict[str, float] = COOLDOWN) -> DataFrame:
-    """by, the order columns, at, failed, skipped, failures (up to THRESHOLD), open_until of every request.
+    """by, at, failed, the order columns, skipped, failures (up to THRESHOLD), open_until of every request.
 
     Requests of a key follow each other by `at` (seconds), then by the columns
     of order.  failed is a cause or null for a success.  Null keys are one key.
     """
-    rows = requests.select(F.col(by).cast("string").alias("k"), *order, at.cast("double").alias("at"), failed.alias("failed"))
-    rows = materialise(rows, "requests")
-    ordered = rows.repartitionByRange("k", "at", *order).sortWithinPartitions("k", "at", *order)
-    names = ordered.columns
-    kinds = dict(ordered.dtypes)
-
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[float], list]]:
-        key, times, causes, some = None, [], [], False
-        for batch in batches:
-            for k, t, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if some and k != key:
-                    yield key, times, causes
-                    times, causes = [], []
-                key, some = k, True
-                times.append(t)
-                causes.append(c)
-        if some:
-            yield key, times, causes
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, place = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(place, place + n), pa.int64()), *batch.columns], ["part", "place", *names])
-            place += n
-
-    fields = ", ".join(f"`{c}` {kinds[c]}" for c in names)
-    placed = materialise(ordered.mapInArrow(number, f"part int, place long, {fields}"), "breaker-ranges")
-    dealt = placed.repartition("part").sortWithinPartitions("part", "place")
-
-    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # only the first and the last key of a range go on elsewhere; two parts in one task are two groups of the key (part, k)
-        def keyed() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                own = [f"{p}\x00{'' if k is None else 'k' + k}" for p, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array(own), b.column(2), b.column(3)], ["k", "at", "failed"])
-
-        last = None
-        for key, times, causes in stretches(keyed()):
-            part, k = key.split("\x00", 1)
-            closed, bounds, outcomes = effect(times, causes, cooldown)
-            row = {"part": int(part), "k": k, "first": times[0], "closed_failures": [f for f, _ in closed], "closed_until": [u for _, u in closed], "bounds": bounds, "failures": [f for f, _ in outcomes], "until": [u for _, u in outcomes]}
-            if last is None or last["part"] != row["part"]:
-                if last is not None and not last.pop("head"):
-                    yield pa.RecordBatch.from_pylist([last], schema)
-                last = row | {"head": True}
-                yield pa.RecordBatch.from_pylist([row], schema)
-            else:
-                last = row | {"head": False}
-        if last is not None and not last.pop("head"):
-            yield pa.RecordBatch.from_pylist([last], schema)
-
-    ints, doubles = pa.list_(pa.int32()), pa.list_(pa.float64())
-    schema = pa.schema([("part", pa.int32()), ("k", pa.string()), ("first", pa.float64()), ("closed_failures", ints), ("closed_until", doubles), ("bounds", doubles), ("failures", ints), ("until", doubles)])
-    found = dealt.select("part", "k", "at", "failed").mapInArrow(summarise, "part int, k string, first double, closed_failures array<int>, closed_until array<double>, bounds array<double>, failures array<int>, until array<double>")
-    begin, key, state = [], None, (0, 0.0)
-    for r in found.orderBy("part", "k").collect():  # two rows a range
-        if r.k != key:
-            key, state = r.k, (0, 0.0)
-        begin.append((r.part, r.k, *state))
-        state = through(state, r.first, (list(zip(r.closed_failures, r.closed_until)), r.bounds, list(zip(r.failures, r.until))))
-    starts = {(p, k): (f, u) for p, k, f, u in begin}
-
-    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, state = None, (0, 0.0)
-        for batch in batches:
-            out = []
-            for p, k, t, c in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                own = (p, "" if k is None else "k" + k)
-                if own != here:
-                    here, state = own, starts.get(own, (0, 0.0))
-                skipped, *state = step(*state, t, c, cooldown)
-                out.append((skipped, *state))
-            if out:
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(c, kind) for c, kind in zip(zip(*out), (pa.bool_(), pa.int32(), pa.float64())))], ["k", "at", "failed", *order, "skipped", "failures", "open_until"])
-
-    own = ", ".join(f"`{c}` {kinds[c]}" for c in order)
-    return dealt.select("part", "k", "at", "failed", *order).mapInArrow(replay, f"k string, at double, failed string, {own}, skipped boolean, failures int, open_until double").withColumnRenamed("k", by)
+    rows = requests.select(by, *order, at.cast("double").alias("at"), failed.alias("failed"))
+
+    def one(state: tuple[int, float], t: float, c: str | None) -> tuple:
+        skipped, n, until = step(*state, t, c, cooldown)
+        return (n, until), skipped, n, until
+
+    def of(stretch: list[tuple]) -> tuple:
+        return effect([t for t, _ in stretch], [c for _, c in stretch], cooldown)
+
+    return segmented_scan(rows, by, ["at", *order], ["at", "failed"], of, through, one, (0, 0.0), "skipped boolean, failures int, open_until double")
 
 
 def openings(walked: DataFrame, by: str) -> DataFrame:

@@ -59,14 +59,26 @@ def gain(urls: Column, admitted: Column, platforms: Column, stories: Column, ali
     return F.log1p(useful.cast("double")) / F.greatest(F.lit(1.0), requests + elapsed_ms / 5000.0)
 
 
-def stop_reason(level: Column, gained: Column, results: Column, limit: int, round_no: Column, max_rounds: int, unqueried: Column) -> Column:
-    """The first rule that ends a search; null: go on."""
+def stop_reason(level: Column, gained: Column, results: Column, limit: int, round_no: Column, max_rounds: int, unqueried: Column, elapsed: Column | None = None, max_seconds: float = 0.0, requests: Column | None = None, max_requests: int = 0, available: Column | None = None, attempt_more: Column | None = None) -> Column:
+    """The first rule that ends a search; null: go on.
+
+    Time and requests end it first; a search that has to attempt more is not
+    ended by what it has.  Without available sources the last rule names that.
+    """
+    no = F.lit(False)
+    more = F.coalesce(attempt_more, no) if attempt_more is not None else no
+    late = elapsed >= max_seconds if elapsed is not None else no
+    spent = (requests >= max_requests) & (unqueried > 0) if requests is not None else no
+    none_left = available == 0 if available is not None else no
     return (
-        F.when(results >= limit, "USER_LIMIT")
-        .when((level == "LOW") & (results >= min(10, limit)), "SATISFIED")
+        F.when(late, "TIME_BUDGET")
+        .when(spent, "REQUEST_BUDGET")
+        .when((results >= limit) & ~more, "USER_LIMIT")
+        .when((level == "LOW") & (results >= min(10, limit)) & ~more, "SATISFIED")
         .when((round_no > 1) & (gained < 0.12), "LOW_MARGINAL_GAIN")
         .when((unqueried > 0) & (round_no < max_rounds), F.lit(None).cast("string"))
         .when(round_no >= max_rounds, "MAX_ROUNDS")
+        .when(none_left, "NO_AVAILABLE_SOURCES")
         .otherwise("SOURCE_EXHAUSTION")
     )
 

@@ -76,22 +76,28 @@ LANES_SQL = f"""WITH {_EVENTS_SQL}, f AS (SELECT search, CASE {PATH} WHEN 'LOCAL
 ), n AS (SELECT search, lane, count(*) AS final FROM r GROUP BY 1, 2)
 SELECT search, lane, coalesce(candidates, 0) AS candidates, coalesce(final, 0) AS final FROM f FULL JOIN n USING (search, lane)"""
 
-#: searches (id, results, planned, time range) with their runs (source, error, items, matches, time-eligible), and reason, cause, failed
-_OUTCOMES = [
-    (1, 3, 2, "all", [("rss", None, 3, 3, 3)], "RESULTS_AVAILABLE", None, 0), (2, 0, 0, "all", [], "NO_CAPABLE_SOURCE", None, 0), (3, 0, 1, "24h", [("rss", None, 0, 4, 1)], "NO_MATCHES_IN_TIME_RANGE", None, 0),
-    (4, 0, 2, "all", [("x", "unconfigured", 0, 0, 0), ("reddit", "configuration_missing", 0, 0, 0)], "WEB_DISCOVERY_BLOCKED", None, 2), (5, 0, 2, "all", [("gdelt", "timeout", 0, 0, 0), ("x", "http_403", 0, 0, 0)], "ALL_SELECTED_SOURCES_FAILED", "EXTERNAL_LIMIT", 2),
-    (6, 0, 2, "all", [("gdelt", "odd", 0, 0, 0), ("x", "http_403", 0, 0, 0)], "ALL_SELECTED_SOURCES_FAILED", "SOURCE_UNAVAILABLE", 2), (7, 0, 2, "7d", [("rss", None, 0, 2, 2), ("x", "timeout", 0, 0, 0)], "NO_MATCHES", None, 1),
-]
+_SEARCHED = {"results": "CASE WHEN user_id % 4 = 0 THEN 2 ELSE 0 END", "planned": "user_id % 3", "time_range": "CASE user_id % 5 WHEN 0 THEN '24h' WHEN 1 THEN '7d' ELSE 'all' END"}
+#: The runs of a search: only failures in every second, and for every third of those only sources of the web's index, unconfigured.
+_RAN = {
+    "source": "CASE WHEN user_id % 6 = 1 THEN CASE event_id % 2 WHEN 0 THEN 'x' ELSE 'reddit' END ELSE 's' || (event_id % 3) END",
+    "error": "CASE WHEN user_id % 6 = 1 THEN 'unconfigured' WHEN user_id % 2 = 1 THEN CASE WHEN user_id % 5 = 2 AND value > 60 THEN 'odd' ELSE 'timeout' END WHEN value > 90 THEN 'rate_limited' END",
+    "items": "CASE WHEN user_id % 2 = 1 OR value > 90 THEN 0 ELSE event_id % 2 END", "query_matches": "event_id % 5", "time_eligible": "CASE WHEN user_id % 2 = 0 AND user_id % 5 = 0 THEN event_id % 4 ELSE event_id % 5 END",
+}
 
 
 def search_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    searches = spark.createDataFrame([o[:4] for o in _OUTCOMES], "search long, results int, planned int, time_range string")
-    runs = spark.createDataFrame([(o[0], *r) for o in _OUTCOMES for r in o[4]], "search long, source string, error string, items int, query_matches int, time_eligible int")
-    return C.outcome(searches, runs, "search")
+    """Why each user's search, its events being the runs of its sources, ended with what it has."""
+    e = table(spark, sf_dir, "events")
+    searches = e.select("user_id").distinct().selectExpr("user_id", *(f"{v} AS {k}" for k, v in _SEARCHED.items()))
+    return C.outcome(searches, e.selectExpr("user_id", *(f"{v} AS {k}" for k, v in _RAN.items())), "user_id")
 
 
-_sql = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else str(x)
-OUTCOMES_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({o[0]}, {_sql(o[5])}, {_sql(o[6])}, {o[7]})" for o in _OUTCOMES) + ") t(search, reason, cause, n_failed)"
+OUTCOMES_SQL = f"""WITH s AS (SELECT user_id, {', '.join(f'{v} AS {k}' for k, v in _SEARCHED.items())} FROM (SELECT DISTINCT user_id FROM events)
+), r AS (SELECT user_id, {', '.join(f'{v} AS {k}' for k, v in _RAN.items())} FROM events), f AS (SELECT *, error IS NOT NULL AND items = 0 AS failed FROM r
+), a AS (SELECT user_id, count(DISTINCT source) AS n, count(DISTINCT source) FILTER (WHERE failed) AS bad, count(DISTINCT source) FILTER (WHERE failed AND source NOT IN ('x', 'threads', 'reddit')) AS elsewhere, bool_or(query_matches > time_eligible) AS filtered, bool_and(coalesce(error IN ('unconfigured', 'configuration_missing'), false)) AS unset FROM f GROUP BY 1
+), x AS (SELECT user_id, bool_and(ext) AS ext FROM (SELECT user_id, source, bool_or(failed) AS failed, bool_or(coalesce(error IN ({', '.join(f"'{e}'" for e in C.EXTERNAL)}), false)) AS ext FROM f GROUP BY 1, 2) WHERE failed GROUP BY 1
+), o AS (SELECT user_id, bad, ext, CASE WHEN results > 0 THEN 'RESULTS_AVAILABLE' WHEN planned = 0 OR n IS NULL THEN 'NO_CAPABLE_SOURCE' WHEN time_range <> 'all' AND filtered THEN 'NO_MATCHES_IN_TIME_RANGE' WHEN bad > 0 AND bad = n AND elsewhere = 0 AND unset THEN 'WEB_DISCOVERY_BLOCKED' WHEN bad > 0 AND bad = n THEN 'ALL_SELECTED_SOURCES_FAILED' ELSE 'NO_MATCHES' END AS reason FROM s LEFT JOIN a USING (user_id) LEFT JOIN x USING (user_id))
+SELECT user_id, reason, CASE WHEN reason = 'ALL_SELECTED_SOURCES_FAILED' THEN CASE WHEN ext THEN 'EXTERNAL_LIMIT' ELSE 'SOURCE_UNAVAILABLE' END END AS cause, coalesce(bad, 0) AS n_failed FROM o"""
 
 
 def source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,51 +199,63 @@ def discovery_variant_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 BUDGET_SQL = f"""WITH o AS (SELECT {SEARCH} AS search, 'q' || (event_id % 9) AS text, min(event_id) AS seq FROM events GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY search ORDER BY seq) AS n FROM o QUALIFY n <= 4)
 SELECT search, text, n, 10 // count(*) OVER (PARTITION BY search) + (n <= 10 % count(*) OVER (PARTITION BY search))::INT AS engines FROM k"""
 
-#: id, original, exact, person, entity, arabic, mixed, handle, hashtag, identifier, and the kinds and texts of its variants in order
-_LATTICES = [
-    (1, "Open   Data", False, False, True, False, False, False, False, False, ["ORIGINAL:Open Data", "NORMALIZED:open data", 'EXACT:"Open   Data"', "ENTITY_ALIAS:public data", "EVIDENCE_EXPANDED:Open Data portal"]),
-    (2, "محمد علي", False, True, False, True, False, False, False, False, ["ORIGINAL:محمد علي", "NORMALIZED:محمد علي", 'EXACT:"محمد علي"', "ARABIC_NORMALIZED:محمد علي", "TRANSLITERATION:Mohammed Ali"]),
-    (3, "@someone", False, False, False, False, False, True, False, False, ["ORIGINAL:@someone", "NORMALIZED:@someone", "HANDLE:@someone"]),
-    (4, "#Tag", False, False, False, False, False, False, True, False, ["ORIGINAL:#Tag", "NORMALIZED:#tag", "HASHTAG:#Tag"]),
-    (5, "CVE-2024-1234", False, False, False, False, False, False, False, True, ["ORIGINAL:CVE-2024-1234", "NORMALIZED:cve-2024-1234", "IDENTIFIER:CVE-2024-1234"]),
-]
+#: Queries of every kind, from a user and an event (fixed forms).
+_ORIGINAL = "CASE event_id % 6 WHEN 0 THEN 'Open   Data ' || user_id WHEN 1 THEN 'محمد علي' WHEN 2 THEN '@User' || user_id WHEN 3 THEN '#Tag' || user_id WHEN 4 THEN 'CVE-2024-' || user_id ELSE 'Data بغداد ' || user_id END"
+_FLAGS = {"exact": "event_id % 12 = 0", "person": "event_id % 6 = 1", "entity": "event_id % 6 = 0", "arabic": "event_id % 6 = 1", "mixed": "event_id % 6 = 5", "handle": "event_id % 6 = 2", "hashtag": "event_id % 6 = 3", "identifier": "event_id % 6 = 4"}
+_ALIAS = {"text": "'alias ' || event_type", "confidence": "0.6D + value / 200"}
+_MORE = {"n": "1", "text": "'More   of ' || event_type", "confidence": "CASE WHEN user_id % 3 = 0 THEN 0.5D ELSE 0.8D END", "drift": "value / 200"}
 
 
-def _lattice(spark: SparkSession) -> DataFrame:
-    q = spark.createDataFrame([r[:10] for r in _LATTICES], "query_id long, original string, exact boolean, person boolean, entity boolean, arabic boolean, mixed boolean, handle boolean, hashtag boolean, identifier boolean")
-    aliases = spark.createDataFrame([(1, "public data", 0.9), (1, "weak", 0.5), (5, "log4shell", 0.95)], "query_id long, text string, confidence double")
-    more = spark.createDataFrame([(1, 1, "Open  Data portal", 0.8, 0.3), (1, 2, "drifting", 0.9, 0.5), (5, 1, "never", 0.9, 0.1)], "query_id long, n int, text string, confidence double, drift double")
-    return L.build(q, aliases, more)
+def _lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    own = lambda columns: e.selectExpr("event_id AS query_id", *(f"{v} AS {k}" for k, v in columns.items()))
+    return L.build(own({"original": _ORIGINAL} | _FLAGS), own(_ALIAS), own(_MORE))
 
 
 def query_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lattice(spark)
-    return rows.select("query_id", "position", F.concat_ws(":", "kind", F.regexp_replace("text", r"\s+", " ")).alias("variant"))
+    """The variants of a query of some kind for every event."""
+    return _lattice(spark, sf_dir).select("query_id", "position", "kind", "text", "confidence", "drift", "round")
 
 
-LATTICE_SQL = "SELECT query_id, position, regexp_replace(variant, '\\s+', ' ', 'g') AS variant FROM (VALUES " + ", ".join(f"({r[0]}, {k}, '{v}')" for r in _LATTICES for k, v in enumerate(r[10], 1)) + ") t(query_id, position, variant)"
+_plain = lambda x: x.replace("D ", "::DOUBLE ").replace("5D", "5::DOUBLE").replace("6D", "6::DOUBLE").replace("8D", "8::DOUBLE")
+_CLEAN = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+_LATTICE_CTE = f"""q AS (SELECT event_id AS query_id, {_ORIGINAL} AS original, {', '.join(f'{v} AS {k}' for k, v in _FLAGS.items())}, event_type, value, user_id FROM events
+), v AS (SELECT query_id, 0 AS place, 'ORIGINAL' AS kind, original AS text, 1.0::DOUBLE AS confidence, 0.0::DOUBLE AS drift, 1 AS round FROM q UNION ALL SELECT query_id, 1, 'NORMALIZED', lower(original), 0.98, 0.02, 1 FROM q
+  UNION ALL SELECT query_id, 2, 'EXACT', '"' || original || '"', 0.97, 0.0, 1 FROM q WHERE exact OR person OR entity UNION ALL SELECT query_id, 3, 'ARABIC_NORMALIZED', original, 0.96, 0.03, 1 FROM q WHERE arabic OR mixed
+  UNION ALL SELECT query_id, 4, 'HANDLE', original, 1.0, 0.0, 1 FROM q WHERE handle UNION ALL SELECT query_id, 5, 'HASHTAG', original, 1.0, 0.0, 1 FROM q WHERE hashtag UNION ALL SELECT query_id, 6, 'IDENTIFIER', original, 1.0, 0.0, 1 FROM q WHERE identifier
+  UNION ALL SELECT query_id, 7, 'TRANSLITERATION', 'Mohammed Ali', 0.78, 0.18, 2 FROM q WHERE person AND arabic
+  UNION ALL SELECT query_id, 101, 'ENTITY_ALIAS', 'alias ' || event_type, 0.6::DOUBLE + value / 200, greatest(0.05::DOUBLE, 1 - (0.6::DOUBLE + value / 200)), 2 FROM q WHERE NOT identifier AND 0.6::DOUBLE + value / 200 >= {L.LEAST_ALIAS}::DOUBLE
+  UNION ALL SELECT query_id, 10001, 'EVIDENCE_EXPANDED', 'More of ' || event_type, 0.8, value / 200, 3 FROM q WHERE NOT identifier AND user_id % 3 <> 0 AND value / 200 <= {L.MOST_DRIFT}::DOUBLE
+), la AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS position, kind, {_CLEAN.format('text')} AS text, confidence, drift, round FROM v QUALIFY position <= 6)"""
+LATTICE_SQL = f"WITH {_LATTICE_CTE} SELECT query_id, position, kind, text, {rounded_sql('confidence', 6)} AS confidence, {rounded_sql('drift', 6)} AS drift, round FROM la"
 
 
 def lattice_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lattice(spark)
-    return L.secondary(rows, 2).select(F.lit(2).alias("asked"), "query_id", "kind").unionByName(L.secondary(rows, 3).select(F.lit(3).alias("asked"), "query_id", "kind"))
+    """What the second and the third round ask for every query."""
+    rows = _lattice(spark, sf_dir)
+    return L.secondary(rows, 2).select(F.lit(2).alias("asked"), "query_id", "kind", "text").unionByName(L.secondary(rows, 3).select(F.lit(3).alias("asked"), "query_id", "kind", "text"))
 
 
-ROUNDS_SQL = "SELECT * FROM (VALUES (2, 1, 'EXACT'), (2, 1, 'ENTITY_ALIAS'), (2, 2, 'EXACT'), (2, 2, 'TRANSLITERATION'), (3, 1, 'EVIDENCE_EXPANDED')) t(asked, query_id, kind)"
+ROUNDS_SQL = f"""WITH {_LATTICE_CTE}, o AS (SELECT query_id, text AS root FROM la WHERE kind = 'ORIGINAL'), d AS (SELECT la.*, root FROM la JOIN o USING (query_id) WHERE {rounded_sql('drift', 6)} <= {L.MOST_DRIFT})
+SELECT 2 AS asked, query_id, kind, text FROM d WHERE kind = 'EXACT' OR (kind IN ('ARABIC_NORMALIZED', 'TRANSLITERATION', 'ENTITY_ALIAS') AND lower(text) <> lower(root)) UNION ALL SELECT 3, query_id, kind, text FROM d WHERE kind = 'EVIDENCE_EXPANDED'"""
 
-#: query, time range, identifier, what it wants of time
-_TEMPORAL = [
-    ("history of rome", "all", False, "HISTORICAL"), ("history of rome", "24h", False, "TIME_CRITICAL"), ("breaking storm", "all", False, "TIME_CRITICAL"), ("recent storms", "all", False, "RECENT_PREFERRED"), ("storms 1998", "all", False, "HISTORICAL"),
-    ("CVE-2024-1234 2024", "all", True, "TIME_NEUTRAL"), ("storms", "7d", False, "RECENT_PREFERRED"), ("storms", "30d", False, "RECENT_PREFERRED"), ("storms", "all", False, "TIME_NEUTRAL"), ("عاجل", "all", False, "TIME_CRITICAL"),
-]
+_SAID = ["history of {}", "breaking {}", "recent {}", "{} 1998", "CVE-2024-1234 {}", "{} today", "{}", "عاجل {}", "{} archive", "newest {}"]
+_RANGES = ["all", "24h", "all", "7d", "all", "30d", "all"]
 
 
 def temporal_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, *r[:3]) for k, r in enumerate(_TEMPORAL)], "id long, q string, time_range string, identifier boolean")
-    return rows.select("id", L.temporal_intent(text.tokens(F.col("q")), F.col("q"), F.col("time_range"), F.col("identifier")).alias("intent"))
-
-
-TEMPORAL_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{r[3]}')" for k, r in enumerate(_TEMPORAL)) + ") t(id, intent)"
+    """What queries about each event's type want of time."""
+    said = F.element_at(F.array(*map(F.lit, _SAID)), (F.col("user_id") % len(_SAID) + 1).cast("int"))
+    wanted = F.element_at(F.array(*map(F.lit, _RANGES)), (F.col("event_id") % len(_RANGES) + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.replace(said, F.lit("{}"), F.col("event_type")).alias("q"), wanted.alias("time_range"))
+    return rows.select("event_id", "q", L.temporal_intent(text.tokens(F.col("q")), F.col("q"), F.col("time_range"), F.col("q").startswith("CVE-")).alias("intent"))
+
+
+_WORDS = "regexp_extract_all(lower(q), '[\\p{L}\\p{N}_]+')"
+_any = lambda words: f"len(list_intersect({_WORDS}, {words!r})) > 0"
+TEMPORAL_SQL = f"""WITH e AS (SELECT event_id, replace(({_SAID!r})[user_id % {len(_SAID)} + 1], '{{}}', event_type) AS q, ({_RANGES!r})[event_id % {len(_RANGES)} + 1] AS r FROM events)
+SELECT event_id, q, CASE WHEN r = '24h' THEN 'TIME_CRITICAL' WHEN r = '7d' THEN 'RECENT_PREFERRED' WHEN {_any(L.HISTORICAL)} OR (regexp_matches(q, '\\b(19|20)[0-9]{{2}}\\b') AND NOT starts_with(q, 'CVE-')) THEN 'HISTORICAL'
+  WHEN {_any(L.CRITICAL)} THEN 'TIME_CRITICAL' WHEN {_any(L.RECENT)} OR r = '30d' THEN 'RECENT_PREFERRED' ELSE 'TIME_NEUTRAL' END AS intent FROM e"""
 
 
 def lattice_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

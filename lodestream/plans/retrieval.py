@@ -141,78 +141,50 @@ MATCH_SQL = f"""{TOKENISED_SQL}
 SELECT item_id, contains(' ' || array_to_string(words, ' ') || ' ', ' of the ') AS phrase, {_in(_W, 'words')} >= {QUERY.required} AS enough_words,
   contains({norm_sql('canonical_url')}, 'example.net') AS url, handle = '@src3' AS handle, {_in(_W, 'words')} = {len(_W)} AS all_words FROM tok"""
 
-#: A small corpus in other scripts and widths, with tags, handles and links (query_fixture and normalise_fixture say what becomes of it).
-POSTS = [
-    (1, "#Ｐython release", "Read the #ﬁne notes at https://example.org/a", "@Core", ["Python"], "https://example.org/Python/"),
-    (2, "قِصَّة جديدة", "نص عن #تقنية والأمن ٢٠٢٤", "@أخبار", ["تقنية"], "https://example.org/ar"),
-    (3, "Straße und Café", "Die STRASSE am Caf\u00e9 ist zu", "@DE", None, "https://example.org/de?utm_source=x"),
-    (4, None, "no title here #Python", "@core_team", [], "https://example.net/x"),
-]
-_POST_SCHEMA = "item_id long, title string, text string, handle string, hashtags array<string>, canonical_url string"
-_POST_QUERIES = {
-    "hashtag": R.Query(("python",), intent="hashtag"), "handle": R.Query(("core",), intent="handle"), "url": R.Query(("example", "net"), intent="url", normalised="example.net/x"),
-    "phrase": R.Query(("strasse", "am"), exact=True), "words": R.Query(("strasse", "café", "die", "ist")), "arabic": R.Query(("تقنيه", "2024")),
-}
+#: A tag query over all documents; each carries its language and its source as tags.
+TAG = R.Query(("de",), intent="hashtag")
 
 
 def match_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which of the fixture's posts each kind of query takes as a candidate, and the exactness of its intent."""
-    rows = spark.createDataFrame(POSTS, _POST_SCHEMA)
+    """What a tag query takes as candidates, by the documents' tags and by what stands behind a # in their texts, with its features."""
+    rows = content(spark, sf_dir).withColumns({"hashtags": F.array(F.concat(F.lit("#"), F.upper("language")), F.col("source")), "text": F.when(F.col("item_id") % 7 == 0, F.concat(F.lit("#De "), "text")).otherwise(F.col("text"))})
     rows = rows.withColumn("literal_tags", R.literal_tags(F.col("title"), F.col("text")))
-    words = sorted({w for q in _POST_QUERIES.values() for w in q.distinct})
-    indexed = materialise(R.index(rows, words, ["handle", "hashtags", "canonical_url", "literal_tags"]), "fixture")
-    out = None
-    for kind, q in _POST_QUERIES.items():
-        f = R.relevance(q, F.lit(0.0))
-        one = indexed.filter(R.matches(q)).select(F.lit(kind).alias("kind"), "item_id", f["relevance"].alias("relevance"), f["intent_exact"].alias("intent_exact"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    f = R.relevance(TAG, F.lit(0.0))
+    indexed = R.index(rows, list(TAG.distinct), ["handle", "hashtags", "canonical_url", "literal_tags"])
+    return indexed.filter(R.matches(TAG)).select("item_id", f["relevance"].alias("relevance"), f["intent_exact"].alias("intent_exact"), f["title_coverage"].alias("title_coverage"))
 
 
-MATCH_FIXTURE_SQL = """SELECT * FROM (VALUES ('hashtag', 1, 100.0, 100.0), ('hashtag', 4, 60.0, 0.0), ('handle', 1, 70.0, 100.0), ('url', 4, 10.0, 100.0), ('phrase', 3, 67.5, 0.0), ('words', 3, 50.5, 0.0), ('arabic', 2, 41.67, 0.0)) t(kind, item_id, relevance, intent_exact)"""
+MATCH_FIXTURE_SQL = f"""WITH {CONTENT_SQL}, t AS (SELECT item_id, language, title, CASE WHEN item_id % 7 = 0 THEN '#De ' || text ELSE text END AS text, source, handle FROM content
+), w AS (SELECT item_id, language = 'de' AS tagged, list_contains({tokens_sql('title')}, 'de') AS title, list_contains(list_concat({tokens_sql('title')}, {tokens_sql('text')}, {tokens_sql('handle')}, {tokens_sql("language || ' ' || source")}), 'de') AS found, regexp_matches(lower(title || ' ' || text), '(^|\s)#de(\s|$)') AS literal FROM t)
+SELECT item_id, {rounded_sql('least(100.0, 60.0 * found::INT + 30.0 * title::INT + 10.0 * tagged::INT)', 2)} AS relevance, 100.0 * tagged::INT AS intent_exact, 100.0 * title::INT AS title_coverage FROM w WHERE tagged OR literal"""
+
+_PLAIN_LETTERS, _WIDE_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ０１２３４５６７８９"
 
 
 def normalise_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compatibility form, case folding, Arabic letters and digits, marks and control characters, on texts that need each."""
-    rows = spark.createDataFrame([(k, x) for k, (x, *_) in enumerate(_NORMAL)], "id long, x string")
-    return rows.select("id", text.normalise(F.col("x")).alias("normal"), F.array_join(text.tokens(F.col("x")), "|").alias("words"), F.array_join(text.index_tokens(F.col("x")), "|").alias("index_words"), text.language(F.col("x")).alias("detected"))
+    """Titles in full width, with marks that do not show, Arabic digits and a ligature, and what normalising makes of them."""
+    rows = documents(spark, sf_dir).select("item_id", F.concat(F.translate("title", _PLAIN_LETTERS, _WIDE_LETTERS), F.lit("\u200b ﬁne ٢٠٢٤ قِصَّة")).alias("x"))
+    return rows.select("item_id", text.normalise(F.col("x")).alias("normal"), F.size(text.tokens(F.col("x"))).cast("long").alias("n_words"), F.element_at(text.index_tokens(F.col("x")), -1).alias("last"))
+
 
+NORMALISE_FIXTURE_SQL = f"""WITH t AS (SELECT doc_id AS item_id, split_part(text, chr(10), 1) || ' fine 2024 قصه' AS x FROM documents)
+SELECT item_id, {norm_sql('x')} AS normal, len({tokens_sql('x')})::BIGINT AS n_words, 'قصه' AS last FROM t"""
 
-#: text, normal form, words, words of the index, language
-_NORMAL = [
-    ("Ｆｕｌｌ　Ｗｉｄｔｈ ①②", "full width 12", "full|width|12", "full|width|12", "en"),
-    ("ﬁne ﬂow ½ x²", "fine flow 1⁄2 x2", "fine|flow|1|2|x2", "fine|flow|1|2|x2", "en"),
-    ("STRASSE Straße ẞ", "strasse strasse ss", "strasse|strasse|ss", "strasse|strasse|ss", "en"),
-    ("Ὀδυσσεύς ΟΔΟΣ", "ὀδυσσεύσ οδοσ", "ὀδυσσεύσ|οδοσ", "ὀδυσσεύσ|οδοσ", "en"),
-    ("قِصَّةٌ إلى أحمد ٢٠٢٤ ۱۲", "قصه الي احمد 2024 12", "قصه|الي|احمد|2024|12", "قصه|الي|احمد|2024|12", "ar"),
-    ("e\u0301te\u0301 Été", "été été", "été|été", "ete|ete", "en"),
-    ("zero\u200bwidth \u202eturn\u202c", "zerowidth turn", "zerowidth|turn", "zerowidth|turn", "en"),
-    ("  12 !! \t", "12 !!", "12", "12", "und"),
-]
-NORMALISE_FIXTURE_SQL = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join([str(k), *(f"'{x}'" for x in row[1:])]) + ")" for k, row in enumerate(_NORMAL)) + ") t(id, normal, words, index_words, detected)"
+#: A query of each kind from a document's language and source (fixed forms), with its intent, exactness and class.
+_FORMS = [("#{}Data", "hashtag", False, "HASHTAG"), ("@{}", "handle", False, "HANDLE"), ("https://example.org/{}", "url", False, "URL"), ('"{} policy"', "exact_phrase", True, "EXACT_PHRASE"), ("{} تقنية", "mixed_language", False, "MIXED_LANGUAGE"), ("how to bake {}", "keywords", False, "MULTI_TERM_TOPIC")]
 
 
 def query_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intent, class and words of queries of every kind."""
-    rows = spark.createDataFrame([(k, q[0]) for k, q in enumerate(_QUERIES)], "id long, q string")
+    """Intent, class and words of queries of every kind, made of each document's language."""
+    form = F.element_at(F.array(*(F.lit(f) for f, *_ in _FORMS)), (F.col("item_id") % len(_FORMS) + 1).cast("int"))
+    rows = documents(spark, sf_dir).select("item_id", F.replace(form, F.lit("{}"), F.col("language")).alias("q"))
     p = text.query_intent(F.col("q"))
-    return rows.select("id", p["intent"].alias("intent"), p["exact"].alias("exact"), p["class"].alias("class"), F.array_join(p["tokens"], "|").alias("words"), text.article_variant(p["tokens"]).alias("variant"))
-
-
-#: query, intent, exact, class, words, variant without Arabic articles
-_QUERIES = [
-    ("#OpenData", "hashtag", False, "HASHTAG", "opendata", "opendata"),
-    ("@someone", "handle", False, "HANDLE", "someone", "someone"),
-    ("https://example.org/a", "url", False, "URL", "https|example|org|a", "https example org a"),
-    ("example.org/path", "url", False, "URL", "example|org|path", "example org path"),
-    ('"climate policy"', "exact_phrase", True, "EXACT_PHRASE", "climate|policy", "climate policy"),
-    ("OpenAI تقنية", "mixed_language", False, "MIXED_LANGUAGE", "openai|تقنيه", "openai تقنيه"),
-    ("rust", "keywords", False, "SHORT_AMBIGUOUS", "rust", "rust"),
-    ("World Health Organization", "organization_phrase", False, "RARE_ENTITY", "world|health|organization", "world health organization"),
-    ("how to bake bread", "keywords", False, "MULTI_TERM_TOPIC", "how|to|bake|bread", "how to bake bread"),
-    ("الاقتصاد الرقمي", "keywords", False, "MULTI_TERM_TOPIC", "الاقتصاد|الرقمي", "اقتصاد رقمي"),
-]
-QUERY_FIXTURE_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{i}', {str(e).lower()}, '{c}', '{w}', '{v}')" for k, (_, i, e, c, w, v) in enumerate(_QUERIES)) + ") t(id, intent, exact, class, words, variant)"
+    return rows.select("item_id", p["intent"].alias("intent"), p["exact"].alias("exact"), p["class"].alias("class"), F.array_join(p["tokens"], "|").alias("words"))
+
+
+_FORM_WORDS = ["{}data", "{}", "https|example|org|{}", "{}|policy", "{}|تقنيه", "how|to|bake|{}"]
+QUERY_FIXTURE_SQL = "WITH f(k, intent, exact, class, words) AS (VALUES " + ", ".join(f"({k}, '{i}', {str(e).lower()}, '{c}', '{w}')" for k, ((_, i, e, c), w) in enumerate(zip(_FORMS, _FORM_WORDS))) + f") SELECT doc_id AS item_id, intent, exact, class, replace(words, '{{}}', lang) AS words FROM documents JOIN f ON k = doc_id % {len(_FORMS)}"
+
 
 
 def filter_time_language_media(spark: SparkSession, sf_dir: str) -> DataFrame:

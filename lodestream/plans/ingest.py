@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lodestream.sources import exports, payloads
+from lodestream.sources import exports, payloads, sinks
+from lodestream.sources.scratch import materialise, shared_dir
 from lodestream.sources.tables import CONTENT_SQL, content, documents, table
 
 
@@ -111,7 +115,26 @@ SELECT page_id, moved, CASE WHEN host IN ('x.com', 'twitter.com') THEN CASE WHEN
   WHEN host = 'reddit.com' THEN CASE WHEN regexp_matches(path, '^/r/[A-Za-z0-9_]+/comments/[A-Za-z0-9_]+/[^/]*/[A-Za-z0-9_]+') THEN 'COMMENT' WHEN regexp_matches(path, '^/r/[A-Za-z0-9_]+/comments/[A-Za-z0-9_]+') THEN 'POST'
     WHEN regexp_matches(path, '^/r/[A-Za-z0-9_]+/?$') THEN 'COMMUNITY' WHEN regexp_matches(path, '^/u(ser)?/[A-Za-z0-9_-]+/?$') THEN 'PROFILE' ELSE 'OTHER' END END AS kind FROM h"""
 
+def committed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the results of their users' searches, appended in batches of ten days, the second batch twice; what the sink then holds."""
+    base = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts", F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 864e9).alias("b"))
+    rank = F.row_number().over(Window.partitionBy("b", "user_id").orderBy(F.col("value").desc(), "event_id"))
+    rows = materialise(e.select("b", F.col("user_id").alias("session"), F.concat(F.lit("q"), F.col("user_id").cast("string")).alias("query"), F.col("event_id").alias("item_id"), F.col("event_type").alias("source"), F.col("value").alias("score"), rank.alias("rank"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at")), "batches")
+    for batch in (0, 1, 1, 2):
+        sinks.append_once(sinks.session_tables(rows.filter(F.col("b") == batch).drop("b")), base, batch)
+    sessions = sinks.read_committed(spark, base, "sessions")
+    own = sinks.read_committed(spark, base, "results").filter("rank = 1").select("batch", "session", F.col("item_id").alias("first_item"), F.col("source").alias("first_source"))
+    scores = sinks.read_committed(spark, base, "scores").groupBy("batch", "session").agg(F.max("score").alias("best"))
+    return sessions.join(own, ["batch", "session"]).join(scores, ["batch", "session"]).select("batch", "session", "query", "n_results", "started", "finished", "first_item", "first_source", "best")
+
+
+BATCHES_SQL = """WITH e AS (SELECT *, floor((epoch_us(ts) - 1704067200000000) / 864e9)::BIGINT AS batch FROM events)
+SELECT batch, user_id AS session, 'q' || user_id AS query, count(*) AS n_results, min(epoch_us(ts)) AS started, max(epoch_us(ts)) AS finished, arg_max(event_id, {'v': value, 'i': -event_id}) AS first_item, arg_max(event_type, {'v': value, 'i': -event_id}) AS first_source, max(value) AS best
+FROM e WHERE batch BETWEEN 0 AND 2 GROUP BY 1, 2"""
+
 QUERIES = {
+    "committed_batches": (committed_batches, BATCHES_SQL),
     "payload_normalise": (payload_normalise, PAYLOAD_SQL),
     "payload_stage_counts": (payload_stage_counts, STAGE_SQL),
     "export_csv_cells": (export_csv_cells, CSV_SQL),

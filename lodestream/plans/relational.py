@@ -13,6 +13,7 @@ from lodestream.operators import snapshots as N
 from lodestream.operators import writes as X
 from lodestream.sources.tables import NOW_SQL, now, rounded_sql, table
 from lodestream.streaming import breaker as B
+from lodestream.streaming import registry as G
 from lodestream.streaming import streams as S
 
 
@@ -243,6 +244,26 @@ SLOTS_SQL = f"WITH RECURSIVE {_SLOTS_CTE} SELECT user_id, event_id, op, applied,
 AS_OF_SQL = f"WITH RECURSIVE {_SLOTS_CTE} SELECT user_id, production, previous, experimental, candidate FROM w WHERE n > 0 AND event_id <= 3000 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"
 
 
+#: What events do to jobs, and the registry's bounds in minutes and jobs.
+_JOB_EVENT, _TTL, _CAPACITY = "CASE WHEN value < 25 THEN 'start' WHEN value < 60 THEN 'completed' ELSE 'collect' END", 1500.0, 20
+
+
+def job_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' jobs in one bounded registry a type of event: everything that is admitted, refused, evicted, ended or forgotten."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("registry"), F.concat(F.lit("j"), (F.col("user_id") % 60).cast("string")).alias("job"), F.expr(_JOB_EVENT).alias("event"), (F.unix_micros(F.col("ts").cast("timestamp")) / 6e7).alias("at"), F.col("event_id").alias("seq"))
+    return G.changes(e, ttl=_TTL, capacity=_CAPACITY)
+
+
+REGISTRY_SQL = f"""WITH RECURSIVE q AS (SELECT event_type AS registry, 'j' || (user_id % 60) AS job, {_JOB_EVENT} AS event, epoch_us(ts) / 6e7 AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events
+), w AS (SELECT DISTINCT registry, 0::BIGINT AS n, []::STRUCT(j VARCHAR, a DOUBLE, e DOUBLE)[] AS jobs, []::STRUCT(j VARCHAR, c VARCHAR, t DOUBLE)[] AS made FROM q
+  UNION ALL SELECT registry, n, CASE WHEN opens AND NOT crowded THEN list_append(CASE WHEN full_ THEN list_filter(alive, lambda x: x.j <> old.j) ELSE alive END, {{'j': job, 'a': t, 'e': NULL::DOUBLE}}) WHEN ends THEN list_transform(alive, lambda x: {{'j': x.j, 'a': x.a, 'e': CASE WHEN x.j = job THEN t ELSE x.e END}}) ELSE alive END,
+    list_concat(list_transform(gone, lambda x: {{'j': x.j, 'c': 'expired', 't': greatest(x.e, x.a + {_TTL})}}), CASE WHEN opens AND crowded THEN [{{'j': job, 'c': 'refused', 't': t}}] WHEN opens AND full_ THEN [{{'j': old.j, 'c': 'evicted', 't': t}}, {{'j': job, 'c': 'admitted', 't': t}}] WHEN opens THEN [{{'j': job, 'c': 'admitted', 't': t}}] WHEN ends THEN [{{'j': job, 'c': 'ended', 't': t}}] ELSE [] END)
+  FROM (SELECT *, full_ AND old IS NULL AS crowded FROM (SELECT *, event = 'start' AND len(list_filter(alive, lambda x: x.j = job)) = 0 AS opens, event = 'completed' AND len(list_filter(alive, lambda x: x.j = job AND x.e IS NULL)) > 0 AS ends, len(alive) >= {_CAPACITY} AS full_,
+      list_sort(list_transform(list_filter(alive, lambda x: x.e IS NOT NULL), lambda x: {{'a': x.a, 'j': x.j}}))[1] AS old
+    FROM (SELECT q.registry, q.n, q.job, q.event, q.t, list_filter(w.jobs, lambda x: x.e IS NULL OR greatest(x.e, x.a + {_TTL}) > q.t) AS alive, list_filter(w.jobs, lambda x: x.e IS NOT NULL AND greatest(x.e, x.a + {_TTL}) <= q.t) AS gone FROM w JOIN q ON q.registry = w.registry AND q.n = w.n + 1)))
+) SELECT registry, m.j AS job, m.c AS change, m.t AS at FROM (SELECT registry, unnest(made) AS m FROM w)"""
+
+
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Work that each event starts, as many minutes long as its value, by type: its length, its union, what runs at once, and what of it falls into days 5 to 20."""
     e = table(spark, sf_dir, "events").select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("start"), F.floor(F.col("value") * 60_000_000).alias("us"))
@@ -308,6 +329,7 @@ QUERIES = {
     "breaker_openings": (breaker_openings, OPENINGS_SQL),
     "configuration_log": (configuration_log, SLOTS_SQL),
     "configuration_as_of": (configuration_as_of, AS_OF_SQL),
+    "job_registry": (job_registry, REGISTRY_SQL),
     "interval_overlap": (interval_overlap, OVERLAP_SQL),
     "event_fold_state": (event_fold_state, FOLD_SQL),
     "event_history": (event_history, HISTORY_SQL),

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -110,13 +111,27 @@ def _examples(rows: DataFrame, identity: dict[str, list[str]]) -> pa.Table:
     return rows.select(F.col("toxic").cast("int").alias("label"), null_to_empty().alias("text")).mapInArrow(run, "label int, x binary, gone binary, come binary").toArrow()
 
 
-def _design(rows: list[np.ndarray], kept: np.ndarray):
-    """Row and column numbers of the kept features."""
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    at = np.searchsorted(kept, flat)
-    ok = (at < len(kept)) & (kept[np.minimum(at, max(0, len(kept) - 1))] == flat) if len(kept) else np.zeros(len(flat), bool)
-    return row[ok], at[ok]
+def _flat(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row number (of the batch) and feature of everything in a column of packed 32-bit numbers, without an object a row."""
+    lengths = np.asarray(pc.binary_length(column)) // 4
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    values = np.frombuffer(data, np.int32)[offsets[0] // 4 : offsets[-1] // 4] if data else np.zeros(0, np.int32)
+    return np.repeat(np.arange(len(column), dtype=np.int32), lengths), values
+
+
+def _design(found: pa.Table, name: str, kept: np.ndarray):
+    """Row and column numbers of the kept features, a thousand examples at a time."""
+    place = np.full(1 << BITS, -1, np.int32)
+    place[kept] = np.arange(len(kept))
+    rows, columns, before = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for batch in found.to_batches(1000):
+        row, values = _flat(batch.column(batch.schema.get_field_index(name)))
+        at = place[values]
+        rows.append(row[at >= 0].astype(np.int64) + before)
+        columns.append(at[at >= 0].astype(np.int64))
+        before += batch.num_rows
+    return np.concatenate(rows), np.concatenate(columns)
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = MAX_TRAIN_CHARS) -> DataFrame:
@@ -150,10 +165,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, identity
     y = np.array(found["label"].to_pylist(), np.float64)
     if not len(y):
         return Model(-60.0, np.zeros(0, np.int32), np.zeros(0))
-    x, gone, come = ([np.frombuffer(b, np.int32) for b in found[c].to_pylist()] for c in ("x", "gone", "come"))
     size = 1 << BITS
-    total = np.bincount(np.concatenate(x), minlength=size).astype(float)
-    toxic = np.bincount(np.concatenate([r for r, t in zip(x, y) if t] or [np.zeros(0, np.int32)]), minlength=size).astype(float)
+    total, toxic, before = np.zeros(size), np.zeros(size), 0
+    for batch in found.to_batches(1000):
+        row, values = _flat(batch.column(batch.schema.get_field_index("x")))
+        total += np.bincount(values, minlength=size)
+        toxic += np.bincount(values, y[before + row], size)
+        before += batch.num_rows
     rate = y.mean()
     spread = (toxic - rate * total) ** 2 / np.maximum(total * rate * (1 - rate), 1e-9)
     spread[total < 3] = 0
@@ -161,8 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, identity
     kept = kept[spread[kept] > 0].astype(np.int32)
 
     n, d = len(y), len(kept)
-    row, col = _design(x, kept)
-    (r1, c1), (r2, c2) = _design(gone, kept), _design(come, kept)
+    row, col = _design(found, "x", kept)
+    (r1, c1), (r2, c2) = _design(found, "gone", kept), _design(found, "come", kept)
+    del found
     # the largest curvature of the loss, by power iteration, gives the step
     u = np.ones(d + 1)
     for _ in range(30):

@@ -149,7 +149,7 @@ def near_tie_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = V.top_k(_queries(spark, sf_dir).select("query_id", "embedding"), items, 100)
     stories = e.select(F.col("vec_id").alias("item_id"), F.col("label").alias("story")).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "source"), "item_id", "left")
     rows = near.join(stories, "item_id").select("query_id", F.col("item_id").alias("key"), V.semantic_score(F.col("similarity")).alias("score"), "story", F.coalesce("source", F.lit("")).alias("source"))
-    return V.near_tie_order(rows, "query_id", delta=2.0, floor=50.0)
+    return V.near_tie_order(rows, "query_id", delta=2.0, floor=70.0)
 
 
 TIES_SQL = f"""WITH RECURSIVE near AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, b.label AS story, {rounded_sql(_COS, 6)} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % {EVERY} = 0
@@ -158,7 +158,7 @@ TIES_SQL = f"""WITH RECURSIVE near AS (SELECT a.vec_id AS query_id, b.vec_id AS
 ), walk AS (
   SELECT query_id, 1 AS position, waiting[1] AS last, waiting[2:] AS waiting FROM start
   UNION ALL SELECT query_id, position + 1, waiting[pick], list_concat(waiting[1:pick - 1], waiting[pick + 1:]) FROM (
-    SELECT *, CASE WHEN waiting[1].v < 50.0 THEN 1 ELSE coalesce(list_filter(range(2, len(waiting) + 1), lambda i: waiting[i].v >= 50.0 AND waiting[1].v - waiting[i].v <= 2.0 AND waiting[i].y <> last.y AND waiting[i].s <> last.s)[1], 1) END AS pick FROM walk WHERE len(waiting) > 0)
+    SELECT *, CASE WHEN waiting[1].v < 70.0 THEN 1 ELSE coalesce(list_filter(range(2, len(waiting) + 1), lambda i: waiting[i].v >= 70.0 AND waiting[1].v - waiting[i].v <= 2.0 AND waiting[i].y <> last.y AND waiting[i].s <> last.s)[1], 1) END AS pick FROM walk WHERE len(waiting) > 0)
 ) SELECT query_id, last.k AS key, position::BIGINT AS position FROM walk"""
 
 

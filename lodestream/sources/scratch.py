@@ -14,12 +14,18 @@ _MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; set here only where the session names none, as in tests."""
+    """spark.checkpoint.dir of the session; set here only where the session names none and runs in one machine's process, as in tests.
+
+    On a cluster a folder has to be named: a default could lie on one machine's disk.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get() if found.isDefined() else None
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

@@ -197,3 +197,39 @@ def latest(rows: DataFrame, key: list[str], at: str, *values: str) -> DataFrame:
 def running(rows: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
     w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("running", F.sum(value).over(w))
+
+
+def engine_utility(observed: DataFrame) -> DataFrame:
+    """Per engine, platform and class of query: requests, how often it was there, what it yielded, mean latency."""
+    return observed.groupBy("engine", "platform", "query_class").agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if("available").alias("available"), F.sum("canonical_yield").alias("canonical_yield"), rounded(F.avg("latency_ms"), 2).alias("latency_ms"),
+    )
+
+
+def quality_summary(searches: DataFrame) -> DataFrame:
+    """what, name, value: counts, rates, means and distributions over searches, in one pass.
+
+    searches: language, query_class, n_results, duration_ms, and diagnostics, a
+    JSON document with stop_reason, requests_used and rounds (of round and
+    uncertainty level; round 0 is none).  The level is that of the last round.
+    """
+    of = F.from_json("diagnostics", "stop_reason string, requests_used long, rounds array<struct<round:int,level:string>>")
+    rows = searches.withColumn("d", of).withColumn("rounds", F.filter(F.coalesce("d.rounds", F.array().cast("array<struct<round:int,level:string>>")), lambda r: r["round"] > 0))
+    level = F.try_element_at(F.array_sort("rounds"), F.lit(-1))["level"]
+    one = lambda what, name, value: F.struct(F.lit(what).alias("what"), name.alias("name"), value.cast("double").alias("value"))
+    every = F.lit("")
+    facts = F.array(
+        one("searches", every, F.lit(1)), one("zero_results", every, F.col("n_results") == 0), one("average_rounds", every, F.size("rounds")), one("average_requests", every, F.coalesce("d.requests_used", F.lit(0))), one("average_latency_ms", every, F.col("duration_ms")),
+        one("language", F.col("language"), F.lit(1)), one("query_class", F.col("query_class"), F.lit(1)), one("stop_reason", F.col("d.stop_reason"), F.lit(1)), one("uncertainty", level, F.lit(1)),
+    )
+    each = rows.select(F.explode(facts).alias("f")).select("f.*").filter("name is not null")
+    mean = F.col("what").isin("average_rounds", "average_requests", "average_latency_ms")
+    sums = each.groupBy("what", "name").agg(F.sum("value").alias("s"), F.avg("value").alias("m")).withColumn("mean", mean)
+    rates = sums.filter("what = 'zero_results'").select(F.lit("zero_result_rate").alias("what"), "name", rounded(F.col("m"), 4).alias("value"))
+    return sums.select("what", "name", F.when(mean, rounded(F.col("m"), 2)).otherwise(F.col("s")).alias("value")).unionByName(rates)
+
+
+def state_counts(sources: DataFrame, now_active: str = "active") -> DataFrame:
+    """state, n of the system's sources: available, or why not (disabled before unconfigured before degraded before restricted)."""
+    state = F.when(~F.col("enabled"), "disabled").when(~F.col("configured"), "unconfigured").when(F.col("health").isin("degraded", "timeout"), "degraded").when(F.col("health") == "restricted", "restricted").otherwise(now_active)
+    return sources.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.functions.numbers import rounded
+from lodestream.operators import aggregates as A
 from lodestream.operators import calibration as C
 from lodestream.operators import evidence as E
 from lodestream.operators import planning as P
@@ -164,7 +165,51 @@ EDGES_SQL = f"""{_SEEN_SQL}, e AS (SELECT 'query' AS from_kind, qk AS from_key,
 SELECT from_kind, from_key, relation, to_kind, to_key, count(*) AS support, arg_max(properties, seq) AS properties, min(seq) AS first_seen, max(seq) AS last_seen FROM e GROUP BY 1, 2, 3, 4, 5"""
 
 
+_ENGINE = {"engine": "concat('e', event_id % 3)", "platform": "concat('p', user_id % 4)", "query_class": "event_type"}
+
+
+def engine_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return A.engine_utility(e.selectExpr(*(f"{v} AS {k}" for k, v in _ENGINE.items()), "value < 80 AS available", "event_id % 20 AS canonical_yield", "value * 10 AS latency_ms"))
+
+
+ENGINES_SQL = f"SELECT {', '.join(f'{v} AS {k}' for k, v in _ENGINE.items())}, count(*) AS requests, count(*) FILTER (WHERE value < 80) AS available, sum(event_id % 20)::BIGINT AS canonical_yield, {rounded_sql('avg(value * 10)', 2)} AS latency_ms FROM events GROUP BY 1, 2, 3"
+
+
+def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as searches, the rounds of each in its diagnostics."""
+    r = _rounds(spark, sf_dir).withColumn("risk", C.risk()).select("user_id", "round", "candidates", "admitted", "elapsed", C.level(F.col("risk")).alias("level"))
+    a = r.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("round", "level"))).alias("rounds"), F.sum("candidates").alias("requests_used"), F.sum(F.when(F.col("round") > 3, F.col("admitted")).otherwise(0)).alias("n_results"), F.sum("elapsed").alias("duration_ms"))
+    stop = F.when(F.col("user_id") % 4 > 0, F.element_at(F.array(F.lit("SATISFIED"), F.lit("MAX_ROUNDS"), F.lit("TIME_BUDGET")), (F.col("user_id") % 4).cast("int")))
+    rows = a.select(F.element_at(F.array(F.lit("ar"), F.lit("en")), (F.col("user_id") % 2 + 1).cast("int")).alias("language"), F.concat(F.lit("c"), F.col("user_id") % 3).alias("query_class"), "n_results", "duration_ms", F.to_json(F.struct(stop.alias("stop_reason"), "requests_used", F.filter("rounds", lambda x: x["round"] > 1).alias("rounds"))).alias("diagnostics"))
+    return A.quality_summary(rows)
+
+
+QUALITY_SQL = f"""WITH {_ROUNDS_SQL}, p AS (SELECT *, {_BANDS} + (engines = 1)::INT + (errors > 2)::INT + (user_id % 7 = 0 AND unqueried > 0)::INT AS r0 FROM c
+), q AS (SELECT *, greatest(0, r0 - CASE WHEN sat THEN 2 ELSE 0 END) AS r1 FROM p), r AS (SELECT *, greatest(0, r1 - CASE WHEN sources >= 4 AND candidates >= 15 AND completeness >= 0.7 AND agreement >= 0.7 THEN 2 ELSE 0 END) AS r2 FROM q
+), s AS (SELECT *, greatest(0, r2 - CASE WHEN unqueried = 0 THEN 1 ELSE 0 END)::INT AS risk FROM r), t AS (SELECT *, CASE WHEN risk <= 1 THEN 'LOW' WHEN risk <= 4 THEN 'MEDIUM' ELSE 'HIGH' END AS level FROM s
+), u AS (SELECT user_id, count(*) FILTER (WHERE round > 1) AS rounds, arg_max(level, round) FILTER (WHERE round > 1) AS level, sum(candidates) AS requests, sum(CASE WHEN round > 3 THEN admitted ELSE 0 END) AS results, sum(elapsed) AS dur, (['ar', 'en'])[user_id % 2 + 1] AS language, 'c' || (user_id % 3) AS class, CASE WHEN user_id % 4 > 0 THEN (['SATISFIED', 'MAX_ROUNDS', 'TIME_BUDGET'])[user_id % 4] END AS stop FROM t GROUP BY user_id)
+SELECT 'searches' AS what, '' AS name, count(*)::DOUBLE AS value FROM u UNION ALL SELECT 'zero_results', '', count(*) FILTER (WHERE results = 0) FROM u UNION ALL SELECT 'zero_result_rate', '', {rounded_sql('count(*) FILTER (WHERE results = 0) / count(*)', 4)} FROM u UNION ALL SELECT 'average_rounds', '', {rounded_sql('avg(rounds)', 2)} FROM u
+UNION ALL SELECT 'average_requests', '', {rounded_sql('avg(requests)', 2)} FROM u UNION ALL SELECT 'average_latency_ms', '', {rounded_sql('avg(dur)', 2)} FROM u UNION ALL SELECT 'language', language, count(*) FROM u GROUP BY 2 UNION ALL SELECT 'query_class', class, count(*) FROM u GROUP BY 2
+UNION ALL SELECT 'stop_reason', stop, count(*) FROM u WHERE stop IS NOT NULL GROUP BY 2 UNION ALL SELECT 'uncertainty', level, count(*) FROM u WHERE level IS NOT NULL GROUP BY 2"""
+
+_HEALTH = "CASE user_id % 5 WHEN 0 THEN 'healthy' WHEN 1 THEN 'degraded' WHEN 2 THEN 'timeout' WHEN 3 THEN 'restricted' ELSE 'odd' END"
+
+
+def connector_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as connectors: how many are in each state."""
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("value").alias("top"), F.count(F.lit(1)).alias("n"))
+    return A.state_counts(e.selectExpr("top > 120 AS enabled", "n % 6 <> 0 AS configured", f"{_HEALTH} AS health"))
+
+
+STATES_SQL = f"""WITH c AS (SELECT user_id, max(value) > 120 AS enabled, count(*) % 6 <> 0 AS configured, {_HEALTH} AS health FROM events GROUP BY user_id)
+SELECT CASE WHEN NOT enabled THEN 'disabled' WHEN NOT configured THEN 'unconfigured' WHEN health IN ('degraded', 'timeout') THEN 'degraded' WHEN health = 'restricted' THEN 'restricted' ELSE 'active' END AS state, count(*) AS n FROM c GROUP BY 1"""
+
+
 QUERIES = {
+    "engine_utility": (engine_utility, ENGINES_SQL),
+    "quality_summary": (quality_summary, QUALITY_SQL),
+    "connector_states": (connector_states, STATES_SQL),
     "calibrated_saturation": (calibrated_saturation, SATURATION_SQL),
     "stop_reasons": (stop_reasons, STOPS_SQL),
     "shadow_routes": (shadow_routes, ROUTES_SQL),

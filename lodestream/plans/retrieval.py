@@ -237,6 +237,36 @@ SORT_SQL = f"""WITH {CONTENT_SQL}, r AS (SELECT item_id, source, published_at, {
 )
 
 
+def sort_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fifteen under each order of results, with their ranks; ties end at source and id.
+
+    A copy stands behind its group's representative, and what has a vector
+    before what has none; presence across sources counts those with the same text.
+    """
+    rows = content(spark, sf_dir).select("item_id", "source", "published_at", F.md5("text").alias("digest"), engagement().alias("engagement"), numbers.freshness(F.col("published_at"), now()).alias("final"), F.length("title").alias("lexical"))
+    groups = rows.groupBy("digest").agg(F.min("item_id").alias("canonical"), numbers.cross_source(F.countDistinct("source")).alias("cross"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.lit(1).alias("vector"))
+    rows = rows.join(groups, "digest").join(vectors, "item_id", "left")
+    rows = rows.withColumns({"representative": (F.col("item_id") == F.col("canonical")).cast("int"), "semantic": F.coalesce("vector", F.lit(0)), "stable": F.concat_ws(":", "source", F.col("item_id").cast("string"))})
+    at, last = F.col("published_at").desc_nulls_last(), F.col("stable").desc()
+    down = lambda *names: [F.col(c).desc() for c in names]
+    orders = {"best_match": [*down("representative", "semantic", "final", "lexical"), at, last], "newest": [at, *down("final"), last], "most_engaged": [*down("engagement", "final"), at, last], "cross_platform": [*down("cross", "final"), at, last]}
+    out = None
+    for mode, order in orders.items():
+        top = rows.orderBy(*order).limit(15)
+        one = top.select(F.lit(mode).alias("mode"), F.row_number().over(Window.orderBy(*order)).alias("rank"), "item_id", "cross", "final")  # of fifteen rows
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_ORDERS = {"best_match": "representative DESC, semantic DESC, final DESC, lexical DESC", "newest": "", "most_engaged": "engagement DESC, final DESC", "cross_platform": "x DESC, final DESC"}
+ORDERS_SQL = f"""WITH {CONTENT_SQL}, r AS (SELECT item_id, source, published_at, {ENGAGEMENT_SQL} AS engagement, {FRESHNESS_SQL} AS final, length(title) AS lexical, source || ':' || item_id AS stable, item_id = min(item_id) OVER (PARTITION BY md5(text)) AS representative, md5(text) AS digest, item_id IN (SELECT vec_id FROM embeddings) AS semantic FROM content
+), g AS (SELECT digest, count(DISTINCT source) AS k FROM r GROUP BY 1), j AS (SELECT r.*, CASE WHEN k <= 1 THEN 0.0 ELSE least(100.0, 40.0 + 20.0 * (k - 2)) END AS x FROM r JOIN g USING (digest))
+""" + " UNION ALL ".join(
+    f"SELECT '{mode}' AS mode, row_number() OVER (ORDER BY {(order + ', ') if order else ''}published_at DESC NULLS LAST, {'final DESC, ' if mode == 'newest' else ''}stable DESC)::INT AS rank, item_id, x AS \"cross\", final FROM j QUALIFY rank <= 15" for mode, order in _ORDERS.items()
+)
+
+
 def fair_round_robin_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = content(spark, sf_dir).select("item_id", "source", numbers.freshness(F.col("published_at"), now()).alias("score"), F.md5("text").alias("digest"))
     return R.fair_admission(rows, "source", [F.col("score").desc(), F.col("item_id")], ["digest"], 50, 120).select("item_id", "source", "source_rank", "score")
@@ -325,6 +355,7 @@ QUERIES = {
     "candidate_match_branches": (candidate_match_branches, MATCH_SQL),
     "filter_time_language_media": (filter_time_language_media, FILTER_SQL),
     "text_normalise_tokens": (text_normalise_tokens, TOKENS_SQL),
+    "sort_orders": (sort_orders, ORDERS_SQL),
     "sort_modes": (sort_modes, SORT_SQL),
     "fair_round_robin_admission": (fair_round_robin_admission, ADMIT_SQL),
     "snippet_highlight": (snippet_highlight, SNIPPET_SQL),

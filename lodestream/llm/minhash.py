@@ -29,6 +29,7 @@ from lodestream.operators.graph import components
 
 BANDS, PER_BAND = 40, 3
 HOT_SHARE = 2_000
+BEFORE = 32  # items in front of one that a row of the exact search carries
 
 
 def _signatures(n_words: int, bands: int, per_band: int):
@@ -83,15 +84,39 @@ def _sets(n_words: int):
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b"
-    )
+    """The pairs (a, b) whose full sets reach the similarity.
+
+    A group of near copies pairs all its members with one representative.  An
+    `a` with more than one in HOT_SHARE of all pairs (fewer than HOT_SHARE can
+    have that) is dealt over as many salts as it has such shares, and its set
+    is copied to each, so no task gets a group; the copies are HOT_SHARE at
+    most, and as many sets again.
+    """
+    pairs = materialise(pairs, "pairs")
+    total = pairs.count()
+    hot = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * HOT_SHARE > F.lit(total)).filter("n > 1")
+    hot = F.broadcast(materialise(hot.select("a", F.ceil(F.col("n") * HOT_SHARE / F.lit(max(1, total))).alias("salts")), "hot"))
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    dealt = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), salts).alias("salt"))
+    left = sets.select(F.col("id").alias("a"), F.col("items").alias("x")).join(hot, "a", "left").select("a", "x", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    both = dealt.join(left, ["a", "salt"]).join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - shared
     return both.filter(100 * shared.cast("long") >= percent * union).select("a", "b")
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined with table by key, where table's n is the number of rows with a key.
+
+    Keys with more than one in HOT_SHARE of all rows, of which there are fewer
+    than HOT_SHARE, go by broadcast, so none meets in one task.
+    """
+    total = table.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot = F.broadcast(table.filter(F.col(n) * HOT_SHARE > F.lit(total)).filter(F.col(n) > 1))
+    rest = rows.join(hot.select(key), key, "left_anti").join(table, key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def _labelled(ids: DataFrame, comp: DataFrame) -> DataFrame:
     return ids.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
@@ -107,29 +132,26 @@ def _rest(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     positions and components.
     """
     items = mixed.join(sets, "id").select("id", "component", "minor", F.explode("items").alias("item"), F.size("items").alias("n"))
-    seen = items.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
-    order = items.join(seen, "item").groupBy("id", "component", "minor", "n").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("o"))
+    # items of one set only match nothing: they take the first places, so positions start after them
+    seen = items.groupBy("item").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    order = items.join(seen, "item").groupBy("id", "component", "minor", "n").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("o")).withColumn("lead", F.col("n") - F.size("o"))
     # the longest prefix any partner can ask for: the partner is as small as the similarity allows
-    keep = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    prefix = materialise(order.select("id", "component", "minor", "n", F.posexplode(F.slice("o", 1, keep.cast("int"))).alias("pos", "e")).select("id", "component", "minor", "n", "pos", F.col("e.item").alias("item")), "prefix")
-    left = prefix.filter("minor").select("item", F.col("id").alias("p"), F.col("component").alias("pc"), F.col("n").alias("pn"), F.col("pos").alias("pp"))
+    keep = F.greatest(F.lit(0), F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - F.col("lead")).cast("int")
+    own = order.select("id", "component", "minor", "n", "lead", F.transform(F.slice("o", F.lit(1), keep), lambda x: x["item"]).alias("p"))
+    rows = own.select("id", "component", "minor", "n", "lead", "p", F.posexplode("p").alias("k", "item"))
+    before = F.slice("p", F.greatest(F.lit(1), F.col("k") + 1 - BEFORE), F.least(F.col("k"), F.lit(BEFORE)))
+    prefix = materialise(rows.select("id", "component", "minor", "n", (F.col("lead") + F.col("k")).alias("pos"), before.alias("earlier"), "item"), "prefix")
+    left = prefix.filter("minor").select("item", F.col("id").alias("p"), F.col("component").alias("pc"), F.col("n").alias("pn"), F.col("pos").alias("pp"), F.col("earlier").alias("pe"))
     needed = f"ceil({percent} * (pn + n) / {100 + percent})"
-    found = left.join(prefix, "item").filter(f"pc <> component and pp <= pn - {needed} and pos <= n - {needed}")
+    # a pair counts at its first common item: one with a common item among those before has been met there
+    found = left.join(prefix, "item").filter(f"pc <> component and pp <= pn - {needed} and pos <= n - {needed} and not arrays_overlap(pe, earlier)")
     return found.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
 
 
 def _class_of(rows: DataFrame) -> DataFrame:
-    """doc_id, id: the smallest doc_id with the same digest.
-
-    A digest with more than one in HOT_SHARE of all rows (there are fewer than
-    HOT_SHARE such digests) is looked up by broadcast, so no group of copies
-    meets in one task; the rest is joined by digest.
-    """
+    """doc_id, id: the smallest doc_id with the same digest."""
     classes = materialise(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
-    n = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = F.broadcast(classes.filter(F.col("n") * HOT_SHARE > n).filter("n > 1").select("digest", "id"))
-    rest = rows.select("doc_id", "digest").join(hot.select("digest"), "digest", "left_anti").join(classes.select("digest", "id"), "digest")
-    return rows.select("doc_id", "digest").join(hot, "digest").unionByName(rest).select("doc_id", "id")
+    return looked_up(rows.select("doc_id", "digest"), classes, "digest", "n").select("doc_id", "id")
 
 
 def near_duplicates(docs: DataFrame, n_words: int = 2, percent: int = 80, bands: int = BANDS, per_band: int = PER_BAND) -> DataFrame:
@@ -149,9 +171,9 @@ def near_duplicates(docs: DataFrame, n_words: int = 2, percent: int = 80, bands:
         known = known.join(repeated, "doc_id", "left").filter("least is null or digest = least").dropDuplicates(["doc_id"])
     with_sets = known.filter("bands is not null")
     classes = with_sets.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    keys = classes.select("id", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("top")).filter("rep < top").select("key", "rep")
-    member = materialise(keys.join(buckets, "key"), "buckets")  # the classes in buckets of two or more
+    keys = materialise(classes.select("id", F.explode("bands").alias("key")), "keys")
+    buckets = materialise(keys.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("top"), F.count(F.lit(1)).alias("n")).filter("rep < top").select("key", "rep", "n"), "reps")
+    member = materialise(looked_up(keys, buckets, "key", "n").drop("n"), "buckets")  # the classes in buckets of two or more
     pairs = member.filter("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
     wanted = member.select("id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), null_to_empty().alias("text")).join(wanted, "id", "left_semi")

@@ -12,7 +12,7 @@ from lodestream.operators import evidence as E
 from lodestream.operators import planning as P
 from lodestream.operators import pools as J
 from lodestream.operators import vectors as V
-from lodestream.plans.vectors import _LISTS_SQL, _RANKED_SQL, _SEMANTIC, EVERY, RRF_SQL, TIES_SQL, _lists, near_tie_diversity, rrf_fusion
+from lodestream.plans.vectors import _LISTS_SQL, _RANKED_SQL, _SEMANTIC, EVERY, RRF_SQL, TIES_SQL, _blended, near_tie_diversity, rrf_fusion
 from lodestream.sources.tables import CONTENT_SQL, content, rounded_sql, table
 
 #: Budgets of the searches that users' events stand for: seconds, requests, rounds.
@@ -110,7 +110,7 @@ def fusion_weight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = e.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
     queries = asked.join(sizes, F.col("wanted") == F.col("label")).join(docs, "query_id", "left").select("query_id", "wanted", F.coalesce("lang", F.lit("none")).alias("query_class"), (F.col("n") - 1).alias("n_relevant"))
     lexical = F.coalesce("lexical", F.lit(0.0))
-    rows = _lists(spark, sf_dir).select("query_id", "item_id", lexical.alias("lexical"), F.coalesce(V.semantic_score(F.col("similarity")), lexical).alias("semantic"))
+    rows = _blended(spark, sf_dir, J.GRID, 6, highest_id=True).select("query_id", "item_id", lexical.alias("lexical"), F.coalesce(V.semantic_score(F.col("similarity")), lexical).alias("semantic"))
     rows = rows.join(e.select(F.col("vec_id").alias("item_id"), "label"), "item_id", "left").join(queries.select("query_id", "wanted"), "query_id").withColumn("hit", F.coalesce((F.col("label") == F.col("wanted")).cast("int"), F.lit(0)))
     return J.fusion_weights(rows, queries.drop("wanted"))
 

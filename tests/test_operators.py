@@ -98,6 +98,16 @@ def test_ranking_metrics(spark):
     assert b.mean == 0.5 and 0.38 < b.low < 0.47 and 0.53 < b.high < 0.62
 
 
+def test_every_missed_item_of_a_label_is_listed(spark):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(40, None)], "item_id long, label int")
+    ranked = spark.createDataFrame([(0, 2, 1, 1), (0, 3, 2, 0), (0, 4, 6, 1)], "query_id long, item_id long, rank int, hit int")
+    items = spark.createDataFrame([(3, 90.0, ["x"])], "item_id long, engagement double, title_words array<string>")
+    queries = spark.createDataFrame([(0, 0, ["x"]), (7, 1, ["x"])], "query_id long, wanted int, words array<string>")
+    got = rows(metrics.label_errors(ranked, labels, items, queries), "query_id", "item_id", "category")
+    missed = [(0, k) for k in range(4, 40, 2)] + [(7, k) for k in range(1, 40, 2) if k != 7]
+    assert got == sorted([(q, k, "LEXICAL_MISS") for q, k in missed] + [(0, 3, "ENGAGEMENT_OVERWEIGHTED")])
+
+
 def test_components_of_chains_and_stars(spark):
     r = random.Random(4)
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(500, 500)]

@@ -9,6 +9,7 @@ from lodestream.functions.numbers import rounded
 from lodestream.operators import aggregates as A
 from lodestream.operators import calibration as C
 from lodestream.operators import evidence as E
+from lodestream.operators import ordering as O
 from lodestream.operators import planning as P
 from lodestream.operators import pools as J
 from lodestream.operators import vectors as V
@@ -22,10 +23,13 @@ SECONDS, REQUESTS, ROUNDS = 200, 12, 5
 def _rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events as the rounds of one search, six days a round: what was observed in each."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", (F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / (6 * 86400e6)) + 1).cast("int").alias("round"))
+    # averages of values: fixed sums over the number of values
+    e = O.running_sums(e, ["user_id", "round"], "event_id", {"complete": F.least(F.lit(1.0), F.col("value") / 60), "apart": F.abs(F.col("value") - 30), "total": F.col("value")})
+    last, mean = lambda c: O.last(c, "event_id"), lambda c: O.last(c, "event_id") / F.count("value")
     a = e.groupBy("user_id", "round").agg(
-        F.count(F.lit(1)).alias("candidates"), F.countDistinct(F.col("event_id") % 5).alias("sources"), F.avg(F.least(F.lit(1.0), F.col("value") / 60)).alias("completeness"),
-        (F.count_if(F.col("event_type").isin("view", "click")) / F.count(F.lit(1))).alias("agreement"), F.avg(F.abs(F.col("value") - 30)).alias("disagreement"), (F.max("value") - F.avg("value")).alias("margin"),
-        F.countDistinct("event_type").alias("engines"), F.count_if(F.col("event_type") == "error").alias("errors"), F.sum("value").alias("elapsed"), F.count_if(F.col("value") >= 20).alias("unique"), F.count_if(F.col("value") >= 60).alias("admitted"),
+        F.count(F.lit(1)).alias("candidates"), F.countDistinct(F.col("event_id") % 5).alias("sources"), (last("complete") / F.count(F.lit(1))).alias("completeness"),
+        (F.count_if(F.col("event_type").isin("view", "click")) / F.count(F.lit(1))).alias("agreement"), mean("apart").alias("disagreement"), (F.max("value") - mean("total")).alias("margin"),
+        F.countDistinct("event_type").alias("engines"), F.count_if(F.col("event_type") == "error").alias("errors"), last("total").alias("elapsed"), F.count_if(F.col("value") >= 20).alias("unique"), F.count_if(F.col("value") >= 60).alias("admitted"),
     )
     a = a.withColumns({"unqueried": 5 - F.col("sources"), "single_engine": F.col("engines") == 1, "degraded": F.col("errors") > 2, "hard": F.col("user_id") % 7 == 0, "requests": F.col("candidates")})
     return C.with_previous(a, "user_id")
@@ -68,8 +72,9 @@ SELECT user_id, round, level, {rounded_sql('gain', 6)} AS gain, CASE WHEN elapse
 
 def shadow_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each user as a query, the plan of sources that learned utility would have made, beside the plan in use."""
-    e = table(spark, sf_dir, "events").select("user_id", F.concat(F.lit("s"), (F.col("event_id") % 9).cast("string")).alias("source"), "event_type", "value")
-    a = e.groupBy("user_id", "source").agg(F.sum("value").alias("sum"), F.count(F.lit(1)).alias("n"), F.max("value").alias("top"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    e = table(spark, sf_dir, "events").select("user_id", F.concat(F.lit("s"), (F.col("event_id") % 9).cast("string")).alias("source"), "event_type", "value", "event_id")
+    e = O.running_sums(e, ["user_id", "source"], "event_id", {"total": F.col("value")})
+    a = e.groupBy("user_id", "source").agg(O.last("total", "event_id").alias("sum"), F.count(F.lit(1)).alias("n"), F.max("value").alias("top"), F.count_if(F.col("event_type") == "error").alias("errors"))
     learned = F.when(F.col("n") > 1, rounded((F.col("sum") / F.col("n") - 60) / 8, 3))
     rows = a.select("user_id", "source", rounded(40 + F.col("top") / 5, 3).alias("total"), F.least(F.lit(100.0), F.col("top")).alias("capability"), (F.col("errors") < 3).alias("available"), learned.alias("adjustment"), F.when(F.col("n") > 1, F.col("n")).alias("observations"))
     return C.shadow_route(rows, "user_id")

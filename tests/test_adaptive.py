@@ -94,3 +94,22 @@ def test_graph_upsert_equals_folding_everything(spark):
     labels = {r.key: r.label for r in evidence.fold_nodes(nodes).filter("kind = 'query'").collect()}
     assert labels["q"] == next(x[1] for x in rows if x[1].lower() == "q")
     assert evidence.fold_nodes(evidence.observe(frame.limit(0))[0]).count() == 0
+
+
+def test_sums_of_doubles_do_not_depend_on_how_rows_are_dealt(spark):
+    from lodestream.operators import ordering, planning
+
+    values = [1e16, 1.0, -1e16, 1.0, 0.1, 0.2, 0.3]
+    rows = spark.createDataFrame([(0, k, v) for k, v in enumerate(values)], "g int, k int, v double")
+    want = 0.0
+    for v in values:
+        want += v
+    for dealt in (rows.coalesce(1), rows.orderBy(rows.k.desc()), rows.repartition(7, "k")):
+        got = ordering.running_sums(dealt, ["g"], "k", {"s": dealt.v}).groupBy("g").agg(ordering.last("s", "k").alias("s")).first()
+        assert got.s == want
+    tenths = spark.createDataFrame([(0, k, "s", 0.6 if k % 2 else 0.5, "e", 1, 0.0, 0.0) for k in range(12)], "q int, k int, source string, completeness double, engine string, variant int, lexical double, semantic double")
+    a, b = (planning.uncertainty(x, "q", "k").first().completeness for x in (tenths.repartition(5, "k"), tenths.coalesce(1)))
+    total = 0.0
+    for k in range(12):
+        total += 0.6 if k % 2 else 0.5
+    assert a == b == total / 12

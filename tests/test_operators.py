@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestream.functions import text
 from lodestream.operators import aggregates, clustering, dedup, graph, metrics, planning, retrieval, vectors, writes
 from lodestream.sources import exports, payloads
+from lodestream.sources.scratch import materialise
 
 
 def rows(frame, *columns):
@@ -338,6 +339,23 @@ def test_degree_cap_equals_the_sequential_walk(spark):
         assert {(x.a, x.b) for x in got.collect()} == want and got.count() == len(want)
 
 
+def test_degree_cap_takes_few_tables_on_a_chain(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(clustering, "materialise", lambda df, what, *by: made.append(what) or materialise(df, what, *by))
+    chain = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = clustering.capped(chain, [F.col("a"), F.col("b")], degree=1, tail=100)
+    assert rows(got, "a", "b") == [(k, k + 1) for k in range(0, 400, 2)]
+    assert len(made) <= 8
+
+
+def test_cosines_of_candidate_pairs(spark, tmp_path):
+    from lodestream.plans.dedup import _cosines
+
+    spark.createDataFrame([(1, [3.0, 4.0]), (2, [4.0, 3.0]), (4, [0.0, 0.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "a long, b long")
+    assert [(a, b, round(s, 6)) for a, b, s in rows(_cosines(spark, str(tmp_path), pairs), "a", "b", "semantic")] == [(1, 2, 0.96), (1, 4, 0.0)]
+
+
 def test_representatives_and_entities(spark):
     data = [(1, "A title", "one two three", "https://e.org/a"), (2, "", "A title one two three", "https://e.org/b"), (3, "A title", "one two three", "https://e.org/c"), (4, "Longer title", "words words words here", "https://e.org/a?utm_source=x"), (5, None, "", "https://e.org/d")]
     got = clustering.representatives(spark.createDataFrame(data, "item_id long, title string, text string, canonical_url string")).collect()

@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +142,23 @@ def test_similar_pairs_equal_brute_force(spark):
     assert dict(rows(dedup.class_members(frame), "item_id", "class_id"))[90] == 0
 
 
+def test_whole_sets_meet_for_likely_pairs_only(spark, monkeypatch):
+    met = {}
+    monkeypatch.setattr(dedup, "materialise", lambda df, what, *by: met.setdefault(what, materialise(df, what, *by)))
+    own = lambda k: [f"{k}-{j}" for j in range(300)]
+    sets = [(k, [*(f"both-{j}" for j in range(20)), *own(k)]) for k in range(12)] + [(20 + k, [*own("x"), f"only-{k}"]) for k in range(3)]
+    got = dedup.similar_pairs(spark.createDataFrame(sets, "item_id long, items array<string>"))
+    assert rows(got, "a", "b", "shared", "n_union") == [(20, 21, 300, 302), (20, 22, 300, 302), (21, 22, 300, 302)]
+    assert met["near"].count() == 3
+
+
+def test_words_with_equal_short_codes_stay_whole():
+    several, words = np.array([7], np.int32), [[7 << 32 | 1, 7 << 32 | 2, 9 << 32], [], [-5]]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(words, pa.list_(pa.int64()))], ["item_id", "words"])
+    got = next(dedup._coded(several)(iter([batch])))
+    assert got.to_pydict() == {"item_id": [1, 2, 3], "codes": [[9], [], [-1]], "words": [words[0][:2], [], []]}
+
+
 def test_every_document_of_a_copy_group_is_reported(spark):
     r = random.Random(21)
     base = [[f"w{k}" for k in r.sample(range(40), 20)] for _ in range(4)]

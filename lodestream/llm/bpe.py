@@ -36,6 +36,7 @@ LATIN = r" ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+|'(?:[stmd]|re|ve|ll)| ?[0-9²³¹¼-
 NOT_LATIN = re.compile("[^\x00-\x1b\x20-ɏ]")
 CACHE_WORDS = 600_000  # about 200 bytes each
 SHORT = 1024  # bytes of a word that is still scanned
+SLOTS = 1 << 19
 NONE = 1 << 60
 
 
@@ -62,14 +63,25 @@ class Vocabulary:
         raw = lambda s: bytes(symbols[c] for c in s)
         self.ids = ids = {raw(s): i for s, i in spec["model"]["vocab"].items()}
         self.single = [ids[bytes([b])] for b in range(256)]
-        #: pairs of ids, left << 32 | right, sorted; and rank << 32 | merged id of each, so that the smallest value wins
+        #: pairs of ids, left << 32 | right; and rank << 32 | merged id of each, so that the smallest value wins
         pairs: dict[int, int] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = (raw(x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
             pairs.setdefault(ids[left] << 32 | ids[right], rank << 32 | ids[left + right])
         self.merges = pairs
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        # the pairs in a table of 2^19 slots; one whose slot is taken goes to the next free one
+        keys, values = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64)
+        self.keys, self.values, slots = np.full(SLOTS, -1), np.full(SLOTS, NONE), self.slot(keys)
+        while len(keys):
+            slots, first = np.unique(slots, return_index=True)
+            free = self.keys[slots] < 0
+            self.keys[slots[free]], self.values[slots[free]] = keys[first[free]], values[first[free]]
+            rest = np.ones(len(keys), bool)
+            rest[first[free]] = False
+            keys, values = keys[rest], values[rest]
+            slots = self.slot(keys)
+            while len(slots) and (taken := self.keys[slots] >= 0).any():
+                slots[taken] = (slots[taken] + 1) % SLOTS
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         parts = ids | {}
         pieces = {i: b for b, i in parts.items()} | {i: s.encode() for s, i in self.special.items()}
@@ -90,8 +102,21 @@ class Vocabulary:
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """rank << 32 | merged id of each pair of ids, NONE without a merge."""
         key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.values[at], NONE)
+        at = self.slot(key)
+        found = self.keys[at]
+        value = np.where(found == key, self.values[at], NONE)
+        left = np.flatnonzero((found != key) & (found >= 0))
+        while left.size:
+            at[left] = (at[left] + 1) % SLOTS
+            found = self.keys[at[left]]
+            same = found == key[left]
+            value[left[same]] = self.values[at[left[same]]]
+            left = left[~same & (found >= 0)]
+        return value
+
+    @staticmethod
+    def slot(key: np.ndarray) -> np.ndarray:
+        return ((key * np.int64(0x1E3779B97F4A7C15)) >> 40) & (SLOTS - 1)
 
     def parts(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the bytes of words (a matrix, one word a row), and the ranks of the pairs."""
@@ -157,21 +182,21 @@ class Codec:
         self.words: dict[str, bytes] = {}
 
     def _learn(self, words: set[str]) -> None:
-        by_length = defaultdict(list)
+        known, by_length = self.words, defaultdict(list)
         for word in words:
-            data = word.encode()
-            if len(data) > SHORT:
-                self.words[word] = np.array(self.vocabulary.long(data), "<u4").tobytes()
-            else:
-                by_length[len(data)].append((word, data))
+            by_length[len(word) if word.isascii() else -1].append(word)
+        for word in by_length.pop(-1, ()):
+            by_length[len(word.encode())].append(word)
         for length, found in by_length.items():
-            for a in range(0, len(found), 1 << 14):
-                some = found[a : a + (1 << 14)]
-                matrix = np.frombuffer(b"".join(d for _, d in some), np.uint8).reshape(len(some), length)
+            if length > SHORT:
+                known.update((word, np.array(self.vocabulary.long(word.encode()), "<u4").tobytes()) for word in found)
+                continue
+            for a in range(0, len(found), 1 << 13):
+                some = found[a : a + (1 << 13)]
+                matrix = np.frombuffer("".join(some).encode(), np.uint8).reshape(len(some), length)
                 for rows, ids in self.vocabulary.short(matrix):
-                    data, step = ids.astype("<u4").tobytes(), 4 * ids.shape[1]
-                    for k, row in enumerate(rows.tolist()):
-                        self.words[some[row][0]] = data[k * step : (k + 1) * step]
+                    whole = np.ascontiguousarray(ids, "<u4").view(np.dtype((np.void, 4 * ids.shape[1])))[:, 0]
+                    known.update(zip(map(some.__getitem__, rows.tolist()), whole.tolist()))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, little-endian unsigned 32-bit; special strings become their own ids."""

@@ -786,3 +786,13 @@ def test_very_long_texts_are_scanned_whole_in_linear_time(spark):
     seconds(1000)
     few, many = seconds(10_000), seconds(160_000)
     assert many < 16 * max(few, 1.0)
+
+
+def test_every_merge_is_found_in_its_slot():
+    from lodestream.llm import bpe
+
+    v = bpe.Vocabulary(bpe.default_vocabulary())
+    keys = np.array(list(v.merges), np.int64)
+    assert (v.ranks(keys >> 32, keys & 0xFFFFFFFF) == np.array(list(v.merges.values()))).all()
+    other = np.array([k for k in (keys ^ 1).tolist() if k not in v.merges], np.int64)
+    assert (v.ranks(other >> 32, other & 0xFFFFFFFF) == bpe.NONE).all() and (v.keys >= 0).sum() == len(keys)

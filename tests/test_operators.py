@@ -381,3 +381,17 @@ def test_representatives_and_entities(spark):
     assert {x.item_id: x.rep_id for x in got} == {1: 4, 2: 4, 3: 4, 4: 4, 5: 5}
     names = spark.range(1).select(clustering.entities(F.lit("The World-Bank met Éric and OpenAI in Paris_Nord, Example (UN) new York."), ["paris"]).alias("e")).first().e
     assert names == ["world-bank", "openai", "paris_nord", "york"]
+
+
+def test_results_of_one_query_are_not_dealt_by_it(spark):
+    from lodestream.operators import lattice
+
+    queries = spark.createDataFrame([(1, "solar plant", False)], "query_id long, original string, closed boolean")
+    found = spark.createDataFrame([(1, f"s{k % 2}:{k}", "Turbine-9 near the plant") for k in range(4)], "query_id long, result_id string, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = lattice.expansions(queries, found)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert rows(got, "term", "n_results", "n_sources") == [("near", 4, 2), ("turbine-9", 4, 2)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -117,6 +117,11 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
     return rows.join(hot, key).unionByName(rest)
 
 
+def _stars(comp: DataFrame) -> DataFrame:
+    """Links that make the same components: each member and its component."""
+    return comp.filter("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
+
+
 def _labelled(ids: DataFrame, comp: DataFrame) -> DataFrame:
     return ids.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
@@ -187,17 +192,18 @@ def near_duplicates(docs: DataFrame, n_words: int = 2, percent: int = 80, bands:
     comp = materialise(components(links), "components")
     of_a, of_b = (comp.select(F.col("id").alias(x), F.col("component").alias("c" + x)) for x in "ab")
     open_pairs = pairs.join(of_a, "a", "left").join(of_b, "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    more = confirm(open_pairs.join(once, ["a", "b"], "left_anti"), sets, percent)
-    links = materialise(links.unionByName(more), "links")
-
-    comp = materialise(components(links), "components")
+    more = materialise(confirm(open_pairs.join(once, ["a", "b"], "left_anti"), sets, percent), "links")
+    if not more.isEmpty():
+        comp = materialise(components(_stars(comp).unionByName(more)), "components")
     labelled = _labelled(member.select("key", "id"), comp)
     sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     spans = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     mixed = labelled.join(spans, "key").groupBy("id", "component").agg(F.max(F.col("component") != F.col("main")).alias("minor"))
-    extra = materialise(confirm(_rest(materialise(mixed, "mixed"), sets, percent), sets, percent), "links")
-    if not extra.isEmpty():
-        comp = components(links.unionByName(extra))
+    mixed = materialise(mixed, "mixed")
+    if not mixed.isEmpty():
+        extra = materialise(confirm(_rest(mixed, sets, percent), sets, percent), "links")
+        if not extra.isEmpty():
+            comp = components(_stars(comp).unionByName(extra))
 
     found = _labelled(_class_of(with_sets), comp).select("doc_id", "component")
     out = sig.select("doc_id", "n_shingles").join(found, "doc_id", "left")

@@ -1,4 +1,7 @@
-from lodestream.functions import text
+from pyspark.sql.window import Window
+
+from lodestream.functions import numbers, text
+from lodestream.operators import retrieval as R
 from lodestream.plans import retrieval
 
 ODD = ["", None, "Straße don't_x", "naïve Ærø – “Ŋœ” 12", "a\x1fb\x85c d", "٢٠٢٤ قِصَّة ​ﬁne", "été İstanbul ΣΑΣ", "#Tag ª² ½ x\x7fy", "日本語 テスト"]
@@ -17,3 +20,25 @@ def test_candidate_branches_cut_no_words_after_the_index(spark, monkeypatch):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan and "PythonUDF" not in plan and "parquet" in plan
     assert tuple(found.first()) == (1, True, True, True, True, True)
+
+
+def test_best_of_many_queries_make_no_row_for_a_pair(spark, monkeypatch):
+    F = retrieval.F
+    words = ["ab", "cd", "ef", "gh", "été"]
+    # copies tie, one id stands in two rows, one item holds no term, one has no text
+    docs = [(k % 57, " ".join(words[j] for j in range(5) if k >> j & 1), " ".join([words[k % 5]] * (k % 7) + ["zz"] * (k % 3)) or None, "@x") for k in range(58)] + [(90, "zz", "zz", "@x")]
+    rows = spark.createDataFrame(docs, "item_id long, title string, text string, handle string")
+    asked = spark.createDataFrame([("q1", "ab"), ("q1", "ete"), ("q2", "cd"), ("q2", "zz"), ("q2", "nowhere"), ("q3", "gh"), ("q4", "nowhere")], "query_id string, term string")
+    monkeypatch.setattr(retrieval, "content", lambda *_: rows)
+    monkeypatch.setattr(retrieval, "query_set", lambda *_: asked)
+    w = Window.partitionBy("query_id").orderBy(F.col("bm25").desc(), "item_id")
+    scored = R.bm25(rows, asked).withColumn("bm25", numbers.rounded(F.col("bm25"), 6)).withColumn("rank", F.row_number().over(w)).filter("rank <= 10")
+    want = sorted(map(tuple, scored.select("query_id", "item_id", "bm25", "rank").collect()))
+    for cells in (4_000_000, 20):
+        monkeypatch.setattr(R, "CELLS", cells)
+        found = retrieval.bm25_multi_query_topk(spark, "")
+        assert sorted(map(tuple, found.collect())) == want and len(want) == 30
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" in plan and "hashpartitioning(query_id#0, item_id" not in plan and "Aggregate" not in plan.split("MapInArrow")[0]
+    monkeypatch.setattr(R, "MOST_TERMS", 2)
+    assert sorted(map(tuple, retrieval.bm25_multi_query_topk(spark, "").collect())) == want

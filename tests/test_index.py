@@ -1,6 +1,7 @@
 from pyspark.sql.window import Window
 
 from lodestream.functions import numbers, text
+from lodestream.operators import lattice
 from lodestream.operators import retrieval as R
 from lodestream.plans import retrieval
 
@@ -42,3 +43,22 @@ def test_best_of_many_queries_make_no_row_for_a_pair(spark, monkeypatch):
     assert "hashpartitioning(query_id" in plan and "hashpartitioning(query_id#0, item_id" not in plan and "Aggregate" not in plan.split("MapInArrow")[0]
     monkeypatch.setattr(R, "MOST_TERMS", 2)
     assert sorted(map(tuple, retrieval.bm25_multi_query_topk(spark, "").collect())) == want
+
+
+def test_variants_meet_rows_without_a_row_for_each_pair(spark, monkeypatch):
+    F = retrieval.F
+    # query 1 by two of three words, 2 by its identifier, 3 by its only word; row 6 comes twice, each with one word of query 1
+    rows = [(1, "Ab x CD"), (2, "ab ab"), (3, "see cve-2024-1 now"), (4, "2024 cve 1"), (5, None), (6, "ab"), (6, "ef"), (7, "STRASSE"), (8, "ab cd ef straße")]
+    docs = spark.createDataFrame([(k, x, (x or "").lower()) for k, x in rows], "item_id long, words string, evidence string")
+    made = [(1, "a", "ORIGINAL", "ab cd ef", 0.0), (1, "b", "NORMALIZED", "ab cd ef", 0.0), (1, "c", "EVIDENCE_EXPANDED", "x", 0.9), (2, "d", "ORIGINAL", "CVE-2024-1", 0.0), (2, "e", "IDENTIFIER", "CVE-2024-1", 0.0), (3, "f", "ORIGINAL", "Straße", 0.0)]
+    v = spark.createDataFrame(made, "query_id int, variant_id string, kind string, text string, drift double")
+    want = [(1, 1), (3, 2), (6, 1), (7, 3), (8, 1), (8, 3)]
+    for cells in (4_000_000, 1):
+        monkeypatch.setattr(lattice, "CELLS", cells)
+        found = lattice.matches_any(docs, v)
+        assert sorted(map(tuple, found.collect())) == want
+    assert sorted(map(tuple, lattice.matches_any(docs.withColumn("words", text.tokens(F.col("words"))), v).collect())) == want
+    plan = lattice.matches_any(docs.filter("item_id <> 6"), v)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan.split("LeftAnti")[0]  # matches are made in front of any join or aggregate of words
+    monkeypatch.setattr(lattice, "BROADCAST_ROWS", 2)
+    assert sorted(map(tuple, lattice.matches_any(docs, v).collect())) == want

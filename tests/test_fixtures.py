@@ -118,6 +118,15 @@ def test_variants_of_queries_and_their_rounds(spark):
     assert [tuple(r) for r in lattice.secondary(rows, 3).select("query_id", "kind").collect()] == [(1, "EVIDENCE_EXPANDED")]
 
 
+def test_a_lattice_and_its_rounds_deal_each_query_once(spark):
+    both = lattice.later(lattices(spark)).select("asked", "query_id", "kind")
+    assert sorted(map(tuple, both.collect())) == [(2, 1, "ENTITY_ALIAS"), (2, 1, "EXACT"), (2, 2, "EXACT"), (2, 2, "TRANSLITERATION"), (3, 1, "EVIDENCE_EXPANDED")]
+    plan = both._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    kept = {(r.query_id, r.kind): r for r in lattices(spark).collect()}
+    assert kept[2, "TRANSLITERATION"].parent_id == kept[2, "NORMALIZED"].variant_id and kept[1, "ENTITY_ALIAS"].parent_id == kept[1, "ORIGINAL"].variant_id and kept[1, "ORIGINAL"].parent_id is None
+
+
 #: query, time range, identifier, what it wants of time
 _TEMPORAL = [
     ("history of rome", "all", False, "HISTORICAL"), ("history of rome", "24h", False, "TIME_CRITICAL"), ("breaking storm", "all", False, "TIME_CRITICAL"), ("recent storms", "all", False, "RECENT_PREFERRED"), ("storms 1998", "all", False, "HISTORICAL"),

@@ -84,6 +84,15 @@ def test_spam_and_snippet(spark):
     assert [tuple(r) for r in both.ranges] == [(0, 2), (4, 8), (9, 13), (18, 19)]
 
 
+def test_snippets_scan_a_text_once(spark):
+    rows = spark.createDataFrame([(1, "a\u2028\x1cb\u00a0 İx ıX\u3000"), (2, None), (3, ""), (4, "𝒳 " * 300 + "THE\ttion thetion")], "k int, x string").select("k", text.snippet(F.col("x"), ["ix", "the", "tion"]).alias("s"))
+    got = {r.k: (r.s.snippet, r.s.ranges and [r.s.snippet[a:b] for a, b in r.s.ranges]) for r in rows.collect()}
+    assert got[1] == ("a b İx ıX", ["İx", "ıX"]) and got[2] == (None, None) and got[3] == ("", [])
+    assert len(got[4][0]) == 363 and got[4][0].startswith("...𝒳") and got[4][1] == ["THE", "tion", "thetion"]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "rlike" not in plan.lower()  # the expressions of before took the text apart once for each use
+
+
 @pytest.mark.parametrize("q, want", [("#a", "HASHTAG"), ("@a", "HANDLE"), ("https://x.y", "URL"), ('"a b"', "EXACT_PHRASE"), ("كتاب book", "MIXED_LANGUAGE"), ("ai", "SHORT_AMBIGUOUS"), ("CVE-2024-12345", "RARE_ENTITY"), ("Acme", "SHORT_AMBIGUOUS"), ("Acme Corp", "RARE_ENTITY"), ("one two three", "MULTI_TERM_TOPIC")])
 def test_query_classes(spark, q, want):
     assert one(spark, text.query_class(F.lit(q)))[0] == want

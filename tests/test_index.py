@@ -62,3 +62,21 @@ def test_variants_meet_rows_without_a_row_for_each_pair(spark, monkeypatch):
     assert "ArrowEvalPython" in plan.split("LeftAnti")[0]  # matches are made in front of any join or aggregate of words
     monkeypatch.setattr(lattice, "BROADCAST_ROWS", 2)
     assert sorted(map(tuple, lattice.matches_any(docs, v).collect())) == want
+
+
+def test_orders_of_results_shuffle_no_text_and_join_once(spark, tmp_path):
+    docs = [(k, f"t{k % 9}\n" + "ab" * (k % 5), "en", f"s{k % 4}") for k in range(40)] + [(40, None, "en", "s0")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "https://a")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.sql("select id as event_id, timestamp_ntz'2024-01-30' + make_interval(0, 0, 0, 0, int(id % 7)) as ts, double(id % 6) as value, '{\"k\": 1}' as props from range(30)").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(3,), (3,), (5,)], "vec_id long").write.parquet(f"{tmp_path}/embeddings.parquet")  # one of them twice
+    found = retrieval.sort_orders(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "text" not in plan
+    import duckdb
+
+    db = duckdb.connect()
+    for name in ("documents", "pages", "events", "embeddings"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = db.execute(f"SELECT mode, rank, item_id, \"cross\", final FROM ({retrieval.ORDERS_SQL})").fetchall()
+    assert sorted(map(tuple, found.select("mode", "rank", "item_id", "cross", "final").collect())) == sorted(want) and len(want) == 60

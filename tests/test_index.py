@@ -1,9 +1,10 @@
 from pyspark.sql.window import Window
 
 from lodestream.functions import numbers, text
+from lodestream.operators import aggregates as A
 from lodestream.operators import lattice
 from lodestream.operators import retrieval as R
-from lodestream.plans import retrieval
+from lodestream.plans import memory, retrieval
 
 ODD = ["", None, "Straße don't_x", "naïve Ærø – “Ŋœ” 12", "a\x1fb\x85c d", "٢٠٢٤ قِصَّة ​ﬁne", "été İstanbul ΣΑΣ", "#Tag ª² ½ x\x7fy", "日本語 テスト"]
 
@@ -80,3 +81,20 @@ def test_orders_of_results_shuffle_no_text_and_join_once(spark, tmp_path):
         db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
     want = db.execute(f"SELECT mode, rank, item_id, \"cross\", final FROM ({retrieval.ORDERS_SQL})").fetchall()
     assert sorted(map(tuple, found.select("mode", "rank", "item_id", "cross", "final").collect())) == sorted(want) and len(want) == 60
+
+
+def test_a_snapshots_words_are_cut_ahead_of_the_joins_and_counted_by_batches(spark, tmp_path):
+    F = retrieval.F
+    odd = [*ODD, "see HTTPS://a.b/c\u00a0d www.x y the The THE ab abc", "wwwx.y http:/no http://", "the\u2028and\x0bof www.\x1cqqq"]
+    rows = spark.createDataFrame([(k, "Title one", x) for k, x in enumerate(odd)], "k int, title string, text string")
+    before = F.filter(F.array_distinct(text.tokens(F.regexp_replace(F.concat_ws(" ", "title", "text"), A.URL, " "))), lambda w: (F.length(w) > 2) & ~w.isin(A.snapshot_skip(["one"])))
+    for r in rows.select("k", before.alias("a"), A.topic_words(F.col("title"), F.col("text"), A.snapshot_skip(["one"])).alias("b")).collect():
+        assert r.a == r.b.split(), odd[r.k]
+    found = A.related_terms(rows, text.tokens(F.col("text")))
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert (got := [tuple(r) for r in found.collect()])[0] == ("www", 2) and len(got) == 12 and got[1:] == sorted(got[1:])
+    spark.createDataFrame([(1, "a\nb", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "https://a")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.sql("select 1L as event_id, timestamp_ntz'2024-01-30' as ts, 1d as value, '{}' as props").write.parquet(f"{tmp_path}/events.parquet")
+    plan = memory._items(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("ArrowEvalPython")  # below the joins

@@ -123,9 +123,9 @@ RESTRICTED = ["facebook", "linkedin"]
 
 
 def parsed(payloads: DataFrame, platform: str, column: str = "payload") -> DataFrame:
-    """One row a payload: the content row (nulls where it did not parse) and `valid`."""
+    """One row a payload: the content row (nulls where it did not parse) and `valid`; texts may be of any length."""
     spec = PLATFORMS[platform]
-    rows = payloads.select(F.from_json(column, spec.schema, {"mode": "PERMISSIVE"}).alias("p"))
+    rows = payloads.select(F.from_json(column, spec.schema, {"mode": "PERMISSIVE", "maxStringLen": str(2**31 - 1)}).alias("p"))
     made = spec.row()
     kinds = {"published_at": "timestamp", "hashtags": "array<string>", "metrics": "map<string,double>"}
     columns = {"source": F.lit(platform)} | {k: made.get(k, F.lit(None)).cast(kinds.get(k, "string")) for k in COLUMNS[1:]}
@@ -144,7 +144,7 @@ def stage_counts(payloads: DataFrame, platform: str, words: list[str], since: Co
     own = text.tokens(F.concat_ws(" ", "title", "text"))
     match = F.col("valid") & (F.size(F.array_except(wanted, own)) == 0)
     eligible = match & (F.col("published_at").isNull() | (F.col("published_at") >= since)) if since is not None else match
-    n = lambda x: F.sum(x.cast("long"))
+    n = F.count_if
     return rows.agg(F.count(F.lit(1)).alias("raw"), n(F.col("valid")).alias("schema_valid"), n(match).alias("query_match"), n(eligible).alias("time_eligible"), n(~F.col("valid")).alias("malformed"))
 
 

@@ -3,9 +3,12 @@
 import json
 from pathlib import Path
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from lodestream.operators import filters
+from lodestream.plans import ingest
 from lodestream.sources import exports, payloads
 
 
@@ -59,3 +62,19 @@ def test_exports(spark, tmp_path):
     assert data.startswith("\ufeffquery,source,") and "'=1+1" in data and 'say ""hi""' in data and "a|b" in data
     head = exports.export_head({"query": "q"}, spark.createDataFrame([(2,)], "results long")).collect()
     assert [json.loads(r.value) for r in head] == [{"schema": "search-export", "version": "1.0", "search": {"query": "q"}, "analytics": {"results": 2}}]
+
+
+@pytest.mark.parametrize("name", ["payload_normalise", "payload_stage_counts"])
+def test_posts_of_blank_long_and_partial_documents(spark, tmp_path, name):
+    long = "the and " + "word " * 4_200_000  # more than 20 million characters
+    documents = [
+        (600, "the and", "en", "src1"), (601, "", "en", "src1"), (602, "   ", "en", "src1"), (603, None, "en", "src1"), (604, "the and", None, "src1"), (605, "the and", "en", None),
+        (606, long, "en", "src1"), (607, "", "en", "src3"), (None, "the and", "en", "src1"), (10**10 + 1, "\nthe and", "en", "src2"), (1, "the \x00 and", "en", "src1"),
+    ]
+    spark.createDataFrame(documents, "doc_id long, text string, lang string, source string").repartition(1).write.parquet(str(tmp_path / "documents.parquet"))
+    query, sql = ingest.QUERIES[name]
+    made = query(spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    wanted = db.execute(f"SELECT {', '.join(made.columns)} FROM ({sql})").fetchall()
+    assert sorted(map(tuple, made.collect()), key=repr) == sorted(wanted, key=repr)

@@ -395,3 +395,22 @@ def test_results_of_one_query_are_not_dealt_by_it(spark):
         assert rows(got, "term", "n_results", "n_sources") == [("near", 4, 2), ("turbine-9", 4, 2)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pairs_meet_as_packed_lists(spark):
+    from lodestream.operators.clustering import _met, _packed, _unpacked
+
+    lists = [[5, 0, 300, 2**34 + 1], None, [], [7], list(range(0, 40_000, 12))]
+    made = _packed(pa.array(lists, pa.list_(pa.int64())))
+    row, number = _unpacked(made)
+    assert [sorted(x or []) for x in lists] == [number[row == k].tolist() for k in range(5)] and len(made[4].as_py()) == 3_334
+    other = _packed(pa.array([[4, 303], [1], None, [6], [13, 25, 29]], pa.list_(pa.int64())))
+    assert [x.tolist() for x in _met(made, other, 2)] == [[0, 0, 3, 4, 4], [1, 75, 1, 3, 6], [5, 300, 7, 12, 24], [4, 303, 6, 13, 25]]
+    # a pair's shared words are no rows, and its strings do not travel
+    content = spark.createDataFrame([(k, f"Alpha Beta {k % 2}", f"Alpha Beta gamma{k % 3} delta{k}", "s", "en", f"https://e.org/{k}") for k in range(6)], "item_id long, title string, text string, source string, language string, canonical_url string").withColumn("published_at", F.lit(None).cast("timestamp"))
+    feats = clustering.features(content)
+    each = clustering.terms(feats)
+    made = clustering.evidence(feats, each, spark.createDataFrame([(0, 3), (1, 2)], "a long, b long"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "array_intersect" not in plan
+    assert rows(made, "a", "b", "n_distinctive", "n_identity", "n_phrases", "n_entities") == [(0, 3, 1, 1, 1, 2), (1, 2, 0, 0, 1, 2)]

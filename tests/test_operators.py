@@ -414,3 +414,16 @@ def test_pairs_meet_as_packed_lists(spark):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "array_intersect" not in plan
     assert rows(made, "a", "b", "n_distinctive", "n_identity", "n_phrases", "n_entities") == [(0, 3, 1, 1, 1, 2), (1, 2, 0, 0, 1, 2)]
+
+
+def test_sets_that_share_one_rare_item_are_not_compared(spark, monkeypatch):
+    one, two = ([f"{of}{k}" for k in range(1_999)] for of in "xy")
+    whole = one + two  # makes the words of either set more frequent than the one they share
+    sets = spark.createDataFrame([(1, [*one, "shared"]), (2, [*two, "shared"]), (3, whole), (4, whole), (5, whole[1:])], "item_id long, items array<string>")
+    made = {}
+    monkeypatch.setattr(dedup, "materialise", lambda df, what, *by: made.setdefault(what, materialise(df, what, *by)))
+    assert rows(dedup.similar_pairs(sets), "a", "b") == [(3, 5)]
+    assert rows(made["near"], "a", "b") == [(3, 5)]
+    small = spark.createDataFrame([(1, ["p"]), (2, ["p", "q"]), (3, ["r"])], "item_id long, items array<string>")
+    made.clear()
+    assert rows(dedup.similar_pairs(small, 50), "a", "b") == [(1, 2)]

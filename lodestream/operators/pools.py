@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestream.functions.numbers import rounded
+from lodestream.sources.scratch import materialise
 
 #: Lexical weights tried, the one in use, and what a better one has to gain (fixed values).
 GRID, IN_USE, GUARD = [0.25, 0.40, 0.55, 0.70], 0.25, 0.02
@@ -61,6 +62,7 @@ def fusion_weights(scored: DataFrame, queries: DataFrame, grid: list[float] = GR
     got = top.groupBy("query_id", "weight").agg(F.sum(F.col("hit") / F.log2(F.col("rank") + 1.0)).alias("gain"), F.sum(F.when(F.col("rank") <= 5, F.col("hit")).otherwise(0)).alias("good"))
     own = got.join(queries, "query_id").withColumns({"ndcg": F.when(F.col("n_relevant") > 0, F.col("gain") / gains(10)).otherwise(0.0), "precision": F.col("good") / 5})
     means = own.groupBy("query_class", "weight").agg(rounded(F.avg("ndcg"), 6).alias("ndcg"), rounded(F.avg("precision"), 6).alias("precision"))
+    means = materialise(means, "means")
     rank = F.struct("ndcg", "precision", -rounded(F.abs(F.col("weight") - IN_USE), 6), -F.col("weight"))
     best = means.groupBy("query_class").agg(F.max_by(F.struct("weight", "ndcg", "precision"), rank).alias("best"), F.max(F.when(F.col("weight") == IN_USE, F.struct("ndcg", "precision"))).alias("used"))
     better = (F.col("best.ndcg") >= rounded(F.col("used.ndcg") + GUARD, 6)) & (F.col("best.precision") >= F.col("used.precision"))

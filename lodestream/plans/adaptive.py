@@ -14,6 +14,7 @@ from lodestream.operators import planning as P
 from lodestream.operators import pools as J
 from lodestream.operators import vectors as V
 from lodestream.plans.vectors import _LISTS_SQL, _RANKED_SQL, _SEMANTIC, EVERY, RRF_SQL, TIES_SQL, _blended, near_tie_diversity, rrf_fusion
+from lodestream.sources.scratch import materialise
 from lodestream.sources.tables import CONTENT_SQL, content, rounded_sql, table
 
 #: Budgets of the searches that users' events stand for: seconds, requests, rounds.
@@ -92,9 +93,10 @@ def judgment_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What three rankings of each query disagree on most, five items a query."""
     e = table(spark, sf_dir, "embeddings")
     queries = e.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding", "label")
-    own = V.top_k(queries.select("query_id", "embedding"), e.select(F.col("vec_id").alias("item_id"), "embedding"), 10).select("query_id", "item_id", "rank")
+    near = materialise(V.top_k(queries.select("query_id", "embedding"), e.select(F.col("vec_id").alias("item_id"), "embedding"), 100), "near")
+    own = near.filter("rank <= 10").select("query_id", "item_id", "rank")
     fused = rrf_fusion(spark, sf_dir).select("query_id", "item_id", F.col("place").alias("rank"))
-    diverse = near_tie_diversity(spark, sf_dir).select("query_id", F.col("key").alias("item_id"), F.col("position").alias("rank"))
+    diverse = near_tie_diversity(spark, sf_dir, near).select("query_id", F.col("key").alias("item_id"), F.col("position").alias("rank"))
     unsure = F.element_at(F.array(F.lit("LOW"), F.lit("MEDIUM"), F.lit("HIGH")), (F.col("label") % 3 + 1).cast("int"))
     asked = queries.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 40).alias("text")), "query_id", "left")
     asked = asked.select("query_id", F.when(F.col("label") == 4, F.concat(F.lit("خبر "), "text")).otherwise(F.col("text")).alias("query"), unsure.alias("uncertainty"))

@@ -78,3 +78,22 @@ def test_a_tile_hands_on_k_items_a_query(spark):
     assert near.count() <= 60 * 3 * 3
     got = {(r.query_id, r["rank"]): r.item_id for r in vectors.top_k(queries, items, 3).collect()}
     assert all(got[q, n] == [i for i in range(q % 7, 3000, 7) if i != q][n - 1] for q in range(0, 3000, 50) for n in (1, 2, 3))
+
+
+def test_ranks_are_counted_once_and_ties_kept_whole(spark, monkeypatch):
+    texts = [(k, "s", f"alpha w{k % 3}", "beta beta" if k % 2 else "gamma", "@s") for k in range(40)]
+    vectors_ = [(k, [1.0, float(k % 4), 0.5]) for k in range(40)]
+    indexed = fusion.index(spark.createDataFrame(texts, "item_id long, source string, title string, text string, handle string"), spark.createDataFrame(vectors_, "item_id long, embedding array<float>"), "source")
+    queries, mean = fusion.asked(spark.createDataFrame([(3, [1.0, 1.0, 0.5], "alpha beta"), (8, None, "w2")], "query_id long, embedding array<float>, title string"), indexed)
+    made, write = [], fusion.materialise
+    monkeypatch.setattr(fusion, "materialise", lambda df, what, *by: made.append(what) or write(df, what, *by))
+    got = {(r.query_id, r.item_id): (r.lexical_rank, r.semantic_rank) for r in fusion.ranked(queries, indexed, mean, 5).collect()}
+    assert made == ["heads", "counts"]
+    every = {(r.query_id, r.item_id): (r.lexical_rank, r.semantic_rank) for r in fusion.ranked(queries, indexed, mean, 1000).collect()}
+    assert got == {k: v for k, v in every.items() if min(x or 9999 for x in v) <= 5}
+    # of equal scores the lowest ids, no more than asked for
+    few = [(r.query_id, r.item_id) for r in fusion.heads(queries, indexed, mean, 5, 5).collect()]
+    assert set(few) >= set(got) and len(few) == len(set(few))
+    row, column = tiles.contenders(np.array([[3.0, 1.0, 2.9, -np.inf], [0.0, 0.0, 0.0, 0.0]]), 1, 0.2)
+    assert (row.tolist(), column.tolist()) == ([0, 0, 1, 1, 1, 1], [0, 2, 0, 1, 2, 3])
+    assert tiles.first(row, np.array([5, 6, 1, 4, 3, 2]), 2).tolist() == [1, 0, 3, 4]

@@ -97,3 +97,20 @@ def test_ranks_are_counted_once_and_ties_kept_whole(spark, monkeypatch):
     row, column = tiles.contenders(np.array([[3.0, 1.0, 2.9, -np.inf], [0.0, 0.0, 0.0, 0.0]]), 1, 0.2)
     assert (row.tolist(), column.tolist()) == ([0, 0, 1, 1, 1, 1], [0, 2, 0, 1, 2, 3])
     assert tiles.first(row, np.array([5, 6, 1, 4, 3, 2]), 2).tolist() == [1, 0, 3, 4]
+
+
+def test_index_holds_the_words_of_index_tokens(spark):
+    from pyspark.sql import functions as F
+
+    from lodestream.functions import text
+
+    said = ["Éclair éclair ﬁne straße STRASSE", "خبرٌ عاجل", "a_b  ćd", None, "", "plain words words"]
+    rows = spark.createDataFrame([(k, "s", x, f"more {x}", "@s") for k, x in enumerate(said)], "item_id long, source string, title string, text string, handle string")
+    indexed = fusion.index(rows, spark.createDataFrame([], "item_id long, embedding array<float>"), "source")
+    got = {r.item_id: (r.dl, dict(zip(r.terms, r.tfs))) for r in indexed.collect()}
+    for r in rows.select("item_id", *(text.index_tokens(F.col(c)).alias(c) for c in ("title", "text", "handle"))).collect():
+        weights, wanted = dict(zip(("title", "text", "handle"), fusion.R.COLUMN_WEIGHTS.values())), {}
+        for c, weight in weights.items():
+            for w in r[c] or []:
+                wanted[fusion._code(w)] = wanted.get(fusion._code(w), 0) + 2 * weight
+        assert got[r.item_id] == (2 * sum(len(r[c] or []) for c in weights), wanted)
